@@ -58,28 +58,41 @@ def shift_weeks(dates: DataFrame, back: int) -> DataFrame:
     return later.join(target, "target").select("fis_week_id", "shifted_week_id")
 
 
-def week_epoch(dates: DataFrame, week_id: int) -> int:
-    """Counter of one week, as a plan parameter."""
-    row = dates.filter(F.col("fis_week_id") == week_id).select("fis_week_of_epoch_num").first()
-    if row is None:
-        raise ValueError(f"week {week_id} is not in the date table")
-    return row[0]
-
-
-def shift_week_id(dates: DataFrame, week_id: int, back: int) -> int:
-    """Id of the week ``back`` weeks earlier, as a plan parameter."""
-    number = week_epoch(dates, week_id) - back
-    row = dates.filter(F.col("fis_week_of_epoch_num") == number).select("fis_week_id").first()
-    if row is None:
-        raise ValueError(f"no week lies {back} weeks before {week_id} in the date table")
-    return row[0]
-
-
-def week_bounds(dates: DataFrame, week_from: int, week_to: int) -> tuple[dt.date, dt.date]:
-    """First and last date of an inclusive week range, as plan parameters."""
-    low, high = (
-        dates.filter(F.col("fis_week_id").between(week_from, week_to)).agg(F.min("date_id"), F.max("date_id")).first()
-    )
-    if low is None:
-        raise ValueError(f"weeks {week_from}-{week_to} are not in the date table")
-    return low, high
+class Weeks:
+    """Driver copy of the week table, about 52 rows a year, for the week ids of plan parameters."""
+
+    def __init__(self, rows: list[tuple[int, int, dt.date, dt.date]]):
+        self._number = {week: number for week, number, _, _ in rows}
+        self._week = {number: week for week, number, _, _ in rows}
+        self._days = {week: (first, last) for week, _, first, last in rows}
+
+    @classmethod
+    def of(cls, dates: DataFrame) -> Weeks:
+        bounds = dates.groupBy("fis_week_id", "fis_week_of_epoch_num").agg(F.min("date_id"), F.max("date_id"))
+        return cls([tuple(row) for row in bounds.collect()])
+
+    def number(self, week_id: int) -> int:
+        """Counter of a week."""
+        if week_id not in self._number:
+            raise ValueError(f"week {week_id} is not in the date table")
+        return self._number[week_id]
+
+    def shifted(self, week_id: int, back: int) -> int:
+        """Id of the week ``back`` weeks earlier, later when negative."""
+        number = self.number(week_id) - back
+        if number not in self._week:
+            raise ValueError(f"the date table does not reach {back} weeks back from {week_id}")
+        return self._week[number]
+
+    def count(self, week_from: int, week_to: int) -> int:
+        return self.number(week_to) - self.number(week_from) + 1
+
+    def between(self, week_from: int, week_to: int) -> list[int]:
+        return sorted(week for week in self._number if week_from <= week <= week_to)
+
+    def days(self, week_from: int, week_to: int) -> tuple[dt.date, dt.date]:
+        """First and last date of an inclusive week range."""
+        inside = self.between(week_from, week_to)
+        if not inside:
+            raise ValueError(f"weeks {week_from}-{week_to} are not in the date table")
+        return self._days[inside[0]][0], self._days[inside[-1]][1]

@@ -53,11 +53,3 @@ def strip_prefix(name: Column, length: int = 1) -> Column:
 def holds_any(tokens: str, products: Sequence) -> Column:
     """Does the array column hold at least one of the products?"""
     return F.arrays_overlap(F.col(tokens), F.array(*[F.lit(p) for p in products]))
-
-
-def plain(value: Column, digits: int | None = None) -> Column:
-    """Double for reporting: rounded, and never a negative zero."""
-    value = value.cast("double")
-    if digits is not None:
-        value = F.round(value, digits)
-    return value + F.lit(0.0)

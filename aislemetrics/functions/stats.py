@@ -1,168 +1,186 @@
-"""Regression and test statistics as column expressions, plus Student's t for Arrow batches."""
+"""Regression and test statistics as columns, plus Student's t for Arrow batches."""
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _zero_div(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)
+# Moment columns of a fit of {y} on {x}.  All are Spark's mergeable central moments, so partial
+# results combine on the map side without the cancellation of raw power sums.
+_MOMENTS = {
+    "n": "count({y})",
+    "mx": "avg({x})",
+    "my": "avg({y})",
+    "vx": "var_pop({x})",
+    "sk": "skewness({x})",
+    "ku": "kurtosis({x})",
+    "vy": "var_pop({y})",
+    "cxy": "covar_pop({x}, {y})",
+    "cqy": "covar_pop({x} * {x}, {y})",
+}
+MOMENTS = tuple(_MOMENTS)
 
 
-def moment_columns(x: Column, y: Column) -> dict[str, Column]:
-    """Aggregates that fix a linear or quadratic least-squares fit of ``y`` on ``x``.
+def moment_columns(x: str, y: str) -> dict[str, Column]:
+    return {name: F.expr(text.format(x=x, y=y)) for name, text in _MOMENTS.items()}
 
-    All come from Spark's mergeable central moments, so partial results combine on the map side
-    without the cancellation of raw power sums.  ``m3`` and ``m4`` are kept scaled (skewness and
-    kurtosis); see ``Moments``.
-    """
-    return {
-        "n": F.count(y),
-        "mx": F.avg(x),
-        "my": F.avg(y),
-        "vx": F.var_pop(x),
-        "sk": F.skewness(x),
-        "ku": F.kurtosis(x),
-        "vy": F.var_pop(y),
-        "cxy": F.covar_pop(x, y),
-        "cqy": F.covar_pop(x * x, y),
-    }
-
-
-@dataclass(frozen=True)
-class Fit:
-    """Coefficients, their variances and the error of a fit, as expressions over moment columns."""
-
-    k: int
-    coefs: list[Column]
-    variances: list[Column]
-    mse: Column
-    r2: Column
-    condition: Column
-
-
-def fit_expressions(degree: int) -> Fit:
-    """Least squares in u = x - mean(x), expanded back to powers of x."""
-    c = F.col
-    n, mx, my, m2, vy, cxy = c("n"), c("mx"), c("my"), c("vx"), c("vy"), c("cxy")
-    one = F.lit(1.0)
-    if degree == 1:
-        slope = _zero_div(cxy, m2)
-        coefs = [my - slope * mx, slope]
-        mse = F.greatest(vy - slope * cxy, F.lit(0.0))
-        noise = _zero_div(mse, F.nullif((n - 2).cast("double"), F.lit(0.0)))
-        variances = [noise * (one + _zero_div(mx * mx, m2)), _zero_div(noise, m2)]
-        trace = n * (one + m2 + mx * mx)
-        det = n * n * m2
-        largest = (trace + F.sqrt(F.greatest(trace * trace - 4 * det, F.lit(0.0)))) / 2
-        condition = F.sqrt(_zero_div(largest * largest, det))
-    elif degree == 2:
-        m3 = c("sk") * F.pow(m2, F.lit(1.5))
-        m4 = (c("ku") + 3) * m2 * m2
-        quy = c("cqy") - 2 * mx * cxy
-        det = m2 * (m4 - m2 * m2) - m3 * m3
-        curve = _zero_div(quy * m2 - cxy * m3, det)
-        slope = _zero_div(cxy - curve * m3, m2)
-        coefs = [my - curve * m2 - slope * mx + curve * mx * mx, slope - 2 * curve * mx, curve]
-        mse = F.greatest(vy - slope * cxy - curve * quy, F.lit(0.0))
-        noise = _zero_div(_zero_div(mse, F.nullif((n - 3).cast("double"), F.lit(0.0))), det)
-        v00, v01, v02 = m2 * m4 - m3 * m3, m2 * m3, -m2 * m2
-        v11, v12, v22 = m4 - m2 * m2, -m3, m2
-        variances = [
-            noise
-            * (
-                v00
-                + mx * mx * v11
-                + F.pow(mx, F.lit(4)) * v22
-                - 2 * mx * v01
-                + 2 * mx * mx * v02
-                - 2 * F.pow(mx, F.lit(3)) * v12
-            ),
-            noise * (v11 - 4 * mx * v12 + 4 * mx * mx * v22),
-            noise * v22,
-        ]
-        condition = _condition_quadratic(n, mx, m2, m3, m4, det)
-    else:
-        raise ValueError(f"degree must be 1 or 2, not {degree}")
-    r2 = one - _zero_div(mse, vy)
-    return Fit(degree + 1, coefs, variances, mse, r2, condition)
-
-
-def _condition_quadratic(n: Column, mx: Column, m2: Column, m3: Column, m4: Column, det: Column) -> Column:
-    """sqrt(largest / smallest eigenvalue) of X'X for X = (1, x, x^2), all divided by n.
-
-    The largest root comes from the trigonometric solution; the two smaller ones from the exact
-    determinant and the sum of principal minors, which keeps the smallest one accurate.
-    """
-    x1 = mx
-    x2 = m2 + mx * mx
-    x3 = m3 + 3 * mx * m2 + F.pow(mx, F.lit(3))
-    x4 = m4 + 4 * mx * m3 + 6 * mx * mx * m2 + F.pow(mx, F.lit(4))
-    var_sq = m4 - m2 * m2 + 4 * mx * m3 + 4 * mx * mx * m2
-    minors = m2 + var_sq + (x2 * x4 - x3 * x3)
-    centre = (1 + x2 + x4) / 3
-    off = x1 * x1 + x2 * x2 + x3 * x3
-    spread = F.pow(1 - centre, F.lit(2)) + F.pow(x2 - centre, F.lit(2)) + F.pow(x4 - centre, F.lit(2)) + 2 * off
-    p = F.sqrt(spread / 6)
-    shifted = (
-        (1 - centre) * ((x2 - centre) * (x4 - centre) - x3 * x3)
-        - x1 * (x1 * (x4 - centre) - x3 * x2)
-        + x2 * (x1 * x3 - (x2 - centre) * x2)
-    )
-    r = _zero_div(shifted, 2 * p * p * p)
-    r = F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
-    largest = centre + 2 * p * F.cos(F.acos(r) / 3)
-    product = _zero_div(det, largest)
-    total = _zero_div(minors - product, largest)
-    middle = (total + F.sqrt(F.greatest(total * total - 4 * product, F.lit(0.0)))) / 2
-    smallest = _zero_div(product, middle)
-    return F.sqrt(_zero_div(largest, smallest))
 
+def _staged(df: DataFrame, *stages: dict[str, str]) -> DataFrame:
+    """Add columns stage by stage, so that a shared term is computed once, not inlined everywhere."""
+    for stage in stages:
+        df = df.selectExpr("*", *[f"{text} AS {name}" for name, text in stage.items()])
+    return df
 
-def log_likelihood(n: Column, mse: Column) -> Column:
-    return -n / 2 * (F.ln(mse * (2 * math.pi)) + 1)
 
+def add_coefficients(df: DataFrame, degree: int) -> DataFrame:
+    """``coef_0..degree``, ``mse`` and ``r2`` beside the moment columns.
 
-def jarque_bera(n: Column, skew: Column, kurt: Column) -> Column:
-    """``kurt`` is the plain kurtosis, 3 for a normal variable."""
-    return n / 6 * (skew * skew + F.pow(kurt - 3, F.lit(2)) / 4)
+    Least squares in u = x - mean(x), expanded back to powers of x: the raw quadratic fit is badly
+    conditioned.
+    """
+    if degree == 1:
+        return _staged(
+            df,
+            {"coef_1": "try_divide(cxy, vx)"},
+            {"coef_0": "my - coef_1 * mx", "mse": "greatest(vy - coef_1 * cxy, 0D)"},
+            {"r2": "1 - try_divide(mse, vy)"},
+        )
+    if degree == 2:
+        return _staged(
+            df,
+            {"_m3": "sk * vx * sqrt(vx)", "_m4": "(ku + 3) * vx * vx", "_quy": "cqy - 2 * mx * cxy"},
+            {"_det": "vx * (_m4 - vx * vx) - _m3 * _m3"},
+            {"coef_2": "try_divide(_quy * vx - cxy * _m3, _det)"},
+            {"_b": "try_divide(cxy - coef_2 * _m3, vx)"},
+            {
+                "coef_0": "my - coef_2 * vx - _b * mx + coef_2 * mx * mx",
+                "coef_1": "_b - 2 * coef_2 * mx",
+                "mse": "greatest(vy - _b * cxy - coef_2 * _quy, 0D)",
+            },
+            {"r2": "1 - try_divide(mse, vy)"},
+        )
+    raise ValueError(f"degree must be 1 or 2, not {degree}")
+
+
+def add_uncertainty(df: DataFrame, degree: int) -> DataFrame:
+    """``var_0..degree`` of the coefficients and the condition number ``cond_no`` of X.
+
+    For the quadratic, the largest eigenvalue of X'X / n comes from the trigonometric solution of
+    the cubic; the two smaller ones from the determinant and the sum of the principal minors,
+    which keeps the smallest one accurate.
+    """
+    noise = {"_s2": f"try_divide(mse, nullif(cast(n - {degree + 1} as double), 0D))"}
+    if degree == 1:
+        return _staged(
+            df,
+            {**noise, "_trace": "1 + vx + mx * mx"},
+            {
+                "var_0": "_s2 * (1 + try_divide(mx * mx, vx))",
+                "var_1": "try_divide(_s2, vx)",
+                "_top": "(_trace + sqrt(greatest(_trace * _trace - 4 * vx, 0D))) / 2",
+            },
+            {"cond_no": "sqrt(try_divide(_top * _top, vx))"},
+        )
+    return _staged(
+        df,
+        noise,
+        {
+            "_f": "try_divide(_s2, _det)",
+            # Powers of x about the origin.
+            "_x2": "vx + mx * mx",
+            "_x3": "_m3 + 3 * mx * vx + mx * mx * mx",
+            "_x4": "_m4 + 4 * mx * _m3 + 6 * mx * mx * vx + mx * mx * mx * mx",
+            # Entries of the inverse normal matrix in (1, u, u^2), times its determinant.
+            "_v00": "vx * _m4 - _m3 * _m3",
+            "_v01": "vx * _m3",
+            "_v02": "-vx * vx",
+            "_v11": "_m4 - vx * vx",
+            "_v12": "-_m3",
+        },
+        {
+            "var_0": "_f * (_v00 + mx * mx * _v11 + mx * mx * mx * mx * vx"
+            " - 2 * mx * _v01 + 2 * mx * mx * _v02 - 2 * mx * mx * mx * _v12)",
+            "var_1": "_f * (_v11 - 4 * mx * _v12 + 4 * mx * mx * vx)",
+            "var_2": "_f * vx",
+            "_mid": "(1 + _x2 + _x4) / 3",
+            "_minors": "vx + (_m4 - vx * vx + 4 * mx * _m3 + 4 * mx * mx * vx) + (_x2 * _x4 - _x3 * _x3)",
+        },
+        {
+            "_p": "sqrt(((1 - _mid) * (1 - _mid) + (_x2 - _mid) * (_x2 - _mid) + (_x4 - _mid) * (_x4 - _mid)"
+            " + 2 * (mx * mx + _x2 * _x2 + _x3 * _x3)) / 6)",
+            "_shifted": "(1 - _mid) * ((_x2 - _mid) * (_x4 - _mid) - _x3 * _x3)"
+            " - mx * (mx * (_x4 - _mid) - _x3 * _x2) + _x2 * (mx * _x3 - (_x2 - _mid) * _x2)",
+        },
+        {"_cos": "greatest(least(try_divide(_shifted, 2 * _p * _p * _p), 1D), -1D)"},
+        {"_top": "_mid + 2 * _p * cos(acos(_cos) / 3)"},
+        {"_product": "try_divide(_det, _top)"},
+        {"_sum": "try_divide(_minors - _product, _top)"},
+        {"_second": "(_sum + sqrt(greatest(_sum * _sum - 4 * _product, 0D))) / 2"},
+        {"cond_no": "sqrt(try_divide(_top * _second, _product))"},
+    )
 
 
-def chi2_2_tail(value: Column) -> Column:
-    """Upper tail of the chi-square distribution with 2 degrees of freedom."""
-    return F.exp(-value / 2)
+def add_normality(df: DataFrame) -> DataFrame:
+    """``jarque_bera``, ``omnibus`` and their tail probabilities, from n, skew and kurtosis.
 
+    ``kurtosis`` is the plain one, 3 for a normal variable.  Omnibus is D'Agostino and Pearson's
+    K^2, the sum of a squared skewness z and a squared kurtosis z; null below 8 rows.
+    """
+    return _staged(
+        df,
+        {"_n": "CASE WHEN n >= 8 THEN cast(n as double) END"},
+        {
+            "_beta": "3 * (_n * _n + 27 * _n - 70) * (_n + 1) * (_n + 3) / ((_n - 2) * (_n + 5) * (_n + 7) * (_n + 9))",
+            "_y": "skew * sqrt((_n + 1) * (_n + 3) / (6 * (_n - 2)))",
+            "_kx": "(kurtosis - 3 * (_n - 1) / (_n + 1))"
+            " / sqrt(24 * _n * (_n - 2) * (_n - 3) / ((_n + 1) * (_n + 1) * (_n + 3) * (_n + 5)))",
+            "_kb": "6 * (_n * _n - 5 * _n + 2) / ((_n + 7) * (_n + 9))"
+            " * sqrt(6 * (_n + 3) * (_n + 5) / (_n * (_n - 2) * (_n - 3)))",
+        },
+        {"_w2": "sqrt(2 * (_beta - 1)) - 1", "_a": "6 + 8 / _kb * (2 / _kb + sqrt(1 + 4 / (_kb * _kb)))"},
+        {"_low": "1 + _kx * sqrt(2 / (_a - 4))"},
+        {
+            "_z1": "asinh(_y / sqrt(2 / (_w2 - 1))) / sqrt(ln(_w2) / 2)",
+            "_z2": "(1 - 2 / (9 * _a) - sign(_low) * cbrt(try_divide(1 - 2 / _a, abs(_low)))) / sqrt(2 / (9 * _a))",
+        },
+        {
+            "jarque_bera": "n / 6 * (skew * skew + (kurtosis - 3) * (kurtosis - 3) / 4)",
+            "omnibus": "_z1 * _z1 + _z2 * _z2",
+        },
+        # The upper tail of chi-square with 2 degrees of freedom.
+        {"prob_jb": "exp(-jarque_bera / 2)", "prob_omnibus": "exp(-omnibus / 2)"},
+    )
 
-def omnibus(n: Column, skew: Column, kurt: Column) -> Column:
-    """D'Agostino-Pearson K^2: squared skewness z plus squared kurtosis z; null below 8 rows."""
-    n = F.when(n >= 8, n.cast("double"))
-    y = skew * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
-    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = F.sqrt(2 * (beta - 1)) - 1
-    scaled = y / F.sqrt(2 / (w2 - 1))
-    z_skew = F.asinh(scaled) / F.sqrt(F.ln(w2) / 2)
 
-    mean = 3 * (n - 1) / (n + 1)
-    var = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (kurt - mean) / F.sqrt(var)
-    root = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    a = 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / (root * root)))
-    lower = 1 + x * F.sqrt(2 / (a - 4))
-    cubed = F.signum(lower) * F.cbrt((1 - 2 / a) / F.abs(lower))
-    z_kurt = (1 - 2 / (9 * a) - cubed) / F.sqrt(2 / (9 * a))
-    return z_skew * z_skew + z_kurt * z_kurt
+def add_quality(df: DataFrame, degree: int) -> DataFrame:
+    """Standard errors, t, F, adjusted R^2, likelihood and information criteria."""
+    k = degree + 1
+    tests = {f"t_{i}": f"try_divide(coef_{i}, std_err_{i})" for i in range(k)}
+    return _staged(
+        df,
+        {
+            "dof": f"n - {k}",
+            **{f"std_err_{i}": f"sqrt(greatest(var_{i}, 0D))" for i in range(k)},
+            "log_likelihood": f"-n / 2 * (ln(mse * {2 * math.pi!r}D) + 1)",
+        },
+        {
+            **tests,
+            "adj_r2": "1 - try_divide((1 - r2) * (n - 1), cast(dof as double))",
+            "f_value": f"try_divide(r2 / {degree}, try_divide(1 - r2, cast(dof as double)))",
+            "aic": f"{2 * k} - 2 * log_likelihood",
+            "bic": f"{k} * ln(n) - 2 * log_likelihood",
+        },
+    )
 
 
-def f_tail_two(f: Column, dof: Column) -> Column:
-    """Upper tail of F(2, dof)."""
-    return F.pow(1 + 2 * f / dof, -dof / 2)
+# Upper tail of F(2, dof) at f_value.
+F_TAIL_TWO = "pow(1 + 2 * f_value / nullif(dof, 0D), -dof / 2)"
 
 
 # --- Student's t, on Arrow batches ------------------------------------------------------------

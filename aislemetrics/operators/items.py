@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislemetrics.functions.calendar import week_bounds
+from aislemetrics.functions.calendar import Weeks
 
 # Rows without a card all share the null join key; they are spread over this many join keys.
 NULL_KEY_SPREAD = 1024
@@ -20,11 +20,11 @@ def as_list(values) -> list:
     return [values]
 
 
-def weeks_between(items: DataFrame, week_from: int, week_to: int, dates: DataFrame | None = None) -> DataFrame:
-    """Inclusive week range.  With the date table, the date bounds go down to the scan too."""
+def weeks_between(items: DataFrame, week_from: int, week_to: int, weeks: Weeks | None = None) -> DataFrame:
+    """Inclusive week range.  With the week table, the date bounds go down to the scan too."""
     kept = items.filter(F.col("fis_week_id").between(week_from, week_to))
-    if dates is not None:
-        kept = kept.filter(F.col("date_id").between(*week_bounds(dates, week_from, week_to)))
+    if weeks is not None:
+        kept = kept.filter(F.col("date_id").between(*weeks.days(week_from, week_to)))
     return kept
 
 
@@ -51,13 +51,13 @@ def item_slice(
     week_from: int,
     week_to: int,
     *,
-    dates: DataFrame | None = None,
+    weeks: Weeks | None = None,
     stores: DataFrame | None = None,
     formats=None,
     segments: DataFrame | None = None,
 ) -> DataFrame:
     """Item fact between two weeks, optionally of some store formats and with customer tags."""
-    sliced = weeks_between(items, week_from, week_to, dates)
+    sliced = weeks_between(items, week_from, week_to, weeks)
     if formats is not None:
         sliced = in_formats(sliced, stores, formats)
     if segments is not None:

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aislemetrics.functions.calendar import Weeks
 from aislemetrics.operators.items import weeks_between
 
 MAX_GROUPS = 16
@@ -109,19 +110,24 @@ def customer_overlap(
     control: DataFrame,
     names: Sequence[str],
     stores: DataFrame | None = None,
-    weeks: tuple[int, int] | None = None,
-    dates: DataFrame | None = None,
+    period: tuple[int, int] | None = None,
+    weeks: Weeks | None = None,
 ) -> DataFrame:
     """Overlap report; ``names`` are the groups in the order of their bits."""
-    if weeks is not None:
-        items = weeks_between(items, *weeks, dates)
+    if period is not None:
+        items = weeks_between(items, *period, weeks)
     if stores is not None:
         items = items.join(stores.select("store_id", "format_code"), "store_id")
     return combination_counts(card_masks(items, control), names)
 
 
 def daily_group_kpi(
-    items: DataFrame, groups: DataFrame, stores: DataFrame, dates: DataFrame, periods: dict[str, tuple[int, int]]
+    items: DataFrame,
+    groups: DataFrame,
+    stores: DataFrame,
+    dates: DataFrame,
+    periods: dict[str, tuple[int, int]],
+    weeks: Weeks | None = None,
 ) -> DataFrame:
     """Distinct baskets and cards per period, format, product group and date.
 
@@ -132,7 +138,7 @@ def daily_group_kpi(
     for name, (first, last) in periods.items():
         tag = F.when(F.col("fis_week_id").between(first, last), F.lit(name)).otherwise(tag)
     low, high = min(p[0] for p in periods.values()), max(p[1] for p in periods.values())
-    sold = weeks_between(items, low, high, dates).withColumn("year", tag).filter(F.col("year").isNotNull())
+    sold = weeks_between(items, low, high, weeks).withColumn("year", tag).filter(F.col("year").isNotNull())
     sold = sold.join(groups.select("prod_code").distinct(), "prod_code", "left_semi")
     sold = sold.join(dates.select("date_id", "fis_day_of_week_num"), "date_id")
     sold = sold.join(stores.select("store_id", "format_code"), "store_id")

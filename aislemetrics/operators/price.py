@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislemetrics.functions import stats
+from aislemetrics.functions.calendar import Weeks
 from aislemetrics.functions.columns import ratio, units
 from aislemetrics.operators.items import as_list, in_formats, weeks_between
 
@@ -27,8 +28,8 @@ def price_points(
     products: DataFrame,
     cards: DataFrame,
     *,
-    dates: DataFrame | None = None,
-    weeks: tuple[int, int] | None = None,
+    period: tuple[int, int] | None = None,
+    weeks: Weeks | None = None,
     stores: DataFrame | None = None,
     formats=FORMATS,
     by: Sequence[str] = (),
@@ -39,8 +40,8 @@ def price_points(
     join with the shoppers moves one row per card and day, however many lines a card holds.
     """
     sold = items.filter((F.col("net_spend_amt") > 0) & F.col("card_id").isNotNull())
-    if weeks is not None:
-        sold = weeks_between(sold, *weeks, dates)
+    if period is not None:
+        sold = weeks_between(sold, *period, weeks)
     if stores is not None:
         sold = in_formats(sold, stores, formats)
     if by:
@@ -80,33 +81,40 @@ def fit_price(
 
     ``coef_0`` is the intercept, ``mse`` divides by n.
     """
-    whole = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    aggs = [e.alias(name) for name, e in stats.moment_columns(F.col(x), F.col(y)).items()]
+    whole = points.filter(f"{x} IS NOT NULL AND {y} IS NOT NULL")
+    aggs = [e.alias(name) for name, e in stats.moment_columns(x, y).items()]
     aggs += [F.min(x).alias("min_x"), F.max(x).alias("max_x")]
-    moments = whole.groupBy(*by).agg(*aggs)
-    fit = stats.fit_expressions(degree)
-    coefs = [e.alias(f"coef_{i}") for i, e in enumerate(fit.coefs)]
-    return moments.select(*by, "n", *coefs, fit.mse.alias("mse"), fit.r2.alias("r2"), "min_x", "max_x")
+    fits = stats.add_coefficients(whole.groupBy(*by).agg(*aggs), degree)
+    return fits.select(*by, "n", *_coefs(degree), "mse", "r2", "min_x", "max_x")
 
 
-def _fitted(points: DataFrame, degree: int, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """Points with their group's fit beside them.
+def _coefs(degree: int) -> list[str]:
+    return [f"coef_{i}" for i in range(degree + 1)]
 
-    The points are daily totals, so a group's window holds one row per day.
-    """
-    group = Window.partitionBy(*(by or [F.lit(0)]))
-    whole = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    moments = {k: e.over(group) for k, e in stats.moment_columns(F.col(x), F.col(y)).items()}
-    fit = stats.fit_expressions(degree)
-    parts = {f"coef_{i}": e for i, e in enumerate(fit.coefs)}
-    parts |= {f"var_{i}": e for i, e in enumerate(fit.variances)}
-    parts |= {"mse": fit.mse, "r2": fit.r2, "cond_no": fit.condition}
-    return whole.withColumns(moments).select(*whole.columns, "n", *[e.alias(k) for k, e in parts.items()])
+
+def _predicted(degree: int, x: str) -> F.Column:
+    curve = f" + coef_2 * {x} * {x}" if degree == 2 else ""
+    return F.expr(f"coef_0 + coef_1 * {x}{curve}")
 
 
-def _predicted(degree: int, x: F.Column) -> F.Column:
-    value = F.col("coef_0") + F.col("coef_1") * x
-    return value + F.col("coef_2") * x * x if degree == 2 else value
+def _residual_sums(points: DataFrame, degree: int, by: Sequence[str], x: str, y: str, order_by: str) -> DataFrame:
+    """Per group the moment columns, and sums over the residuals in the order of ``order_by``.
+
+    Points are daily totals, so a group's window holds one row per day.  Fit, residuals and sums
+    share one shuffle by group.
+    """
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    moments = {name: e.over(group) for name, e in stats.moment_columns(x, y).items()}
+    whole = points.filter(f"{x} IS NOT NULL AND {y} IS NOT NULL").withColumns(moments)
+    error = F.col(y) - _predicted(degree, x)
+    errors = stats.add_coefficients(whole, degree).select(*by, order_by, *stats.MOMENTS, error.alias("e"))
+    errors = errors.withColumn("step", F.col("e") - F.lag("e").over(group.orderBy(order_by)))
+    return errors.groupBy(*by).agg(
+        *[F.first(name).alias(name) for name in stats.MOMENTS],
+        F.expr("skewness(e) AS skew"),
+        F.expr("kurtosis(e) + 3 AS kurtosis"),
+        F.expr("try_divide(sum(step * step), sum(e * e)) AS durbin_watson"),
+    )
 
 
 def fit_summary(
@@ -119,88 +127,32 @@ def fit_summary(
 ) -> DataFrame:
     """One row per group: the fit, its standard errors, and the usual residual statistics.
 
-    ``condition`` aside, everything follows from sums over the residuals, taken in the order of
-    ``order_by`` where order counts (Durbin-Watson).
+    Durbin-Watson takes the residuals in the order of ``order_by``.
     """
-    k = degree + 1
-    keys = list(by)
-    in_order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order_by)
-    error = F.col(y) - _predicted(degree, F.col(x))
-    errors = _fitted(points, degree, by, x, y).withColumn("e", error)
-    errors = errors.withColumn("step", F.col("e") - F.lag("e").over(in_order))
-    names = [f"coef_{i}" for i in range(k)] + [f"var_{i}" for i in range(k)] + ["mse", "r2", "cond_no"]
-    summed = errors.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        *[F.first(name).alias(name) for name in names],
-        F.skewness("e").alias("skew"),
-        (F.kurtosis("e") + 3).alias("kurtosis"),
-        ratio(F.sum(F.col("step") * F.col("step")), F.sum(F.col("e") * F.col("e"))).alias("durbin_watson"),
-    )
-    n, mse, r2 = F.col("n"), F.col("mse"), F.col("r2")
-    dof = n - k
-    likelihood = stats.log_likelihood(n, mse)
-    f_value = ratio(r2 / (k - 1), ratio(1 - r2, dof.cast("double")))
-    jb = stats.jarque_bera(n, F.col("skew"), F.col("kurtosis"))
-    k2 = stats.omnibus(n, F.col("skew"), F.col("kurtosis"))
-    std_errs = [F.sqrt(F.greatest(F.col(f"var_{i}"), F.lit(0.0))) for i in range(k)]
-    return summed.select(
-        *keys,
-        "n",
-        dof.alias("dof"),
-        *[F.col(f"coef_{i}") for i in range(k)],
-        *[s.alias(f"std_err_{i}") for i, s in enumerate(std_errs)],
-        *[ratio(F.col(f"coef_{i}"), s).alias(f"t_{i}") for i, s in enumerate(std_errs)],
-        "mse",
-        "r2",
-        (1 - ratio((1 - r2) * (n - 1), dof.cast("double"))).alias("adj_r2"),
-        f_value.alias("f_value"),
-        likelihood.alias("log_likelihood"),
-        (2 * k - 2 * likelihood).alias("aic"),
-        (k * F.ln(n) - 2 * likelihood).alias("bic"),
-        "durbin_watson",
-        "skew",
-        "kurtosis",
-        jb.alias("jarque_bera"),
-        stats.chi2_2_tail(jb).alias("prob_jb"),
-        k2.alias("omnibus"),
-        stats.chi2_2_tail(k2).alias("prob_omnibus"),
-        "cond_no",
-    )
+    fits = stats.add_coefficients(_residual_sums(points, degree, by, x, y, order_by), degree)
+    fits = stats.add_quality(stats.add_uncertainty(fits, degree), degree)
+    terms = [f"{part}_{i}" for part in ("coef", "std_err", "t") for i in range(degree + 1)]
+    whole = ["mse", "r2", "adj_r2", "f_value", "log_likelihood", "aic", "bic", "durbin_watson", "skew", "kurtosis"]
+    normality = ["jarque_bera", "prob_jb", "omnibus", "prob_omnibus"]
+    return stats.add_normality(fits).select(*by, "n", "dof", *terms, *whole, *normality, "cond_no")
 
 
 def coefficient_tests(summary: DataFrame, by: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """(by..., term, coef, std_err, t, p_value, low, high, prob_f), one row per coefficient."""
     k = sum(c.startswith("coef_") for c in summary.columns)
-    dof = F.col("dof").cast("double")
-    terms = [
-        F.struct(
-            F.lit(i).alias("term"),
-            F.col(f"coef_{i}").alias("coef"),
-            F.col(f"std_err_{i}").alias("std_err"),
-            F.col(f"t_{i}").alias("t"),
-        )
-        for i in range(k)
-    ]
-    rows = summary.withColumn("row", F.explode(F.array(*terms))).select(*by, "dof", "f_value", "row.*")
+    terms = ", ".join(f"struct({i} AS term, coef_{i} AS coef, std_err_{i} AS std_err, t_{i} AS t)" for i in range(k))
+    rows = summary.selectExpr(*by, "cast(dof as double) AS dof", "f_value", f"inline(array({terms}))")
+    # With one slope, F is the square of its t; F(2, d) has a closed tail.
+    prob_f = stats.t_p_value(F.sqrt("f_value"), "dof") if k == 2 else F.expr(stats.F_TAIL_TWO)
     tested = rows.withColumns(
-        {"p_value": stats.t_p_value("t", dof), "margin": stats.t_margin(dof, F.lit(alpha)) * F.col("std_err")}
-    )
-    if k == 2:
-        # With one slope, F is the square of its t.
-        prob_f = stats.t_p_value(F.sqrt("f_value"), dof)
-    else:
-        prob_f = stats.f_tail_two(F.col("f_value"), F.nullif(dof, F.lit(0.0)))
-    return tested.select(
-        *by,
-        "term",
-        "coef",
-        "std_err",
-        "t",
-        "p_value",
-        (F.col("coef") - F.col("margin")).alias("low"),
-        (F.col("coef") + F.col("margin")).alias("high"),
-        prob_f.alias("prob_f"),
+        {
+            "p_value": stats.t_p_value("t", "dof"),
+            "margin": stats.t_margin("dof", F.lit(alpha)) * F.col("std_err"),
+            "prob_f": prob_f,
+        }
     )
+    low_high = ["coef - margin AS low", "coef + margin AS high"]
+    return tested.selectExpr(*by, "term", "coef", "std_err", "t", "p_value", *low_high, "prob_f")
 
 
 def predict_grid(fits: DataFrame, degree: int, by: Sequence[str] = (), step: float = 0.01) -> DataFrame:
@@ -208,8 +160,7 @@ def predict_grid(fits: DataFrame, degree: int, by: Sequence[str] = (), step: flo
 
     Counts whole steps, so the grid carries no rounding drift.
     """
-    n_steps = F.ceil(F.round((F.col("max_x") - F.col("min_x")) / step, 6)).cast("long")
-    steps = F.when(n_steps > 0, F.sequence(F.lit(0).cast("long"), n_steps - 1))
-    grid = fits.withColumn("_i", F.explode(steps))
-    price = F.round(F.col("min_x") + F.col("_i") * step, 6)
-    return grid.withColumn("ppu", price).select(*by, "ppu", _predicted(degree, F.col("ppu")).alias("predicted"))
+    grid = fits.selectExpr("*", f"cast(ceil(round((max_x - min_x) / {step}D, 6)) as bigint) AS _steps")
+    grid = grid.filter("_steps > 0").selectExpr("*", "explode(sequence(0L, _steps - 1)) AS _i")
+    grid = grid.withColumn("ppu", F.expr(f"round(min_x + _i * {step}D, 6)"))
+    return grid.select(*by, "ppu", _predicted(degree, "ppu").alias("predicted"))

@@ -44,10 +44,9 @@ def weighted_sets(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("set_cat").agg(F.count("*").alias("n"))
 
 
-def _gains(sets: DataFrame, chosen: Sequence[str]) -> DataFrame:
-    """(product, gain): weight of the sets that hold the product but none of the chosen ones."""
-    open_sets = sets.filter(~holds_any("set_cat", chosen)) if chosen else sets
-    return open_sets.select(F.explode("set_cat").alias("product"), "n").groupBy("product").agg(F.sum("n").alias("gain"))
+def _open(sets: DataFrame, chosen: Sequence[str]) -> DataFrame:
+    """Sets that hold none of the chosen products."""
+    return sets.filter(~holds_any("set_cat", chosen)) if chosen else sets
 
 
 REPORT = T.StructType(
@@ -82,7 +81,8 @@ def greedy_candidates(tokens: DataFrame, n_top: int, top_k: int = 6) -> DataFram
     held = [sets, names]
     for step in range(1, n_top + 1):
         left = names.filter(~F.col("product").isin(chosen)) if chosen else names
-        gains = _gains(sets, since).unionByName(left).groupBy("product").agg(F.sum("gain").alias("gain"))
+        held_by = _open(sets, since).select(F.explode("set_cat").alias("product"), F.col("n").alias("gain"))
+        gains = held_by.unionByName(left).groupBy("product").agg(F.sum("gain").alias("gain"))
         best = gains.orderBy(F.desc("gain"), "product").limit(top_k).collect()
         if not best:
             break
@@ -91,7 +91,7 @@ def greedy_candidates(tokens: DataFrame, n_top: int, top_k: int = 6) -> DataFram
         chosen.append(best[0]["product"])
         since.append(best[0]["product"])
         if len(since) == CHECKPOINT_EVERY and step < n_top:
-            sets = materialise(sets.filter(~holds_any("set_cat", since)), "reach-sets")
+            sets = materialise(_open(sets, since), "reach-sets")
             held.append(sets.persist(StorageLevel.MEMORY_AND_DISK))
             since = []
     for frame in held:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aislemetrics.functions.calendar import period_no, shift_week_id, week_epoch
+from aislemetrics.functions.calendar import Weeks, period_no
 from aislemetrics.functions.columns import ratio, units
 from aislemetrics.operators.items import product_levels, weeks_between
 
@@ -30,7 +30,7 @@ def complete_groups(kpi: DataFrame, level: str, n_weeks: int) -> DataFrame:
 def weekly_kpi(
     items: DataFrame,
     products: DataFrame,
-    dates: DataFrame,
+    weeks: Weeks,
     level: str,
     week_from: int,
     week_to: int,
@@ -43,11 +43,10 @@ def weekly_kpi(
     ``extra_week`` adds one more week after the end, which the index then keeps as well.
     """
     before, after = (abs(int(n)) for n in ma)
-    first = shift_week_id(dates, week_from, before)
-    last = shift_week_id(dates, week_to, -(after + 1 if extra_week else after))
-    n_weeks = week_epoch(dates, last) - week_epoch(dates, first) + 1
-    padded = weeks_between(items, first, last, dates)
-    return complete_groups(level_week_kpi(padded, products, level, divisions), level, n_weeks)
+    first = weeks.shifted(week_from, before)
+    last = weeks.shifted(week_to, -(after + 1 if extra_week else after))
+    padded = weeks_between(items, first, last, weeks)
+    return complete_groups(level_week_kpi(padded, products, level, divisions), level, weeks.count(first, last))
 
 
 def index_weeks(
@@ -81,21 +80,20 @@ def seasonality_index(
 def recent_seasonality(
     items: DataFrame,
     products: DataFrame,
-    dates: DataFrame,
+    weeks: Weeks,
     level: str,
     start_week: int,
     end_week: int,
     data_week_end: int,
     kpis: Sequence[str] = ("units",),
-    weeks: int = 104,
+    n_weeks: int = 104,
     ma: Sequence[int] = (-2, 1),
     divisions=None,
 ) -> DataFrame:
-    """Index for the weeks of the year between start and end, from the last ``weeks`` weeks of data."""
-    first = shift_week_id(dates, data_week_end, weeks - 1)
-    data = weeks_between(items, first, data_week_end, dates)
-    kpi = complete_groups(level_week_kpi(data, products, level, divisions), level, weeks)
+    """Index for the weeks of the year between start and end, from the last ``n_weeks`` weeks of data."""
+    first = weeks.shifted(data_week_end, n_weeks - 1)
+    data = weeks_between(items, first, data_week_end, weeks)
+    kpi = complete_groups(level_week_kpi(data, products, level, divisions), level, n_weeks)
     index = seasonality_index(kpi, kpis, "fis_week_id", level, ma)
-    wanted = dates.filter(F.col("fis_week_id").between(start_week, end_week))
-    wanted = wanted.select(period_no(F.col("fis_week_id")).alias("period_no")).distinct()
-    return index.join(wanted, "period_no", "left_semi")
+    wanted = {str(week)[4:] for week in weeks.between(start_week, end_week)}
+    return index.filter(F.col("period_no").isin(sorted(wanted)))

@@ -29,33 +29,50 @@ def _check(method: str) -> None:
 def cluster_weights(
     corr: DataFrame, assignment: DataFrame, method: str = "Centroid", by: Sequence[str] = ()
 ) -> DataFrame:
-    """(by..., cluster, feature, weight) of each cluster's component, weights of length 1."""
+    """(by..., cluster, feature, weight) of each cluster's component, weights of length 1.
+
+    ``assignment`` holds (by..., feature, cluster).
+    """
     _check(method)
     keys = [*by, "cluster"]
     if method == "Centroid":
         size = F.count("*").over(Window.partitionBy(*keys))
         return assignment.select(*keys, "feature", (1 / F.sqrt(size)).alias("weight"))
-    inside = corr.join(assignment.withColumnRenamed("feature", "i"), [*by, "i"])
-    inside = inside.join(assignment.withColumnRenamed("feature", "j"), [*keys, "j"])
+    # The diagonal tells a row its own cluster, so the assignment is joined once.
+    paired = corr.join(assignment.withColumnRenamed("feature", "j"), [*by, "j"])
+    own = F.max(F.when(F.col("i") == F.col("j"), F.col("cluster"))).over(Window.partitionBy(*by, "i"))
+    inside = paired.withColumn("home", own).filter(F.col("home") == F.col("cluster"))
     return symmetric_eigen(inside, "r", 1, keys).select(*keys, "feature", "weight")
 
 
+def _nearness(corr: DataFrame, assignment: DataFrame, method: str, by: Sequence[str]) -> DataFrame:
+    """(by..., feature, cluster, is_own, r, variance).
+
+    One join and one sum over the correlation table; the diagonal carries each feature's weight
+    in its own cluster.  Windows hold a row per feature.
+    """
+    right = cluster_weights(corr, assignment, method, by).withColumnRenamed("feature", "j")
+    near = corr.join(right, [*by, "j"]).groupBy(*by, F.col("i").alias("feature"), "cluster")
+    near = near.agg(F.expr("sum(r * weight) AS cov"), F.expr("max(CASE WHEN i = j THEN weight END) AS own"))
+    explained = F.sum(F.col("cov") * F.col("own")).over(Window.partitionBy(*by, "cluster"))
+    return near.withColumn("variance", explained).select(
+        *by,
+        "feature",
+        "cluster",
+        F.col("own").isNotNull().alias("is_own"),
+        ratio(F.col("cov"), F.sqrt("variance")).alias("r"),
+        "variance",
+    )
+
+
 def cluster_correlation(
     corr: DataFrame, assignment: DataFrame, method: str = "Centroid", by: Sequence[str] = ()
 ) -> DataFrame:
     """(by..., feature, cluster, r, variance): each feature against each cluster's component.
 
-    ``assignment`` holds (by..., feature, cluster).  ``variance`` is what the component explains.
+    ``variance`` is what the component explains.
     """
-    weights = cluster_weights(corr, assignment, method, by)
-    right = weights.withColumnRenamed("feature", "j")
-    cov = corr.join(right, [*by, "j"]).groupBy(*by, F.col("i").alias("feature"), "cluster")
-    cov = cov.agg(F.sum(F.col("r") * F.col("weight")).alias("cov"))
-    own = cov.join(weights, [*by, "feature", "cluster"])
-    variance = own.groupBy(*by, "cluster").agg(F.sum(F.col("cov") * F.col("weight")).alias("variance"))
-    return cov.join(variance, [*by, "cluster"]).select(
-        *by, "feature", "cluster", ratio(F.col("cov"), F.sqrt("variance")).alias("r"), "variance"
-    )
+    return _nearness(corr, assignment, method, by).drop("is_own")
 
 
 def reassign(
@@ -65,12 +82,11 @@ def reassign(
 
     Repeats ``max_iter`` times, which changes nothing more once the clusters are stable; ties go
     to the first cluster.  r^2 is compared to 12 digits, so that sums taken in another order do
-    not break ties.  Lazy: every round adds joins of k x k rows to one plan.
+    not break ties.  Lazy: a round adds one join with the correlation table to the plan.
     """
     for _ in range(max_iter):
-        near = cluster_correlation(corr, assignment, method, by)
-        best = F.min_by("cluster", F.struct(-F.round(F.col("r") * F.col("r"), 12), "cluster"))
-        assignment = near.groupBy(*by, "feature").agg(best.alias("cluster"))
+        near = _nearness(corr, assignment, method, by).groupBy(*by, "feature")
+        assignment = near.agg(F.expr("min_by(cluster, struct(-round(r * r, 12), cluster)) AS cluster"))
     return assignment
 
 
@@ -81,19 +97,14 @@ def r2_ratio(
 
     ``ratio`` is (1 - own) / (1 - next): above 1 the feature sits better in another cluster.
     """
-    near = cluster_correlation(corr, assignment, method, by).withColumn("r2", F.col("r") * F.col("r"))
-    home = assignment.withColumnRenamed("cluster", "home")
-    own = F.col("cluster") == F.col("home")
-    split = (
-        near.join(home, [*by, "feature"])
-        .groupBy(*by, "feature", F.col("home").alias("cluster"))
-        .agg(
-            F.max(F.when(own, F.col("r2"))).alias("r2_own"),
-            F.max(F.when(~own, F.col("r2"))).alias("r2_next"),
-        )
+    split = _nearness(corr, assignment, method, by).groupBy(*by, "feature")
+    split = split.agg(
+        F.expr("max(CASE WHEN is_own THEN cluster END) AS cluster"),
+        F.expr("max(CASE WHEN is_own THEN r * r END) AS r2_own"),
+        F.expr("max(CASE WHEN NOT is_own THEN r * r END) AS r2_next"),
     )
-    value = ratio(1 - F.col("r2_own"), 1 - F.col("r2_next"))
-    return split.withColumn("ratio", value).orderBy(*by, F.desc_nulls_last("ratio"), "feature")
+    rated = split.withColumn("ratio", F.expr("try_divide(1 - r2_own, 1 - r2_next)"))
+    return rated.orderBy(*by, F.desc_nulls_last("ratio"), "feature")
 
 
 # --- divisive search, on one segment's matrix ---------------------------------------------------

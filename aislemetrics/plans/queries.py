@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aislemetrics.functions.calendar import shift_weeks
-from aislemetrics.functions.columns import all_padded, pad_code, plain, units
+from aislemetrics.functions.columns import all_padded, pad_code, units
 from aislemetrics.operators import (
     components,
     cycle,
@@ -38,8 +38,13 @@ def query(build: Callable[[Star], DataFrame]) -> Callable[[Star], DataFrame]:
 
 
 def _plain(df: DataFrame, **digits: int | None) -> DataFrame:
-    """Rounded doubles for the named columns."""
-    return df.withColumns({name: plain(F.col(name), d) for name, d in digits.items()})
+    """Rounded doubles, free of negative zeros, for the named columns."""
+
+    def text(name: str) -> str:
+        value = f"cast({name} as double)"
+        return value if digits[name] is None else f"round({value}, {digits[name]}) + 0D"
+
+    return df.selectExpr(*[f"{text(c)} AS {c}" if c in digits else f"`{c}`" for c in df.columns])
 
 
 # --- columns, calendar, slices ------------------------------------------------------------------
@@ -81,7 +86,7 @@ def item_slice(star: Star) -> DataFrame:
     sliced = items.item_slice(
         star.items,
         *p.SLICE_WEEKS,
-        dates=star.dates,
+        weeks=star.weeks,
         stores=star.stores,
         formats=p.SLICE_FORMATS,
         segments=star.segments,
@@ -108,7 +113,7 @@ def units_rule(star: Star) -> DataFrame:
 
 @query
 def like_for_like_stores(star: Star) -> DataFrame:
-    sliced = items.item_slice(star.items, *p.SLICE_WEEKS, dates=star.dates)
+    sliced = items.item_slice(star.items, *p.SLICE_WEEKS, weeks=star.weeks)
     return items.like_for_like_stores(sliced)
 
 
@@ -158,7 +163,7 @@ def product_filter(star: Star) -> DataFrame:
 def customer_overlap(star: Star) -> DataFrame:
     control = overlap.level_table(star.products, p.SUBCLASS, p.OVERLAP_GROUPS)
     return overlap.customer_overlap(
-        star.items, control, p.OVERLAP_GROUPS, weeks=p.OVERLAP_WEEKS, dates=star.dates
+        star.items, control, p.OVERLAP_GROUPS, period=p.OVERLAP_WEEKS, weeks=star.weeks
     )
 
 
@@ -174,7 +179,7 @@ def customer_overlap_control(star: Star) -> DataFrame:
         }
     )
     names = list(p.CONTROL_NAMES)
-    return overlap.customer_overlap(star.items, control, names, star.stores, p.OVERLAP_WEEKS, star.dates)
+    return overlap.customer_overlap(star.items, control, names, star.stores, p.OVERLAP_WEEKS, star.weeks)
 
 
 @query
@@ -185,7 +190,7 @@ def daily_group_kpi(star: Star) -> DataFrame:
         F.explode(F.array(*[F.lit(f) for f in p.KPI_FORMATS])).alias("format_code"),
     )
     groups = groups.withColumn("fis_day_of_week_num", F.explode(F.array(*[F.lit(d) for d in p.KPI_DAYS])))
-    return overlap.daily_group_kpi(star.items, groups, star.stores, star.dates, p.PERIODS)
+    return overlap.daily_group_kpi(star.items, groups, star.stores, star.dates, p.PERIODS, star.weeks)
 
 
 # --- reach --------------------------------------------------------------------------------------
@@ -332,7 +337,7 @@ def price_coefficient_tests(star: Star) -> DataFrame:
 @query
 def price_curve(star: Star) -> DataFrame:
     fits = price.fit_price(_group_points(star), 2, by=[p.SUBCLASS])
-    curve = price.predict_grid(fits, 2, by=[p.SUBCLASS], step=1.0)
+    curve = price.predict_grid(fits, 2, by=[p.SUBCLASS], step=p.PRICE_STEP)
     return _plain(curve, ppu=2, predicted=4)
 
 
@@ -341,7 +346,7 @@ def price_curve(star: Star) -> DataFrame:
 
 def _weekly(star: Star, level: str) -> DataFrame:
     return seasonality.weekly_kpi(
-        star.items, star.products, star.dates, level, *p.SEASON_WEEKS, divisions=p.DIVISIONS
+        star.items, star.products, star.weeks, level, *p.SEASON_WEEKS, divisions=p.DIVISIONS
     )
 
 
@@ -359,7 +364,7 @@ def seasonality_index(star: Star) -> DataFrame:
 @query
 def seasonality_short(star: Star) -> DataFrame:
     return seasonality.recent_seasonality(
-        star.items, star.products, star.dates, "prod_hier_l50_code", **p.SHORT_SEASON, divisions=p.DIVISIONS
+        star.items, star.products, star.weeks, "prod_hier_l50_code", **p.SHORT_SEASON, divisions=p.DIVISIONS
     )
 
 
@@ -422,7 +427,7 @@ def _features(star: Star) -> list[str]:
 def need_matrix(star: Star) -> DataFrame:
     features = _features(star)
     wide = needstate.need_matrix(_need(star), features)
-    return wide.select("card_id", *[plain(F.col(f"`{f}`"), 6).alias(f) for f in features])
+    return wide.selectExpr("card_id", *[f"round(`{f}`, 6) + 0D AS `{f}`" for f in features])
 
 
 def _segmented(star: Star, need: DataFrame) -> DataFrame:

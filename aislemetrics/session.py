@@ -29,6 +29,8 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def build_session(app: str = "aislemetrics", master: str | None = None, **options: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    # Recording a call site for every column costs more than planning does.
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     if master:
         builder = builder.master(master)
     for key, value in options.items():

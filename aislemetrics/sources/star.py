@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aislemetrics.functions import calendar
-from aislemetrics.functions.columns import pad_code
 from aislemetrics.session import configure
 
 CALENDAR = (dt.date(1990, 1, 1), dt.date(2039, 12, 31))
@@ -67,8 +66,14 @@ SCHEMAS = {
 }
 
 
-def _decimal(column: str, precision: int) -> F.Column:
-    return F.col(column).cast(T.DecimalType(precision, 2))
+# Money is exact: decimals are multiplied, never doubles.
+_SPEND = """cast(cast(l_extendedprice as decimal(12,2)) * (cast(1 as decimal(3,2)) - cast(l_discount as decimal(3,2)))
+    * cast(CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN -1 ELSE 1 END as decimal(1,0)) as decimal(18,4))"""
+_DIVISION = "CASE WHEN p_type IN ('PROMO', 'SMALL') THEN '99' ELSE '01' END"
+
+
+def _padded(key: str) -> str:
+    return f"CASE WHEN {key} < 100000000 THEN lpad(cast({key} as string), 9, '0') ELSE cast({key} as string) END"
 
 
 @dataclass(frozen=True)
@@ -85,82 +90,65 @@ class Star:
     @cached_property
     def items(self) -> DataFrame:
         """Item-grain fact: one row per basket line."""
-        lines = self._table("lineitem")
-        orders = self._table("orders")
-        date = F.col("o_orderdate").cast("date")
-        returned = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)
-        sign = F.when(returned, F.lit(-1)).otherwise(F.lit(1)).cast(T.DecimalType(1, 0))
-        one = F.lit(1).cast(T.DecimalType(3, 2))
-        spend = _decimal("l_extendedprice", 12) * (one - _decimal("l_discount", 3)) * sign
-        weight = F.when(F.col("l_returnflag") == "A", F.col("l_quantity") * 0.5).when(
-            F.col("l_returnflag") == "N", F.lit(0.0)
-        )
-        return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
-            F.col("l_orderkey").alias("transaction_fid"),
-            F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_custkey")).alias("card_id"),
-            pad_code(F.col("l_partkey").cast("string")).alias("prod_code"),
-            F.col("l_suppkey").alias("store_id"),
-            date.alias("date_id"),
-            calendar.week_of_date(date).alias("fis_week_id"),
-            F.col("l_quantity").alias("item_qty"),
-            weight.alias("weight_uom_qty"),
-            spend.cast(T.DecimalType(18, 4)).alias("net_spend_amt"),
+        lines, orders = self._table("lineitem"), self._table("orders")
+        return lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr(
+            "l_orderkey AS transaction_fid",
+            "CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_custkey END AS card_id",
+            f"{_padded('l_partkey')} AS prod_code",
+            "l_suppkey AS store_id",
+            "cast(o_orderdate as date) AS date_id",
+            "cast(extract(YEAROFWEEK FROM o_orderdate) * 100 + weekofyear(o_orderdate) as int) AS fis_week_id",
+            "l_quantity AS item_qty",
+            "CASE l_returnflag WHEN 'A' THEN l_quantity * 0.5D WHEN 'N' THEN 0D END AS weight_uom_qty",
+            f"{_SPEND} AS net_spend_amt",
         )
 
     @cached_property
     def orders(self) -> DataFrame:
         """Basket headers: one row per basket, with its date."""
-        return self._table("orders").select(
-            F.col("o_orderkey").alias("transaction_fid"), F.col("o_orderdate").cast("date").alias("date_id")
-        )
+        return self._table("orders").selectExpr("o_orderkey AS transaction_fid", "cast(o_orderdate as date) AS date_id")
 
     @cached_property
     def products(self) -> DataFrame:
-        division = F.when(F.col("p_type").isin("PROMO", "SMALL"), F.lit("99")).otherwise(F.lit("01"))
-        return self._table("part").select(
-            pad_code(F.col("p_partkey").cast("string")).alias("prod_code"),
-            F.col("p_size").alias("prod_style_code"),
-            F.col("p_name").alias("prod_alt_desc"),
-            F.col("p_brand").alias("prod_hier_l10_code"),
-            F.col("p_brand").alias("prod_hier_l10_desc"),
-            F.col("p_type").alias("prod_hier_l20_code"),
-            F.col("p_type").alias("prod_hier_l20_desc"),
-            division.alias("prod_hier_l50_code"),
-            division.alias("prod_comml_l30_code"),
-            F.col("p_retailprice").alias("list_price"),
+        return self._table("part").selectExpr(
+            f"{_padded('p_partkey')} AS prod_code",
+            "p_size AS prod_style_code",
+            "p_name AS prod_alt_desc",
+            "p_brand AS prod_hier_l10_code",
+            "p_brand AS prod_hier_l10_desc",
+            "p_type AS prod_hier_l20_code",
+            "p_type AS prod_hier_l20_desc",
+            f"{_DIVISION} AS prod_hier_l50_code",
+            f"{_DIVISION} AS prod_comml_l30_code",
         )
 
     @cached_property
     def raw_product_codes(self) -> DataFrame:
         """Product keys as an unpadded file would hold them."""
-        return self._table("part").select(F.col("p_partkey").cast("string").alias("prod_code"), "p_name")
+        return self._table("part").selectExpr("cast(p_partkey as string) AS prod_code", "p_name")
 
     @cached_property
     def stores(self) -> DataFrame:
         suppliers, nations = self._table("supplier"), self._table("nation")
-        return suppliers.join(nations, suppliers.s_nationkey == nations.n_nationkey).select(
-            F.col("s_suppkey").alias("store_id"),
-            F.col("s_name").alias("store_code"),
-            (F.col("n_regionkey") + 1).cast("string").alias("format_code"),
+        return suppliers.join(nations, suppliers.s_nationkey == nations.n_nationkey).selectExpr(
+            "s_suppkey AS store_id", "s_name AS store_code", "cast(n_regionkey + 1 as string) AS format_code"
         )
 
     @cached_property
     def dates(self) -> DataFrame:
         return calendar.date_dim(self.spark, *CALENDAR)
 
+    @cached_property
+    def weeks(self) -> calendar.Weeks:
+        return calendar.Weeks.of(self.dates)
+
     @cached_property
     def segments(self) -> DataFrame:
         """Customer tags, one row per card."""
-        market = F.col("c_mktsegment")
-        return self._table("customer").select(
-            F.col("c_custkey").alias("card_id"),
-            F.when(market == "HOUSEHOLD", F.lit("Trader"))
-            .when(market != "FURNITURE", F.lit("Shopper"))
-            .alias("kptr_seg"),
-            F.when(market == "BUILDING", F.lit("LA"))
-            .when(market == "MACHINERY", F.lit("MM"))
-            .otherwise(F.lit("UM"))
-            .alias("seg_value_code"),
+        return self._table("customer").selectExpr(
+            "c_custkey AS card_id",
+            "CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'Trader' WHEN 'FURNITURE' THEN NULL ELSE 'Shopper' END AS kptr_seg",
+            "CASE c_mktsegment WHEN 'BUILDING' THEN 'LA' WHEN 'MACHINERY' THEN 'MM' ELSE 'UM' END AS seg_value_code",
         )
 
     @cached_property
