@@ -40,7 +40,7 @@ def tag_customers(items: DataFrame, segments: DataFrame) -> DataFrame:
     all other such rows in one join task.
     """
     no_card = F.col("card_id").isNull()
-    spread = F.pmod(F.xxhash64(*items.columns), F.lit(NULL_KEY_SPREAD)) + 1
+    spread = F.pmod(F.xxhash64("transaction_fid", "prod_code"), F.lit(NULL_KEY_SPREAD)) + 1
     left = items.withColumn("_spread", F.when(no_card, spread).otherwise(F.lit(0)))
     right = segments.withColumn("_spread", F.when(no_card, F.lit(1)).otherwise(F.lit(0)).cast("long"))
     return left.join(right, ["card_id", "_spread"], "left").drop("_spread")

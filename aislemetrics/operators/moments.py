@@ -17,6 +17,8 @@ from aislemetrics.functions.columns import ratio
 
 # Dense k x k steps run inside one task: 1,000 features are 8 MB.
 MAX_FEATURES = 1000
+# Matrix cells a task keeps for its segments: 64 MB.
+MAX_CELLS = 8_000_000
 
 _SUMS = ("n", "si", "sj", "sii", "sjj", "sij")
 
@@ -40,19 +42,26 @@ def pair_sums(matrix: DataFrame, features: Sequence[str], by: Sequence[str] = ()
     upper = np.triu_indices(k)
     names = np.array(features, dtype=object)
 
+    def flush(totals: dict) -> Iterator[pd.DataFrame]:
+        i, j = upper
+        for group, (n, s, g) in totals.items():
+            own = dict(zip(keys, group))
+            sums = {"n": n, "si": s[i], "sj": s[j], "sii": g[i, i], "sjj": g[j, j], "sij": g[i, j]}
+            yield pd.DataFrame({**own, "i": names[i], "j": names[j], **sums})
+        totals.clear()
+
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[tuple, tuple[int, np.ndarray, np.ndarray]] = {}
         for batch in batches:
+            # With many segments the sums go out early; they are added up below all the same.
+            if len(totals) * k * k > MAX_CELLS:
+                yield from flush(totals)
             groups = batch.groupby(keys, dropna=False, sort=False) if keys else [((), batch)]
             for group, rows in groups:
                 x = rows[features].to_numpy(dtype=float)
                 n, s, g = totals.get(group, (0, np.zeros(k), np.zeros((k, k))))
                 totals[group] = (n + len(x), s + x.sum(axis=0), g + x.T @ x)
-        i, j = upper
-        for group, (n, s, g) in totals.items():
-            own = dict(zip(keys, group))
-            sums = {"n": n, "si": s[i], "sj": s[j], "sii": g[i, i], "sjj": g[j, j], "sij": g[i, j]}
-            yield pd.DataFrame({**own, "i": names[i], "j": names[j], **sums})
+        yield from flush(totals)
 
     schema = T.StructType([matrix.schema[c] for c in keys])
     for name, kind in [("i", T.StringType()), ("j", T.StringType()), ("n", T.LongType())]:

@@ -116,6 +116,8 @@ def customer_overlap(
     """Overlap report; ``names`` are the groups in the order of their bits."""
     if period is not None:
         items = weeks_between(items, *period, weeks)
+    # The semi join moves below the fact's own joins.
+    items = items.join(control.select("prod_code").distinct(), "prod_code", "left_semi")
     if stores is not None:
         items = items.join(stores.select("store_id", "format_code"), "store_id")
     return combination_counts(card_masks(items, control), names)

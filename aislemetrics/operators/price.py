@@ -17,8 +17,8 @@ FORMATS = ("1", "2", "3", "4", "5")
 
 def segment_cards(snapshots: DataFrame, dates: DataFrame, snapshot_week: int, seg_type: str, values) -> DataFrame:
     """Cards in the segments, by the snapshot taken on the last date of a week."""
-    last_day = dates.filter(F.col("fis_week_id") == snapshot_week).agg(F.max("date_id").alias("date_id"))
-    taken = snapshots.join(last_day, "date_id", "left_semi")
+    last_day = dates.filter(F.col("fis_week_id") == snapshot_week).agg(F.max("date_id"))
+    taken = snapshots.filter(F.col("date_id") == last_day.scalar())
     wanted = (F.col("seg_type_code") == seg_type) & F.col("seg_value_code").isin(as_list(values))
     return taken.filter(wanted).select("card_id").distinct()
 

@@ -69,13 +69,13 @@ def prod_code_check(star: Star) -> DataFrame:
 
 @query
 def date_dim(star: Star) -> DataFrame:
-    sold = star.orders.groupBy("date_id").agg(F.count("*").alias("n_baskets"))
+    sold = star.baskets.groupBy("date_id").agg(F.count("*").alias("n_baskets"))
     return sold.join(star.dates, "date_id")
 
 
 @query
 def week_shift(star: Star) -> DataFrame:
-    weekly = star.orders.join(star.dates, "date_id").groupBy("fis_week_id").agg(F.count("*").alias("n_baskets"))
+    weekly = star.baskets.join(star.dates, "date_id").groupBy("fis_week_id").agg(F.count("*").alias("n_baskets"))
     earlier = shift_weeks(star.dates, p.SHIFT).withColumnRenamed("shifted_week_id", "earlier_week_id")
     later = shift_weeks(star.dates, -p.SHIFT).withColumnRenamed("shifted_week_id", "later_week_id")
     return weekly.join(earlier, "fis_week_id").join(later, "fis_week_id")

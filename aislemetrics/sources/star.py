@@ -89,24 +89,30 @@ class Star:
 
     @cached_property
     def items(self) -> DataFrame:
-        """Item-grain fact: one row per basket line."""
-        lines, orders = self._table("lineitem"), self._table("orders")
-        return lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr(
+        """Item-grain fact: one row per basket line.
+
+        Columns are computed on the side they come from, so that what lies above the join is a
+        plain column list: Spark then moves semi joins on products or stores below it.
+        """
+        lines = self._table("lineitem").selectExpr(
             "l_orderkey AS transaction_fid",
-            "CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_custkey END AS card_id",
             f"{_padded('l_partkey')} AS prod_code",
             "l_suppkey AS store_id",
-            "cast(o_orderdate as date) AS date_id",
-            "cast(extract(YEAROFWEEK FROM o_orderdate) * 100 + weekofyear(o_orderdate) as int) AS fis_week_id",
             "l_quantity AS item_qty",
             "CASE l_returnflag WHEN 'A' THEN l_quantity * 0.5D WHEN 'N' THEN 0D END AS weight_uom_qty",
             f"{_SPEND} AS net_spend_amt",
         )
+        return lines.join(self.baskets, "transaction_fid")
 
     @cached_property
-    def orders(self) -> DataFrame:
-        """Basket headers: one row per basket, with its date."""
-        return self._table("orders").selectExpr("o_orderkey AS transaction_fid", "cast(o_orderdate as date) AS date_id")
+    def baskets(self) -> DataFrame:
+        """Basket headers: card, date and week, one row per basket."""
+        return self._table("orders").selectExpr(
+            "o_orderkey AS transaction_fid",
+            "CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_custkey END AS card_id",
+            "cast(o_orderdate as date) AS date_id",
+            "cast(extract(YEAROFWEEK FROM o_orderdate) * 100 + weekofyear(o_orderdate) as int) AS fis_week_id",
+        )
 
     @cached_property
     def products(self) -> DataFrame:
