@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislemetrics.functions.columns import feature_name, ratio
@@ -13,43 +13,50 @@ from aislemetrics.operators.items import product_levels
 SUBCLASS = "prod_hier_l10_code"
 
 
-def _basket_parts(items: DataFrame, products: DataFrame, divisions) -> DataFrame:
-    """Spend per (card, subclass, basket).
-
-    Both grains below are built on this one shuffle: its key spreads a hot card over its baskets,
-    and counting rows then replaces counting distinct baskets.
-    """
+def _in_scope(items: DataFrame, products: DataFrame, divisions) -> DataFrame:
     scope = product_levels(products, SUBCLASS, divisions)
-    joined = items.filter(F.col("card_id").isNotNull()).join(scope, "prod_code")
-    return joined.groupBy("card_id", SUBCLASS, "transaction_fid").agg(F.sum("net_spend_amt").alias("spend"))
+    return items.filter(F.col("card_id").isNotNull()).join(scope, "prod_code")
 
 
-def _subclass_metrics(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("card_id", SUBCLASS).agg(
-        F.count("*").alias("subcl_visits"), F.sum("spend").alias("subcl_sales")
-    )
-
+def _basket_parts(items: DataFrame, products: DataFrame, divisions) -> DataFrame:
+    """Spend per card, basket and subclass: counting rows then replaces counting distinct baskets.
 
-def _card_metrics(parts: DataFrame) -> DataFrame:
-    baskets = parts.groupBy("card_id", "transaction_fid").agg(F.sum("spend").alias("spend"))
-    return baskets.groupBy("card_id").agg(F.count("*").alias("visits"), F.sum("spend").alias("sales"))
+    Lines combine on the map side, so a hot card or basket leaves one row per subclass of a basket.
+    """
+    joined = _in_scope(items, products, divisions)
+    return joined.groupBy("card_id", "transaction_fid", SUBCLASS).agg(F.sum("net_spend_amt").alias("spend"))
 
 
 def card_subclass_metrics(items: DataFrame, products: DataFrame, divisions=None) -> DataFrame:
     """Visits and sales per card and subclass."""
-    return _subclass_metrics(_basket_parts(items, products, divisions))
+    parts = _basket_parts(items, products, divisions)
+    return parts.groupBy("card_id", SUBCLASS).agg(
+        F.count("*").alias("subcl_visits"), F.sum("spend").alias("subcl_sales")
+    )
 
 
 def card_metrics(items: DataFrame, products: DataFrame, divisions=None) -> DataFrame:
     """Visits and sales per card, over the divisions in scope."""
-    return _card_metrics(_basket_parts(items, products, divisions))
+    joined = _in_scope(items, products, divisions)
+    baskets = joined.groupBy("card_id", "transaction_fid").agg(F.sum("net_spend_amt").alias("spend"))
+    return baskets.groupBy("card_id").agg(F.count("*").alias("visits"), F.sum("spend").alias("sales"))
 
 
 def need_state(items: DataFrame, products: DataFrame, divisions=None) -> DataFrame:
-    """(card_id, subcl, pct_visits, pct_sales); items without a card have no need state."""
-    parts = _basket_parts(items, products, divisions)
-    both = _subclass_metrics(parts).join(_card_metrics(parts), "card_id")
-    return both.select(
+    """(card_id, subcl, pct_visits, pct_sales); items without a card have no need state.
+
+    One chain instead of two aggregates and a join: each basket is counted in its first subclass
+    only, so a card's distinct baskets are a plain sum over its subclasses.  Windows hold the
+    subclasses of one basket, then those of one card.
+    """
+    basket, card = Window.partitionBy("card_id", "transaction_fid"), Window.partitionBy("card_id")
+    first = F.when(F.col(SUBCLASS) == F.min(SUBCLASS).over(basket), F.lit(1)).otherwise(F.lit(0))
+    counted = _basket_parts(items, products, divisions).withColumn("first", first)
+    counted = counted.groupBy("card_id", SUBCLASS).agg(
+        F.count("*").alias("subcl_visits"), F.sum("spend").alias("subcl_sales"), F.sum("first").alias("firsts")
+    )
+    totals = counted.withColumns({"visits": F.sum("firsts").over(card), "sales": F.sum("subcl_sales").over(card)})
+    return totals.select(
         "card_id",
         feature_name(F.col(SUBCLASS)).alias("subcl"),
         ratio(F.col("subcl_visits"), F.col("visits")).alias("pct_visits"),

@@ -446,13 +446,32 @@ def _quadratic(source: str, by: str) -> str:
 , errors AS (
   SELECT {keys} avg((v - (b * u + c * (u * u - m2))) ** 2) AS mse, avg(v * v) AS vy
   FROM u JOIN (SELECT {keys} b, c, m2 FROM coefs) {match} {group})
-SELECT {f"{by} AS prod_hier_{by}_code," if by else ""} n, {_round(4, "coef_0", "mse")}, {_round(6, "coef_1")}, {_round(8, "coef_2")},
+"""
+
+
+def _quadratic_fits(source: str, by: str) -> str:
+    return (
+        _quadratic(source, by)
+        + f"""SELECT {f"{by} AS prod_hier_{by}_code," if by else ""} n, {_round(4, "coef_0", "mse")},
+       {_round(6, "coef_1")}, {_round(8, "coef_2")},
        round(1 - mse / vy, 6) + 0.0 AS r2, {_round(2, "min_x", "max_x")}
-FROM coefs JOIN errors {match}"""
+FROM coefs JOIN errors {f"USING ({by})" if by else "ON true"}"""
+    )
 
 
-ORACLE_SQL["price_quadratic"] = _with("points") + _quadratic("points", "")
-ORACLE_SQL["price_by_group"] = _with("group_points") + _quadratic("group_points", "l10")
+ORACLE_SQL["price_quadratic"] = _with("points") + _quadratic_fits("points", "")
+ORACLE_SQL["price_by_group"] = _with("group_points") + _quadratic_fits("group_points", "l10")
+ORACLE_SQL["price_curve"] = (
+    _with("group_points")
+    + _quadratic("group_points", "l10")
+    + f"""
+, grid AS (
+  SELECT *, min_x + i * {p.PRICE_STEP} AS ppu
+  FROM (SELECT *, unnest(range(CAST(ceil(round((max_x - min_x) / {p.PRICE_STEP}, 6)) AS BIGINT))) AS i FROM coefs))
+SELECT l10 AS prod_hier_l10_code, round(ppu, 2) + 0.0 AS ppu,
+       round(coef_0 + coef_1 * ppu + coef_2 * ppu * ppu, 1) + 0.0 AS predicted
+FROM grid"""
+)
 
 
 def _stats(source: str, by: str) -> str:

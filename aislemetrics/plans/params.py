@@ -29,7 +29,7 @@ TOP_K = 6
 
 PRICE_SEGMENTS = ("LA", "MM")
 PRICE_CLASS = "ECONOMY"
-PRICE_STEP = 25.0
+PRICE_STEP = 250.0
 
 SEASON_WEEKS = (199640, 199739)
 SHORT_SEASON = {"start_week": 199720, "end_week": 199730, "data_week_end": 199852}

@@ -338,7 +338,7 @@ def price_coefficient_tests(star: Star) -> DataFrame:
 def price_curve(star: Star) -> DataFrame:
     fits = price.fit_price(_group_points(star), 2, by=[p.SUBCLASS])
     curve = price.predict_grid(fits, 2, by=[p.SUBCLASS], step=p.PRICE_STEP)
-    return _plain(curve, ppu=2, predicted=4)
+    return _plain(curve, ppu=2, predicted=1)
 
 
 # --- seasonality --------------------------------------------------------------------------------
