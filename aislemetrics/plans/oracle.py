@@ -397,7 +397,7 @@ SELECT '{0}' AS "column", count({0}) AS count, avg({0}) AS mean, stddev_samp({0}
 
 ORACLE_SQL["price_describe"] = (
     _with("points", extra="d AS (" + " UNION ALL ".join(_DESCRIBE.format(c) for c in ("units", "sales", "ppu")) + ")")
-    + f"""SELECT "column", count, {_round(4, "mean", "std", "min", "q25", "q50", "q75", "max")} FROM d"""
+    + f"""SELECT "column", count, {_round(4, "mean", "std")}, {_round(6, "min", "q25", "q50", "q75", "max")} FROM d"""
 )
 
 
@@ -482,7 +482,7 @@ def _stats(source: str, by: str) -> str:
     part = f"PARTITION BY {by}" if by else ""
     four = _round(
         4, "coef_0", "coef_1", "std_err_0", "std_err_1", "t_0", "t_1", "mse", "f_value", "log_likelihood",
-        "aic", "bic", "jarque_bera", "omnibus", "cond_no",
+        "aic", "bic", "jarque_bera", "omnibus",
     )
     six = _round(6, "r2", "adj_r2", "durbin_watson", "skew", "kurtosis", "prob_jb", "prob_omnibus")
     return f"""
@@ -525,7 +525,8 @@ def _stats(source: str, by: str) -> str:
          2 * ln(n) - 2 * log_likelihood AS bic, exp(-jarque_bera / 2) AS prob_jb,
          z1 * z1 + z2 * z2 AS omnibus, exp(-(z1 * z1 + z2 * z2) / 2) AS prob_omnibus
   FROM zz)
-SELECT {f"{by} AS prod_hier_{by}_code," if by else ""} n, dof, {four}, {six} FROM done"""
+SELECT {f"{by} AS prod_hier_{by}_code," if by else ""} n, dof, {four}, {six},
+       {_round(2, "cond_no")} FROM done"""
 
 
 ORACLE_SQL["price_stats"] = _with("points") + _stats("points", "")
