@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 # Runtime SQL options.  Joins carry no broadcast hints: Spark broadcasts a side only when its
 # size is below spark.sql.autoBroadcastJoinThreshold (file statistics first, measured shuffle
 # sizes under AQE) and sort-merge joins otherwise.  A hot join key is split by the AQE skew
-# join, also where that costs one more exchange.
+# join, also where that costs one more exchange.  Where every measured partition of a side is
+# small, AQE hashes it instead of sorting both sides.
 RUNTIME_OPTIONS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
