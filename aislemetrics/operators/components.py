@@ -114,7 +114,11 @@ def svd(matrix: DataFrame, features: Sequence[str], k: int | None = None, by: Se
     Singular values are the roots of the scatter matrix's eigenvalues; ``weight`` holds the right
     vectors.  The left ones come from ``left_vectors``.
     """
-    eigen = symmetric_eigen(moments.scatter(matrix, features, by), "s", k, by)
+    return svd_of(moments.scatter(matrix, features, by), k, by)
+
+
+def svd_of(scatter: DataFrame, k: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    eigen = symmetric_eigen(scatter, "s", k, by)
     root = F.sqrt(F.greatest(F.col("eigenvalue"), F.lit(0.0)))
     return eigen.select(*by, "component", root.alias("singular_value"), "feature", "weight")
 

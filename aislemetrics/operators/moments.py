@@ -84,18 +84,18 @@ def _centred(cross: str, first: str, second: str) -> F.Column:
     return F.col(cross) - F.col(first) * F.col(second) / F.col("n")
 
 
-def scatter(matrix: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def scatter_of(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., i, j, s): cross products of the centred columns."""
-    return _mirrored(pair_sums(matrix, features, by), by, _centred("sij", "si", "sj"), "s")
+    return _mirrored(sums, by, _centred("sij", "si", "sj"), "s")
 
 
-def covariance(matrix: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def covariance_of(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., i, j, cov): sample covariance, divided by n - 1."""
     value = ratio(_centred("sij", "si", "sj"), (F.col("n") - 1).cast("double"))
-    return _mirrored(pair_sums(matrix, features, by), by, value, "cov")
+    return _mirrored(sums, by, value, "cov")
 
 
-def correlation(matrix: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def correlation_of(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., i, j, r): Pearson correlation.
 
     A constant column has 1 on the diagonal and null off it.
@@ -105,14 +105,34 @@ def correlation(matrix: DataFrame, features: Sequence[str], by: Sequence[str] =
     flat = (ssi <= F.col("sii") * 1e-12) | (ssj <= F.col("sjj") * 1e-12)
     r = ratio(_centred("sij", "si", "sj"), F.sqrt(ssi) * F.sqrt(ssj))
     value = F.when(F.col("i") == F.col("j"), F.lit(1.0)).when(~flat, r)
-    return _mirrored(pair_sums(matrix, features, by), by, value, "r")
+    return _mirrored(sums, by, value, "r")
 
 
-def feature_stats(matrix: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def feature_stats_of(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., feature, n, mean, std): sample statistics, from the diagonal of the sums."""
-    diagonal = pair_sums(matrix, features, by).filter(F.col("i") == F.col("j"))
+    diagonal = sums.filter(F.col("i") == F.col("j"))
     std = F.sqrt(F.greatest(ratio(_centred("sii", "si", "si"), (F.col("n") - 1).cast("double")), F.lit(0.0)))
-    return diagonal.select(*by, F.col("i").alias("feature"), "n", (F.col("si") / F.col("n")).alias("mean"), std.alias("std"))
+    mean = (F.col("si") / F.col("n")).alias("mean")
+    return diagonal.select(*by, F.col("i").alias("feature"), "n", mean, std.alias("std"))
+
+
+# The same in one go; who needs several of them takes the sums once.
+
+
+def scatter(matrix: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    return scatter_of(pair_sums(matrix, features, by), by)
+
+
+def covariance(matrix: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    return covariance_of(pair_sums(matrix, features, by), by)
+
+
+def correlation(matrix: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    return correlation_of(pair_sums(matrix, features, by), by)
+
+
+def feature_stats(matrix: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    return feature_stats_of(pair_sums(matrix, features, by), by)
 
 
 def wide(long: DataFrame, features: Sequence[str], value: str, by: Sequence[str] = ()) -> DataFrame:

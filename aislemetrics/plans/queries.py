@@ -509,9 +509,9 @@ def svd_values(star: Star) -> DataFrame:
 def svd_left_vectors(star: Star) -> DataFrame:
     need = materialise(_need(star), "need")
     features = _features(star)
-    matrix = needstate.need_matrix(need, features)
-    right = materialise(components.svd(matrix, features, p.N_COMPONENTS), "svd")
-    return components.left_vectors(need, moments.feature_stats(matrix, features), right, p.N_COMPONENTS)
+    sums = materialise(moments.pair_sums(needstate.need_matrix(need, features), features), "sums")
+    right = materialise(components.svd_of(moments.scatter_of(sums), p.N_COMPONENTS), "svd")
+    return components.left_vectors(need, moments.feature_stats_of(sums), right, p.N_COMPONENTS)
 
 
 @query
@@ -597,10 +597,9 @@ def variable_clusters_by_segment(star: Star) -> DataFrame:
 def cluster_scores(star: Star) -> DataFrame:
     need = materialise(_need(star), "need")
     features = _features(star)
-    matrix = needstate.need_matrix(need, features)
-    clusters = varclus.variable_clusters(moments.correlation(matrix, features), p.N_CLUSTERS)
-    stats = moments.feature_stats(matrix, features)
-    return varclus.cluster_scores(need, materialise(clusters, "clusters"), stats, p.N_CLUSTERS)
+    sums = materialise(moments.pair_sums(needstate.need_matrix(need, features), features), "sums")
+    clusters = materialise(varclus.variable_clusters(moments.correlation_of(sums), p.N_CLUSTERS), "clusters")
+    return varclus.cluster_scores(need, clusters, moments.feature_stats_of(sums), p.N_CLUSTERS)
 
 
 # --- sinks --------------------------------------------------------------------------------------
