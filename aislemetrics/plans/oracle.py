@@ -7,7 +7,6 @@ quantiles) have no entry; tests check them against brute force instead.
 from __future__ import annotations
 
 from aislemetrics.plans import params as p
-from aislemetrics.sources.star import SNAPSHOT_WEEK
 
 ORACLE_SQL: dict[str, str] = {}
 

@@ -75,7 +75,8 @@ def date_dim(star: Star) -> DataFrame:
 
 @query
 def week_shift(star: Star) -> DataFrame:
-    weekly = star.baskets.select("date_id").join(star.dates, "date_id").groupBy("fis_week_id").agg(F.count("*").alias("n_baskets"))
+    dated = star.baskets.select("date_id").join(star.dates, "date_id")
+    weekly = dated.groupBy("fis_week_id").agg(F.count("*").alias("n_baskets"))
     earlier = shift_weeks(star.dates, p.SHIFT).withColumnRenamed("shifted_week_id", "earlier_week_id")
     later = shift_weeks(star.dates, -p.SHIFT).withColumnRenamed("shifted_week_id", "later_week_id")
     return weekly.join(earlier, "fis_week_id").join(later, "fis_week_id")
