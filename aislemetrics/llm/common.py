@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Documents handled together inside a task; bounds the Python objects alive at once.
 SLICE = 256
@@ -36,30 +38,36 @@ class Memo(dict):
 
 
 def map_rows(
-    frame: DataFrame, schema: str, columns: list[str], start: Callable[[], Callable[..., list]], rows: int = SLICE
+    frame: DataFrame,
+    schema: str,
+    columns: list[str],
+    start: Callable[[], Callable[..., list]],
+    carry: tuple[str, ...] = ("doc_id",),
+    rows: int = SLICE,
 ) -> DataFrame:
-    """Apply a function to column lists of ``rows`` rows at a time.
+    """The columns ``carry`` as they are, and those of ``schema`` computed from ``columns``, ``rows`` rows at a time.
 
-    ``start()`` runs once a task and returns a function from the lists of ``columns`` to a list of output columns
-    (lists or Arrow arrays) in the order of ``schema``.  Only ``columns`` are read, so further columns of the input,
-    whatever their names, do no harm.
+    ``start()`` runs once a task and returns a function from the lists of ``columns`` to the lists (or Arrow arrays) of the
+    new columns.  Nothing but ``carry`` and ``columns`` is read, so further columns, whatever their names, do no harm.
     """
-    frame = frame.select(*columns)
-    empty = frame.sparkSession.createDataFrame([], schema).schema
+    new = frame.sparkSession.createDataFrame([], schema).schema
+    result = StructType([frame.schema[name] for name in carry] + list(new))
+    frame = frame.select(*carry, *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        target = to_arrow_schema(empty)
+        target = to_arrow_schema(result)
         work = start()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                result = work(*(column.to_pylist() for column in part.columns))
-                arrays = [
-                    value if isinstance(value, (pa.Array, pa.ChunkedArray)) else pa.array(value, field.type)
-                    for value, field in zip(result, target, strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, schema=target)
-
-    return frame.mapInArrow(run, empty)
+                made = work(*(column.to_pylist() for column in part.columns[len(carry) :]))
+                arrays = [*part.columns[: len(carry)], *made]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        value if isinstance(value, pa.Array) else pa.array(value, field.type)
+                        for value, field in zip(arrays, target, strict=True)
+                    ],
+                    schema=target,
+                )
+
+    return frame.mapInArrow(run, result)

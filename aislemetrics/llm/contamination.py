@@ -19,11 +19,12 @@ import re
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislemetrics.llm.common import map_rows
+from aislemetrics.llm.common import SLICE, map_rows
 
 WINDOW = 10
 BLOCK_CHARS = 250_000
@@ -92,44 +93,61 @@ def contamination(
     n_hit counts words inside an occurrence of a window; items are the distinct ids of items with one, sorted as strings;
     spans are the runs of hit words as code points of the original text, end exclusive.
     """
-    parts = blocks(items, limit)
-    key = uuid.uuid4().hex if len(parts) == 1 else None
+    scan = _scanner(blocks(items, limit), window)
 
     def start():
-        def scan(texts: list[str | None]) -> list[tuple]:
-            split = [words_of(text) for text in texts]
-            lines = [" " + b" ".join(words).decode("latin-1") + " " for words in split]
-            hits: dict[int, np.ndarray] = {}
-            named: dict[int, set] = {}
-            for part in parts:
-                known = _automaton(part, key, window)
-                if known is None:
-                    continue
-                for i, line in enumerate(lines):
-                    if not split[i]:
-                        continue
-                    stops = None
-                    for end, (size, ids) in known.iter(line):
-                        if stops is None:  # where each word's following blank stands
-                            stops = np.cumsum([len(word) + 1 for word in split[i]])
-                            edges = hits.setdefault(i, np.zeros(len(split[i]) + 1, np.int64))
-                        last = int(np.searchsorted(stops, end))
-                        edges[last - size + 1] += 1
-                        edges[last + 1] -= 1
-                        named.setdefault(i, set()).update(ids)
-            return [_row(texts[i], len(split[i]), hits.get(i), named.get(i, ())) for i in range(len(texts))]
-
-        def work(doc_ids, texts):
-            return [doc_ids, *map(list, zip(*scan(texts)))] if doc_ids else [doc_ids, [], [], [], []]
-
-        return work
-
-    source = docs.select("doc_id", F.col(text_col).alias("text"))
-    schema = (
-        f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_hit long, items array<string>, "
-        "spans array<struct<start: int, end: int>>"
-    )
-    return map_rows(source, schema, ["doc_id", "text"], start)
+        return lambda texts: _columns([_row(text, *found) for text, found in zip(texts, scan(texts))])
+
+    schema = "n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>"
+    return map_rows(docs, schema, [text_col], start)
+
+
+def clean_documents(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, limit: int = BLOCK_CHARS
+) -> DataFrame:
+    """Rows of ``docs``, all columns as they are, whose text holds no window of an item."""
+    scan = _scanner(blocks(items, limit), window)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = scan(part.column(place).to_pylist())
+                yield part.filter(pa.array([edges is None for _, edges, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _columns(rows: list[tuple], width: int = 4) -> list[list]:
+    return [[row[k] for row in rows] for k in range(width)]
+
+
+def _scanner(parts: list[Broadcast], window: int):
+    """A function from texts to (number of words, edges of the hit runs or None, ids of the items found) of each."""
+    key = uuid.uuid4().hex if len(parts) == 1 else None
+
+    def scan(texts: list[str | None]) -> list[tuple[int, np.ndarray | None, set]]:
+        split = [words_of(text) for text in texts]
+        lines = [" " + b" ".join(words).decode("latin-1") + " " for words in split]
+        edges: list[np.ndarray | None] = [None] * len(texts)
+        named: list[set] = [set() for _ in texts]
+        for part in parts:
+            known = _automaton(part, key, window)
+            for i, line in enumerate(lines if known else ()):
+                stops = None
+                for end, (size, ids) in known.iter(line):
+                    if stops is None:  # where each word's following blank stands
+                        stops = np.cumsum([len(word) + 1 for word in split[i]])
+                    if edges[i] is None:
+                        edges[i] = np.zeros(len(split[i]) + 1, np.int64)
+                    last = int(np.searchsorted(stops, end))
+                    edges[i][last - size + 1] += 1
+                    edges[i][last + 1] -= 1
+                    named[i].update(ids)
+        return [(len(words), *found) for words, *found in zip(split, edges, named)]
+
+    return scan
 
 
 def _row(text: str | None, n_words: int, edges: np.ndarray | None, ids) -> tuple:

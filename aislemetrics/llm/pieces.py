@@ -63,26 +63,24 @@ def encode_decode(docs: DataFrame, model: str, text_col: str = "text") -> DataFr
     def start():
         library, table = processor(model), chunk_ids(model)
 
-        def work(doc_ids, texts):
+        def work(texts):
             encoded = [encode_text(text or "", table) for text in texts]
             ends = np.cumsum([0, *map(len, encoded)], dtype=np.int32)
             values = np.fromiter(chain.from_iterable(encoded), np.int32, int(ends[-1]))
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-            return [doc_ids, ids, [library.decode(item) for item in encoded]]
+            return [ids, [library.decode(item) for item in encoded]]
 
         return work
 
-    source = docs.select("doc_id", F.col(text_col).alias("text"))
-    return map_rows(
-        source, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, decoded string", ["doc_id", "text"], start
-    )
+    return map_rows(docs, "ids array<int>, decoded string", [text_col], start)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what ``encode_decode`` returns."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what ``encode_decode`` returns, and its columns ``more``."""
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )

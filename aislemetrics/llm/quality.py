@@ -146,8 +146,8 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR)
     return np.log(p_target / p_raw)
 
 
-def score(docs: DataFrame, ratios: np.ndarray, text_col: str = "text") -> DataFrame:
-    """(doc_id, the statistics, score) of every document; a text without words scores 0.
+def score(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry``, the statistics and the score of every document; a text without words scores 0.
 
     The score is the mean log ratio over a document's words and pairs of neighbouring words.
     """
@@ -157,7 +157,7 @@ def score(docs: DataFrame, ratios: np.ndarray, text_col: str = "text") -> DataFr
     def start():
         memo = Memo(_hash)
 
-        def work(ids, texts):
+        def work(texts):
             data, words, ends, numbers = _numbers(texts, memo)
             single, pair = _buckets(numbers, ends, buckets) if len(numbers) else (np.zeros(0, int), np.zeros(0, int))
             gain = weights[single]
@@ -169,16 +169,11 @@ def score(docs: DataFrame, ratios: np.ndarray, text_col: str = "text") -> DataFr
                 stats.append(_statistics(data[i], item, numbers[a:b]))
                 grams = 2 * int(b - a) - 1
                 scores.append(round(float(gain[a:b].sum()) / grams, 9) if b > a else 0.0)
-            return [ids, *([s[k] for s in stats] for k in range(5)), scores]
+            return [*([s[k] for s in stats] for k in range(5)), scores]
 
         return work
 
-    return map_rows(
-        docs.select("doc_id", F.col(text_col).alias("text")),
-        f"doc_id {dict(docs.dtypes)['doc_id']}, {STATISTICS}, score double",
-        ["doc_id", "text"],
-        start,
-    )
+    return map_rows(docs, f"{STATISTICS}, score double", [text_col], start, carry)
 
 
 def threshold(scored: DataFrame, labels: DataFrame, keep_trusted: float = KEEP_TRUSTED) -> float:
@@ -211,8 +206,14 @@ def threshold(scored: DataFrame, labels: DataFrame, keep_trusted: float = KEEP_T
     return at
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, text_col: str = "text", trusted_limit: int = TRUSTED) -> DataFrame:
-    """Verdict on every row of ``docs``: doc_id, the statistics, score, base_failed, kept.
+def quality_rules(
+    docs: DataFrame,
+    labels: DataFrame,
+    text_col: str = "text",
+    trusted_limit: int = TRUSTED,
+    carry: tuple[str, ...] = ("doc_id",),
+) -> DataFrame:
+    """Verdict on every row of ``docs``: its columns ``carry``, the statistics, score, base_failed, kept.
 
     ``labels`` has doc_id, quality (1 trusted, 0 not) and toxic; toxic documents are not trusted.
     """
@@ -224,9 +225,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text_col: str = "text", tr
         .limit(trusted_limit)
     )
     ratios = log_ratios(ngram_counts(docs, trusted, text_col))
-    scored = score(docs, ratios, text_col)
+    scored = score(docs, ratios, text_col, carry)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     scored = materialise(scored.withColumn("base_failed", failed), "quality-scores")
     at = threshold(scored, labels)
     passes = F.lit(True) if at == float("-inf") else F.col("score") >= F.lit(at)
     return scored.withColumn("kept", ~F.col("base_failed") & passes)
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns as they are, that ``quality_rules`` keeps.
+
+    The rows travel with their scores, so that no text is shuffled to meet its verdict.
+    """
+    packed = docs.select("doc_id", F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    return quality_rules(packed, labels, "text", carry=("doc_id", "row")).where("kept").select("row.*")

@@ -9,7 +9,8 @@ from aislemetrics.llm import contamination, pieces, quality, simhash
 from aislemetrics.llm.common import table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -17,7 +18,7 @@ def _vocabulary(name: str) -> str:
 
 def op3_piece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return pieces.digests(pieces.encode_decode(docs, _vocabulary("piece_bpe_32k.model")))
+    return pieces.digests(pieces.encode_decode(docs, vocabulary("piece_bpe_32k.model")))
 
 
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

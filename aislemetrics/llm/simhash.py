@@ -53,11 +53,10 @@ def fingerprints(docs: DataFrame, text_col: str = "text", size: int = SHINGLE) -
     """(doc_id, sig, fp) of every row, both long: sig is a hash of the whole text, fp the fingerprint."""
 
     def start():
-        return lambda ids, sigs, texts: [ids, sigs, [fingerprint((text or "").encode(), size) for text in texts]]
+        return lambda texts: [[fingerprint((text or "").encode(), size) for text in texts]]
 
     source = docs.select("doc_id", F.xxhash64(text_col).alias("sig"), F.col(text_col).alias("text"))
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, sig long, fp long"
-    return map_rows(source, schema, ["doc_id", "sig", "text"], start)
+    return map_rows(source, "fp long", ["text"], start, ("doc_id", "sig"))
 
 
 def _kept_bits(pair: tuple[int, ...]) -> int:
