@@ -5,8 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislemetrics.llm import contamination, pieces, quality, simhash
+from aislemetrics.llm import (
+    contamination,
+    extraction,
+    pieces,
+    pii,
+    preference,
+    quality,
+    repair,
+    sharding,
+    simhash,
+    wordpiece,
+)
 from aislemetrics.llm.common import table
+from aislemetrics.session import shared_path
+
+# Shards that documents are placed on; the lookup table has over a hundred slots for each.
+SHARDS = 32
 
 
 def vocabulary(name: str) -> str:
@@ -16,11 +31,25 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.with_length(extraction.extract(table(spark, folder, "pages"), extraction.train()))
+
+
+def op2_grammar_shards(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_path(spark, "id-shards")
+    repair.write_shards(table(spark, folder, "documents"), path, vocabulary("word_bpe_49k.json"))
+    return repair.digests(spark, path)
+
+
 def op3_piece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return pieces.digests(pieces.encode_decode(docs, vocabulary("piece_bpe_32k.model")))
 
 
+def op4_shard_placement(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.placed(table(spark, folder, "documents"), SHARDS)
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     verdicts = quality.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return verdicts.select(
@@ -41,14 +70,34 @@ def op6_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    talks = preference.conversations(table(spark, folder, "conversations"))
+    return preference.digests(preference.preference_rows(preference.with_swapped_replies(talks)))
+
+
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.digests(pii.personal_data(docs, pii.fit(docs)))
+
+
 def op9_benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
     found = contamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return contamination.digests(found)
 
 
+def op10_piece_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op1_page_text": op1_page_text,
+    "op2_grammar_shards": op2_grammar_shards,
     "op3_piece_round_trip": op3_piece_round_trip,
+    "op4_shard_placement": op4_shard_placement,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash_groups": op6_simhash_groups,
+    "op7_preference_pairs": op7_preference_pairs,
+    "op8_personal_data": op8_personal_data,
     "op9_benchmark_hits": op9_benchmark_hits,
+    "op10_piece_counts": op10_piece_counts,
 }
