@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aislemetrics.llm import contamination, pieces, quality, simhash
+from aislemetrics.llm import contamination, pieces, pii, quality, simhash
 from aislemetrics.llm.common import table
 from aislemetrics.llm.queries import vocabulary
 from aislemetrics.session import materialise
@@ -29,6 +29,11 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return contamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with every span of personal data replaced by its kind in brackets, n_chars counted anew."""
+    return pii.redacted_documents(docs, pii.fit(docs))
+
+
 def as_piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every remaining text, the text decoded from them, and their digests."""
     encoded = pieces.encode_decode(docs, vocabulary("piece_bpe_32k.model"))
@@ -39,6 +44,7 @@ STAGES = [
     ("quality_rules", passing_quality),
     ("simhash_near_dedup", without_near_copies),
     ("benchmark_decontamination", without_benchmark),
+    ("personal_data", without_personal_data),
     ("piece_ids", as_piece_ids),
 ]
 
