@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import re
 import struct
-from itertools import chain
+from array import array
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -29,48 +30,87 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aislemetrics.llm.common import SLICE
+from aislemetrics.llm.common import SLICE, Memo
+from aislemetrics.session import materialise
 
 END_ID = 2
 SHARD_TOKENS = 1 << 19
 # Rounds of replacement, rules a round may add, and uses that a pair must have.
-ROUNDS, RULES, LEAST = 6, 2_000, 8
+ROUNDS, RULES, LEAST = 4, 3_000, 8
 HEADER = struct.Struct("<4sIIIQ")
 MAGIC = b"RPS1"
 _WORD = re.compile(r"[^ \t\n\r]+")
+# Texts of these characters are in composed form, with one lower-case character for each of theirs.
+_PLAIN = re.compile("[ \t\n\r!-~À-ÖØ-öø-įı-ɏ]*+")
+_SIGNS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+# How the tokenizers meant here split a word: a fixed pattern, in lower case.
+_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 
 _loaded: dict = {}
 
 
+class _Parts(dict):
+    """Packed ids of lower-case parts of words, by the library on first sight; other words from their parts."""
+
+    def __init__(self, encode: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.encode, self.limit = encode, limit
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha():
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = found = self.encode(word)
+            return found
+        letters = word.rstrip(_SIGNS)
+        if not letters or len(word) == 1:  # signs alone, or one digit
+            found = self.encode(word)
+            if len(word) < 16:
+                self[word] = found
+            return found
+        if letters.isalpha():
+            return self[letters] + (self[word[len(letters) :]] if len(letters) < len(word) else b"")
+        return b"".join([self.encode(part) if part[0] == "'" else self[part] for part in _PART.findall(word)])
+
+
 class WordIds:
-    """Ids of texts by a table of distinct words.
+    """Ids of texts by a table of distinct parts of words.
 
-    The tokenizers meant here drop white space before they merge, so that a text's ids are its words' ids in a row.  The
-    library gets every word the table lacks once; the table is emptied beyond ``limit`` words, which changes only speed.
+    The tokenizers meant here turn text to lower case, drop white space, and split words into letters, digits and signs
+    before they merge, so that a text's ids are its words' ids in a row, and a word's those of its parts.  The library gets
+    every new part once, and as a whole every word with characters beyond ``_PLAIN``, for which nothing is assumed about
+    lower case or splitting.  A table is emptied beyond ``limit`` entries, which changes only speed.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
-        if path not in _loaded:
-            from tokenizers import Tokenizer
-
-            _loaded[path] = Tokenizer.from_file(path)
-        self.library, self.limit = _loaded[path], limit
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[list[int]]:
-        words = [_WORD.findall(text or "") for text in texts]
-        new = list(set().union(*words).difference(self.known))
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = list(set().union(*words))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            encoding = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, owners = encoding.ids, np.array(encoding.word_ids, np.int64)
-            ends = np.searchsorted(owners, np.arange(len(part)), side="right").tolist()
-            self.known.update((word, tuple(ids[a:b])) for word, a, b in zip(part, [0, *ends], ends))
-        known = self.known
-        return [list(chain.from_iterable([known[word] for word in item])) for item in words]
+    def __init__(self, path: str, limit: int = 1_000_000):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+        self.special = [token.content for token in self.library.get_added_tokens_decoder().values()]
+        self.parts, self.others = _Parts(self._ids, limit), Memo(self._ids, limit // 8)
+
+    def _ids(self, text: str) -> bytes:
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        text, parts = text or "", self.parts
+        special = any(token in text for token in self.special)
+        if not special and _PLAIN.fullmatch(text):
+            found = [parts[word] for word in text.lower().split()]
+        else:
+            found = [
+                parts[word.lower()] if not special and _PLAIN.fullmatch(word) else self.others[word]
+                for word in _WORD.findall(text)
+            ]
+        return np.frombuffer(b"".join(found), self.code)
+
+
+def word_ids(path: str) -> WordIds:
+    """The tables of a tokenizer's file, kept for all tasks of a process."""
+    if path not in _loaded:
+        _loaded[path] = WordIds(path)
+    return _loaded[path]
 
 
 class Grammar(NamedTuple):
@@ -84,13 +124,13 @@ class Grammar(NamedTuple):
 def _frequent(keys: np.ndarray, most: int, least: int) -> np.ndarray:
     """The most frequent keys, at most ``most``, each at least ``least`` times; the more frequent first, then by key."""
     ordered = np.sort(keys)
-    if not len(ordered):
-        return ordered
-    edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    counts = np.diff(np.append(edges, len(ordered)))
-    enough = np.flatnonzero(counts >= least)
-    values, counts = ordered[edges[enough]], counts[enough]
-    return values[np.lexsort((values, -counts))[:most]]
+    if len(ordered) < least:
+        return ordered[:0]
+    # A value that stands often enough equals the one that many places on; only such are counted.
+    early = ordered[: len(ordered) - least + 1]
+    often = np.unique(early[early == ordered[least - 1 :]])
+    counts = np.searchsorted(ordered, often, side="right") - np.searchsorted(ordered, often, side="left")
+    return often[np.lexsort((often, -counts))[:most]]
 
 
 def _ranks(keys: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,24 +171,26 @@ def _apart(places: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 
 def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST) -> Grammar:
     """Re-Pair over non-empty documents laid end to end; ``starts`` has each document's start and the end of the last."""
-    narrow = first + rounds * rules <= 1 << 16
+    narrow = first + rounds * rules < 1 << 16
     kind, shift = (np.uint32, 16) if narrow else (np.uint64, 32)
+    nothing = np.iinfo(kind).max  # the key of no pair: its first symbol is beyond all
     symbols = ids.astype(kind)
     closed = np.zeros(len(symbols), bool)  # the last symbol of a document
     closed[starts[1:] - 1] = True
     made, lengths = [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64)
     for _ in range(rounds):
-        keys = symbols[:-1] << kind(shift) | symbols[1:]
-        within = np.flatnonzero(~closed[:-1])
-        keys = keys[within]
-        chosen = _frequent(keys, rules, least)
+        keys = symbols[:-1] << kind(shift)
+        keys |= symbols[1:]
+        keys[closed[:-1]] = nothing
+        chosen = _frequent(keys, rules + 1, least)
+        chosen = chosen[chosen != nothing][:rules]
         if not len(chosen):
             break
         places, ranks = _ranks(keys, chosen)
-        places = within[places]
         picked = _apart(places, ranks)
         places, ranks = places[picked], ranks[picked]
-        used, ranks = np.unique(ranks, return_inverse=True)
+        uses = np.bincount(ranks, minlength=len(chosen)) > 0
+        used, ranks = np.flatnonzero(uses), (np.cumsum(uses) - 1)[ranks]
         pairs = np.stack([chosen[used] >> kind(shift), chosen[used] & kind((1 << shift) - 1)], axis=1).astype(np.int64)
         inner = pairs >= first
         sizes = np.ones(pairs.shape, np.int64)
@@ -217,6 +259,10 @@ class Shard:
         self.lengths = take("<u4", rules).astype(np.int64)
         self.symbols = take("<u2" if self.first + rules <= 1 << 16 else "<u4", symbols).astype(np.int64)
 
+    def all_ids(self) -> np.ndarray:
+        """Ids of all documents; ``id_starts`` tells them apart."""
+        return expand(self.symbols, self.rules, self.first)
+
     def ids(self, doc: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the shard's document number ``doc``; only symbols that reach into them are expanded."""
         symbols = self.symbols[self.starts[doc] : self.starts[doc + 1]]
@@ -243,7 +289,7 @@ def write_shards(
     """Encode every whole text and write the shards to ``path``."""
 
     def run(batches):
-        encode = WordIds(tokenizer)
+        encode = word_ids(tokenizer)
         first = max(encode.library.get_vocab_size(), end_id + 1)
         part, seq = TaskContext.get().partitionId(), 0
         names: list[int | None] = []
@@ -260,17 +306,17 @@ def write_shards(
             columns = [name.split()[0] for name in SHARDS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=columns)
 
-        size = 0
+        size, end = 0, np.array([end_id], np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
-                for name, encoded in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist())):
-                    encoded.append(end_id)
+                for name, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+                    encoded = np.concatenate([encode(text), end])
                     if held and size + len(encoded) > shard_tokens:
                         yield close()
                         size = 0
                     names.append(name)
-                    held.append(np.array(encoded, np.int64))
+                    held.append(encoded)
                     size += len(encoded)
         if held:
             yield close()
@@ -297,14 +343,18 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, seq, payload in zip(*(column.to_pylist() for column in batch.columns)):
                 shard = Shard(payload)
-                count = len(shard.doc_ids)
+                count, ids = len(shard.doc_ids), shard.all_ids().astype("<u4")
+                bounds = pa.array(4 * shard.id_starts, pa.int64())
+                each = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), count, [None, bounds.buffers()[1], pa.py_buffer(ids.tobytes())]
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part] * count, pa.int32()),
                         pa.array([seq] * count, pa.int64()),
                         pa.array(shard.doc_ids, pa.int64()),
                         pa.array(shard.id_starts[:-1], pa.int64()),
-                        pa.array([shard.ids(i).astype("<u4").tobytes() for i in range(count)], pa.binary()),
+                        each.cast(pa.binary()),
                     ],
                     names=["part", "seq", "doc_id", "place", "ids"],
                 )
@@ -318,5 +368,6 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     found = read_documents(spark, path).select(
         "part", "seq", "doc_id", "place", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
-    placed = found.join(shard_starts(spark, path), ["part", "seq"])
+    # Written down, the small table has a size by which Spark plans the join.
+    placed = found.join(materialise(shard_starts(spark, path), "shard-starts"), ["part", "seq"])
     return placed.select("doc_id", (F.col("shard_start") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
