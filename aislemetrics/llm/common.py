@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -17,6 +18,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def least_hashed(frame: DataFrame, key: str, limit: int) -> DataFrame:
+    """The ``limit`` rows of ``frame`` whose ``key`` has the least hash; a sample that depends on the keys alone.
+
+    Rows are counted first, and only those below a bound that about twice ``limit`` keys reach are put in order, so that
+    what tasks hand on does not grow with their number.  Where keys repeat so that too few are below it, all are.
+    """
+    order = F.xxhash64(key)
+    rows = frame.count()
+    if rows > 4 * limit:
+        below = frame.where(order <= F.lit(int(2**64 * (2 * limit / rows)) - 2**63))
+        if below.select(key).count() >= limit:
+            frame = below
+    return frame.orderBy(order, *frame.columns).limit(limit)
+
+
 class Memo(dict):
     """A table of ``function(key)`` for the distinct keys a task has met.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aislemetrics.llm import tagger
-from aislemetrics.llm.common import map_rows
+from aislemetrics.llm.common import least_hashed, map_rows
 
 KINDS = ("email", "ip", "card", "phone")
 # Documents in the training sample (those of least hash), characters taken from each, windows drawn, and their length.
@@ -205,14 +205,8 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, chars: in
     """The tagger trained on a sample of at most ``sample`` documents and ``chars`` characters from each."""
     text = F.col(text_col)
     offset = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length(text) - chars)).cast("int") + 1
-    rows = (
-        docs.where(text.isNotNull())
-        .select("doc_id", text.alias("text"), offset.alias("offset"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-        .limit(sample)
-        .select(F.substring("text", F.col("offset"), F.lit(chars)).alias("text"))
-        .collect()
-    )
+    parts = docs.where(text.isNotNull()).select("doc_id", F.substring(text, offset, F.lit(chars)).alias("text"))
+    rows = least_hashed(parts, "doc_id", sample).collect()
     return tagger.train(*examples([row.text for row in rows]), tags=len(KINDS) + 1)
 
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislemetrics.llm.common import Memo, map_rows
+from aislemetrics.llm.common import Memo, least_hashed, map_rows
 from aislemetrics.session import materialise
 
 # Buckets of the hashed n-grams.
@@ -217,13 +217,8 @@ def quality_rules(
 
     ``labels`` has doc_id, quality (1 trusted, 0 not) and toxic; toxic documents are not trusted.
     """
-    trusted = (
-        labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
-        .select("doc_id")
-        .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(trusted_limit)
-    )
+    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
+    trusted = least_hashed(trusted, "doc_id", trusted_limit)
     ratios = log_ratios(ngram_counts(docs, trusted, text_col))
     scored = score(docs, ratios, text_col, carry)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
