@@ -12,12 +12,19 @@ from pyspark.sql.types import StructType
 
 # Documents handled together inside a task; bounds the Python objects alive at once.
 SLICE = 256
+# Rows and bytes in one batch that goes to Python, so that wide rows of long texts take little memory beside the heap.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
+
+
 def least_hashed(frame: DataFrame, key: str, limit: int) -> DataFrame:
     """The ``limit`` rows of ``frame`` whose ``key`` has the least hash; a sample that depends on the keys alone.
 
@@ -66,6 +73,7 @@ def map_rows(
     ``start()`` runs once a task and returns a function from the lists of ``columns`` to the lists (or Arrow arrays) of the
     new columns.  Nothing but ``carry`` and ``columns`` is read, so further columns, whatever their names, do no harm.
     """
+    bounded_batches(frame.sparkSession)
     new = frame.sparkSession.createDataFrame([], schema).schema
     result = StructType([frame.schema[name] for name in carry] + list(new))
     frame = frame.select(*carry, *columns)

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislemetrics.llm.common import SLICE, map_rows
+from aislemetrics.llm.common import SLICE, bounded_batches, map_rows
 
 WINDOW = 10
 BLOCK_CHARS = 250_000
@@ -106,6 +106,7 @@ def clean_documents(
     docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, limit: int = BLOCK_CHARS
 ) -> DataFrame:
     """Rows of ``docs``, all columns as they are, whose text holds no window of an item."""
+    bounded_batches(docs.sparkSession)
     scan = _scanner(blocks(items, limit), window)
     place = docs.columns.index(text_col)
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislemetrics.llm.common import Memo, least_hashed, map_rows
+from aislemetrics.llm.common import Memo, bounded_batches, least_hashed, map_rows
 from aislemetrics.session import materialise
 
 # Buckets of the hashed n-grams.
@@ -107,6 +107,7 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, text_col: str = "text", bu
     marked = docs.select("doc_id", F.col(text_col).alias("text")).join(
         F.broadcast(trusted.select("doc_id").distinct().withColumn("is_target", F.lit(True))), "doc_id", "left"
     )
+    bounded_batches(docs.sparkSession)
     schema = "bucket int, n_raw long, n_target long"
 
     def run(batches):
