@@ -33,16 +33,27 @@ def period_no(week_id: Column) -> Column:
     return F.substring(week_id.cast("string"), 5, 2)
 
 
+def week_at(number: Column) -> Column:
+    """Id of the week with a counter."""
+    return week_of_date(F.date_add(F.lit(FIRST_MONDAY), 7 * number))
+
+
+def with_calendar(df: DataFrame) -> DataFrame:
+    """Add week id, week counter and day of the week to a frame with ``date_id``, whatever the dates."""
+    date = F.col("date_id")
+    return df.withColumns(
+        {
+            "fis_week_id": week_of_date(date),
+            "fis_week_of_epoch_num": week_number(date),
+            "fis_day_of_week_num": day_of_week(date),
+        }
+    )
+
+
 def date_dim(spark: SparkSession, first: dt.date, last: dt.date) -> DataFrame:
     """One row per date from ``first`` to ``last``."""
     days = spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("date_id"))
-    date = F.col("date_id")
-    return days.select(
-        "date_id",
-        week_of_date(date).alias("fis_week_id"),
-        week_number(date).alias("fis_week_of_epoch_num"),
-        day_of_week(date).alias("fis_day_of_week_num"),
-    )
+    return with_calendar(days)
 
 
 def weeks(dates: DataFrame) -> DataFrame:
@@ -51,48 +62,40 @@ def weeks(dates: DataFrame) -> DataFrame:
 
 def shift_weeks(dates: DataFrame, back: int) -> DataFrame:
     """(fis_week_id, shifted_week_id): the week ``back`` weeks earlier, later when negative."""
-    later = weeks(dates).withColumn("target", F.col("fis_week_of_epoch_num") - back)
-    target = weeks(dates).select(
-        F.col("fis_week_id").alias("shifted_week_id"), F.col("fis_week_of_epoch_num").alias("target")
-    )
-    return later.join(target, "target").select("fis_week_id", "shifted_week_id")
+    shifted = week_at(F.col("fis_week_of_epoch_num") - back).alias("shifted_week_id")
+    return weeks(dates).select("fis_week_id", shifted)
 
 
 class Weeks:
-    """Driver copy of the week table, about 52 rows a year, for the week ids of plan parameters."""
+    """Week ids of plan parameters: shifts, counts and dates, by the ISO rules alone."""
 
-    def __init__(self, rows: list[tuple[int, int, dt.date, dt.date]]):
-        self._number = {week: number for week, number, _, _ in rows}
-        self._week = {number: week for week, number, _, _ in rows}
-        self._days = {week: (first, last) for week, _, first, last in rows}
-
-    @classmethod
-    def of(cls, dates: DataFrame) -> Weeks:
-        bounds = dates.groupBy("fis_week_id", "fis_week_of_epoch_num").agg(F.min("date_id"), F.max("date_id"))
-        return cls([tuple(row) for row in bounds.collect()])
+    def monday(self, week_id: int) -> dt.date:
+        try:
+            return dt.date.fromisocalendar(week_id // 100, week_id % 100, 1)
+        except ValueError:
+            raise ValueError(f"there is no week {week_id}") from None
 
     def number(self, week_id: int) -> int:
         """Counter of a week."""
-        if week_id not in self._number:
-            raise ValueError(f"week {week_id} is not in the date table")
-        return self._number[week_id]
+        return (self.monday(week_id) - FIRST_MONDAY).days // 7
+
+    def at(self, number: int) -> int:
+        """Id of the week with a counter."""
+        year, week, _ = (FIRST_MONDAY + dt.timedelta(weeks=number)).isocalendar()
+        return year * 100 + week
 
     def shifted(self, week_id: int, back: int) -> int:
         """Id of the week ``back`` weeks earlier, later when negative."""
-        number = self.number(week_id) - back
-        if number not in self._week:
-            raise ValueError(f"the date table does not reach {back} weeks back from {week_id}")
-        return self._week[number]
+        return self.at(self.number(week_id) - back)
 
     def count(self, week_from: int, week_to: int) -> int:
         return self.number(week_to) - self.number(week_from) + 1
 
     def between(self, week_from: int, week_to: int) -> list[int]:
-        return sorted(week for week in self._number if week_from <= week <= week_to)
+        return [self.at(n) for n in range(self.number(week_from), self.number(week_to) + 1)]
 
     def days(self, week_from: int, week_to: int) -> tuple[dt.date, dt.date]:
         """First and last date of an inclusive week range."""
-        inside = self.between(week_from, week_to)
-        if not inside:
-            raise ValueError(f"weeks {week_from}-{week_to} are not in the date table")
-        return self._days[inside[0]][0], self._days[inside[-1]][1]
+        if week_from > week_to:
+            raise ValueError(f"no weeks from {week_from} to {week_to}")
+        return self.monday(week_from), self.monday(week_to) + dt.timedelta(days=6)

@@ -1,14 +1,11 @@
-"""Regression and test statistics as columns, plus Student's t for Arrow batches."""
+"""Regression and test statistics as columns."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 # Moment columns of a fit of {y} on {x}.  All are Spark's mergeable central moments, so partial
@@ -183,68 +180,61 @@ def add_quality(df: DataFrame, degree: int) -> DataFrame:
 F_TAIL_TWO = "pow(1 + 2 * f_value / nullif(dof, 0D), -dof / 2)"
 
 
-# --- Student's t, on Arrow batches ------------------------------------------------------------
-
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-
-
-def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    c = np.ones_like(x)
-    d = 1 - (a + b) * x / (a + 1)
-    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-    value = d.copy()
-    for m in range(1, 400):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for term in (even, odd):
-            d = 1 + term * d
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1 + term / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            value = value * c * d
-        if np.all(np.abs(c * d - 1) < 1e-15):
-            break
-    return value
-
-
-def t_two_sided(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
-    """P(|T| > |t|) for Student's t: the regularised incomplete beta I_x(dof/2, 1/2)."""
-    t, dof = np.broadcast_arrays(np.asarray(t, float), np.asarray(dof, float))
-    a, b, x = dof / 2, np.full_like(dof, 0.5), dof / (dof + t * t)
-    with np.errstate(all="ignore"):
-        log_front = _lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(x) + b * np.log1p(-x)
-        front = np.exp(log_front)
-        direct = front * _beta_fraction(a, b, x) / a
-        mirrored = 1 - front * _beta_fraction(b, a, 1 - x) / b
-    return np.where(t == 0, 1.0, np.where(x < (a + 1) / (a + b + 2), direct, mirrored))
-
-
-def t_quantile_two_sided(alpha: float, dof: np.ndarray) -> np.ndarray:
-    """t with P(|T| > t) = alpha, by bisection."""
-    dof = np.asarray(dof, float)
-    low, high = np.zeros_like(dof), np.full_like(dof, 1e7)
-    for _ in range(120):
-        mid = (low + high) / 2
-        above = t_two_sided(mid, dof) > alpha
-        low, high = np.where(above, mid, low), np.where(above, high, mid)
-    return (low + high) / 2
-
-
-@F.pandas_udf(T.DoubleType())
-def t_p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
-    known = t.notna() & (dof > 0)
-    out = pd.Series(np.nan, index=t.index)
-    out[known] = t_two_sided(t[known].to_numpy(), dof[known].to_numpy())
-    return out.astype(object).where(known, None)
-
-
-@F.pandas_udf(T.DoubleType())
-def t_margin(dof: pd.Series, alpha: pd.Series) -> pd.Series:
-    known = dof > 0
-    out = pd.Series(np.nan, index=dof.index)
-    for level in alpha[known].unique():
-        rows = known & (alpha == level)
-        out[rows] = t_quantile_two_sided(float(level), dof[rows].to_numpy())
-    return out.astype(object).where(known, None)
+# --- Student's t ------------------------------------------------------------------------------
+
+
+# Beyond this probability inside, the one outside is summed by itself.
+_FAR = 0.999
+
+
+def _t_sums(t: Column, dof: Column) -> tuple[Column, Column]:
+    """P(|T| <= |t|), and P(|T| > |t|) to full relative accuracy where it is small.
+
+    Both are parts of one series in powers of the squared cosine of atan(t / sqrt(dof)): its first
+    ``dof // 2`` terms, and the rest of it, each term following from the one before.
+    """
+    angle = F.atan(F.abs(t) / F.sqrt(dof))
+    square = F.cos(angle) * F.cos(angle)
+    odd = dof % 2
+    count = F.floor((dof - odd) / 2).cast("int")
+
+    def add(acc: Column, k: Column) -> Column:
+        following = acc["term"] * square * (2 * k - 1 + odd) / (2 * k + odd)
+        return F.struct((acc["sum"] + acc["term"]).alias("sum"), following.alias("term"))
+
+    def terms(low: Column, high: Column) -> Column:
+        return F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term"))
+    first = F.aggregate(terms(F.lit(1), count), start, add)
+    front = F.when(odd == 1, F.lit(2 / math.pi) * F.sin(angle) * F.cos(angle)).otherwise(F.sin(angle))
+    inside = F.when(odd == 1, F.lit(2 / math.pi) * angle).otherwise(F.lit(0.0)) + front * first["sum"]
+    # As many terms as bring the rest below 1e-16 of it; a small multiple of dof this far out.
+    more = F.when((inside > _FAR) & (square > 0), F.ceil(-37 / F.ln(square))).otherwise(F.lit(0)).cast("int")
+    rest = F.struct(F.lit(0.0).alias("sum"), first["term"].alias("term"))
+    return inside, front * F.aggregate(terms(count + 1, count + more), rest, add)["sum"]
+
+
+def t_p_value(t: Column, dof: Column) -> Column:
+    """P(|T| > |t|) for a whole number of degrees of freedom, null below 1."""
+    inside, outside = _t_sums(t, dof.cast("long"))
+    found = F.when(inside > _FAR, outside).otherwise(1 - inside)
+    return F.when((dof.cast("long") >= 1) & t.isNotNull(), found)
+
+
+def t_margin(dof: Column, alpha: float) -> Column:
+    """t with P(|T| > t) = alpha, by halving an interval that holds it 60 times; null below 1 degree of freedom.
+
+    The highest such t, at one degree of freedom, is 1 / tan(pi * alpha / 2).
+    """
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = (acc["low"] + acc["high"]) / 2
+        below = _t_sums(mid, dof.cast("long"))[0] < 1 - alpha
+        low, high = F.when(below, mid).otherwise(acc["low"]), F.when(below, acc["high"]).otherwise(mid)
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    top = 1 / math.tan(math.pi * alpha / 2)
+    start = F.struct(F.lit(0.0).alias("low"), F.lit(top + 1).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, halve, lambda acc: (acc["low"] + acc["high"]) / 2)
+    return F.when(dof.cast("long") >= 1, found)

@@ -1,13 +1,18 @@
-"""Principal components, singular values and projections of customer feature tables."""
+"""Principal components, singular values and projections of customer feature tables.
+
+The decompositions are Spark ML's: its jobs sum up the rows, and the model comes back as one small
+matrix of features by components.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
+from pyspark.ml.feature import PCA, PCAModel, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,112 +20,108 @@ from pyspark.sql import types as T
 from aislemetrics.functions.columns import ratio
 from aislemetrics.operators import moments
 
-_ALL = "_all"
-
-
-def dense(long: pd.DataFrame, value: str) -> tuple[list[str], np.ndarray]:
-    """Sorted names and the dense matrix of one segment's (i, j, value) rows.
-
-    Constant features are left out: their correlations with the others are null.
-    """
-    table = long.pivot(index="i", columns="j", values=value).sort_index(axis=0).sort_index(axis=1)
-    moments.check_features(table.index)
-    matrix = table.to_numpy(dtype=float)
-    others = matrix + np.diag(np.full(len(matrix), np.nan))
-    kept = ~np.isnan(others).all(axis=1) if len(matrix) > 1 else np.array([True])
-    return list(table.index[kept]), matrix[np.ix_(kept, kept)]
-
+COMPONENTS = T.StructType(
+    [
+        T.StructField("component", T.IntegerType()),
+        T.StructField("eigenvalue", T.DoubleType()),
+        T.StructField("share", T.DoubleType()),
+        T.StructField("feature", T.StringType()),
+        T.StructField("weight", T.DoubleType()),
+    ]
+)
 
-def signed(vectors: np.ndarray) -> np.ndarray:
-    """Turn each column so that its largest entry is positive."""
-    peak = np.abs(vectors).round(10).argmax(axis=0)
-    sign = np.where(vectors[peak, np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
-    return vectors * sign
 
+def assembled(matrix: DataFrame, features: Sequence[str], column: str = "features") -> DataFrame:
+    return VectorAssembler(inputCols=list(features), outputCol=column).transform(matrix)
 
-def per_segment(matrix: DataFrame, by: Sequence[str], step, fields: list[tuple[str, T.DataType]]) -> DataFrame:
-    """Run a dense step on each segment's k x k matrix, all segments in parallel.
 
-    ``step`` maps one segment's long rows to a pandas frame with ``fields``.  A segment holds at
-    most MAX_FEATURES^2 rows, whatever the number of customers behind it.
-    """
-    keys = list(by) or [_ALL]
-    source = matrix if by else matrix.withColumn(_ALL, F.lit(0))
-    schema = T.StructType([source.schema[c] for c in keys])
-    for name, kind in fields:
-        schema = schema.add(name, kind)
+def standardised(matrix: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``features`` as a vector of columns with mean 0 and deviation 1; a constant column is all 0."""
+    raw = assembled(matrix, features, "_raw")
+    return StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(raw).transform(raw)
 
-    def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = step(rows)
-        for position, (name, value) in enumerate(zip(keys, group)):
-            out.insert(position, name, value)
-        return out
 
-    done = source.groupBy(*keys).applyInPandas(run, schema)
-    return done if by else done.drop(_ALL)
+def segments(table: DataFrame, by: Sequence[str]) -> Iterator[tuple[dict, DataFrame]]:
+    """Each segment's key and rows; the segments of a report, which the driver goes through one by one."""
+    if not by:
+        yield {}, table
+        return
+    for row in table.select(*by).distinct().orderBy(*by).collect():
+        own = row.asDict()
+        match = [F.col(name).eqNullSafe(F.lit(value)) for name, value in own.items()]
+        yield own, table.filter(reduce(and_, match))
 
 
-def symmetric_eigen(matrix: DataFrame, value: str, n: int | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., component, eigenvalue, share, feature, weight) of a symmetric matrix in long form.
+def _decomposed(vectors: DataFrame, features: list[str], k: int, constant: set[str]) -> list[tuple]:
+    """Rows of ``COMPONENTS`` for one table of vectors; the largest weight of a component is positive.
 
-    Components come largest first; the largest weight of each is positive.
+    A constant feature has no part in any component: its weights are null.
     """
-
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        names, dense_matrix = dense(rows, value)
-        values, vectors = np.linalg.eigh(dense_matrix)
-        order = np.argsort(values)[::-1]
-        values, vectors = values[order], signed(vectors[:, order])
-        kept = len(values) if n is None else min(n, len(values))
-        return pd.DataFrame(
-            {
-                "component": np.repeat(np.arange(1, kept + 1), len(names)),
-                "eigenvalue": np.repeat(values[:kept], len(names)),
-                "share": np.repeat(values[:kept] / values.sum(), len(names)),
-                "feature": np.tile(names, kept),
-                "weight": vectors[:, :kept].T.ravel(),
-            }
-        )
-
-    fields = [
-        ("component", T.IntegerType()),
-        ("eigenvalue", T.DoubleType()),
-        ("share", T.DoubleType()),
-        ("feature", T.StringType()),
-        ("weight", T.DoubleType()),
-    ]
-    return per_segment(matrix, by, step, fields)
+    k = min(k, len(features) - len(constant))
+    if k < 1:
+        return [(1, None, None, feature, None) for feature in features]
+    model = PCA(k=k, inputCol="features", outputCol="pca").fit(vectors)
+    spread = sum(vectors.select(Summarizer.variance(F.col("features"))).first()[0])
+    weights, shares = model.pc.toArray(), model.explainedVariance.toArray()
+    rows = []
+    for c in range(k):
+        peak = max(range(len(features)), key=lambda f: (round(abs(weights[f, c]), 10), -f))
+        sign = -1.0 if weights[peak, c] < 0 else 1.0
+        for f, feature in enumerate(features):
+            weight = None if feature in constant else float(sign * weights[f, c])
+            rows.append((c + 1, float(shares[c] * spread), float(shares[c]), feature, weight))
+    return rows
 
 
 def principal_components(
     matrix: DataFrame, features: Sequence[str], k: int, on: str = "rows", by: Sequence[str] = ()
 ) -> DataFrame:
-    """Components of the customers' covariance (``rows``), their correlation (``corr``), or of the
-    correlation table with its rows taken as observations (``corr_rows``)."""
-    if on == "rows":
-        return symmetric_eigen(moments.covariance(matrix, features, by), "cov", k, by)
-    corr = moments.correlation(matrix, features, by)
-    if on == "corr":
-        return symmetric_eigen(corr, "r", k, by)
-    if on == "corr_rows":
-        table = moments.wide(corr, features, "r", by)
-        return symmetric_eigen(moments.covariance(table, features, by), "cov", k, by)
-    raise ValueError(f"on must be 'rows', 'corr' or 'corr_rows', not {on!r}")
+    """(by..., component, eigenvalue, share, feature, weight), largest component first.
+
+    Components of the customers' covariance (``rows``), their correlation (``corr``), or of the
+    correlation table with its rows taken as observations (``corr_rows``).  A constant feature is
+    kept, with null weights.
+    """
+    if on not in ("rows", "corr", "corr_rows"):
+        raise ValueError(f"on must be 'rows', 'corr' or 'corr_rows', not {on!r}")
+    spark, features = matrix.sparkSession, list(features)
+    schema = T.StructType([matrix.schema[c] for c in by] + list(COMPONENTS))
+    rows: list[tuple] = []
+    for own, part in segments(matrix, by):
+        stats = moments.feature_stats_of(moments.pair_sums(part, features).filter("i = j"))
+        constant = {row.feature for row in stats.filter(F.col("std") == 0).collect()}
+        moving = [f for f in features if f not in constant]
+        if not moving:
+            found = _decomposed(part, features, k, constant)
+        elif on == "corr_rows":
+            table = moments.wide(moments.correlation(part, moving), moving, "r")
+            found = _decomposed(assembled(table, moving), moving, k, set())
+            found += [(c, value, share, f, None) for f in sorted(constant) for c, value, share in _values(found)]
+        else:
+            vectors = standardised(part, features) if on == "corr" else assembled(part, features)
+            found = _decomposed(vectors, features, k, constant)
+        rows += [(*own.values(), *row) for row in found]
+    return spark.createDataFrame(rows, schema)
+
+
+def _values(rows: list[tuple]) -> list[tuple]:
+    return list(dict.fromkeys(row[:3] for row in rows))
 
 
 def svd(matrix: DataFrame, features: Sequence[str], k: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(by..., component, singular_value, feature, weight) of the centred rows.
 
-    Singular values are the roots of the scatter matrix's eigenvalues; ``weight`` holds the right
-    vectors.  The left ones come from ``left_vectors``.
+    Singular values are the roots of n - 1 times the components' eigenvalues; ``weight`` holds the
+    right vectors.  The left ones come from ``left_vectors``.
     """
-    return svd_of(moments.scatter(matrix, features, by), k, by)
-
-
-def svd_of(scatter: DataFrame, k: int | None = None, by: Sequence[str] = ()) -> DataFrame:
-    eigen = symmetric_eigen(scatter, "s", k, by)
-    root = F.sqrt(F.greatest(F.col("eigenvalue"), F.lit(0.0)))
-    return eigen.select(*by, "component", root.alias("singular_value"), "feature", "weight")
+    found = principal_components(matrix, features, k or len(features), by=by)
+    size = matrix.groupBy(*by).agg((F.count("*") - 1).alias("dof"))
+    if by:
+        found = found.join(size, list(by))
+    else:
+        found = found.withColumn("dof", size.scalar())
+    root = F.sqrt(F.greatest(F.col("eigenvalue") * F.col("dof"), F.lit(0.0)))
+    return found.select(*by, "component", root.alias("singular_value"), "feature", "weight")
 
 
 def wide_weights(weights: DataFrame, index: str, value: str, n: int, by: Sequence[str] = ()) -> DataFrame:
@@ -182,27 +183,25 @@ def left_vectors(
     )
 
 
-def q_mode_scores(corr: DataFrame, component: int = 2, by: Sequence[str] = ()) -> DataFrame:
+def q_mode_scores(matrix: DataFrame, features: Sequence[str], component: int = 2, by: Sequence[str] = ()) -> DataFrame:
     """(by..., feature, score): correlation rows projected on one singular vector, over its value.
 
-    The default is the second component.
+    The default is the second component.  A constant feature has no score.
     """
-    vector = symmetric_eigen(corr, "r", component, by).filter(F.col("component") == component)
-    vector = vector.select(*by, F.col("feature").alias("j"), "weight", "eigenvalue")
-    products = corr.join(vector, [*by, "j"])
+    found = principal_components(matrix, features, component, "corr", by).filter(F.col("component") == component)
+    vector = found.select(*by, F.col("feature").alias("j"), "weight", "eigenvalue")
+    products = moments.correlation(matrix, features, by).join(vector, [*by, "j"])
     score = ratio(F.sum(F.col("r") * F.col("weight")), F.first("eigenvalue"))
-    return products.groupBy(*by, F.col("i").alias("feature")).agg(score.alias("score"))
+    scored = products.groupBy(*by, F.col("i").alias("feature")).agg(score.alias("score"))
+    known = vector.select(*by, F.col("j").alias("feature"), F.col("weight").isNotNull().alias("moves"))
+    return scored.join(known, [*by, "feature"]).select(*by, "feature", F.when(F.col("moves"), F.col("score")).alias("score"))
 
 
 # --- the same, as a saved model -----------------------------------------------------------------
 
 
-def assembled(matrix: DataFrame, features: Sequence[str], column: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=column).transform(matrix)
-
-
 def fit_pca_model(matrix: DataFrame, features: Sequence[str], k: int = 4) -> PCAModel:
-    vectors = assembled(matrix, moments.check_features(features)).select("features")
+    vectors = assembled(matrix, features).select("features")
     return PCA(k=min(k, len(features)), inputCol="features", outputCol="pca_features").fit(vectors)
 
 

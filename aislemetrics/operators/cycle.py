@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aislemetrics.session import materialise
+
 
 def shopper_days(items: DataFrame) -> DataFrame:
     """Distinct (card_id, date_id) of card holders."""
@@ -52,10 +54,14 @@ def cumulative_cycles(cycles: DataFrame) -> DataFrame:
 def histogram(values: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Equal-width bins from the minimum to the maximum; the last bin is closed.
 
-    Works on counted values, and takes the two bounds as scalar subqueries.
+    The values are counted and written to the shared folder, so that the bounds are read off the
+    counts and not found by a second pass over what lies below.
     """
-    counted = values.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    low, high = counted.agg(F.min("v")).scalar(), counted.agg(F.max("v")).scalar()
-    inner = F.width_bucket(F.col("v").cast("double"), low.cast("double"), high.cast("double"), F.lit(bins))
-    bin_no = F.when(low == high, F.lit(1)).otherwise(F.least(inner, F.lit(bins)))
+    counted = values.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v"))
+    counted = materialise(counted.agg(F.count("*").alias("n")), "histogram")
+    low, high = counted.agg(F.min("v"), F.max("v")).first()
+    if low is None or low == high:
+        bin_no = F.lit(1)
+    else:
+        bin_no = F.least(F.width_bucket("v", F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins))
     return counted.groupBy(bin_no.cast("int").alias("bin")).agg(F.sum("n").alias("n"))

@@ -1,88 +1,30 @@
-"""Factor analysis of need states: loadings, members and customer scores."""
+"""Factors of need states by the principal-component method: loadings, members and customer scores."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from aislemetrics.functions.columns import strip_prefix
-from aislemetrics.operators.components import dense, per_segment, project, signed
-
-ROTATIONS = {"varimax": 1.0, "quartimax": 0.0}
-
-
-def rotated(loadings: np.ndarray, rotation: str, eps: float = 1e-6, max_rounds: int = 1000) -> np.ndarray:
-    """Orthogonal rotation that maximises the varimax or quartimax criterion.
-
-    Stops when the rotation itself stands still: near a flat start the criterion gains little at
-    first although the best rotation is far away.
-    """
-    gamma = ROTATIONS[rotation]
-    turn = np.eye(loadings.shape[1])
-    for _ in range(max_rounds):
-        now = loadings @ turn
-        target = now**3 - gamma * now * (now**2).mean(axis=0)
-        left, _, right = np.linalg.svd(loadings.T @ target)
-        last, turn = turn, left @ right
-        if np.abs(turn - last).max(initial=0.0) < eps:
-            break
-    return loadings @ turn
-
-
-def principal_axes(corr: np.ndarray, n_factor: int, tol: float = 1e-8, max_rounds: int = 50) -> np.ndarray:
-    """Iterated principal-axis factoring, started from the squared multiple correlations."""
-    share = 1 - 1 / np.diag(np.linalg.pinv(corr))
-    for _ in range(max_rounds):
-        reduced = corr.copy()
-        np.fill_diagonal(reduced, share)
-        values, vectors = np.linalg.eigh(reduced)
-        kept = min(n_factor, int((values > 0).sum()))
-        top = np.argsort(values)[::-1][:kept]
-        loadings = vectors[:, top] * np.sqrt(values[top])
-        last, share = share, (loadings**2).sum(axis=1)
-        if np.linalg.norm(share - last) < tol:
-            break
-    return loadings
+from aislemetrics.functions.columns import ratio, strip_prefix
+from aislemetrics.operators.components import principal_components, project
 
 
 def factor_loadings(
-    corr: DataFrame, n_factor: int = 11, rotation: str | None = "varimax", by: Sequence[str] = ()
+    matrix: DataFrame, features: Sequence[str], n_factor: int = 11, by: Sequence[str] = ()
 ) -> DataFrame:
-    """(by..., feature, factor, loading, uniqueness) from a long correlation table.
+    """(by..., feature, factor, loading, uniqueness) of the features' correlation.
 
-    Factors are ordered by their sum of squared loadings; the largest loading of each is positive.
+    A loading is a feature's correlation with a component; factors are ordered by what they explain,
+    and the largest loading of each is positive.  They are not rotated.  A constant feature is kept,
+    with null loadings.
     """
-    if rotation is not None and rotation not in ROTATIONS:
-        raise ValueError(f"rotation must be None or one of {sorted(ROTATIONS)}, not {rotation!r}")
-
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        names, matrix = dense(rows, "r")
-        loadings = principal_axes(matrix, n_factor)
-        if rotation is not None:
-            loadings = rotated(loadings, rotation)
-        loadings = signed(loadings[:, np.argsort(-(loadings**2).sum(axis=0), kind="stable")])
-        n = loadings.shape[1]
-        return pd.DataFrame(
-            {
-                "feature": np.repeat(names, n),
-                "factor": np.tile(np.arange(1, n + 1), len(names)),
-                "loading": loadings.ravel(),
-                "uniqueness": np.repeat(1 - (loadings**2).sum(axis=1), n),
-            }
-        )
-
-    fields = [
-        ("feature", T.StringType()),
-        ("factor", T.IntegerType()),
-        ("loading", T.DoubleType()),
-        ("uniqueness", T.DoubleType()),
-    ]
-    return per_segment(corr, by, step, fields)
+    found = principal_components(matrix, features, n_factor, "corr", by)
+    loading = F.col("weight") * F.sqrt(F.greatest(F.col("eigenvalue"), F.lit(0.0)))
+    loaded = found.select(*by, "feature", F.col("component").alias("factor"), loading.alias("loading"))
+    shared = F.sum(F.col("loading") * F.col("loading")).over(Window.partitionBy(*by, "feature"))
+    return loaded.withColumn("uniqueness", 1 - shared)
 
 
 def factor_members(
@@ -95,6 +37,23 @@ def factor_members(
     return shown.join(names, "prod_hier_l10_code").select(*by, "prod_hier_l10_code", "prod_hier_l10_desc", "loading")
 
 
-def factor_scores(need: DataFrame, loadings: DataFrame, n_factor: int, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., card_id, factor_1..n): every customer's features weighted by the loadings."""
-    return project(need, loadings, "factor", "loading", n_factor, by, prefix="factor")
+def factor_scores(
+    need: DataFrame, loadings: DataFrame, stats: DataFrame, n_factor: int, by: Sequence[str] = (), key: str = "card_id"
+) -> DataFrame:
+    """(by..., key, factor_1..n): every customer's standardised features weighted by the loadings.
+
+    ``stats`` is (by..., feature, mean, std).  A feature that a customer lacks counts as 0 before it
+    is standardised, so the sum over the features present is shifted by one constant per factor.
+    """
+    scaled = loadings.join(stats.select(*by, "feature", "mean", "std"), [*by, "feature"])
+    scaled = scaled.select(*by, "feature", "factor", "mean", ratio(F.col("loading"), F.col("std")).alias("weight"))
+    shift = [
+        F.coalesce(F.sum(F.when(F.col("factor") == i, F.col("mean") * F.col("weight"))), F.lit(0.0)).alias(f"shift_{i}")
+        for i in range(1, n_factor + 1)
+    ]
+    shifts = scaled.groupBy(*by).agg(*shift)
+    sums = project(need, scaled, "factor", "weight", n_factor, by, key, prefix="factor")
+    sums = sums.join(shifts, list(by)) if by else sums.join(F.broadcast(shifts))
+    return sums.select(
+        *by, key, *[(F.col(f"factor_{i}") - F.col(f"shift_{i}")).alias(f"factor_{i}") for i in range(1, n_factor + 1)]
+    )

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislemetrics.functions.calendar import Weeks
+from aislemetrics.functions.calendar import Weeks, day_of_week
 
 # Rows without a card all share the null join key; they are spread over this many join keys.
 NULL_KEY_SPREAD = 1024
@@ -33,15 +33,16 @@ def in_formats(items: DataFrame, stores: DataFrame, formats) -> DataFrame:
     return items.join(scope, "store_id", "left_semi")
 
 
-def tag_customers(items: DataFrame, segments: DataFrame) -> DataFrame:
-    """Left join of the customer tags on ``card_id``.
+def tag_customers(baskets: DataFrame, segments: DataFrame) -> DataFrame:
+    """Left join of the customer tags on ``card_id``, for basket headers or for whole lines.
 
-    A row without a card matches nothing, so it gets a spread-out second key instead of meeting
-    all other such rows in one join task.
+    A basket has one card, so tags are best joined to the headers, before the lines.  A row without
+    a card matches nothing, so it gets a spread-out second key instead of meeting all other such
+    rows in one join task.
     """
     no_card = F.col("card_id").isNull()
-    spread = F.pmod(F.xxhash64("transaction_fid", "prod_code"), F.lit(NULL_KEY_SPREAD)) + 1
-    left = items.withColumn("_spread", F.when(no_card, spread).otherwise(F.lit(0)))
+    spread = F.pmod(F.xxhash64("transaction_fid"), F.lit(NULL_KEY_SPREAD)) + 1
+    left = baskets.withColumn("_spread", F.when(no_card, spread).otherwise(F.lit(0)))
     right = segments.withColumn("_spread", F.when(no_card, F.lit(1)).otherwise(F.lit(0)).cast("long"))
     return left.join(right, ["card_id", "_spread"], "left").drop("_spread")
 
@@ -65,16 +66,33 @@ def item_slice(
     return sliced
 
 
+def end_customer_baskets(
+    baskets: DataFrame, segments: DataFrame, traders: Sequence[str] = ("Trader", "trader")
+) -> DataFrame:
+    """Basket headers of card holders that are not traders, tagged; an unknown tag is dropped.
+
+    A plain inner join of headers with the wanted customers: rows without a card go before it.
+    """
+    wanted = segments.filter(~F.col("kptr_seg").isin(list(traders)))
+    return baskets.filter(F.col("card_id").isNotNull()).join(wanted, "card_id")
+
+
 def end_customers(items: DataFrame, traders: Sequence[str] = ("Trader", "trader")) -> DataFrame:
     """Card holders that are not traders; an unknown tag (null) is dropped as well."""
     return items.filter(F.col("card_id").isNotNull()).filter(~F.col("kptr_seg").isin(list(traders)))
 
 
-def filter_day_of_week(items: DataFrame, dates: DataFrame, days) -> DataFrame:
-    """Items of the given week days; adds ``fis_day_of_week_num``."""
-    wanted = dates.filter(F.col("fis_day_of_week_num").isin(as_list(days)))
-    wanted = wanted.select(F.col("date_id").cast("date").alias("date_id"), "fis_day_of_week_num")
-    return items.join(wanted, "date_id")
+def filter_day_of_week(items: DataFrame, days, dates: DataFrame | None = None) -> DataFrame:
+    """Items of the given week days; adds ``fis_day_of_week_num``.
+
+    The day follows from the date; a caller with a date table of its own may give that instead.
+    """
+    if dates is None:
+        dated = items.withColumn("fis_day_of_week_num", day_of_week(F.col("date_id")))
+    else:
+        own = dates.select(F.col("date_id").cast("date").alias("date_id"), "fis_day_of_week_num")
+        dated = items.join(own, "date_id")
+    return dated.filter(F.col("fis_day_of_week_num").isin(as_list(days)))
 
 
 def filter_products(items: DataFrame, products: DataFrame, codes) -> DataFrame:

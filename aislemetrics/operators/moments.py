@@ -15,61 +15,90 @@ from pyspark.sql import types as T
 
 from aislemetrics.functions.columns import ratio
 
-# Dense k x k steps run inside one task: 1,000 features are 8 MB.
-MAX_FEATURES = 1000
-# Matrix cells a task keeps for its segments: 64 MB.
-MAX_CELLS = 8_000_000
+# Rows of partial sums a task hands on at a time.
+CHUNK = 100_000
 
-_SUMS = ("n", "si", "sj", "sii", "sjj", "sij")
-
-
-def check_features(features: Sequence[str]) -> list[str]:
-    features = list(features)
-    if len(features) > MAX_FEATURES:
-        raise ValueError(f"{len(features)} features are more than a dense matrix step takes ({MAX_FEATURES})")
-    return features
+_PARTIAL = ("n", "mi", "mj", "cii", "cjj", "cij")
 
 
 def pair_sums(matrix: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., i, j, n, si, sj, sii, sjj, sij) for i <= j, from a wide zero-filled matrix.
+    """(by..., i, j, n, mi, mj, sii, sjj, sij) for i <= j, from a wide zero-filled matrix.
 
-    Each task multiplies its rows' matrix with itself, so what is shuffled is one small table of
-    sums per task and segment - never a pair of features per customer.
+    ``mi`` and ``mj`` are the means, ``sij`` the cross products about them: nothing cancels where a
+    mean is many times the spread.  Each task multiplies its rows' matrix with itself, one segment
+    after the other, so it holds the sums of one segment; what is shuffled is one row per task,
+    segment and pair - never a pair of features per customer.  Nulls and NaN are refused.
     """
-    features = check_features(features)
+    features = list(features)
     keys = list(by)
     k = len(features)
-    upper = np.triu_indices(k)
-    names = np.array(features, dtype=object)
 
-    def flush(totals: dict) -> Iterator[pd.DataFrame]:
-        i, j = upper
-        for group, (n, s, g) in totals.items():
-            own = dict(zip(keys, group))
-            sums = {"n": n, "si": s[i], "sj": s[j], "sii": g[i, i], "sjj": g[j, j], "sij": g[i, j]}
-            yield pd.DataFrame({**own, "i": names[i], "j": names[j], **sums})
-        totals.clear()
+    def flush(group: tuple, n: int, mean: np.ndarray, cross: np.ndarray) -> Iterator[pd.DataFrame]:
+        own = dict(zip(keys, group))
+        rows = max(1, CHUNK // max(k, 1))
+        for low in range(0, k, rows):
+            i, j = np.triu_indices(min(low + rows, k) - low, low, k)
+            i = i + low
+            sums = {"n": n, "mi": mean[i], "mj": mean[j], "cii": cross[i, i], "cjj": cross[j, j], "cij": cross[i, j]}
+            yield pd.DataFrame({**own, "i": i, "j": j, **sums})
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[tuple, tuple[int, np.ndarray, np.ndarray]] = {}
+        held = None
         for batch in batches:
-            # With many segments the sums go out early; they are added up below all the same.
-            if len(totals) * k * k > MAX_CELLS:
-                yield from flush(totals)
             groups = batch.groupby(keys, dropna=False, sort=False) if keys else [((), batch)]
             for group, rows in groups:
                 x = rows[features].to_numpy(dtype=float)
-                n, s, g = totals.get(group, (0, np.zeros(k), np.zeros((k, k))))
-                totals[group] = (n + len(x), s + x.sum(axis=0), g + x.T @ x)
-        yield from flush(totals)
+                if np.isnan(x).any():
+                    raise ValueError("a feature is null or NaN: fill the matrix first")
+                mean = x.mean(axis=0)
+                centred = x - mean
+                block = (len(x), mean, centred.T @ centred)
+                if held is not None and held[0] == group:
+                    held = (group, *_merged(held[1:], block))
+                else:
+                    if held is not None:
+                        yield from flush(*held)
+                    held = (group, *block)
+        if held is not None:
+            yield from flush(*held)
 
     schema = T.StructType([matrix.schema[c] for c in keys])
-    for name, kind in [("i", T.StringType()), ("j", T.StringType()), ("n", T.LongType())]:
-        schema = schema.add(name, kind)
-    for name in _SUMS[1:]:
+    schema = schema.add("i", T.IntegerType()).add("j", T.IntegerType()).add("n", T.LongType())
+    for name in _PARTIAL[1:]:
         schema = schema.add(name, T.DoubleType())
-    partial = matrix.select(*keys, *[F.col(f"`{f}`") for f in features]).mapInPandas(add_up, schema)
-    return partial.groupBy(*keys, "i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    source = matrix.select(*keys, *[F.col(f"`{f}`") for f in features])
+    partial = (source.sortWithinPartitions(*keys) if keys else source).mapInPandas(add_up, schema)
+    return _total(partial, features, keys)
+
+
+def _merged(one: tuple, two: tuple) -> tuple:
+    """Count, means and centred cross products of two blocks together."""
+    (n1, m1, c1), (n2, m2, c2) = one, two
+    step = m2 - m1
+    return n1 + n2, m1 + step * (n2 / (n1 + n2)), c1 + c2 + np.outer(step, step) * (n1 * n2 / (n1 + n2))
+
+
+def _total(partial: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """Merge the tasks' sums about the overall means: one shuffle, of a row per task and pair."""
+    pair = Window.partitionBy(*keys, "i", "j")
+    rows = F.sum("n").over(pair)
+    means = {f"all_{m}": F.sum(F.col("n") * F.col(m)).over(pair) / rows for m in ("mi", "mj")}
+    off = {m: F.col(m) - F.col(f"all_{m}") for m in ("mi", "mj")}
+
+    def about_mean(cross: str, first: str, second: str) -> F.Column:
+        return F.sum(F.col(cross) + F.col("n") * off[first] * off[second])
+
+    summed = partial.withColumns(means).groupBy(*keys, "i", "j").agg(
+        F.sum("n").alias("n"),
+        F.first("all_mi").alias("mi"),
+        F.first("all_mj").alias("mj"),
+        about_mean("cii", "mi", "mi").alias("sii"),
+        about_mean("cjj", "mj", "mj").alias("sjj"),
+        about_mean("cij", "mi", "mj").alias("sij"),
+    )
+    names = F.split(F.lit("\x01".join(features)), "\x01")
+    named = {c: F.element_at(names, F.col(c) + 1) for c in ("i", "j")}
+    return summed.withColumns(named).select(*keys, "i", "j", "n", "mi", "mj", "sii", "sjj", "sij")
 
 
 def _mirrored(sums: DataFrame, by: Sequence[str], value: F.Column, name: str) -> DataFrame:
@@ -80,19 +109,23 @@ def _mirrored(sums: DataFrame, by: Sequence[str], value: F.Column, name: str) ->
     return valued.select(*by, "_p.i", "_p.j", name)
 
 
-def _centred(cross: str, first: str, second: str) -> F.Column:
-    return F.col(cross) - F.col(first) * F.col(second) / F.col("n")
-
-
 def scatter_of(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., i, j, s): cross products of the centred columns."""
-    return _mirrored(sums, by, _centred("sij", "si", "sj"), "s")
+    return _mirrored(sums, by, F.col("sij"), "s")
+
+
+def _per_degree(column: str) -> F.Column:
+    return ratio(F.col(column), (F.col("n") - 1).cast("double"))
 
 
 def covariance_of(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., i, j, cov): sample covariance, divided by n - 1."""
-    value = ratio(_centred("sij", "si", "sj"), (F.col("n") - 1).cast("double"))
-    return _mirrored(sums, by, value, "cov")
+    return _mirrored(sums, by, _per_degree("sij"), "cov")
+
+
+def _flat(s: str, m: str) -> F.Column:
+    """What a constant column leaves after centring is rounding noise."""
+    return F.col(s) <= F.col("n") * F.col(m) * F.col(m) * 1e-26
 
 
 def correlation_of(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -100,20 +133,20 @@ def correlation_of(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     A constant column has 1 on the diagonal and null off it.
     """
-    ssi, ssj = _centred("sii", "si", "si"), _centred("sjj", "sj", "sj")
-    # What a constant column leaves after centring is rounding noise.
-    flat = (ssi <= F.col("sii") * 1e-12) | (ssj <= F.col("sjj") * 1e-12)
-    r = ratio(_centred("sij", "si", "sj"), F.sqrt(ssi) * F.sqrt(ssj))
-    value = F.when(F.col("i") == F.col("j"), F.lit(1.0)).when(~flat, r)
+    r = ratio(F.col("sij"), F.sqrt("sii") * F.sqrt("sjj"))
+    moving = ~_flat("sii", "mi") & ~_flat("sjj", "mj")
+    value = F.when(F.col("i") == F.col("j"), F.lit(1.0)).when(moving, r)
     return _mirrored(sums, by, value, "r")
 
 
 def feature_stats_of(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., feature, n, mean, std): sample statistics, from the diagonal of the sums."""
+    """(by..., feature, n, mean, std): sample statistics, from the diagonal of the sums.
+
+    ``std`` is 0 for a constant feature.
+    """
     diagonal = sums.filter(F.col("i") == F.col("j"))
-    std = F.sqrt(F.greatest(ratio(_centred("sii", "si", "si"), (F.col("n") - 1).cast("double")), F.lit(0.0)))
-    mean = (F.col("si") / F.col("n")).alias("mean")
-    return diagonal.select(*by, F.col("i").alias("feature"), "n", mean, std.alias("std"))
+    std = F.when(_flat("sii", "mi"), F.lit(0.0)).otherwise(F.sqrt(_per_degree("sii")))
+    return diagonal.select(*by, F.col("i").alias("feature"), "n", F.col("mi").alias("mean"), std.alias("std"))
 
 
 # The same in one go; who needs several of them takes the sums once.
@@ -137,7 +170,7 @@ def feature_stats(matrix: DataFrame, features: Sequence[str], by: Sequence[str]
 
 def wide(long: DataFrame, features: Sequence[str], value: str, by: Sequence[str] = ()) -> DataFrame:
     """Long matrix as a table: one row per i, one column per j."""
-    return long.groupBy(*by, "i").pivot("j", check_features(features)).agg(F.first(value))
+    return long.groupBy(*by, "i").pivot("j", list(features)).agg(F.first(value))
 
 
 def long_rows(table: DataFrame, label: str, features: Sequence[str]) -> DataFrame:

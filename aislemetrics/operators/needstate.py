@@ -13,37 +13,51 @@ from aislemetrics.operators.items import product_levels
 SUBCLASS = "prod_hier_l10_code"
 
 
-def _in_scope(items: DataFrame, products: DataFrame, divisions) -> DataFrame:
-    scope = product_levels(products, SUBCLASS, divisions)
-    return items.filter(F.col("card_id").isNotNull()).join(scope, "prod_code")
+def _in_scope(lines: DataFrame, products: DataFrame, divisions, baskets: DataFrame | None) -> DataFrame:
+    """Lines of card holders with their subclass; ``baskets`` has the headers if the lines lack them.
+
+    Products come before baskets: rows joined on the basket last stay partitioned by basket, which
+    is the partitioning that the groupings by card and basket need.
+    """
+    found = lines.join(product_levels(products, SUBCLASS, divisions), "prod_code")
+    if baskets is not None:
+        held = baskets.filter(F.col("card_id").isNotNull()).select("transaction_fid", "card_id")
+        found = found.select("transaction_fid", SUBCLASS, "net_spend_amt").join(held, "transaction_fid")
+    return found.filter(F.col("card_id").isNotNull())
 
 
-def _basket_parts(items: DataFrame, products: DataFrame, divisions) -> DataFrame:
+def _basket_parts(lines: DataFrame, products: DataFrame, divisions, baskets: DataFrame | None) -> DataFrame:
     """Spend per card, basket and subclass: counting rows then replaces counting distinct baskets.
 
     Lines combine on the map side, so a hot card or basket leaves one row per subclass of a basket.
     """
-    joined = _in_scope(items, products, divisions)
+    joined = _in_scope(lines, products, divisions, baskets)
     return joined.groupBy("card_id", "transaction_fid", SUBCLASS).agg(F.sum("net_spend_amt").alias("spend"))
 
 
-def card_subclass_metrics(items: DataFrame, products: DataFrame, divisions=None) -> DataFrame:
+def card_subclass_metrics(
+    lines: DataFrame, products: DataFrame, divisions=None, baskets: DataFrame | None = None
+) -> DataFrame:
     """Visits and sales per card and subclass."""
-    parts = _basket_parts(items, products, divisions)
+    parts = _basket_parts(lines, products, divisions, baskets)
     return parts.groupBy("card_id", SUBCLASS).agg(
         F.count("*").alias("subcl_visits"), F.sum("spend").alias("subcl_sales")
     )
 
 
-def card_metrics(items: DataFrame, products: DataFrame, divisions=None) -> DataFrame:
+def card_metrics(
+    lines: DataFrame, products: DataFrame, divisions=None, baskets: DataFrame | None = None
+) -> DataFrame:
     """Visits and sales per card, over the divisions in scope."""
-    joined = _in_scope(items, products, divisions)
+    joined = _in_scope(lines, products, divisions, baskets)
     baskets = joined.groupBy("card_id", "transaction_fid").agg(F.sum("net_spend_amt").alias("spend"))
     return baskets.groupBy("card_id").agg(F.count("*").alias("visits"), F.sum("spend").alias("sales"))
 
 
-def need_state(items: DataFrame, products: DataFrame, divisions=None) -> DataFrame:
-    """(card_id, subcl, pct_visits, pct_sales); items without a card have no need state.
+def need_state(
+    lines: DataFrame, products: DataFrame, divisions=None, baskets: DataFrame | None = None
+) -> DataFrame:
+    """(card_id, subcl, pct_visits, pct_sales); baskets without a card have no need state.
 
     One chain instead of two aggregates and a join: each basket is counted in its first subclass
     only, so a card's distinct baskets are a plain sum over its subclasses.  Windows hold the
@@ -51,7 +65,7 @@ def need_state(items: DataFrame, products: DataFrame, divisions=None) -> DataFra
     """
     basket, card = Window.partitionBy("card_id", "transaction_fid"), Window.partitionBy("card_id")
     first = F.when(F.col(SUBCLASS) == F.min(SUBCLASS).over(basket), F.lit(1)).otherwise(F.lit(0))
-    counted = _basket_parts(items, products, divisions).withColumn("first", first)
+    counted = _basket_parts(lines, products, divisions, baskets).withColumn("first", first)
     counted = counted.groupBy("card_id", SUBCLASS).agg(
         F.count("*").alias("subcl_visits"), F.sum("spend").alias("subcl_sales"), F.sum("first").alias("firsts")
     )

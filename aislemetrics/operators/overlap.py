@@ -9,9 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislemetrics.functions.calendar import Weeks
+from aislemetrics.functions.calendar import Weeks, day_of_week
 from aislemetrics.operators.items import weeks_between
 
+# Rows of the full report: 2^16.
 MAX_GROUPS = 16
 CONTROL_SCHEMA = "prod_code string, bit int, fmt string, date_id date"
 
@@ -76,28 +77,36 @@ def card_masks(items: DataFrame, control: DataFrame) -> DataFrame:
     return hits.groupBy("card_id").agg(F.bit_or("mask").alias("mask"))
 
 
-def combination_counts(masks: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(comb_size, comb_flag, n_custs) for every non-empty combination of groups, zeros included.
+def combination_counts(masks: DataFrame, names: Sequence[str], max_size: int | None = None) -> DataFrame:
+    """(comb_size, comb_flag, n_custs) per combination of groups.
 
-    Cards are first counted by mask, at most 2^N rows.  Each mask then yields its sub-masks, which
-    join the list of combinations on equality.
+    Cards are first counted by mask, at most one row per mask that occurs.  Each mask then yields
+    its sub-masks.  The full report lists every non-empty combination, zeros included, of up to
+    ``MAX_GROUPS`` groups; with ``max_size`` it lists combinations of at most that many groups that
+    some customer holds, for up to 63 groups.
     """
     n = len(names)
-    if not 1 <= n <= MAX_GROUPS:
-        raise ValueError(f"the report has a row per combination: give 1 to {MAX_GROUPS} groups, not {n}")
+    if max_size is None and not 1 <= n <= MAX_GROUPS:
+        raise ValueError(f"the full report has a row per combination: give 1 to {MAX_GROUPS} groups, or max_size")
+    if not 1 <= n <= 63:
+        raise ValueError(f"a mask holds 1 to 63 groups, not {n}")
     bits = F.array(*[F.lit(1 << i).cast("long") for i in range(n)])
     own_bits = F.filter(bits, lambda b: F.col("mask").bitwiseAND(b) != 0)
-    subsets = F.aggregate(
-        own_bits,
-        F.array(F.lit(0).cast("long")),
-        lambda acc, b: F.concat(acc, F.transform(acc, lambda x: x.bitwiseOR(b))),
-    )
+
+    def grown(acc: F.Column, b: F.Column) -> F.Column:
+        small = acc if max_size is None else F.filter(acc, lambda x: F.bit_count(x) < max_size)
+        return F.concat(acc, F.transform(small, lambda x: x.bitwiseOR(b)))
+
+    subsets = F.aggregate(own_bits, F.array(F.lit(0).cast("long")), grown)
     by_mask = masks.groupBy("mask").agg(F.count("*").alias("n"))
     held = by_mask.select(F.explode(subsets).alias("comb"), "n").groupBy("comb").agg(F.sum("n").alias("n_custs"))
 
     labels = F.array(*[F.lit(name) for name in names])
     own_names = F.filter(labels, lambda _, i: F.col("comb").bitwiseAND(F.get(bits, i)) != 0)
-    combos = masks.sparkSession.range(1, 1 << n).withColumnRenamed("id", "comb")
+    if max_size is None:
+        combos = masks.sparkSession.range(1, 1 << n).withColumnRenamed("id", "comb")
+    else:
+        combos = held.select("comb").filter(F.col("comb") != 0)
     combos = combos.withColumns(
         {"comb_size": F.bit_count("comb").cast("int"), "comb_flag": F.array_join(own_names, " , ")}
     )
@@ -127,14 +136,14 @@ def daily_group_kpi(
     items: DataFrame,
     groups: DataFrame,
     stores: DataFrame,
-    dates: DataFrame,
     periods: dict[str, tuple[int, int]],
     weeks: Weeks | None = None,
 ) -> DataFrame:
     """Distinct baskets and cards per period, format, product group and date.
 
     ``groups`` holds (prod_gr, prod_code, format_code, fis_day_of_week_num), the exploded control
-    file; ``periods`` maps a tag to an inclusive week range.
+    file; ``periods`` maps a tag to an inclusive week range.  A basket has one card, so the baskets
+    of each card are counted first and the cards after them: two plain groupings on the same rows.
     """
     tag = F.lit(None).cast("string")
     for name, (first, last) in periods.items():
@@ -142,9 +151,11 @@ def daily_group_kpi(
     low, high = min(p[0] for p in periods.values()), max(p[1] for p in periods.values())
     sold = weeks_between(items, low, high, weeks).withColumn("year", tag).filter(F.col("year").isNotNull())
     sold = sold.join(groups.select("prod_code").distinct(), "prod_code", "left_semi")
-    sold = sold.join(dates.select("date_id", "fis_day_of_week_num"), "date_id")
+    sold = sold.withColumn("fis_day_of_week_num", day_of_week(F.col("date_id")))
     sold = sold.join(stores.select("store_id", "format_code"), "store_id")
     grouped = sold.join(groups, ["prod_code", "format_code", "fis_day_of_week_num"])
-    return grouped.groupBy("year", "format_code", "prod_gr", "date_id", "fis_day_of_week_num").agg(
-        F.countDistinct("transaction_fid").alias("n_baskets"), F.countDistinct("card_id").alias("n_cards")
-    )
+    keys = ["year", "format_code", "prod_gr", "date_id", "fis_day_of_week_num"]
+    baskets = grouped.select(*keys, "card_id", "transaction_fid").distinct()
+    per_card = baskets.groupBy(*keys, "card_id").agg(F.count("*").alias("n"))
+    # Baskets without a card are one group of their own, which is no card.
+    return per_card.groupBy(*keys).agg(F.sum("n").alias("n_baskets"), F.count("card_id").alias("n_cards"))

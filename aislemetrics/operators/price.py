@@ -15,12 +15,24 @@ from aislemetrics.operators.items import as_list, in_formats, weeks_between
 FORMATS = ("1", "2", "3", "4", "5")
 
 
-def segment_cards(snapshots: DataFrame, dates: DataFrame, snapshot_week: int, seg_type: str, values) -> DataFrame:
-    """Cards in the segments, by the snapshot taken on the last date of a week."""
-    last_day = dates.filter(F.col("fis_week_id") == snapshot_week).agg(F.max("date_id"))
-    taken = snapshots.filter(F.col("date_id") == last_day.scalar())
-    wanted = (F.col("seg_type_code") == seg_type) & F.col("seg_value_code").isin(as_list(values))
-    return taken.filter(wanted).select("card_id").distinct()
+def segment_cards(
+    snapshots: DataFrame, seg_values: DataFrame, cards: DataFrame, snapshot_week: int, seg_type: str, values
+) -> DataFrame:
+    """Cards of the persons in the segments, by the snapshot taken on the last date of a week.
+
+    ``snapshots`` is (prsn_id, date_id, seg_value_id), ``seg_values`` (seg_value_id, seg_type_code,
+    seg_value_code) and ``cards`` (card_id, prsn_id); a person may have several cards.
+    """
+    last_day = Weeks().days(snapshot_week, snapshot_week)[1]
+    wanted = seg_values.filter(
+        (F.col("seg_type_code") == seg_type) & F.col("seg_value_code").isin(as_list(values))
+    ).select("seg_value_id")
+    persons = snapshots.filter(F.col("date_id") == F.lit(last_day)).join(wanted, "seg_value_id", "left_semi")
+    return cards.join(persons, "prsn_id", "left_semi").select("card_id").distinct()
+
+
+def in_commercial_divisions(products: DataFrame, divisions) -> DataFrame:
+    return products.filter(F.col("prod_comml_l30_code").isin(as_list(divisions)))
 
 
 def price_points(
@@ -36,10 +48,12 @@ def price_points(
 ) -> DataFrame:
     """(by..., date_id, units, sales, ppu): daily units, sales and price per unit of the shoppers.
 
-    ``by`` names product columns to keep apart.  Lines are first summed per card and day, so the
-    join with the shoppers moves one row per card and day, however many lines a card holds.
+    ``by`` names product columns to keep apart.  The shoppers are a semi join before the aggregate,
+    which Spark moves below the fact's own join, to the basket headers: other customers' lines are
+    never shuffled by day, and a hot card is a matter of its baskets alone.
     """
     sold = items.filter((F.col("net_spend_amt") > 0) & F.col("card_id").isNotNull())
+    sold = sold.join(cards.select("card_id"), "card_id", "left_semi")
     if period is not None:
         sold = weeks_between(sold, *period, weeks)
     if stores is not None:
@@ -48,13 +62,8 @@ def price_points(
         sold = sold.join(products.select(*dict.fromkeys(["prod_code", *by])).distinct(), "prod_code")
     else:
         sold = sold.join(products.select("prod_code"), "prod_code", "left_semi")
-    per_card = sold.groupBy("card_id", *by, "date_id").agg(
-        F.sum(units()).alias("units"), F.sum("net_spend_amt").alias("sales")
-    )
-    daily = (
-        per_card.join(cards, "card_id", "left_semi")
-        .groupBy(*by, "date_id")
-        .agg(F.sum("units").alias("units"), F.sum("sales").cast("double").alias("sales"))
+    daily = sold.groupBy(*by, "date_id").agg(
+        F.sum(units()).alias("units"), F.sum("net_spend_amt").cast("double").alias("sales")
     )
     return daily.withColumn("ppu", F.round(ratio(F.col("sales"), F.col("units")), 2))
 
@@ -143,11 +152,12 @@ def coefficient_tests(summary: DataFrame, by: Sequence[str] = (), alpha: float =
     terms = ", ".join(f"struct({i} AS term, coef_{i} AS coef, std_err_{i} AS std_err, t_{i} AS t)" for i in range(k))
     rows = summary.selectExpr(*by, "cast(dof as double) AS dof", "f_value", f"inline(array({terms}))")
     # With one slope, F is the square of its t; F(2, d) has a closed tail.
-    prob_f = stats.t_p_value(F.sqrt("f_value"), "dof") if k == 2 else F.expr(stats.F_TAIL_TWO)
+    dof = F.col("dof")
+    prob_f = stats.t_p_value(F.sqrt("f_value"), dof) if k == 2 else F.expr(stats.F_TAIL_TWO)
     tested = rows.withColumns(
         {
-            "p_value": stats.t_p_value("t", "dof"),
-            "margin": stats.t_margin("dof", F.lit(alpha)) * F.col("std_err"),
+            "p_value": stats.t_p_value(F.col("t"), dof),
+            "margin": stats.t_margin(dof, alpha) * F.col("std_err"),
             "prob_f": prob_f,
         }
     )

@@ -38,18 +38,19 @@ def promo_rollup(products: DataFrame, promo: DataFrame, level: str, zero_fill: b
     return PromoRollup(rolled.select("prod_code").distinct(), promo_share(rolled, listed, code, desc, zero_fill))
 
 
-def promo_share(rolled: DataFrame, listed: DataFrame, code: str, desc: str, zero_fill: bool = False) -> DataFrame:
-    skus = listed.withColumnRenamed("prod_code", "sku_prod_code")
-    promoted = F.col("sku_prod_code").isNotNull()
-    tagged = rolled.join(skus, rolled.prod_code == skus.sku_prod_code, "left").withColumn(
-        "sku_promo_tag", F.when(promoted, F.lit("promo_sku")).otherwise(F.lit("promo_subcl"))
-    )
-
-    def cell(tag: str) -> F.Column:
-        n = F.count(F.when(F.col("sku_promo_tag") == tag, F.lit(1)))
-        return (n if zero_fill else F.nullif(n, F.lit(0))).alias(tag)
+def promo_share(products: DataFrame, listed: DataFrame, code: str, desc: str, zero_fill: bool = False) -> DataFrame:
+    """Per node: products on the promotion list, products off it, all of them, and the listed percentage.
 
-    counted = tagged.groupBy(code, desc).agg(cell("promo_sku"), cell("promo_subcl"))
-    shared = counted.withColumn("promo_tt", row_sum([F.col("promo_sku"), F.col("promo_subcl")]))
-    percent = F.round(ratio(F.col("promo_sku"), F.col("promo_tt")) * 100, 2)
-    return shared.withColumn("pct_promo_sku_tt", percent).orderBy(F.desc_nulls_last("pct_promo_sku_tt"), code)
+    One left join marks the listed products; a node's two counts are sums over its rows.
+    """
+    marks = listed.select("prod_code", F.lit(1).alias("on_list"))
+    off_list = F.count("*") - F.count("on_list")
+    nodes = products.join(marks, "prod_code", "left").groupBy(code, desc).agg(
+        *(
+            (n if zero_fill else F.nullif(n, F.lit(0))).alias(name)
+            for name, n in (("n_listed", F.count("on_list")), ("n_other", off_list))
+        )
+    )
+    total = row_sum([F.col("n_listed"), F.col("n_other")])
+    percent = F.round(ratio(F.col("n_listed"), total) * 100, 2)
+    return nodes.withColumns({"n_products": total, "pct_listed": percent}).orderBy(F.desc_nulls_last("pct_listed"), code)

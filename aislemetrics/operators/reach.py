@@ -39,11 +39,22 @@ def token_sets(items: DataFrame, products: DataFrame, key: str, level: str) -> D
     return pairs.groupBy(key).agg(F.sort_array(F.collect_list("product")).alias("set_cat"))
 
 
-def weighted_sets(tokens: DataFrame) -> DataFrame:
-    """(set_cat, n): keys with equal sets are interchangeable, so they are counted once."""
+def weighted_sets(tokens: DataFrame, merge: bool = True) -> DataFrame:
+    """(set_cat, n): keys with equal sets are interchangeable, so they are counted once.
+
+    At a fine level hardly any two sets are equal; ``merge`` off then saves the shuffle by set.
+    """
+    if not merge:
+        return tokens.select("set_cat", F.lit(1).cast("long").alias("n"))
     return tokens.groupBy("set_cat").agg(F.count("*").alias("n"))
 
 
+def _gains(sets: DataFrame, sign: int = 1) -> DataFrame:
+    """(product, gain): keys behind the sets that hold a product."""
+    held = sets.select(F.explode("set_cat").alias("product"), "n")
+    return held.groupBy("product").agg((sign * F.sum("n")).alias("gain"))
+
+
 def _open(sets: DataFrame, chosen: Sequence[str]) -> DataFrame:
     """Sets that hold none of the chosen products."""
     return sets.filter(~holds_any("set_cat", chosen)) if chosen else sets
@@ -59,46 +70,67 @@ REPORT = T.StructType(
 )
 
 
-def greedy_candidates(tokens: DataFrame, n_top: int, top_k: int = 6) -> DataFrame:
+def greedy_candidates(tokens: DataFrame, n_top: int, top_k: int = 6, merge: bool = True) -> DataFrame:
     """(step, rank, product, count_key): per step the ``top_k`` candidates for the next pick.
 
     ``count_key`` counts the keys that hold the candidate or any product picked before it.  Rank 1
     is picked; ties go to the smaller code.  Picking stops when no product is left.
 
-    A step is one pass over the sets that are still uncovered and one small shuffle of partial
-    sums per product; only ``top_k`` rows come to the driver.  Every few steps the uncovered sets
-    are written to the shared folder, which drops the covered ones for good.
+    Every product's gain is counted once.  A step then takes the open sets that hold the new pick
+    and subtracts what they gave, so each set is exploded twice in the whole run, however many
+    steps there are; only ``top_k`` rows come to the driver.  Every ``CHECKPOINT_EVERY`` steps the
+    open sets and the gains are written to the shared folder, which drops the covered sets for good.
     """
     spark = tokens.sparkSession
-    sets = materialise(weighted_sets(tokens), "reach-sets").persist(StorageLevel.MEMORY_AND_DISK)
-    names = sets.select(F.explode("set_cat").alias("product")).distinct().withColumn("gain", F.lit(0).cast("long"))
-    names = materialise(names, "reach-products").persist(StorageLevel.MEMORY_AND_DISK)
-
-    report: list[tuple] = []
-    chosen: list[str] = []
-    since: list[str] = []
-    covered = 0
-    held = [sets, names]
-    for step in range(1, n_top + 1):
-        left = names.filter(~F.col("product").isin(chosen)) if chosen else names
-        held_by = _open(sets, since).select(F.explode("set_cat").alias("product"), F.col("n").alias("gain"))
-        gains = held_by.unionByName(left).groupBy("product").agg(F.sum("gain").alias("gain"))
-        best = gains.orderBy(F.desc("gain"), "product").limit(top_k).collect()
-        if not best:
-            break
-        report += [(step, i + 1, row["product"], covered + row["gain"]) for i, row in enumerate(best)]
-        covered += best[0]["gain"]
-        chosen.append(best[0]["product"])
-        since.append(best[0]["product"])
-        if len(since) == CHECKPOINT_EVERY and step < n_top:
-            sets = materialise(_open(sets, since), "reach-sets")
-            held.append(sets.persist(StorageLevel.MEMORY_AND_DISK))
-            since = []
-    for frame in held:
-        frame.unpersist()
-    return spark.createDataFrame(report, REPORT)
-
-
-def greedy_reach(tokens: DataFrame, n_top: int) -> DataFrame:
+    held: list[DataFrame] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def freed(frames: list[DataFrame]) -> None:
+        for frame in frames:
+            frame.unpersist()
+            held.remove(frame)
+
+    try:
+        sets = kept(materialise(weighted_sets(tokens, merge), "reach-sets"))
+        gains = kept(materialise(_gains(sets), "reach-gains"))
+        report: list[tuple] = []
+        chosen: list[str] = []
+        since: list[str] = []
+        changes: list[DataFrame] = []
+        covered = 0
+        for step in range(1, n_top + 1):
+            now = gains
+            for change in changes:
+                now = now.unionByName(change)
+            if changes:
+                now = now.groupBy("product").agg(F.sum("gain").alias("gain"))
+            left = now.filter(~F.col("product").isin(chosen)) if chosen else now
+            best = left.orderBy(F.desc("gain"), "product").limit(top_k).collect()
+            if not best:
+                break
+            report += [(step, i + 1, row["product"], covered + row["gain"]) for i, row in enumerate(best)]
+            covered += best[0]["gain"]
+            pick = best[0]["product"]
+            changes.append(kept(_gains(_open(sets, since).filter(F.array_contains("set_cat", pick)), -1)))
+            chosen.append(pick)
+            since.append(pick)
+            if len(since) == CHECKPOINT_EVERY and step < n_top:
+                old = [sets, gains, *changes]
+                for change in changes:
+                    gains = gains.unionByName(change)
+                summed = gains.groupBy("product").agg(F.sum("gain").alias("gain"))
+                gains = kept(materialise(summed, "reach-gains"))
+                sets = kept(materialise(_open(sets, since), "reach-sets"))
+                freed(old)
+                since, changes = [], []
+        return spark.createDataFrame(report, REPORT)
+    finally:
+        freed(list(held))
+
+
+def greedy_reach(tokens: DataFrame, n_top: int, merge: bool = True) -> DataFrame:
     """(step, product, count_key): the picks, with the number of keys reached so far."""
-    return greedy_candidates(tokens, n_top, top_k=1).select("step", "product", "count_key")
+    return greedy_candidates(tokens, n_top, top_k=1, merge=merge).select("step", "product", "count_key")

@@ -1,103 +1,121 @@
 """Variable clustering: group features so that each is close to its own cluster's component.
 
-The parts that are sums over the correlation table are DataFrame operators.  The divisive search
-needs many tiny steps on one k x k matrix and runs as a grouped map, one segment per call.
+Sums over the correlation table are DataFrame operators, components are Spark ML's.  The divisive
+search goes through clusters, a few dozen at most, on the driver and does its work in Spark jobs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aislemetrics.functions.columns import ratio
-from aislemetrics.operators.components import dense, per_segment, project, stacked, symmetric_eigen
-from aislemetrics.operators.factors import rotated
+from aislemetrics.operators import moments
+from aislemetrics.operators.components import principal_components, project, segments, stacked
+from aislemetrics.session import materialise
 
-METHODS = ("Centroid", "PCA")
+def cluster_weights(corr: DataFrame, assignment: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., cluster, feature, weight) of each cluster's centroid, weights of length 1.
 
-
-def _check(method: str) -> None:
-    if method not in METHODS:
-        raise ValueError(f"method must be one of {METHODS}, not {method!r}")
-
-
-def cluster_weights(
-    corr: DataFrame, assignment: DataFrame, method: str = "Centroid", by: Sequence[str] = ()
-) -> DataFrame:
-    """(by..., cluster, feature, weight) of each cluster's component, weights of length 1.
-
-    ``assignment`` holds (by..., feature, cluster).
+    ``assignment`` holds (by..., feature, cluster).  A feature without a correlation to any other
+    one, since it is constant, is no part of its cluster: its weight is null.
     """
-    _check(method)
     keys = [*by, "cluster"]
-    if method == "Centroid":
-        size = F.count("*").over(Window.partitionBy(*keys))
-        return assignment.select(*keys, "feature", (1 / F.sqrt(size)).alias("weight"))
-    # The diagonal tells a row its own cluster, so the assignment is joined once.
-    paired = corr.join(assignment.withColumnRenamed("feature", "j"), [*by, "j"])
-    own = F.max(F.when(F.col("i") == F.col("j"), F.col("cluster"))).over(Window.partitionBy(*by, "i"))
-    inside = paired.withColumn("home", own).filter(F.col("home") == F.col("cluster"))
-    return symmetric_eigen(inside, "r", 1, keys).select(*keys, "feature", "weight")
-
+    others = corr.filter((F.col("i") != F.col("j")) & F.col("r").isNotNull())
+    moving = others.select(*by, F.col("i").alias("feature"), F.lit(1).alias("moves")).distinct()
+    marked = assignment.join(moving, [*by, "feature"], "left")
+    # A matrix of one feature has no other ones.
+    lone = F.count("*").over(Window.partitionBy(*by)) if by else F.count("*").over(Window.partitionBy(F.lit(0)))
+    marked = marked.withColumn("moves", F.when(lone == 1, F.lit(1)).otherwise(F.col("moves")))
+    size = F.count("moves").over(Window.partitionBy(*keys))
+    return marked.select(*keys, "feature", F.when(F.col("moves") == 1, 1 / F.sqrt(size)).alias("weight"))
+
+
+def component_weights(
+    matrix: DataFrame, features: Sequence[str], assignment: DataFrame, by: Sequence[str] = ()
+) -> DataFrame:
+    """The same with each cluster's first principal component, from the customers' matrix.
 
-def _nearness(corr: DataFrame, assignment: DataFrame, method: str, by: Sequence[str]) -> DataFrame:
+    One small decomposition per cluster; the assignment has a row per feature.
+    """
+    spark, order = matrix.sparkSession, {f: n for n, f in enumerate(features)}
+    schema = T.StructType([matrix.schema[c] for c in by]).add("cluster", T.IntegerType())
+    schema = schema.add("feature", T.StringType()).add("weight", T.DoubleType())
+    rows: list[tuple] = []
+    for own, part in segments(assignment, by):
+        rest = matrix
+        for name, value in own.items():
+            rest = rest.filter(F.col(name).eqNullSafe(F.lit(value)))
+        members: dict[int, list[str]] = {}
+        for row in part.collect():
+            members.setdefault(row["cluster"], []).append(row["feature"])
+        for cluster, names in sorted(members.items()):
+            found = principal_components(rest, sorted(names, key=order.get), 1, "corr")
+            rows += [(*own.values(), cluster, r["feature"], r["weight"]) for r in found.collect()]
+    return spark.createDataFrame(rows, schema)
+
+
+def _nearness(corr: DataFrame, weights: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by..., feature, cluster, is_own, r, variance).
 
     One join and one sum over the correlation table; the diagonal carries each feature's weight
-    in its own cluster.  Windows hold a row per feature.
+    in its own cluster.  Windows hold a row per feature.  A constant feature has null ``r``.
     """
-    right = cluster_weights(corr, assignment, method, by).withColumnRenamed("feature", "j")
+    right = weights.withColumnRenamed("feature", "j")
     near = corr.join(right, [*by, "j"]).groupBy(*by, F.col("i").alias("feature"), "cluster")
-    near = near.agg(F.expr("sum(r * weight) AS cov"), F.expr("max(CASE WHEN i = j THEN weight END) AS own"))
+    near = near.agg(
+        F.expr("sum(r * weight) AS cov"),
+        F.expr("max(CASE WHEN i = j THEN weight END) AS own"),
+        F.expr("max(CASE WHEN i = j THEN 1 END) IS NOT NULL AS is_own"),
+    )
     explained = F.sum(F.col("cov") * F.col("own")).over(Window.partitionBy(*by, "cluster"))
     return near.withColumn("variance", explained).select(
-        *by,
-        "feature",
-        "cluster",
-        F.col("own").isNotNull().alias("is_own"),
-        ratio(F.col("cov"), F.sqrt("variance")).alias("r"),
-        "variance",
+        *by, "feature", "cluster", "is_own", ratio(F.col("cov"), F.sqrt("variance")).alias("r"), "variance"
     )
 
 
 def cluster_correlation(
-    corr: DataFrame, assignment: DataFrame, method: str = "Centroid", by: Sequence[str] = ()
+    corr: DataFrame, assignment: DataFrame, weights: DataFrame | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """(by..., feature, cluster, r, variance): each feature against each cluster's component.
 
-    ``variance`` is what the component explains.
+    ``variance`` is what the component explains.  Components are centroids unless ``weights`` has
+    others.  A constant feature is kept, with null ``r``.
     """
-    return _nearness(corr, assignment, method, by).drop("is_own")
+    weights = cluster_weights(corr, assignment, by) if weights is None else weights
+    return _nearness(corr, weights, by).drop("is_own")
 
 
-def reassign(
-    corr: DataFrame, assignment: DataFrame, method: str = "Centroid", max_iter: int = 5, by: Sequence[str] = ()
-) -> DataFrame:
-    """(by..., feature, cluster): move each feature to the cluster it correlates with most.
+def reassign(corr: DataFrame, assignment: DataFrame, max_iter: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., feature, cluster, stable): move each feature to the centroid it correlates with most.
 
-    Repeats ``max_iter`` times, which changes nothing more once the clusters are stable; ties go
-    to the first cluster.  r^2 is compared to 12 digits, so that sums taken in another order do
-    not break ties.  Lazy: a round adds one join with the correlation table to the plan.
+    Repeats ``max_iter`` times; ``stable`` tells whether the last round moved nothing.  Ties go to the
+    first cluster; r^2 is compared to 12 digits, so that sums taken in another order do not break
+    ties.  A constant feature stays where it is.  Lazy: a round adds one join with the correlation
+    table to the plan.
     """
+    moved = assignment.select(*by, "feature", "cluster", F.lit(False).alias("moved"))
     for _ in range(max_iter):
-        near = _nearness(corr, assignment, method, by).groupBy(*by, "feature")
-        assignment = near.agg(F.expr("min_by(cluster, struct(-round(r * r, 12), cluster)) AS cluster"))
-    return assignment
+        near = _nearness(corr, cluster_weights(corr, moved.drop("moved"), by), by).groupBy(*by, "feature")
+        best = "min_by(cluster, struct(CASE WHEN r IS NULL THEN 0 ELSE -round(r * r, 12) END, cluster))"
+        moved = near.agg(
+            F.expr(f"CASE WHEN max(r) IS NULL THEN max(CASE WHEN is_own THEN cluster END) ELSE {best} END AS cluster"),
+            F.expr("max(CASE WHEN is_own THEN cluster END) AS last"),
+        ).select(*by, "feature", "cluster", (F.col("cluster") != F.col("last")).alias("moved"))
+    whole = Window.partitionBy(*(by or [F.lit(0)]))
+    return moved.select(*by, "feature", "cluster", (~F.max("moved").over(whole)).alias("stable"))
 
 
-def r2_ratio(
-    corr: DataFrame, assignment: DataFrame, method: str = "Centroid", by: Sequence[str] = ()
-) -> DataFrame:
+def r2_ratio(corr: DataFrame, assignment: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., feature, cluster, r2_own, r2_next, ratio), worst-fitting feature first.
 
     ``ratio`` is (1 - own) / (1 - next): above 1 the feature sits better in another cluster.
     """
-    split = _nearness(corr, assignment, method, by).groupBy(*by, "feature")
+    split = _nearness(corr, cluster_weights(corr, assignment, by), by).groupBy(*by, "feature")
     split = split.agg(
         F.expr("max(CASE WHEN is_own THEN cluster END) AS cluster"),
         F.expr("max(CASE WHEN is_own THEN r * r END) AS r2_own"),
@@ -107,127 +125,86 @@ def r2_ratio(
     return rated.orderBy(*by, F.desc_nulls_last("ratio"), "feature")
 
 
-# --- divisive search, on one segment's matrix ---------------------------------------------------
-
-
-class _Search:
-    """Splits of one correlation matrix; clusters are lists of row numbers."""
-
-    def __init__(self, corr: np.ndarray, method: str, max_iter: int, max_search: int):
-        self.corr, self.method = corr, method
-        self.max_iter, self.max_search = max_iter, max_search
-
-    def component(self, members: list[int]) -> np.ndarray:
-        """Unit-length weights over all features."""
-        weights = np.zeros(len(self.corr))
-        if self.method == "Centroid":
-            weights[members] = 1 / np.sqrt(len(members))
-        else:
-            weights[members] = np.linalg.eigh(self.corr[np.ix_(members, members)])[1][:, -1]
-        return weights
-
-    def variance(self, members: list[int]) -> float:
-        w = self.component(members)
-        return float(w @ self.corr @ w)
-
-    def r2(self, features: list[int], weights: np.ndarray) -> np.ndarray:
-        """Squared correlation of features with the components in the columns of ``weights``."""
-        explained = np.einsum("ic,ij,jc->c", weights, self.corr, weights)
-        with np.errstate(all="ignore"):
-            return (self.corr[features] @ weights) ** 2 / explained
-
-    @staticmethod
-    def sides(features: list[int], closeness: np.ndarray) -> tuple[list[int], list[int]]:
-        first = closeness[:, 0] >= closeness[:, 1] - 1e-12
-        return [f for f, a in zip(features, first) if a], [f for f, a in zip(features, first) if not a]
-
-    def first_split(self, members: list[int]) -> tuple[list[int], list[int]]:
-        """Two leading components, rotated to simple structure."""
-        vectors = np.linalg.eigh(self.corr[np.ix_(members, members)])[1][:, [-1, -2]]
-        weights = np.zeros((len(self.corr), 2))
-        weights[members] = rotated(vectors, "quartimax", eps=1e-8)
-        return self.sides(members, self.r2(members, weights))
-
-    def pair(self, split: tuple[list[int], list[int]]) -> np.ndarray:
-        return np.column_stack([self.component(side) for side in split])
-
-    def settle(self, split: tuple[list[int], list[int]]) -> tuple[list[int], list[int]]:
-        """Move every feature to the nearer side until nothing moves."""
-        for _ in range(self.max_iter):
-            features = split[0] + split[1]
-            moved = self.sides(features, self.r2(features, self.pair(split)))
-            if not all(moved) or moved == split:
-                break
-            split = moved
-        return split
-
-    def refine(self, split: tuple[list[int], list[int]]) -> tuple[list[int], list[int]]:
-        """Try moving features one by one, worst fit first, while that explains more variance."""
-        for _ in range(self.max_search):
-            tried: set[int] = set()
-            improved = False
-            while len(tried) < len(split[0]) + len(split[1]):
-                worst = max((f for f in split[0] + split[1] if f not in tried), key=self.misfit(split))
-                tried.add(worst)
-                home = 0 if worst in split[0] else 1
-                moved = tuple([f for f in side if f != worst] for side in split)
-                moved[1 - home].append(worst)
-                if not all(moved) or sum(map(self.variance, moved)) <= sum(map(self.variance, split)) + 1e-12:
-                    continue
-                pull = (self.corr[worst] @ self.pair(moved)) ** 2
-                if pull[1 - home] > pull[home]:
-                    split, improved = moved, True
-            if not improved:
-                break
-        return split
-
-    def misfit(self, split: tuple[list[int], list[int]]):
-        features = split[0] + split[1]
-        near = dict(zip(features, 1 - self.r2(features, self.pair(split))))
-
-        def value(feature: int) -> tuple[float, int]:
-            own, other = near[feature] if feature in split[0] else near[feature][::-1]
-            return (float(own / other) if other > 0 else np.inf), feature
-
-        return value
-
-    def clusters(self, max_clusters: int) -> list[list[int]]:
-        """Split the cluster that needs it most until there are enough; two or fewer stay together."""
-        everything = list(range(len(self.corr)))
-        found = [(everything, self.variance(everything), len(everything) > 2)]
-        pick = min if self.method == "Centroid" else max
-        while len(found) < max_clusters and any(can_split for _, _, can_split in found):
-            place = pick((p for p, node in enumerate(found) if node[2]), key=lambda p: found[p][1])
-            members, criterion, _ = found[place]
-            split = self.first_split(members)
-            if not all(split):
-                found[place] = (members, criterion, False)
-                continue
-            del found[place]
-            for side in self.refine(self.settle(split)):
-                found.append((side, self.variance(side) / len(side), len(side) > 2))
-        return [members for members, _, _ in found]
+# --- divisive search ------------------------------------------------------------------------------
+
+
+def _quartimax_angle(pairs: list[tuple[float, float]]) -> float:
+    """Turn of two columns that makes the sum of fourth powers largest; it has a closed form."""
+    u, v = [a * a - b * b for a, b in pairs], [2 * a * b for a, b in pairs]
+    return math.atan2(2 * sum(x * y for x, y in zip(u, v)), sum(x * x - y * y for x, y in zip(u, v))) / 4
+
+
+def _two_sides(weights: dict[str, tuple[float, float]], values: tuple[float, float]) -> dict[str, int]:
+    """Side 1 or 2 of each feature: the one of two turned components that it correlates with more.
+
+    ``weights`` are the features' in the two leading components, ``values`` those components' eigenvalues.
+    """
+    angle = _quartimax_angle(list(weights.values()))
+    turn, lift = math.cos(angle), math.sin(angle)
+    first, second = values
+
+    def pull(a: float, b: float, x: float, y: float) -> float:
+        """Squared correlation of a feature with weights a, b with the component x, y."""
+        explained = first * x * x + second * y * y
+        return (first * x * a + second * y * b) ** 2 / explained if explained > 0 else 0.0
+
+    return {
+        f: 1 if pull(a, b, turn, lift) >= pull(a, b, -lift, turn) - 1e-12 else 2 for f, (a, b) in weights.items()
+    }
+
+
+def _halves(matrix: DataFrame, corr: DataFrame, members: list[str], max_iter: int) -> list[list[str]]:
+    """Split one cluster by its two leading components, then settle every feature at the nearer centroid."""
+    found = principal_components(matrix, members, 2, "corr").orderBy("component").collect()
+    values = tuple(dict.fromkeys((row["component"], row["eigenvalue"]) for row in found))
+    weights: dict[str, list[float]] = {}
+    for row in found:
+        weights.setdefault(row["feature"], []).append(row["weight"])
+    sides = _two_sides({f: (pair[0], pair[1]) for f, pair in weights.items()}, (values[0][1], values[1][1]))
+    if len(set(sides.values())) == 2:
+        start = matrix.sparkSession.createDataFrame(list(sides.items()), "feature string, cluster int")
+        inside = corr.filter(F.col("i").isin(members) & F.col("j").isin(members))
+        settled = {r["feature"]: r["cluster"] for r in reassign(inside, start, max_iter).collect()}
+        sides = settled if len(set(settled.values())) == 2 else sides
+    return [half for side in (1, 2) if (half := [f for f in members if sides[f] == side])]
 
 
 def variable_clusters(
-    corr: DataFrame,
-    max_clusters: int,
-    method: str = "Centroid",
-    max_iter: int = 5,
-    max_search: int = 10,
-    by: Sequence[str] = (),
+    matrix: DataFrame, features: Sequence[str], max_clusters: int, max_iter: int = 3, by: Sequence[str] = ()
 ) -> DataFrame:
-    """(by..., cluster_num, feature_name): mutually exclusive clusters from a long correlation table."""
-    _check(method)
+    """(by..., cluster_num, feature_name): disjoint clusters of the features, split one by one.
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        names, matrix = dense(rows, "r")
-        found = _Search(matrix, method, max_iter, max_search).clusters(max_clusters)
-        cells = [(number, names[f]) for number, members in enumerate(found, 1) for f in members]
-        return pd.DataFrame(cells, columns=["cluster_num", "feature_name"])
-
-    fields = [("cluster_num", T.IntegerType()), ("feature_name", T.StringType())]
-    return per_segment(corr, by, step, fields)
+    The cluster whose second component explains most is split next; clusters of two or fewer stay
+    together.  A constant feature is kept, with a null cluster.
+    """
+    spark = matrix.sparkSession
+    schema = T.StructType([matrix.schema[c] for c in by]).add("cluster_num", T.IntegerType())
+    rows: list[tuple] = []
+    for own, part in segments(matrix, by):
+        held = materialise(part.select(*[F.col(f"`{f}`") for f in features]), "features")
+        sums = materialise(moments.pair_sums(held, features), "sums")
+        constant = {r["feature"] for r in moments.feature_stats_of(sums).filter("std = 0").collect()}
+        corr = materialise(moments.correlation_of(sums), "corr")
+        moving = [f for f in features if f not in constant]
+        clusters, whole = ([moving] if moving else []), set()
+        second: dict[tuple, float] = {}
+        while len(clusters) < max_clusters:
+            open_ = [c for c in clusters if len(c) > 2 and tuple(c) not in whole]
+            for members in open_:
+                if tuple(members) not in second:
+                    found = principal_components(held, members, 2, "corr").filter("component = 2").first()
+                    second[tuple(members)] = found["eigenvalue"] if found else 0.0
+            if not open_:
+                break
+            worst = max(open_, key=lambda c: second[tuple(c)])
+            halves = _halves(held, corr, worst, max_iter)
+            if len(halves) < 2:
+                whole.add(tuple(worst))
+            else:
+                clusters = [c for c in clusters if c is not worst] + halves
+        rows += [(*own.values(), n, f) for n, members in enumerate(clusters, 1) for f in members]
+        rows += [(*own.values(), None, f) for f in sorted(constant)]
+    return spark.createDataFrame(rows, schema.add("feature_name", T.StringType()))
 
 
 def cluster_scores(

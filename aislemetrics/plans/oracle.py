@@ -58,15 +58,33 @@ _CTE = {
                CASE c_mktsegment WHEN 'BUILDING' THEN 'LA' WHEN 'MACHINERY' THEN 'MM' ELSE 'UM' END AS seg_value_code
         FROM customer""",
     ),
+    # Two snapshots of the persons' segments; in the earlier one everybody sits one segment on.
+    "snap": (
+        (),
+        """
+        SELECT c_custkey + 1000000000 AS prsn_id, taken.date_id, (s.place + taken.move) % 3 AS seg_value
+        FROM customer
+        JOIN (VALUES ('BUILDING', 0), ('MACHINERY', 1), ('AUTOMOBILE', 2), ('FURNITURE', 2), ('HOUSEHOLD', 2))
+             s(segment, place) ON c_mktsegment = s.segment
+        CROSS JOIN (VALUES (DATE '2001-05-20', 0), (DATE '2001-05-17', 1)) taken(date_id, move)""",
+    ),
+    "shopper": (
+        ("snap",),
+        f"""
+        SELECT c_custkey AS card_id FROM customer
+        WHERE c_custkey + 1000000000 IN (
+          SELECT prsn_id FROM snap JOIN (VALUES (0, 'LA'), (1, 'MM'), (2, 'UM')) v(seg_value, code) USING (seg_value)
+          WHERE code IN {p.PRICE_SEGMENTS} AND date_id = (SELECT max(date_id) FROM snap))""",
+    ),
     "sold": (
-        ("item", "prod", "store", "seg"),
+        ("item", "prod", "store", "shopper"),
         f"""
-        SELECT prod.l10, prod.l20, item.date_id, item.net_spend_amt,
+        SELECT prod.l10, prod.l20, prod.l50, item.date_id, item.fis_week_id, item.net_spend_amt,
                CASE WHEN weight_uom_qty > 0 THEN weight_uom_qty ELSE item_qty END AS units
         FROM item JOIN prod USING (prod_code)
         WHERE net_spend_amt > 0
           AND store_id IN (SELECT store_id FROM store WHERE format_code IN ('1','2','3','4','5'))
-          AND card_id IN (SELECT card_id FROM seg WHERE seg_value_code IN {p.PRICE_SEGMENTS})""",
+          AND card_id IN (SELECT card_id FROM shopper)""",
     ),
     "points": (
         ("sold",),
@@ -257,12 +275,12 @@ def _promo_share(level: str, prefix: str) -> str:
         + f"""
 , cells AS (
   SELECT {level},
-         nullif(count(*) FILTER (l20 = '{p.PROMO_TYPE}'), 0) AS promo_sku,
-         nullif(count(*) FILTER (l20 <> '{p.PROMO_TYPE}'), 0) AS promo_subcl
+         nullif(count(*) FILTER (l20 = '{p.PROMO_TYPE}'), 0) AS n_listed,
+         nullif(count(*) FILTER (l20 <> '{p.PROMO_TYPE}'), 0) AS n_other
   FROM prod WHERE {level} IN (SELECT {level} FROM prod WHERE l20 = '{p.PROMO_TYPE}') GROUP BY {level})
-SELECT {level} AS {prefix}_code, {level} AS {prefix}_desc, promo_sku, promo_subcl,
-       promo_sku + promo_subcl AS promo_tt,
-       round(promo_sku / (promo_sku + promo_subcl) * 100, 2) AS pct_promo_sku_tt
+SELECT {level} AS {prefix}_code, {level} AS {prefix}_desc, n_listed, n_other,
+       n_listed + n_other AS n_products,
+       round(n_listed / (n_listed + n_other) * 100, 2) AS pct_listed
 FROM cells"""
     )
 
@@ -326,6 +344,16 @@ ORACLE_SQL["customer_overlap_control"] = _with("item", "prod", "store") + _overl
     p.CONTROL_NAMES,
 )
 
+ORACLE_SQL["control_file_overlap"] = _with("item", "prod", "store") + _overlap(
+    f"""SELECT DISTINCT card_id, list_position({list(p.CONTROL_CLASSES)}, l20) - 1 AS g
+    FROM item JOIN prod USING (prod_code) JOIN store USING (store_id)
+    WHERE card_id IS NOT NULL AND fis_week_id BETWEEN {p.OVERLAP_WEEKS[0]} AND {p.OVERLAP_WEEKS[1]}
+      AND ((l20 = '{p.CONTROL_CLASSES[0]}' AND format_code = '1')
+        OR (l20 = '{p.CONTROL_CLASSES[1]}' AND format_code = '2')
+        OR (l20 = '{p.CONTROL_CLASSES[2]}' AND date_id = DATE '{p.CONTROL_DAYS[1]}'))""",
+    p.CONTROL_CLASSES,
+)
+
 _TAG = " ".join(f"WHEN fis_week_id BETWEEN {a} AND {b} THEN '{name}'" for name, (a, b) in p.PERIODS.items())
 
 ORACLE_SQL["daily_group_kpi"] = (
@@ -352,21 +380,28 @@ FROM lines JOIN styled USING (prod_code) GROUP BY transaction_fid"""
 
 
 def _greedy(steps: int, top_k: int, select: str) -> str:
-    """Exhaustive rule, unrolled: per step count the keys of every candidate joined to the picks."""
-    parts = [", products AS MATERIALIZED (SELECT DISTINCT product FROM tokens)"]
+    """The rule, unrolled: per step count the keys of every candidate that no earlier pick covers."""
+    parts = [
+        """, products AS MATERIALIZED (SELECT DISTINCT product FROM tokens)
+, open0 AS MATERIALIZED (SELECT k, product FROM tokens)
+, pick0 AS (SELECT CAST(NULL AS VARCHAR) AS product)
+, picked0 AS (SELECT product FROM pick0 WHERE false)"""
+    ]
     for step in range(1, steps + 1):
-        picks = " UNION ALL ".join(f"SELECT product FROM best{s} WHERE rank = 1" for s in range(1, step))
-        picks = picks or "SELECT NULL AS product WHERE false"
+        last = step - 1
         parts.append(
             f"""
-, covered{step} AS MATERIALIZED (SELECT DISTINCT k FROM tokens WHERE product IN ({picks}))
+, open{step} AS MATERIALIZED (
+  SELECT * FROM open{last} ANTI JOIN (SELECT k FROM open{last} JOIN pick{last} USING (product)) USING (k))
 , best{step} AS MATERIALIZED (
   SELECT {step} AS step, row_number() OVER (ORDER BY n DESC, product) AS rank, product, n AS count_key
-  FROM (SELECT p.product, (SELECT count(*) FROM covered{step}) + count(t.k) AS n
-        FROM products p
-        LEFT JOIN (SELECT * FROM tokens ANTI JOIN covered{step} USING (k)) t ON t.product = p.product
-        WHERE p.product NOT IN ({picks}) GROUP BY p.product)
-  QUALIFY rank <= {top_k})"""
+  FROM (SELECT p.product, (SELECT count(DISTINCT k) FROM tokens) - (SELECT count(DISTINCT k) FROM open{step})
+               + count(o.k) AS n
+        FROM products p LEFT JOIN open{step} o USING (product)
+        WHERE p.product NOT IN (SELECT product FROM picked{last}) GROUP BY p.product)
+  QUALIFY rank <= {top_k})
+, pick{step} AS MATERIALIZED (SELECT product FROM best{step} WHERE rank = 1)
+, picked{step} AS MATERIALIZED (SELECT product FROM picked{last} UNION ALL SELECT product FROM pick{step})"""
         )
     return "".join(parts) + "\n" + " UNION ALL ".join(f"{select} FROM best{s}" for s in range(1, steps + 1))
 
@@ -374,14 +409,15 @@ def _greedy(steps: int, top_k: int, select: str) -> str:
 _PICK = "SELECT CAST(step AS INTEGER) AS step, product, count_key"
 _RANKED = "SELECT CAST(step AS INTEGER) AS step, CAST(rank AS INTEGER) AS rank, product, count_key"
 
-ORACLE_SQL["greedy_reach"] = _with("tokens") + _greedy(p.REACH_STEPS, 1, _PICK)
+
+def _product_tokens(key: str) -> str:
+    found = f"SELECT DISTINCT {key} AS k, prod_code AS product FROM lines JOIN styled USING (prod_code)"
+    return _with("lines", "styled", extra=f"tokens AS MATERIALIZED ({found})")
+
+
+ORACLE_SQL["greedy_reach"] = _product_tokens("transaction_fid") + _greedy(p.REACH_STEPS, 1, _PICK)
 ORACLE_SQL["greedy_candidates"] = _with("tokens") + _greedy(p.REACH_STEPS, p.TOP_K, _RANKED)
-ORACLE_SQL["greedy_reach_cards"] = _with(
-    "lines",
-    "styled",
-    extra="tokens AS MATERIALIZED "
-    "(SELECT DISTINCT card_id AS k, prod_code AS product FROM lines JOIN styled USING (prod_code))",
-) + _greedy(p.REACH_PRODUCT_STEPS, 1, _PICK)
+ORACLE_SQL["greedy_reach_cards"] = _product_tokens("card_id") + _greedy(p.REACH_STEPS, 1, _PICK)
 
 # --- price --------------------------------------------------------------------------------------
 
@@ -389,6 +425,17 @@ ORACLE_SQL["price_points"] = (
     _with("points") + "SELECT date_id, round(units, 2) AS units, round(sales, 4) AS sales, ppu FROM points"
 )
 
+ORACLE_SQL["price_points_period"] = (
+    _with("sold")
+    + f"""
+SELECT l20 AS prod_hier_l20_code, date_id, round(sum(units), 2) AS units,
+       round(CAST(sum(net_spend_amt) AS DOUBLE), 4) AS sales,
+       -- Halves are rounded up in decimals, as a price is.
+       CAST(round(CAST(CAST(sum(net_spend_amt) AS DOUBLE) / sum(units) AS DECIMAL(18,6)), 2) AS DOUBLE) AS ppu
+FROM sold WHERE l50 = '{p.DIVISIONS[0]}' AND fis_week_id BETWEEN {p.PRICE_WEEKS[0]} AND {p.PRICE_WEEKS[1]}
+GROUP BY l20, date_id"""
+)
+
 _DESCRIBE = """
 SELECT '{0}' AS "column", count({0}) AS count, avg({0}) AS mean, stddev_samp({0}) AS std, min({0}) AS min,
        quantile_cont({0}, 0.25) AS q25, quantile_cont({0}, 0.5) AS q50, quantile_cont({0}, 0.75) AS q75,
@@ -461,11 +508,14 @@ FROM coefs JOIN errors {f"USING ({by})" if by else "ON true"}"""
 ORACLE_SQL["price_quadratic"] = _with("points") + _quadratic_fits("points", "")
 ORACLE_SQL["price_by_group"] = _with("group_points") + _quadratic_fits("group_points", "l10")
 ORACLE_SQL["price_curve"] = (
-    _with("group_points")
-    + _quadratic("group_points", "l10")
+    _with(
+        "group_points",
+        extra=f"scaled AS MATERIALIZED (SELECT * REPLACE (round(ppu / {p.CURVE_PRICE_UNIT}, 2) AS ppu) FROM group_points)",
+    )
+    + _quadratic("scaled", "l10")
     + f"""
 , grid AS (
-  SELECT *, min_x + i * {p.PRICE_STEP} AS ppu
+  SELECT *, round(min_x + i * {p.PRICE_STEP}, 6) AS ppu
   FROM (SELECT *, unnest(range(CAST(ceil(round((max_x - min_x) / {p.PRICE_STEP}, 6)) AS BIGINT))) AS i FROM coefs))
 SELECT l10 AS prod_hier_l10_code, round(ppu, 2) + 0.0 AS ppu,
        round(coef_0 + coef_1 * ppu + coef_2 * ppu * ppu, 1) + 0.0 AS predicted
@@ -531,6 +581,136 @@ SELECT {f"{by} AS prod_hier_{by}_code," if by else ""} n, dof, {four}, {six},
 ORACLE_SQL["price_stats"] = _with("points") + _stats("points", "")
 ORACLE_SQL["price_stats_by_group"] = _with("group_points") + _stats("group_points", "l10")
 
+
+def _quadratic_errors(source: str, by: str) -> str:
+    """Residual sums and standard errors of the quadratic fit, from the inverse of the normal matrix.
+
+    Centred terms 1, u, u^2 turn into 1, x, x^2 by (1, -m, m^2), (0, 1, -2m), (0, 0, 1).
+    """
+    return (
+        _quadratic(source, by)
+        + f"""
+, res AS (SELECT u.{by}, date_id, ppu, c.n, v - (b * u + c * (u * u - m2)) AS e FROM u JOIN coefs c USING ({by}))
+, steps AS (SELECT *, e - lag(e) OVER (PARTITION BY {by} ORDER BY date_id) AS d FROM res)
+, sums AS (
+  SELECT {by}, sum(d * d) / sum(e * e) AS durbin_watson, avg(e * e * e) / avg(e * e) ** 1.5 AS skew,
+         avg(e * e * e * e) / avg(e * e) ** 2 AS kurtosis, CAST(any_value(n) AS DOUBLE) AS m,
+         sum(ppu) AS s1, sum(ppu ** 2) AS s2, sum(ppu ** 3) AS s3, sum(ppu ** 4) AS s4
+  FROM steps GROUP BY {by})
+, inverse AS (
+  SELECT *, 1 - mse / vy AS r2, mse * n / (n - 3) AS noise, n * (m2 * m4 - m3 * m3 - m2 * m2 * m2) AS det,
+         m2 * m4 - m3 * m3 AS g00, m2 * m3 AS g01, -m2 * m2 AS g02, m4 - m2 * m2 AS g11, -m3 AS g12, m2 AS g22
+  FROM coefs JOIN errors USING ({by}) JOIN sums USING ({by}))
+, errs AS (
+  SELECT *, n - 3 AS dof,
+         sqrt(noise / det * (g00 + mx ** 2 * g11 + mx ** 4 * g22 - 2 * mx * g01 + 2 * mx ** 2 * g02 - 2 * mx ** 3 * g12))
+           AS std_err_0,
+         sqrt(noise / det * (g11 + 4 * mx ** 2 * g22 - 4 * mx * g12)) AS std_err_1,
+         sqrt(noise / det * g22) AS std_err_2
+  FROM inverse)
+"""
+    )
+
+
+# Largest eigenvalues of the normal matrix and of its inverse, by steps of the power method.
+_CONDITION = """
+, forward AS (
+  SELECT l10, 0 AS k, 1e0 AS x0, 1e0 AS x1, 1e0 AS x2, 0e0 AS top FROM errs
+  UNION ALL
+  SELECT f.l10, k + 1, y0 / s, y1 / s, y2 / s, s
+  FROM (SELECT f.l10, k, m * x0 + s1 * x1 + s2 * x2 AS y0, s1 * x0 + s2 * x1 + s3 * x2 AS y1,
+               s2 * x0 + s3 * x1 + s4 * x2 AS y2,
+               sqrt((m * x0 + s1 * x1 + s2 * x2) ** 2 + (s1 * x0 + s2 * x1 + s3 * x2) ** 2
+                    + (s2 * x0 + s3 * x1 + s4 * x2) ** 2) AS s
+        FROM forward f JOIN errs USING (l10) WHERE k < 60) f)
+, turned AS (
+  SELECT l10, (g00 + mx ** 2 * g11 + mx ** 4 * g22 - 2 * mx * g01 + 2 * mx ** 2 * g02 - 2 * mx ** 3 * g12) / det AS h00,
+         (g01 - mx * g11 - 2 * mx * g02 + 3 * mx ** 2 * g12 - 2 * mx ** 3 * g22) / det AS h01,
+         (g02 - mx * g12 + mx ** 2 * g22) / det AS h02,
+         (g11 + 4 * mx ** 2 * g22 - 4 * mx * g12) / det AS h11, (g12 - 2 * mx * g22) / det AS h12, g22 / det AS h22
+  FROM errs)
+, inward AS (
+  SELECT l10, 0 AS k, 1e0 AS x0, 1e0 AS x1, 1e0 AS x2, 0e0 AS top FROM errs
+  UNION ALL
+  SELECT f.l10, k + 1, y0 / s, y1 / s, y2 / s, s
+  FROM (SELECT f.l10, k, h00 * x0 + h01 * x1 + h02 * x2 AS y0, h01 * x0 + h11 * x1 + h12 * x2 AS y1,
+               h02 * x0 + h12 * x1 + h22 * x2 AS y2,
+               sqrt((h00 * x0 + h01 * x1 + h02 * x2) ** 2 + (h01 * x0 + h11 * x1 + h12 * x2) ** 2
+                    + (h02 * x0 + h12 * x1 + h22 * x2) ** 2) AS s
+        FROM inward f JOIN turned USING (l10) WHERE k < 60) f)
+, condition AS (
+  SELECT l10, sqrt(f.top * i.top) AS cond_no
+  FROM (SELECT l10, top FROM forward WHERE k = 60) f JOIN (SELECT l10, top FROM inward WHERE k = 60) i USING (l10))
+"""
+_NORMALITY = """
+, base AS (
+  SELECT *, n / 6 * (skew * skew + (kurtosis - 3) ** 2 / 4) AS jarque_bera,
+         -n / 2 * (ln(2 * pi() * mse) + 1) AS log_likelihood,
+         3 * (m*m + 27*m - 70) * (m+1) * (m+3) / ((m-2) * (m+5) * (m+7) * (m+9)) AS sb,
+         skew * sqrt((m+1) * (m+3) / (6 * (m-2))) AS sy,
+         (kurtosis - 3 * (m-1) / (m+1)) / sqrt(24*m * (m-2) * (m-3) / ((m+1) * (m+1) * (m+3) * (m+5))) AS kx,
+         6 * (m*m - 5*m + 2) / ((m+7) * (m+9)) * sqrt(6 * (m+3) * (m+5) / (m * (m-2) * (m-3))) AS kb
+  FROM errs)
+, zs AS (
+  SELECT *, sqrt(2 * (sb - 1)) - 1 AS w2, 6 + 8 / kb * (2 / kb + sqrt(1 + 4 / (kb * kb))) AS ka FROM base)
+, zz AS (
+  SELECT *, ln(sy / sqrt(2 / (w2 - 1)) + sqrt(sy * sy / (2 / (w2 - 1)) + 1)) / sqrt(0.5 * ln(w2)) AS z1,
+         ((1 - 2 / (9 * ka)) - sign(1 + kx * sqrt(2 / (ka - 4)))
+             * cbrt((1 - 2 / ka) / abs(1 + kx * sqrt(2 / (ka - 4))))) / sqrt(2 / (9 * ka)) AS z2
+  FROM zs)
+, done AS (
+  SELECT *, coef_0 / std_err_0 AS t_0, coef_1 / std_err_1 AS t_1, coef_2 / std_err_2 AS t_2,
+         r2 / 2 / ((1 - r2) / dof) AS f_value, 1 - (1 - r2) * (n - 1) / dof AS adj_r2, 6 - 2 * log_likelihood AS aic,
+         3 * ln(n) - 2 * log_likelihood AS bic, exp(-jarque_bera / 2) AS prob_jb,
+         z1 * z1 + z2 * z2 AS omnibus, exp(-(z1 * z1 + z2 * z2) / 2) AS prob_omnibus
+  FROM zz)
+"""
+_RECURSIVE = _with("group_points").replace("WITH ", "WITH RECURSIVE ", 1)
+_FOUR = [f"{part}_{i}" for part in ("coef", "std_err", "t") for i in range(3)]
+_FOUR += ["mse", "f_value", "log_likelihood", "aic", "bic", "jarque_bera", "omnibus"]
+_SIX = ["r2", "adj_r2", "durbin_watson", "skew", "kurtosis", "prob_jb", "prob_omnibus"]
+ORACLE_SQL["price_stats_quadratic"] = (
+    _RECURSIVE
+    + _quadratic_errors("group_points", "l10")
+    + _CONDITION
+    + _NORMALITY
+    + f"""SELECT l10 AS prod_hier_l10_code, n, dof, {_round(4, *_FOUR)}, {_round(6, *_SIX)}, {_round(-3, "cond_no")}
+FROM done JOIN condition USING (l10)"""
+)
+
+
+def _t_tail(t: str) -> str:
+    """P(|T| > |t|) at ``dof``, by the same sum with each term from gamma functions."""
+    angle = f"atan(abs({t}) / sqrt(dof))"
+    even = f"list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1) - lgamma(0.5) + 2 * k * ln(cos({angle}))) FOR k IN range(dof // 2)])"
+    odd = f"""list_sum([exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5) + 2 * k * ln(cos({angle})))
+                       FOR k IN range((dof - 1) // 2)])"""
+    return f"""(1 - CASE WHEN dof % 2 = 0 THEN sin({angle}) * {even}
+                    ELSE 2 / pi() * ({angle} + sin({angle}) * cos({angle}) * {odd}) END)"""
+
+
+ORACLE_SQL["price_coefficient_tests"] = (
+    _RECURSIVE
+    + _quadratic_errors("group_points", "l10")
+    + f"""
+, fitted AS (SELECT *, r2 / 2 / ((1 - r2) / dof) AS f_value FROM errs)
+, margin AS (
+  SELECT dof, 0 AS k, 0e0 AS low, 100e0 AS high FROM (SELECT DISTINCT dof FROM fitted)
+  UNION ALL
+  SELECT dof, k + 1, CASE WHEN tail > 0.05 THEN mid ELSE low END, CASE WHEN tail > 0.05 THEN high ELSE mid END
+  FROM (SELECT dof, k, low, high, (low + high) / 2 AS mid, {_t_tail("((low + high) / 2)")} AS tail FROM margin WHERE k < 60))
+, term AS (
+  SELECT l10, dof, f_value, unnest([0, 1, 2]) AS term, unnest([coef_0, coef_1, coef_2]) AS coef,
+         unnest([std_err_0, std_err_1, std_err_2]) AS std_err FROM fitted)
+, tested AS (
+  SELECT *, coef / std_err AS t, pow(1 + 2 * f_value / dof, -dof / 2) AS prob_f
+  FROM term JOIN (SELECT dof, (low + high) / 2 AS width FROM margin WHERE k = 60) USING (dof))
+SELECT l10 AS prod_hier_l10_code, CAST(term AS INTEGER) AS term, {_round(4, "coef", "std_err", "t")},
+       round({_t_tail("t")}, 6) + 0.0 AS p_value, round(coef - width * std_err, 3) + 0.0 AS low,
+       round(coef + width * std_err, 3) + 0.0 AS high, {_round(6, "prob_f")}
+FROM tested"""
+)
+
 # --- seasonality --------------------------------------------------------------------------------
 
 
@@ -695,7 +875,11 @@ for _name in "abc":
     _last = f"next_{_name}"
 
 ORACLE_SQL["cluster_reassign"] = (
-    _with("corr_long", "start") + _ROUNDS + f"SELECT feature, {_INT_CLUSTER} FROM {_last}"
+    _with("corr_long", "start")
+    + _ROUNDS
+    + f"""
+SELECT feature, {_INT_CLUSTER},
+       (SELECT bool_and(c.cluster = b.cluster) FROM next_c c JOIN next_b b USING (feature)) AS stable FROM {_last}"""
 )
 
 ORACLE_SQL["cluster_r2_ratio"] = (
@@ -711,6 +895,8 @@ SELECT feature, {_INT_CLUSTER}, {_round(6, "r2_own", "r2_next")},
 FROM split"""
 )
 
+ORACLE_SQL["table_roundtrip"] = _with("prod") + "SELECT l10 AS prod_hier_l10_code, count(*) AS n_products, true AS listed FROM prod GROUP BY l10"
+
 # Score of a customer on a cluster needs the cluster search, so only its inputs are in SQL.
 
 ORACLE_SQL["sink_roundtrip"] = (

@@ -23,13 +23,15 @@ KPI_DAYS = (5, 6)
 PERIODS = {"TY": (199701, 199752), "LY": (199601, 199652)}
 
 STYLES = (1, 25)
-REACH_STEPS = 5
-REACH_PRODUCT_STEPS = 12
+REACH_STEPS = 60
 TOP_K = 6
 
 PRICE_SEGMENTS = ("LA", "MM")
 PRICE_CLASS = "ECONOMY"
-PRICE_STEP = 250.0
+PRICE_WEEKS = (199810, 199935)
+PRICE_STEP = 0.01
+# Money units that a price of the curve counts in.
+CURVE_PRICE_UNIT = 1000.0
 
 SEASON_WEEKS = (199640, 199739)
 SHORT_SEASON = {"start_week": 199720, "end_week": 199730, "data_week_end": 199852}

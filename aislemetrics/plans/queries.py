@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislemetrics.functions.calendar import shift_weeks
+from aislemetrics.functions.calendar import week_at, with_calendar
 from aislemetrics.functions.columns import all_padded, pad_code, units
 from aislemetrics.operators import (
     components,
@@ -26,7 +27,7 @@ from aislemetrics.operators import (
 from aislemetrics.plans import params as p
 from aislemetrics.session import materialise, shared_path
 from aislemetrics.sources import readers, sinks
-from aislemetrics.sources.star import SNAPSHOT_WEEK, Star, load_star
+from aislemetrics.sources.star import PRICE_SEGMENT, SNAPSHOT_WEEK, Star, load_star
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,36 +70,34 @@ def prod_code_check(star: Star) -> DataFrame:
 
 @query
 def date_dim(star: Star) -> DataFrame:
-    sold = star.baskets.groupBy("date_id").agg(F.count("*").alias("n_baskets"))
-    return sold.join(star.dates, "date_id")
+    return with_calendar(star.baskets.groupBy("date_id").agg(F.count("*").alias("n_baskets")))
 
 
 @query
 def week_shift(star: Star) -> DataFrame:
-    dated = star.baskets.select("date_id").join(star.dates, "date_id")
-    weekly = dated.groupBy("fis_week_id").agg(F.count("*").alias("n_baskets"))
-    earlier = shift_weeks(star.dates, p.SHIFT).withColumnRenamed("shifted_week_id", "earlier_week_id")
-    later = shift_weeks(star.dates, -p.SHIFT).withColumnRenamed("shifted_week_id", "later_week_id")
-    return weekly.join(earlier, "fis_week_id").join(later, "fis_week_id")
+    dated = with_calendar(star.baskets.select("date_id"))
+    weekly = dated.groupBy("fis_week_id", "fis_week_of_epoch_num").agg(F.count("*").alias("n_baskets"))
+    number = F.col("fis_week_of_epoch_num")
+    return weekly.select(
+        "fis_week_id",
+        "n_baskets",
+        week_at(number - p.SHIFT).alias("earlier_week_id"),
+        week_at(number + p.SHIFT).alias("later_week_id"),
+    )
 
 
 @query
 def item_slice(star: Star) -> DataFrame:
+    tagged = star.lines.join(items.tag_customers(star.baskets, star.segments), "transaction_fid")
     sliced = items.item_slice(
-        star.items,
-        *p.SLICE_WEEKS,
-        weeks=star.weeks,
-        stores=star.stores,
-        formats=p.SLICE_FORMATS,
-        segments=star.segments,
+        tagged, *p.SLICE_WEEKS, weeks=star.weeks, stores=star.stores, formats=p.SLICE_FORMATS
     )
     return _plain(sliced.drop("weight_uom_qty"), net_spend_amt=None)
 
 
 @query
 def end_customer_spend(star: Star) -> DataFrame:
-    tagged = items.tag_customers(star.items, star.segments)
-    kept = items.end_customers(tagged)
+    kept = star.lines.join(items.end_customer_baskets(star.baskets, star.segments), "transaction_fid")
     spent = kept.groupBy("kptr_seg", "seg_value_code").agg(
         F.count("*").alias("n_lines"), F.sum("net_spend_amt").alias("sales")
     )
@@ -143,7 +142,7 @@ def promo_share_class(star: Star) -> DataFrame:
 
 @query
 def day_of_week_filter(star: Star) -> DataFrame:
-    weekend = items.filter_day_of_week(star.items, star.dates, p.WEEKEND)
+    weekend = items.filter_day_of_week(star.items, p.WEEKEND)
     daily = weekend.groupBy("date_id", "fis_day_of_week_num").agg(
         F.count("*").alias("n_lines"), F.sum("net_spend_amt").alias("sales")
     )
@@ -183,6 +182,25 @@ def customer_overlap_control(star: Star) -> DataFrame:
     return overlap.customer_overlap(star.items, control, names, star.stores, p.OVERLAP_WEEKS, star.weeks)
 
 
+@query
+def control_file_overlap(star: Star) -> DataFrame:
+    """The same from a control file: written, read, lower-cased, split, and kept to known products."""
+    names = list(p.CONTROL_CLASSES)
+    listed = star.products.filter(F.col(p.CLASS).isin(names)).groupBy(F.col(p.CLASS).alias("prod_gr"))
+    listed = listed.agg(F.concat_ws(",", F.sort_array(F.collect_list("prod_code")), F.lit("unknown")).alias("prod_code"))
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("prod_gr"))
+    path = shared_path(star.spark, "control")
+    day = F.when(place == 3, F.to_date(F.lit(p.CONTROL_DAYS[1])))
+    fmt = F.when(place < 3, F.concat(F.lit("FORMAT "), place))
+    day_no = F.lit(None).cast("int").alias("fis_day_of_week_num")
+    sinks.write_csv(listed.select(fmt.alias("fmt"), "prod_code", "prod_gr", day.alias("date_id"), day_no), path)
+    control = readers.control_products(readers.read_control_file(star.spark, path))
+    control = control.join(star.products.select("prod_code"), "prod_code", "left_semi")
+    control = control.select("prod_code", (place - 1).cast("int").alias("bit"), "fmt", "date_id")
+    stores = star.stores.withColumn("format_code", F.concat(F.lit("format "), F.col("format_code")))
+    return overlap.customer_overlap(star.items, control, names, stores, p.OVERLAP_WEEKS, star.weeks)
+
+
 @query
 def daily_group_kpi(star: Star) -> DataFrame:
     groups = star.products.filter(F.col(p.SUBCLASS).isin(list(p.KPI_GROUPS))).select(
@@ -191,7 +209,7 @@ def daily_group_kpi(star: Star) -> DataFrame:
         F.explode(F.array(*[F.lit(f) for f in p.KPI_FORMATS])).alias("format_code"),
     )
     groups = groups.withColumn("fis_day_of_week_num", F.explode(F.array(*[F.lit(d) for d in p.KPI_DAYS])))
-    return overlap.daily_group_kpi(star.items, groups, star.stores, star.dates, p.PERIODS, star.weeks)
+    return overlap.daily_group_kpi(star.items, groups, star.stores, p.PERIODS, star.weeks)
 
 
 # --- reach --------------------------------------------------------------------------------------
@@ -199,7 +217,7 @@ def daily_group_kpi(star: Star) -> DataFrame:
 
 def _reach_scope(star: Star) -> tuple[DataFrame, DataFrame]:
     """End-customer lines of the stores in scope, and the products of the listed styles."""
-    lines = items.end_customers(items.tag_customers(star.items, star.segments))
+    lines = star.lines.join(items.end_customer_baskets(star.baskets, star.segments), "transaction_fid")
     lines = items.in_formats(lines, star.stores, p.SLICE_FORMATS)
     styles = star.products.filter(F.col("prod_style_code").between(*p.STYLES)).select("prod_style_code").distinct()
     return lines, items.of_styles(items.in_divisions(star.products, p.DIVISIONS), styles)
@@ -220,7 +238,9 @@ def _basket_tokens(star: Star) -> DataFrame:
 
 @query
 def greedy_reach(star: Star) -> DataFrame:
-    return reach.greedy_reach(_basket_tokens(star), p.REACH_STEPS)
+    """Products that reach the most baskets of end customers."""
+    tokens = reach.token_sets(*_reach_scope(star), "transaction_fid", "prod_code")
+    return reach.greedy_reach(tokens, p.REACH_STEPS, merge=False)
 
 
 @query
@@ -230,9 +250,9 @@ def greedy_candidates(star: Star) -> DataFrame:
 
 @query
 def greedy_reach_cards(star: Star) -> DataFrame:
-    """Products that reach the most customers, past the first write-out of open sets."""
+    """Products that reach the most end customers."""
     tokens = reach.token_sets(*_reach_scope(star), "card_id", "prod_code")
-    return reach.greedy_reach(tokens, p.REACH_PRODUCT_STEPS)
+    return reach.greedy_reach(tokens, p.REACH_STEPS, merge=False)
 
 
 # --- price --------------------------------------------------------------------------------------
@@ -240,7 +260,7 @@ def greedy_reach_cards(star: Star) -> DataFrame:
 
 def _shoppers(star: Star) -> DataFrame:
     return price.segment_cards(
-        star.segment_snapshots, star.dates, SNAPSHOT_WEEK, "PRSN_PRICESENSE_SEG", p.PRICE_SEGMENTS
+        star.segment_snapshots, star.segment_values, star.card_persons, SNAPSHOT_WEEK, PRICE_SEGMENT, p.PRICE_SEGMENTS
     )
 
 
@@ -258,6 +278,16 @@ def price_points(star: Star) -> DataFrame:
     return _plain(_price_points(star), units=2, sales=4, ppu=2)
 
 
+@query
+def price_points_period(star: Star) -> DataFrame:
+    """Price points of some weeks, over the products of the commercial divisions in scope."""
+    scope = price.in_commercial_divisions(star.products, p.DIVISIONS)
+    points = price.price_points(
+        star.items, scope, _shoppers(star), period=p.PRICE_WEEKS, weeks=star.weeks, stores=star.stores, by=[p.CLASS]
+    )
+    return _plain(points, units=2, sales=4, ppu=2)
+
+
 @query
 def price_describe(star: Star) -> DataFrame:
     described = price.describe(_price_points(star), ["units", "sales", "ppu"])
@@ -313,7 +343,10 @@ _STATS = {
 
 def _summary(points: DataFrame, degree: int, by: tuple[str, ...] = ()) -> DataFrame:
     summary = price.fit_summary(points, degree, by)
-    return _plain(summary, **{c: d for c, d in _STATS.items() if c in summary.columns})
+    digits = {c: d for c, d in _STATS.items() if c in summary.columns}
+    if degree == 2:
+        digits["cond_no"] = -3  # about 10 digits before the point
+    return _plain(summary, **digits)
 
 
 @query
@@ -334,14 +367,16 @@ def price_stats_quadratic(star: Star) -> DataFrame:
 @query
 def price_coefficient_tests(star: Star) -> DataFrame:
     by = [p.SUBCLASS]
-    return price.coefficient_tests(price.fit_summary(_group_points(star), 2, by), by)
+    tested = price.coefficient_tests(price.fit_summary(_group_points(star), 2, by), by)
+    return _plain(tested, coef=4, std_err=4, t=4, p_value=6, low=3, high=3, prob_f=6)
 
 
 @query
 def price_curve(star: Star) -> DataFrame:
-    fits = price.fit_price(_group_points(star), 2, by=[p.SUBCLASS])
-    curve = price.predict_grid(fits, 2, by=[p.SUBCLASS], step=p.PRICE_STEP)
-    return _plain(curve, ppu=2, predicted=1)
+    """The fitted curves in steps of a cent, with prices brought to a few dozen per unit."""
+    scaled = _group_points(star).withColumn("ppu", F.round(F.col("ppu") / p.CURVE_PRICE_UNIT, 2))
+    fits = price.fit_price(scaled, 2, by=[p.SUBCLASS])
+    return _plain(price.predict_grid(fits, 2, by=[p.SUBCLASS], step=p.PRICE_STEP), ppu=2, predicted=1)
 
 
 # --- seasonality --------------------------------------------------------------------------------
@@ -404,17 +439,17 @@ def cycle_cumulative(star: Star) -> DataFrame:
 
 @query
 def card_metrics(star: Star) -> DataFrame:
-    return _plain(needstate.card_metrics(star.items, star.products, p.DIVISIONS), sales=None)
+    return _plain(needstate.card_metrics(star.lines, star.products, p.DIVISIONS, star.baskets), sales=None)
 
 
 @query
 def card_subclass_metrics(star: Star) -> DataFrame:
-    metrics = needstate.card_subclass_metrics(star.items, star.products, p.DIVISIONS)
+    metrics = needstate.card_subclass_metrics(star.lines, star.products, p.DIVISIONS, star.baskets)
     return _plain(metrics, subcl_sales=None)
 
 
 def _need(star: Star) -> DataFrame:
-    return needstate.need_state(star.items, star.products, p.DIVISIONS)
+    return needstate.need_state(star.lines, star.products, p.DIVISIONS, star.baskets)
 
 
 @query
@@ -446,6 +481,12 @@ def _matrix(star: Star, by: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]
     return needstate.need_matrix(need, features, keys=[*by, "card_id"]), features
 
 
+def _stored_matrix(star: Star, by: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """The matrix written once, for analyses that go over it in several jobs."""
+    matrix, features = _matrix(star, by)
+    return materialise(matrix, "matrix"), features
+
+
 def _corr(star: Star, by: tuple[str, ...] = ()) -> DataFrame:
     return moments.correlation(*_matrix(star, by), by)
 
@@ -477,17 +518,17 @@ def feature_stats(star: Star) -> DataFrame:
 
 @query
 def pca_rows(star: Star) -> DataFrame:
-    return components.principal_components(*_matrix(star), p.N_COMPONENTS)
+    return components.principal_components(*_stored_matrix(star), p.N_COMPONENTS)
 
 
 @query
 def pca_corr_rows(star: Star) -> DataFrame:
-    return components.principal_components(*_matrix(star), p.N_COMPONENTS, on="corr_rows")
+    return components.principal_components(*_stored_matrix(star), p.N_COMPONENTS, on="corr_rows")
 
 
 @query
 def pca_by_segment(star: Star) -> DataFrame:
-    return components.principal_components(*_matrix(star, SEGMENT), p.N_COMPONENTS, on="corr", by=SEGMENT)
+    return components.principal_components(*_stored_matrix(star, SEGMENT), p.N_COMPONENTS, on="corr", by=SEGMENT)
 
 
 @query
@@ -503,42 +544,43 @@ def pca_model_scores(star: Star) -> DataFrame:
 
 @query
 def svd_values(star: Star) -> DataFrame:
-    return components.svd(*_matrix(star))
+    return components.svd(*_stored_matrix(star))
 
 
 @query
 def svd_left_vectors(star: Star) -> DataFrame:
     need = materialise(_need(star), "need")
     features = _features(star)
-    sums = materialise(moments.pair_sums(needstate.need_matrix(need, features), features), "sums")
-    right = materialise(components.svd_of(moments.scatter_of(sums), p.N_COMPONENTS), "svd")
+    matrix = materialise(needstate.need_matrix(need, features), "matrix")
+    sums = moments.pair_sums(matrix, features)
+    right = components.svd(matrix, features, p.N_COMPONENTS)
     return components.left_vectors(need, moments.feature_stats_of(sums), right, p.N_COMPONENTS)
 
 
 @query
 def explained_share(star: Star) -> DataFrame:
-    matrix, features = _matrix(star)
+    matrix, features = _stored_matrix(star)
     return moments.explained(components.principal_components(matrix, features, len(features), on="corr"))
 
 
 @query
 def q_mode_scores(star: Star) -> DataFrame:
-    return components.q_mode_scores(materialise(_corr(star), "corr"))
+    return components.q_mode_scores(*_stored_matrix(star))
 
 
 @query
 def factor_loadings(star: Star) -> DataFrame:
-    return factors.factor_loadings(_corr(star), p.N_FACTORS)
+    return factors.factor_loadings(*_stored_matrix(star), p.N_FACTORS)
 
 
 @query
 def factor_loadings_by_segment(star: Star) -> DataFrame:
-    return factors.factor_loadings(_corr(star, SEGMENT), p.N_FACTORS, "quartimax", SEGMENT)
+    return factors.factor_loadings(*_stored_matrix(star, SEGMENT), p.N_FACTORS, SEGMENT)
 
 
 @query
 def factor_members(star: Star) -> DataFrame:
-    loadings = factors.factor_loadings(_corr(star), p.N_FACTORS)
+    loadings = factors.factor_loadings(*_stored_matrix(star), p.N_FACTORS)
     return factors.factor_members(loadings, star.products, p.MEMBER_FACTOR)
 
 
@@ -546,8 +588,9 @@ def factor_members(star: Star) -> DataFrame:
 def factor_scores(star: Star) -> DataFrame:
     need = materialise(_need(star), "need")
     features = _features(star)
-    corr = moments.correlation(needstate.need_matrix(need, features), features)
-    return factors.factor_scores(need, factors.factor_loadings(corr, p.N_FACTORS), p.N_FACTORS)
+    matrix = materialise(needstate.need_matrix(need, features), "matrix")
+    loadings = factors.factor_loadings(matrix, features, p.N_FACTORS)
+    return factors.factor_scores(need, loadings, moments.feature_stats(matrix, features), p.N_FACTORS)
 
 
 # --- variable clusters --------------------------------------------------------------------------
@@ -570,7 +613,10 @@ def cluster_correlation(star: Star) -> DataFrame:
 
 @query
 def cluster_correlation_pca(star: Star) -> DataFrame:
-    return varclus.cluster_correlation(materialise(_corr(star), "corr"), _start_clusters(star), "PCA")
+    matrix, features = _stored_matrix(star)
+    start = _start_clusters(star)
+    weights = varclus.component_weights(matrix, features, start)
+    return varclus.cluster_correlation(moments.correlation(matrix, features), start, weights)
 
 
 @query
@@ -586,20 +632,21 @@ def cluster_r2_ratio(star: Star) -> DataFrame:
 
 @query
 def variable_clusters(star: Star) -> DataFrame:
-    return varclus.variable_clusters(_corr(star), p.N_CLUSTERS)
+    return varclus.variable_clusters(*_stored_matrix(star), p.N_CLUSTERS)
 
 
 @query
 def variable_clusters_by_segment(star: Star) -> DataFrame:
-    return varclus.variable_clusters(_corr(star, SEGMENT), p.N_CLUSTERS, "PCA", by=SEGMENT)
+    return varclus.variable_clusters(*_stored_matrix(star, SEGMENT), p.N_CLUSTERS, by=SEGMENT)
 
 
 @query
 def cluster_scores(star: Star) -> DataFrame:
     need = materialise(_need(star), "need")
     features = _features(star)
-    sums = materialise(moments.pair_sums(needstate.need_matrix(need, features), features), "sums")
-    clusters = materialise(varclus.variable_clusters(moments.correlation_of(sums), p.N_CLUSTERS), "clusters")
+    matrix = materialise(needstate.need_matrix(need, features), "matrix")
+    sums = materialise(moments.pair_sums(matrix, features), "sums")
+    clusters = varclus.variable_clusters(matrix, features, p.N_CLUSTERS)
     return varclus.cluster_scores(need, clusters, moments.feature_stats_of(sums), p.N_CLUSTERS)
 
 
@@ -621,3 +668,15 @@ def sink_roundtrip(star: Star) -> DataFrame:
     need = need.agg(F.count("*").alias("n_cards"), F.avg("pct_visits").alias("avg_visits"))
     joined = need.join(sizes, F.col("subcl") == F.concat(F.lit("s"), F.col("prod_hier_l10_code")))
     return _plain(joined.select("subcl", "n_cards", "avg_visits", "n_products", "first_code"), avg_visits=6)
+
+
+@query
+def table_roundtrip(star: Star) -> DataFrame:
+    """Products to a managed table; counted from there, and looked up in the list of tables."""
+    name = f"products_{uuid.uuid4().hex}"
+    sinks.write_table(star.products.select("prod_code", "prod_hier_l10_code"), name, files=1)
+    listed = name in readers.list_tables(star.spark)
+    counted = readers.read_table(star.spark, name).groupBy("prod_hier_l10_code").agg(F.count("*").alias("n_products"))
+    result = materialise(counted.withColumn("listed", F.lit(listed)), "table")
+    star.spark.sql(f"DROP TABLE {name}")
+    return result

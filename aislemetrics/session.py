@@ -43,20 +43,33 @@ def build_session(app: str = "aislemetrics", master: str | None = None, **option
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors reach: the one named in ``spark.checkpoint.dir``.
 
-    A local master without the setting gets a private temporary folder; a cluster without it is
-    refused, since a machine-local folder dies with its machine.
+    Only a single local process without the setting, as in a test, gets a private temporary folder;
+    a cluster without it is refused, since a machine-local folder dies with its machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="aislemetrics-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+# What this process has written to the shared folder.
+_written: list[str] = []
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; ``release`` deletes what was written there."""
+    _written.append(f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediates written so far; frames that read them must be done with."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -43,8 +43,8 @@ def load_pca_model(path: str) -> PCAModel:
 
 
 def result_frame(df: DataFrame, max_rows: int = 1_000_000) -> pd.DataFrame:
-    """Result-size data as pandas; raises, rather than cuts, when there is more than that."""
-    rows = df.limit(max_rows + 1).toPandas()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} rows: write the frame instead of collecting it")
-    return rows
+    """Result-size data as pandas; counts first, and refuses to collect more than ``max_rows``."""
+    n = df.count()
+    if n > max_rows:
+        raise ValueError(f"{n} rows, more than {max_rows}: write the frame instead of collecting it")
+    return df.toPandas()

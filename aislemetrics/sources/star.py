@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from aislemetrics.functions import calendar
 from aislemetrics.session import configure
 
-CALENDAR = (dt.date(1990, 1, 1), dt.date(2039, 12, 31))
 DIVISIONS = ["01"]
 
 _LONG, _INT, _DOUBLE, _TEXT, _TIME = (
@@ -89,12 +88,17 @@ class Star:
 
     @cached_property
     def items(self) -> DataFrame:
-        """Item-grain fact: one row per basket line.
+        """Item-grain fact: one row per basket line, with the basket's header.
 
-        Columns are computed on the side they come from, so that what lies above the join is a
-        plain column list: Spark then moves semi joins on products or stores below it.
+        What lies above the join is a plain column list: Spark then moves semi joins on products,
+        stores or cards below it.
         """
-        lines = self._table("lineitem").selectExpr(
+        return self.lines.join(self.baskets, "transaction_fid")
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """Basket lines without their headers."""
+        return self._table("lineitem").selectExpr(
             "l_orderkey AS transaction_fid",
             f"{_padded('l_partkey')} AS prod_code",
             "l_suppkey AS store_id",
@@ -102,7 +106,6 @@ class Star:
             "CASE l_returnflag WHEN 'A' THEN l_quantity * 0.5D WHEN 'N' THEN 0D END AS weight_uom_qty",
             f"{_SPEND} AS net_spend_amt",
         )
-        return lines.join(self.baskets, "transaction_fid")
 
     @cached_property
     def baskets(self) -> DataFrame:
@@ -140,13 +143,9 @@ class Star:
             "s_suppkey AS store_id", "s_name AS store_code", "cast(n_regionkey + 1 as string) AS format_code"
         )
 
-    @cached_property
-    def dates(self) -> DataFrame:
-        return calendar.date_dim(self.spark, *CALENDAR)
-
     @cached_property
     def weeks(self) -> calendar.Weeks:
-        return calendar.Weeks.of(self.dates)
+        return calendar.Weeks()
 
     @cached_property
     def segments(self) -> DataFrame:
@@ -157,20 +156,38 @@ class Star:
             "CASE c_mktsegment WHEN 'BUILDING' THEN 'LA' WHEN 'MACHINERY' THEN 'MM' ELSE 'UM' END AS seg_value_code",
         )
 
+    @cached_property
+    def card_persons(self) -> DataFrame:
+        """(card_id, prsn_id): who holds a card."""
+        return self._table("customer").selectExpr("c_custkey AS card_id", "c_custkey + 1000000000L AS prsn_id")
+
+    @cached_property
+    def segment_values(self) -> DataFrame:
+        """(seg_value_id, seg_type_code, seg_value_code), with a second type under the same codes."""
+        rows = [
+            (10 * t + i, kind, value)
+            for t, kind in enumerate((PRICE_SEGMENT, "loyalty"), 1)
+            for i, value in enumerate(SEGMENT_CODES)
+        ]
+        return self.spark.createDataFrame(rows, "seg_value_id int, seg_type_code string, seg_value_code string")
+
     @cached_property
     def segment_snapshots(self) -> DataFrame:
-        """(card_id, date_id, seg_type_code, seg_value_code): one snapshot of the price-sense segment."""
-        return self.segments.select(
-            "card_id",
-            F.lit(SNAPSHOT_DATE).alias("date_id"),
-            F.lit("PRSN_PRICESENSE_SEG").alias("seg_type_code"),
-            "seg_value_code",
+        """(prsn_id, date_id, seg_value_id): two snapshots; in the earlier one everybody sits one segment on."""
+        place = "CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 ELSE 2 END"
+        late, early = SNAPSHOT_DATE.isoformat(), EARLIER_SNAPSHOT_DATE.isoformat()
+        return self._table("customer").selectExpr(
+            "c_custkey + 1000000000L AS prsn_id",
+            f"stack(2, DATE '{late}', 10 + {place}, DATE '{early}', 10 + ({place} + 1) % 3) AS (date_id, seg_value_id)",
         )
 
 
-# Sunday that ends the snapshot week.
+PRICE_SEGMENT = "price_sense"
+SEGMENT_CODES = ("LA", "MM", "UM")
+# Sunday that ends the snapshot week, and the snapshot before.
 SNAPSHOT_WEEK = 200120
 SNAPSHOT_DATE = dt.date(2001, 5, 20)
+EARLIER_SNAPSHOT_DATE = dt.date(2001, 5, 17)
 
 
 def load_star(spark: SparkSession, folder: str) -> Star:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from aislemetrics.functions import calendar, columns
 from aislemetrics.functions.calendar import Weeks, date_dim, shift_weeks
+from aislemetrics.operators import items
 
 
 @pytest.fixture(scope="module")
@@ -55,16 +56,28 @@ def test_shift_crosses_a_53_week_year(dates):
     assert later[199852] == 199901
 
 
-def test_week_table(dates):
-    weeks = Weeks.of(dates)
+def test_week_ids():
+    weeks = Weeks()
     assert weeks.shifted(199901, 1) == 199853
     assert weeks.shifted(199852, -2) == 199901
     assert weeks.count(199852, 199901) == 3
+    assert weeks.between(199852, 199902) == [199852, 199853, 199901, 199902]
     assert weeks.days(199853, 199901) == (dt.date(1998, 12, 28), dt.date(1999, 1, 10))
+    assert weeks.shifted(198501, 52) == 198401 and weeks.shifted(204552, -1) == 204601
     with pytest.raises(ValueError):
-        weeks.number(200001)
+        weeks.number(199954)
     with pytest.raises(ValueError):
-        weeks.shifted(199801, 200)
+        weeks.days(199902, 199901)
+
+
+def test_any_date_has_a_week_and_a_day(spark):
+    days = [dt.date(1985, 1, 1), dt.date(1985, 12, 30), dt.date(2045, 1, 1), dt.date(1901, 6, 5)]
+    frame = spark.createDataFrame([(d,) for d in days], "date_id date")
+    for r in calendar.with_calendar(frame).select("*", calendar.week_at(F.col("fis_week_of_epoch_num")).alias("w")).collect():
+        year, week, day = r.date_id.isocalendar()
+        assert (r.fis_week_id, r.fis_day_of_week_num, r.w) == (year * 100 + week, day, year * 100 + week)
+    kept = items.filter_day_of_week(frame, [d.isoweekday() for d in days])
+    assert kept.count() == len(days)
 
 
 def test_period_no(spark):

@@ -77,7 +77,7 @@ def fact(spark):
         [("p1", "A", "01"), ("p2", "B", "01"), ("p3", "C", "99")],
         "prod_code string, lvl string, prod_hier_l50_code string",
     )
-    return items, products, Weeks.of(dates)
+    return items, products, Weeks()
 
 
 def test_padding_completeness_and_extra_week(fact):

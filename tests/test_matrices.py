@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.stat import Correlation
 from pyspark.sql import functions as F
@@ -72,8 +73,6 @@ def test_wide_matrix_keeps_sums(matrix, corr):
     assert table.columns == ["seg", "i", *FEATURES] and table.count() == 12
     long = moments.long_rows(table.filter("seg = 'u'"), "i", FEATURES)
     assert long.count() == 36
-    with pytest.raises(ValueError):
-        moments.check_features([str(i) for i in range(1001)])
 
 
 def test_constant_feature(spark):
@@ -82,8 +81,48 @@ def test_constant_feature(spark):
     corr = moments.correlation(flat, ["a", "b", "c"]).cache()
     table = {(r.i, r.j): r.r for r in corr.collect()}
     assert table["c", "c"] == 1.0 and table["a", "c"] is None and table["c", "b"] is None
-    # Dense steps leave it out.
-    assert {r.feature for r in factors.factor_loadings(corr, 1).collect()} == {"a", "b"}
+    # Every analysis keeps it, without a value.
+    for on in ("rows", "corr", "corr_rows"):
+        found = components.principal_components(flat, ["a", "b", "c"], 2, on)
+        weights = {(r.component, r.feature): r.weight for r in found.collect()}
+        assert set(weights) == {(k, f) for k in (1, 2) for f in "abc"}
+        assert weights[1, "c"] is None and weights[1, "a"] is not None
+    loadings = {r.feature: r.loading for r in factors.factor_loadings(flat, ["a", "b", "c"], 1).collect()}
+    assert set(loadings) == {"a", "b", "c"} and loadings["c"] is None
+    clusters = {r.feature_name: r.cluster_num for r in varclus.variable_clusters(flat, ["a", "b", "c"], 2).collect()}
+    assert clusters == {"a": 1, "b": 1, "c": None}
+    assert {r.feature: r.score is None for r in components.q_mode_scores(flat, ["a", "b", "c"]).collect()}["c"]
+    # A constant member does not count in its cluster's centroid.
+    start = spark.createDataFrame([("a", 1), ("c", 1), ("b", 2)], "feature string, cluster int")
+    near = {(r.feature, r.cluster): r.r for r in varclus.cluster_correlation(corr, start).collect()}
+    assert near["a", 1] == pytest.approx(1) and near["c", 1] is None and near["c", 2] is None
+    moved = {r.feature: r.cluster for r in varclus.reassign(corr, start, 2).collect()}
+    assert moved["c"] == 1
+
+
+def test_high_means_keep_their_digits(spark):
+    rows = [(i, 1e9 + i % 4, 1e9 + (i % 4) ** 2) for i in range(4000)]
+    corr = moments.correlation(spark.createDataFrame(rows, "k long, a double, b double").repartition(7), ["a", "b"])
+    exact = np.corrcoef([i % 4 for i in range(4000)], [(i % 4) ** 2 for i in range(4000)])[0, 1]
+    assert {(r.i, r.j): r.r for r in corr.collect()}["a", "b"] == pytest.approx(exact, abs=1e-9)
+
+
+def test_many_features_and_many_segments(spark):
+    names = [f"f{i}" for i in range(1_500)]
+    x = np.random.default_rng(0).normal(size=(40, 1_500))
+    wide = spark.createDataFrame(pd.DataFrame(x, columns=names)).repartition(3)
+    sums = moments.pair_sums(wide, names)
+    assert sums.count() == 1_500 * 1_501 // 2
+    row = sums.filter("i = 'f3' AND j = 'f1499'").first()
+    assert row.sij == pytest.approx(np.cov(x[:, 3], x[:, 1499])[0, 1] * 39)
+    many = spark.range(150_000).selectExpr("id % 50000 AS g", "cast(id as double) AS a", "cast(id * id % 7 as double) AS b")
+    assert moments.pair_sums(many, ["a", "b"], ["g"]).filter("n = 3").count() == 150_000
+
+
+def test_missing_values_are_refused(spark):
+    holes = spark.createDataFrame([(1.0, None), (2.0, 3.0)], "a double, b double")
+    with pytest.raises(Exception, match="null or NaN"):
+        moments.pair_sums(holes, ["a", "b"]).collect()
 
 
 def _vectors(long, k, names=FEATURES):
@@ -146,45 +185,23 @@ def test_explained_share(matrix):
     assert rows[0].below_cut == sum(r.cum_share < 0.8 for r in rows)
 
 
-def test_q_mode_scores_are_the_vector(corr):
-    own = corr.filter("seg = 'u'")
-    scores = {r.feature: r.score for r in components.q_mode_scores(own).collect()}
-    second = _vectors(components.symmetric_eigen(own, "r", 2), 2)[1]
+def test_q_mode_scores_are_the_vector(matrix):
+    own = matrix.filter("seg = 'u'")
+    scores = {r.feature: r.score for r in components.q_mode_scores(own, FEATURES).collect()}
+    second = _vectors(components.principal_components(own, FEATURES, 2, "corr"), 2)[1]
     assert [scores[f] for f in FEATURES] == pytest.approx(second)
 
 
-def test_factors_reproduce_the_correlations(corr):
-    found = factors.factor_loadings(corr, 2, by=["seg"]).cache()
-    plain = factors.factor_loadings(corr, 2, rotation=None, by=["seg"])
-    for seg in ("u", "v"):
-        rows = found.filter(F.col("seg") == seg).collect()
-        loadings = np.array([[next(r.loading for r in rows if (r.feature, r.factor) == (f, k)) for k in (1, 2)] for f in FEATURES])
-        fitted = loadings @ loadings.T
-        own = _square(corr.filter(F.col("seg") == seg), "r")
-        off = ~np.eye(6, dtype=bool)
-        assert fitted[off] == pytest.approx(own[off], abs=0.06)
-        uniqueness = {r.feature: r.uniqueness for r in rows}
-        assert [uniqueness[f] for f in FEATURES] == pytest.approx(1 - (loadings**2).sum(axis=1))
-        # Simple structure: each feature belongs to one factor.
-        assert (np.abs(loadings).max(axis=1) > 2 * np.abs(loadings).min(axis=1)).all()
-        # Rotation leaves uniqueness alone.
-        before = {r.feature: r.uniqueness for r in plain.filter(F.col("seg") == seg).collect()}
-        assert uniqueness == pytest.approx(before)
-    with pytest.raises(ValueError):
-        factors.factor_loadings(corr, 2, rotation="oblimin")
-
-
-def test_rotation_reaches_the_criterion():
-    rng = np.random.default_rng(0)
-    loadings = rng.normal(size=(8, 2))
-
-    def varimax(m):
-        return ((m**2).var(axis=0)).sum()
-
-    turned = factors.rotated(loadings, "varimax", eps=1e-12, max_rounds=1000)
-    angles = np.linspace(0, np.pi, 2000)
-    best = max(varimax(loadings @ np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])) for t in angles)
-    assert varimax(turned) == pytest.approx(best, rel=1e-5)
+def test_loadings_are_correlations_with_components(matrix, segments):
+    found = factors.factor_loadings(matrix, FEATURES, 2, ["seg"]).collect()
+    for seg, x in segments.items():
+        rows = {(r.feature, r.factor): r for r in found if r.seg == seg}
+        loadings = np.array([[rows[f, k].loading for k in (1, 2)] for f in FEATURES])
+        values, vectors = np.linalg.eigh(np.corrcoef(x.T))
+        wanted = vectors[:, [-1, -2]] * np.sqrt(values[[-1, -2]])
+        assert np.abs(loadings) == pytest.approx(np.abs(wanted))
+        uniqueness = [rows[f, 1].uniqueness for f in FEATURES]
+        assert uniqueness == pytest.approx(1 - (loadings**2).sum(axis=1))
 
 
 def test_factor_members_and_scores(spark, need):
@@ -197,10 +214,13 @@ def test_factor_members_and_scores(spark, need):
     )
     members = factors.factor_members(loadings, products, 1).collect()
     assert {(m.prod_hier_l10_code, m.prod_hier_l10_desc, m.loading) for m in members} == {("0", "zero", 0.5), ("1", "one", -0.3)}
-    scores = {r.card_id: r for r in factors.factor_scores(need.filter("seg = 'u'"), loadings, 2).collect()}
     x = _data(1)
-    assert [scores[i].factor_1 for i in range(200)] == pytest.approx(0.5 * x[:, 0] - 0.3 * x[:, 1] + 0.29 * x[:, 2])
-    assert [scores[i].factor_2 for i in range(200)] == pytest.approx(0.2 * x[:, 0])
+    stats = [(f, float(x[:, i].mean()), float(x[:, i].std(ddof=1))) for i, f in enumerate(FEATURES)]
+    known = spark.createDataFrame(stats, "feature string, mean double, std double")
+    scores = {r.card_id: r for r in factors.factor_scores(need.filter("seg = 'u'"), loadings, known, 2).collect()}
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    assert [scores[i].factor_1 for i in range(200)] == pytest.approx(0.5 * z[:, 0] - 0.3 * z[:, 1] + 0.29 * z[:, 2])
+    assert [scores[i].factor_2 for i in range(200)] == pytest.approx(0.2 * z[:, 0])
 
 
 @pytest.fixture(scope="module")
@@ -218,33 +238,35 @@ def _cluster_r(corr, groups, method):
     return np.array(columns).T
 
 
-@pytest.mark.parametrize("method", varclus.METHODS)
-def test_cluster_correlation_equals_vectors(corr, assignment, segments, method):
-    found = varclus.cluster_correlation(corr, assignment, method, ["seg"]).collect()
-    ratios = {(r.seg, r.feature): r for r in varclus.r2_ratio(corr, assignment, method, ["seg"]).collect()}
+@pytest.mark.parametrize("method", ["Centroid", "PCA"])
+def test_cluster_correlation_equals_vectors(matrix, corr, assignment, segments, method):
+    weights = varclus.component_weights(matrix, FEATURES, assignment, ["seg"]) if method == "PCA" else None
+    found = varclus.cluster_correlation(corr, assignment, weights, ["seg"]).collect()
+    ratios = {(r.seg, r.feature): r for r in varclus.r2_ratio(corr, assignment, ["seg"]).collect()}
     for seg, x in segments.items():
         wanted = _cluster_r(np.corrcoef(x.T), [[0, 1, 4], [2, 3, 5]], method)
         table = {(r.feature, r.cluster): r.r for r in found if r.seg == seg}
         ours = np.array([[table[f, c] for c in (1, 2)] for f in FEATURES])
         assert np.abs(ours) == pytest.approx(np.abs(wanted))
-        r2 = wanted**2
-        assert ratios[seg, "s4"].ratio == pytest.approx((1 - r2[4, 0]) / (1 - r2[4, 1]))
-        assert ratios[seg, "s4"].cluster == 1
+        if method == "Centroid":
+            r2 = wanted**2
+            assert ratios[seg, "s4"].ratio == pytest.approx((1 - r2[4, 0]) / (1 - r2[4, 1]))
+            assert ratios[seg, "s4"].cluster == 1
 
 
 def test_reassign_finds_the_pairs(corr, assignment):
-    for method in varclus.METHODS:
-        moved = varclus.reassign(corr, assignment, method, 4, ["seg"]).collect()
-        for seg in ("u", "v"):
-            clusters = {r.feature: r.cluster for r in moved if r.seg == seg}
-            assert len({clusters[f] for f in FEATURES[:3]}) == 1
-            assert len({clusters[f] for f in FEATURES[3:]}) == 1
-            assert clusters["s0"] != clusters["s3"]
-
-
-@pytest.mark.parametrize("method", varclus.METHODS)
-def test_variable_clusters(corr, method):
-    found = varclus.variable_clusters(corr, 2, method, by=["seg"]).collect()
+    moved = varclus.reassign(corr, assignment, 4, ["seg"]).collect()
+    for seg in ("u", "v"):
+        clusters = {r.feature: r.cluster for r in moved if r.seg == seg}
+        assert len({clusters[f] for f in FEATURES[:3]}) == 1
+        assert len({clusters[f] for f in FEATURES[3:]}) == 1
+        assert clusters["s0"] != clusters["s3"]
+        assert all(r.stable for r in moved)
+    assert not any(r.stable for r in varclus.reassign(corr, assignment, 1, ["seg"]).collect())
+
+
+def test_variable_clusters(matrix):
+    found = varclus.variable_clusters(matrix, FEATURES, 2, by=["seg"]).collect()
     for seg in ("u", "v"):
         groups = {}
         for r in found:
@@ -253,15 +275,26 @@ def test_variable_clusters(corr, method):
         assert sorted(map(sorted, groups.values())) == [FEATURES[:3], FEATURES[3:]]
 
 
-@pytest.mark.parametrize("method", varclus.METHODS)
-def test_clusters_are_a_partition_and_small_ones_stay(corr, method):
-    found = varclus.variable_clusters(corr.filter("seg = 'u'"), 6, method).collect()
+def test_clusters_are_a_partition_and_small_ones_stay(matrix):
+    found = varclus.variable_clusters(matrix.filter("seg = 'u'"), FEATURES, 6).collect()
     assert sorted(r.feature_name for r in found) == FEATURES
     sizes = [sum(r.cluster_num == c for r in found) for c in {r.cluster_num for r in found}]
     # Splitting stops at two features.
     assert max(sizes) <= 2 and len(sizes) >= 3
-    with pytest.raises(ValueError):
-        varclus.variable_clusters(corr, 2, "Ward")
+
+
+def test_quartimax_turn_is_the_best_angle():
+    rng = np.random.default_rng(4)
+
+    def fourth_powers(pairs, angle):
+        turned = pairs @ np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
+        return (turned**4).sum()
+
+    for _ in range(20):
+        pairs = rng.normal(size=(7, 2))
+        best = max(fourth_powers(pairs, t) for t in np.linspace(0, np.pi / 2, 5_001))
+        ours = varclus._quartimax_angle([tuple(p) for p in pairs.tolist()])
+        assert fourth_powers(pairs, ours) == pytest.approx(best, rel=1e-5)
 
 
 def test_cluster_scores_equal_numpy(spark, need, matrix, segments):

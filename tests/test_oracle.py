@@ -3,13 +3,15 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from aislemetrics.plans.oracle import ORACLE_SQL as SQL
+from aislemetrics.plans.queries import QUERIES
 from aislemetrics.sources.star import SCHEMAS
 
 FOLDER = "/root/testdata/sf0.01"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -25,8 +27,9 @@ def comparable(rows, names):
     return sorted((tuple(row[i] for i in order) for row in rows), key=repr)
 
 
-def test_every_oracle_has_a_query():
-    assert set(SQL) <= set(QUERIES)
+def test_every_query_is_registered():
+    assert set(SQL) <= set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -52,3 +55,19 @@ def test_has_rows(spark, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_components_fit_the_sql_covariance(spark, duck):
+    """Spark ML's components against the covariance that SQL computes over the whole tables."""
+    rows = duck.execute(SQL["feature_covariance"]).fetchall()
+    names = sorted({row[0] for row in rows})
+    cov = np.zeros((len(names), len(names)))
+    for i, j, value in rows:
+        cov[names.index(i), names.index(j)] = value
+    found = QUERIES["pca_rows"](spark, FOLDER).collect()
+    for k in {r.component for r in found}:
+        own = {r.feature: r for r in found if r.component == k}
+        weights = np.array([own[n].weight for n in names])
+        value = own[names[0]].eigenvalue
+        assert np.abs(cov @ weights - value * weights).max() < 1e-6
+        assert own[names[0]].share == pytest.approx(value / np.trace(cov), abs=1e-6)

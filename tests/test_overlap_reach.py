@@ -68,6 +68,9 @@ def test_overlap_refuses_too_many_groups(lines):
     _, items = lines
     with pytest.raises(ValueError):
         overlap.combination_counts(items, [str(i) for i in range(17)])
+    masks = items.selectExpr("card_id", "shiftleft(1L, cast(card_id % 40 as int)) | 1L AS mask").filter("mask > 0").distinct()
+    pairs = overlap.combination_counts(masks, [f"g{i}" for i in range(40)], max_size=2).collect()
+    assert {r.comb_size for r in pairs} == {1, 2} and {r.n_custs for r in pairs if r.comb_flag == "g0"} == {masks.count()}
 
 
 def _greedy(sets, n_top, top_k):

@@ -121,11 +121,18 @@ def test_recorded_interval(spark):
     assert row.prob_f == pytest.approx(3.80e-27, rel=0.02)
 
 
-def test_student_t():
-    assert stats.t_quantile_two_sided(0.05, np.array([1.0, 10.0, 1e6])) == pytest.approx([12.7062, 2.22814, 1.95996], abs=1e-4)
-    # One degree of freedom is the Cauchy distribution.
-    t = np.array([0.0, 0.5, 1.0, 30.0])
-    assert stats.t_two_sided(t, np.ones(4)) == pytest.approx(1 - 2 / math.pi * np.arctan(t))
+def test_student_t(spark):
+    rows = spark.createDataFrame([(1,), (10,), (10_000,), (0,)], "dof long")
+    found = [r[0] for r in rows.select(stats.t_margin(F.col("dof"), 0.05)).collect()]
+    assert found[:3] == pytest.approx([12.7062047, 2.2281389, 1.9602012], abs=1e-6) and found[3] is None
+    # One degree of freedom is the Cauchy distribution, two have a closed tail.
+    t = [0.0, 0.5, 1.0, 30.0, 1e6]
+    frame = spark.createDataFrame([(v,) for v in t], "t double")
+    one, two = stats.t_p_value(F.col("t"), F.lit(1)), stats.t_p_value(F.col("t"), F.lit(2))
+    values = frame.select("t", one.alias("one"), two.alias("two")).collect()
+    for r in values:
+        assert r.one == pytest.approx(2 / math.pi * math.atan2(1, r.t), rel=1e-9)
+        assert r.two == pytest.approx(2 / (2 + r.t**2) / (1 + r.t / math.sqrt(2 + r.t**2)), rel=1e-9)
 
 
 def test_degenerate_fits_are_null(spark):

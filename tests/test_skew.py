@@ -29,6 +29,7 @@ NAMES = [
     "price_by_group",
     "weekly_kpi",
     "shopping_cycle_overall",
+    "price_points_period",
     "need_state",
     "segment_correlation",
     "cluster_r2_ratio",

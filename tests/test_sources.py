@@ -31,12 +31,12 @@ def test_control_file(spark, tmp_path):
     path.write_text(
         'fmt,prod_code,prod_gr,date_id,fis_day_of_week_num\n'
         'HDE,"000000001,000000002",water,2019-12-12,4\n'
-        'hdet,000000003,rice,,5\n'
+        'small,000000003,rice,,5\n'
     )
     control = readers.read_control_file(spark, str(path))
     assert readers.control_groups(control) == [
         ProductGroup("water", ["000000001", "000000002"], "hde", [dt.date(2019, 12, 12)]),
-        ProductGroup("rice", ["000000003"], "hdet", []),
+        ProductGroup("rice", ["000000003"], "small", []),
     ]
     assert [r.prod_code for r in readers.control_products(control).collect()] == ["000000001", "000000002", "000000003"]
 
@@ -88,3 +88,14 @@ def test_materialised_frame_has_no_lineage(spark):
     df = session.materialise(spark.range(10).selectExpr("id", "id % 3 AS g"), "t")
     assert df.count() == 10
     assert "Range" not in df._jdf.queryExecution().toString()
+
+
+def test_released_intermediates_are_gone(spark):
+    df = session.materialise(spark.range(3), "gone")
+    path = df.inputFiles()[0].rsplit("/", 1)[0]
+    kept = session._written[:-1]
+    session._written[:] = session._written[-1:]
+    session.release(spark)
+    session._written[:] = kept
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
