@@ -18,10 +18,10 @@ order of their texts; an empty table gives no shards and an empty result.  Colum
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from array import array
-from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -36,73 +36,88 @@ from aislemetrics.session import materialise
 END_ID = 2
 SHARD_TOKENS = 1 << 19
 # Rounds of replacement, rules a round may add, and uses that a pair must have.
-ROUNDS, RULES, LEAST = 4, 3_000, 8
+ROUNDS, RULES, LEAST = 3, 4_000, 8
 HEADER = struct.Struct("<4sIIIQ")
 MAGIC = b"RPS1"
 _WORD = re.compile(r"[^ \t\n\r]+")
 # Texts of these characters are in composed form, with one lower-case character for each of theirs.
 _PLAIN = re.compile("[ \t\n\r!-~À-ÖØ-öø-įı-ɏ]*+")
-_SIGNS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
-# How the tokenizers meant here split a word: a fixed pattern, in lower case.
+# How the tokenizers meant here split a text (fixed value), and the same for a lower-case word of plain characters.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 
 _loaded: dict = {}
 
 
-class _Parts(dict):
-    """Packed ids of lower-case parts of words, by the library on first sight; other words from their parts."""
-
-    def __init__(self, encode: Callable[[str], bytes], limit: int):
-        super().__init__()
-        self.encode, self.limit = encode, limit
-
-    def __missing__(self, word: str) -> bytes:
-        if word.isalpha():
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = found = self.encode(word)
-            return found
-        letters = word.rstrip(_SIGNS)
-        if not letters or len(word) == 1:  # signs alone, or one digit
-            found = self.encode(word)
-            if len(word) < 16:
-                self[word] = found
-            return found
-        if letters.isalpha():
-            return self[letters] + (self[word[len(letters) :]] if len(letters) < len(word) else b"")
-        return b"".join([self.encode(part) if part[0] == "'" else self[part] for part in _PART.findall(word)])
-
-
 class WordIds:
-    """Ids of texts by a table of distinct parts of words.
+    """Ids of texts by a table of distinct words.
 
     The tokenizers meant here turn text to lower case, drop white space, and split words into letters, digits and signs
     before they merge, so that a text's ids are its words' ids in a row, and a word's those of its parts.  The library gets
     every new part once, and as a whole every word with characters beyond ``_PLAIN``, for which nothing is assumed about
-    lower case or splitting.  A table is emptied beyond ``limit`` entries, which changes only speed.
+    lower case or splitting.  Words of letters are kept up to ``limit`` of them, others up to a fifth of that; forgetting
+    them changes only speed.
     """
 
     def __init__(self, path: str, limit: int = 1_000_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        # The same model for parts, which need no folding and no splitting any more.
+        self.model = Tokenizer.from_file(path)
+        steps = json.loads(self.model.to_str())["pre_tokenizer"]["pretokenizers"]
+        if [step["type"] for step in steps] != ["Split", "ByteLevel"] or steps[0]["pattern"] != {"Regex": _SPLIT}:
+            raise ValueError(f"{path}: a tokenizer that splits words in another way")
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.special = [token.content for token in self.library.get_added_tokens_decoder().values()]
-        self.parts, self.others = _Parts(self._ids, limit), Memo(self._ids, limit // 8)
-
-    def _ids(self, text: str) -> bytes:
-        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        text, parts = text or "", self.parts
+        self.limit = limit
+        self.known: dict[str, bytes] = {}
+        self.mixed: list[str] = []
+        self.others = Memo(lambda word: self._ids(word, self.library), limit // 8)
+
+    def _ids(self, text: str, library) -> bytes:
+        return array(self.code, library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _new(self, word: str) -> bytes:
+        """Packed ids of a lower-case word of plain characters."""
+        parts = [word] if word.isalpha() else _PART.findall(word)
+        if len(parts) == 1:
+            found = self._ids(word, self.model)
+        else:
+            found = b"".join([self.known.get(part) or self._new(part) for part in parts])
+        if len(self.known) >= self.limit:
+            self.known.clear()
+            self.mixed.clear()
+        if not word.isalpha():
+            if len(self.mixed) >= self.limit // 5:
+                for old in self.mixed:
+                    self.known.pop(old, None)
+                self.mixed.clear()
+            self.mixed.append(word)
+        self.known[word] = found
+        return found
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        found, at = list(map(self.known.get, words)), -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = self.known.get(words[at]) or self._new(words[at])
+        return found
+
+    def __call__(self, text: str | None, end: bytes = b"") -> np.ndarray:
+        """Ids of a text, and after them the packed id ``end``."""
+        text = text or ""
         special = any(token in text for token in self.special)
         if not special and _PLAIN.fullmatch(text):
-            found = [parts[word] for word in text.lower().split()]
+            found = self._words(text.lower().split())
         else:
             found = [
-                parts[word.lower()] if not special and _PLAIN.fullmatch(word) else self.others[word]
+                self._words([word.lower()])[0] if not special and _PLAIN.fullmatch(word) else self.others[word]
                 for word in _WORD.findall(text)
             ]
+        found.append(end)
         return np.frombuffer(b"".join(found), self.code)
 
 
@@ -128,7 +143,8 @@ def _frequent(keys: np.ndarray, most: int, least: int) -> np.ndarray:
         return ordered[:0]
     # A value that stands often enough equals the one that many places on; only such are counted.
     early = ordered[: len(ordered) - least + 1]
-    often = np.unique(early[early == ordered[least - 1 :]])
+    often = early[early == ordered[least - 1 :]]
+    often = often[np.concatenate(([True], often[1:] != often[:-1]))] if len(often) else often
     counts = np.searchsorted(ordered, often, side="right") - np.searchsorted(ordered, often, side="left")
     return often[np.lexsort((often, -counts))[:most]]
 
@@ -152,7 +168,7 @@ def _apart(places: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     begins = np.maximum.accumulate(np.where(chained, 0, np.arange(len(places))))
     open_ = np.flatnonzero((np.arange(len(places)) - begins) % 2 == 0)  # of a run of one pair every second
     taken = []
-    for _ in range(3):
+    for _ in range(2):
         at, rank = places[open_], ranks[open_]
         near = np.diff(at) == 1
         beaten = np.zeros(len(open_), bool)
@@ -260,8 +276,19 @@ class Shard:
         self.symbols = take("<u2" if self.first + rules <= 1 << 16 else "<u4", symbols).astype(np.int64)
 
     def all_ids(self) -> np.ndarray:
-        """Ids of all documents; ``id_starts`` tells them apart."""
-        return expand(self.symbols, self.rules, self.first)
+        """Ids of all documents, uint32; ``id_starts`` tells them apart.
+
+        Every symbol's expansion is written down once, and the symbols' are picked from there.
+        """
+        rules = np.arange(self.first, self.first + len(self.rules))
+        written = np.concatenate([np.arange(self.first), expand(rules, self.rules, self.first)]).astype("<u4")
+        sizes = np.concatenate([np.ones(self.first, np.int64), self.lengths])
+        begins = np.cumsum(sizes) - sizes
+        each = sizes[self.symbols]
+        ends = np.cumsum(each)
+        places = np.repeat(begins[self.symbols] - (ends - each), each)
+        places += np.arange(len(places))
+        return written[places]
 
     def ids(self, doc: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the shard's document number ``doc``; only symbols that reach into them are expanded."""
@@ -306,12 +333,12 @@ def write_shards(
             columns = [name.split()[0] for name in SHARDS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=columns)
 
-        size, end = 0, np.array([end_id], np.int64)
+        size, end = 0, array(encode.code, [end_id]).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
                 for name, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                    encoded = np.concatenate([encode(text), end])
+                    encoded = encode(text, end)
                     if held and size + len(encoded) > shard_tokens:
                         yield close()
                         size = 0
@@ -343,7 +370,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, seq, payload in zip(*(column.to_pylist() for column in batch.columns)):
                 shard = Shard(payload)
-                count, ids = len(shard.doc_ids), shard.all_ids().astype("<u4")
+                count, ids = len(shard.doc_ids), shard.all_ids()
                 bounds = pa.array(4 * shard.id_starts, pa.int64())
                 each = pa.LargeBinaryArray.from_buffers(
                     pa.large_binary(), count, [None, bounds.buffers()[1], pa.py_buffer(ids.tobytes())]
