@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from aislemetrics.session import materialise
+
 # Documents handled together inside a task; bounds the Python objects alive at once.
 SLICE = 256
+# Narrow rows (a few numbers) in one file of an intermediate table; a few megabytes.
+ROWS_PER_FILE = 250_000
 # Rows and bytes in one batch that goes to Python, so that wide rows of long texts take little memory beside the heap.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
@@ -20,6 +24,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stored(frame: DataFrame, label: str, rows: int) -> DataFrame:
+    """``materialise`` for a frame of narrow rows, at most ``rows`` of them: as many files as these fill."""
+    return materialise(frame.coalesce(-(-max(rows, 1) // ROWS_PER_FILE)), label)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     for key, value in BATCH.items():
         spark.conf.set(key, value)

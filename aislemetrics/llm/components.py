@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislemetrics.session import materialise
+from aislemetrics.llm.common import stored
 
 
 def component_roots(links: DataFrame) -> DataFrame:
@@ -19,13 +19,15 @@ def component_roots(links: DataFrame) -> DataFrame:
     Links may be repeated and may join a node to itself; links with a null end are ignored.
     """
     edges = links.select("a", "b").where("a is not null and b is not null")
+    size = edges.count()
     maps: list[DataFrame] = []
     while True:
         # Both directions and the node itself; the smallest hash wins, summed up on the map side.
-        both = edges.select(F.explode(F.array(*(F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in ("ab", "ba", "aa", "bb")))).alias("e"))
+        pairs = [F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in ("ab", "ba", "aa", "bb")]
+        both = edges.select(F.explode(F.array(*pairs)).alias("e"))
         order = F.struct(F.xxhash64("e.other", F.lit(len(maps))), "e.other")
         joined = both.groupBy(F.col("e.node").alias("node")).agg(F.min_by("e.other", order).alias("root"))
-        maps.append(materialise(joined, "component-map"))
+        maps.append(stored(joined, "component-map", 2 * size))
         a, b = (maps[-1].select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
         redrawn = (
             edges.join(a, "a")
@@ -34,8 +36,9 @@ def component_roots(links: DataFrame) -> DataFrame:
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
             .distinct()
         )
-        edges = materialise(redrawn, "component-links")
-        if edges.isEmpty():
+        edges = stored(redrawn, "component-links", size)
+        size = edges.count()
+        if not size:
             break
     roots = maps[0]
     for later in maps[1:]:

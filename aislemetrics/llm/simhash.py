@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aislemetrics.llm.common import map_rows
+from aislemetrics.llm.common import map_rows, stored
 from aislemetrics.llm.components import component_roots
 from aislemetrics.session import materialise
 
@@ -64,6 +64,10 @@ def _kept_bits(pair: tuple[int, ...]) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+# The bits of each pair of blocks.
+_MASKS = [_kept_bits(pair) for pair in combinations(range(BLOCKS), BLOCKS - DISTANCE)]
+
+
 def _flips(mask: int) -> Column:
     """The fingerprint itself and with each one of the bits outside ``mask`` turned."""
     rest = [1 << bit if bit < 63 else -(1 << 63) for bit in range(64) if not mask >> bit & 1]
@@ -75,17 +79,19 @@ def close_links(distinct: DataFrame, divide: int = DIVIDE) -> DataFrame:
 
     In a divided bucket a fingerprint is linked to the least one under each key, which leaves the components as they are.
     """
-    masks = [_kept_bits(pair) for pair in combinations(range(BLOCKS), BLOCKS - DISTANCE)]
+    parts = enumerate(_MASKS)
     cells = F.array(
-        *(F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(masks))
+        *(F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in parts)
     )
-    rows = materialise(distinct.select("fp", F.inline(cells)), "simhash-blocks")
-    crowded = materialise(rows.groupBy("part", "key").count().where(F.col("count") > divide).select("part", "key"), "simhash-crowded")
+    size = len(_MASKS) * distinct.count()
+    rows = stored(distinct.select("fp", F.inline(cells)), "simhash-blocks", size)
+    crowded = rows.groupBy("part", "key").count().where(F.col("count") > divide).select("part", "key")
+    crowded = stored(crowded, "simhash-crowded", size)
     sparse = rows.join(crowded, ["part", "key"], "left_anti")
     a, b = (sparse.select("part", "key", F.col("fp").alias(x)) for x in "ab")
     links = a.join(b, ["part", "key"]).where("a < b and bit_count(a ^ b) <= " + str(DISTANCE)).select("a", "b")
     dense = rows.join(crowded, ["part", "key"], "left_semi")
-    by_part = F.element_at(F.array(*map(_flips, masks)), F.col("part") + 1)
+    by_part = F.element_at(F.array(*map(_flips, _MASKS)), F.col("part") + 1)
     least = F.min("fp").over(Window.partitionBy("part", "flip"))
     spread = dense.select("part", "fp", F.explode(by_part).alias("flip")).select("fp", least.alias("a"))
     divided = spread.where("a < fp and bit_count(a ^ fp) <= " + str(DISTANCE)).select("a", F.col("fp").alias("b"))
@@ -98,11 +104,13 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", size: int = SHINGLE
     root names the group; component_id is the smallest doc_id reachable over links, the row's own included.
     """
     marked = materialise(fingerprints(docs, text_col, size), "simhash-fingerprints")
-    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = materialise(component_roots(materialise(close_links(distinct, divide), "simhash-links")), "simhash-roots")
+    size = marked.count()
+    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct", size)
+    links = stored(close_links(distinct, divide), "simhash-links", len(_MASKS) * size)
+    roots = stored(component_roots(links), "simhash-roots", size)
     grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = materialise(grouped.join(smallest, "root").select("fp", "root", "component_id"), "simhash-classes")
+    classes = stored(grouped.join(smallest, "root").select("fp", "root", "component_id"), "simhash-classes", size)
     return marked.join(classes, "fp").select("doc_id", "sig", "fp", "root", "component_id")
 
 
@@ -113,7 +121,7 @@ def first_of_each(docs: DataFrame, text_col: str = "text", size: int = SHINGLE)
     """
     groups = near_duplicates(docs, text_col, size)
     chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "sig")).alias("one"))
-    chosen = materialise(chosen.select("one.doc_id", "one.sig").distinct(), "simhash-chosen")
+    chosen = stored(chosen.select("one.doc_id", "one.sig").distinct(), "simhash-chosen", docs.count())
     left = docs.alias("l").withColumn("_sig", F.xxhash64(f"l.{text_col}"))
     right = chosen.select(F.col("doc_id").alias("_doc_id"), F.col("sig").alias("_chosen"))
     met = left.join(right, left["doc_id"].eqNullSafe(right["_doc_id"]) & (left["_sig"] == right["_chosen"]), "left_semi")
