@@ -21,7 +21,9 @@ from __future__ import annotations
 import json
 import re
 import struct
+import zlib
 from array import array
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -55,11 +57,11 @@ class WordIds:
     The tokenizers meant here turn text to lower case, drop white space, and split words into letters, digits and signs
     before they merge, so that a text's ids are its words' ids in a row, and a word's those of its parts.  The library gets
     every new part once, and as a whole every word with characters beyond ``_PLAIN``, for which nothing is assumed about
-    lower case or splitting.  Words of letters are kept up to ``limit`` of them, others up to a fifth of that; forgetting
-    them changes only speed.
+    lower case or splitting.  Words are forgotten that did not come up again while ``limit`` others did, which changes only
+    speed.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
@@ -70,40 +72,44 @@ class WordIds:
             raise ValueError(f"{path}: a tokenizer that splits words in another way")
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merges = self.model.model
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.special = [token.content for token in self.library.get_added_tokens_decoder().values()]
         self.limit = limit
-        self.known: dict[str, bytes] = {}
-        self.mixed: list[str] = []
+        self.recent: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
+        self.marks = {sign: self._ids(sign, self.model) for sign in ",."}
         self.others = Memo(lambda word: self._ids(word, self.library), limit // 8)
 
     def _ids(self, text: str, library) -> bytes:
         return array(self.code, library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _new(self, word: str) -> bytes:
-        """Packed ids of a lower-case word of plain characters."""
-        parts = [word] if word.isalpha() else _PART.findall(word)
-        if len(parts) == 1:
-            found = self._ids(word, self.model)
-        else:
-            found = b"".join([self.known.get(part) or self._new(part) for part in parts])
-        if len(self.known) >= self.limit:
-            self.known.clear()
-            self.mixed.clear()
-        if not word.isalpha():
-            if len(self.mixed) >= self.limit // 5:
-                for old in self.mixed:
-                    self.known.pop(old, None)
-                self.mixed.clear()
-            self.mixed.append(word)
-        self.known[word] = found
+    def _look(self, word: str) -> bytes:
+        """Packed ids of a lower-case word of plain characters, which is a recent word afterwards."""
+        found = self.recent.get(word) or self.earlier.get(word)
+        if not found:
+            parts = [word] if word.isalpha() else _PART.findall(word)
+            if len(parts) > 1:
+                found = b"".join([self._look(part) for part in parts])
+            elif word.isascii():  # each character is its own byte, as the model wants it
+                found = array(self.code, [token.id for token in self.merges.tokenize(word)]).tobytes()
+            else:
+                found = self._ids(word, self.model)
+        if len(self.recent) >= self.limit:
+            self.recent, self.earlier = {}, self.recent
+        self.recent[word] = found
         return found
 
     def _words(self, words: list[str]) -> list[bytes]:
-        found, at = list(map(self.known.get, words)), -1
+        found, at = list(map(self.recent.get, words)), -1
         for _ in range(found.count(None)):
             at = found.index(None, at + 1)
-            found[at] = self.known.get(words[at]) or self._new(words[at])
+            word = words[at]
+            mark = self.marks.get(word[-1])
+            if mark and word[-2:-1].isalnum():  # a word before a comma or a full stop is not kept again with that
+                found[at] = (self.recent.get(word[:-1]) or self._look(word[:-1])) + mark
+            else:
+                found[at] = self._look(word)
         return found
 
     def __call__(self, text: str | None, end: bytes = b"") -> np.ndarray:
@@ -363,38 +369,50 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
     return inside.join(totals, "part").select("part", "seq", (F.col("inside") + F.col("outside")).alias("shard_start"))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(part, seq, doc_id, place, ids) from the shards: place is the document's start in its shard, ids uint32, little-endian."""
+def _read(spark: SparkSession, path: str, column: str, take: Callable[[Shard], pa.Array]) -> DataFrame:
+    """(part, seq, doc_id, place, and one more column) from the shards; ``take`` makes that from an opened shard."""
 
     def run(batches):
         for batch in batches:
-            for part, seq, payload in zip(*(column.to_pylist() for column in batch.columns)):
+            for part, seq, payload in zip(*(values.to_pylist() for values in batch.columns)):
                 shard = Shard(payload)
-                count, ids = len(shard.doc_ids), shard.all_ids()
-                bounds = pa.array(4 * shard.id_starts, pa.int64())
-                each = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), count, [None, bounds.buffers()[1], pa.py_buffer(ids.tobytes())]
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part] * count, pa.int32()),
-                        pa.array([seq] * count, pa.int64()),
-                        pa.array(shard.doc_ids, pa.int64()),
-                        pa.array(shard.id_starts[:-1], pa.int64()),
-                        each.cast(pa.binary()),
-                    ],
-                    names=["part", "seq", "doc_id", "place", "ids"],
-                )
+                count = len(shard.doc_ids)
+                arrays = [
+                    pa.array([part] * count, pa.int32()),
+                    pa.array([seq] * count, pa.int64()),
+                    pa.array(shard.doc_ids, pa.int64()),
+                    pa.array(shard.id_starts[:-1], pa.int64()),
+                    take(shard),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=["part", "seq", "doc_id", "place", column.split()[0]])
 
     payloads = spark.read.parquet(path).select("part", "seq", "payload")
-    return payloads.mapInArrow(run, "part int, seq long, doc_id long, place long, ids binary")
+    return payloads.mapInArrow(run, f"part int, seq long, doc_id long, place long, {column}")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(part, seq, doc_id, place, ids) from the shards: place is the document's start in its shard, ids uint32, little-endian."""
+
+    def packed(shard: Shard) -> pa.Array:
+        bounds = pa.array(4 * shard.id_starts, pa.int64()).buffers()[1]
+        data = pa.py_buffer(shard.all_ids().tobytes())
+        each = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(shard.doc_ids), [None, bounds, data])
+        return each.cast(pa.binary())
+
+    return _read(spark, path, "ids binary", packed)
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the shards."""
-    found = read_documents(spark, path).select(
-        "part", "seq", "doc_id", "place", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
-    )
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from its ids as they are read back from the shards."""
+
+    def summed(shard: Shard) -> pa.Array:
+        data, bounds = memoryview(shard.all_ids().tobytes()), (4 * shard.id_starts).tolist()
+        sums = [zlib.crc32(data[a:b]) for a, b in zip(bounds, bounds[1:])]
+        return pa.StructArray.from_arrays(
+            [pa.array(np.diff(shard.id_starts), pa.int64()), pa.array(sums, pa.int64())], names=["n_tokens", "ids_crc32"]
+        )
+
+    found = _read(spark, path, "digest struct<n_tokens: long, ids_crc32: long>", summed)
     # Written down, the small table has a size by which Spark plans the join.
     placed = found.join(materialise(shard_starts(spark, path), "shard-starts"), ["part", "seq"])
-    return placed.select("doc_id", (F.col("shard_start") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+    return placed.select("doc_id", (F.col("shard_start") + F.col("place")).alias("start"), "digest.*")

@@ -75,5 +75,9 @@ def test_odd_documents(spark, odd_docs, no_docs, tmp_path, tokens):
     names = [r.doc_id for r in rows]
     assert names == [None, None, 1, 2, 3, 4, 5, 5, 6, 7, 8]
     assert [r.start for r in rows] == np.concatenate(([0], np.cumsum([r.n_tokens for r in rows])))[:-1].tolist()
+    texts, library = {r.doc_id: r.text or "" for r in odd_docs.where("doc_id is not null").collect()}, Tokenizer.from_file(PATH)
+    for row in repair.read_documents(spark, str(tmp_path / "a")).where("doc_id is not null").collect():
+        ids = [*library.encode(texts[row.doc_id], add_special_tokens=False).ids, 2]
+        assert row.ids == struct.pack(f"<{len(ids)}I", *ids)
     repair.write_shards(no_docs, str(tmp_path / "b"), PATH)
     assert repair.digests(spark, str(tmp_path / "b")).count() == 0
