@@ -104,6 +104,11 @@ def principal_components(
     return spark.createDataFrame(rows, schema)
 
 
+def leading_components(matrix: DataFrame, features: Sequence[str], k: int) -> list[tuple]:
+    """Rows of ``COMPONENTS`` of the correlation of features that are known not to be constant."""
+    return _decomposed(standardised(matrix, features), list(features), k, set())
+
+
 def _values(rows: list[tuple]) -> list[tuple]:
     return list(dict.fromkeys(row[:3] for row in rows))
 

@@ -15,7 +15,13 @@ from pyspark.sql import types as T
 
 from aislemetrics.functions.columns import ratio
 from aislemetrics.operators import moments
-from aislemetrics.operators.components import principal_components, project, segments, stacked
+from aislemetrics.operators.components import (
+    leading_components,
+    principal_components,
+    project,
+    segments,
+    stacked,
+)
 from aislemetrics.session import materialise
 
 def cluster_weights(corr: DataFrame, assignment: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -153,16 +159,15 @@ def _two_sides(weights: dict[str, tuple[float, float]], values: tuple[float, flo
     }
 
 
-def _halves(matrix: DataFrame, corr: DataFrame, members: list[str], max_iter: int) -> list[list[str]]:
+def _halves(corr: DataFrame, members: list[str], found: list[tuple], max_iter: int) -> list[list[str]]:
     """Split one cluster by its two leading components, then settle every feature at the nearer centroid."""
-    found = principal_components(matrix, members, 2, "corr").orderBy("component").collect()
-    values = tuple(dict.fromkeys((row["component"], row["eigenvalue"]) for row in found))
+    values = {component: value for component, value, *_ in found}
     weights: dict[str, list[float]] = {}
-    for row in found:
-        weights.setdefault(row["feature"], []).append(row["weight"])
-    sides = _two_sides({f: (pair[0], pair[1]) for f, pair in weights.items()}, (values[0][1], values[1][1]))
+    for _, _, _, feature, weight in found:
+        weights.setdefault(feature, []).append(weight)
+    sides = _two_sides({f: (pair[0], pair[1]) for f, pair in weights.items()}, (values[1], values[2]))
     if len(set(sides.values())) == 2:
-        start = matrix.sparkSession.createDataFrame(list(sides.items()), "feature string, cluster int")
+        start = corr.sparkSession.createDataFrame(list(sides.items()), "feature string, cluster int")
         inside = corr.filter(F.col("i").isin(members) & F.col("j").isin(members))
         settled = {r["feature"]: r["cluster"] for r in reassign(inside, start, max_iter).collect()}
         sides = settled if len(set(settled.values())) == 2 else sides
@@ -187,17 +192,16 @@ def variable_clusters(
         corr = materialise(moments.correlation_of(sums), "corr")
         moving = [f for f in features if f not in constant]
         clusters, whole = ([moving] if moving else []), set()
-        second: dict[tuple, float] = {}
+        leading: dict[tuple, list[tuple]] = {}
         while len(clusters) < max_clusters:
             open_ = [c for c in clusters if len(c) > 2 and tuple(c) not in whole]
             for members in open_:
-                if tuple(members) not in second:
-                    found = principal_components(held, members, 2, "corr").filter("component = 2").first()
-                    second[tuple(members)] = found["eigenvalue"] if found else 0.0
+                if tuple(members) not in leading:
+                    leading[tuple(members)] = leading_components(held, members, 2)
             if not open_:
                 break
-            worst = max(open_, key=lambda c: second[tuple(c)])
-            halves = _halves(held, corr, worst, max_iter)
+            worst = max(open_, key=lambda c: leading[tuple(c)][-1][1])
+            halves = _halves(corr, worst, leading[tuple(worst)], max_iter)
             if len(halves) < 2:
                 whole.add(tuple(worst))
             else:
