@@ -230,9 +230,14 @@ def t_margin(dof: Column, alpha: float) -> Column:
 
     def halve(acc: Column, _: Column) -> Column:
         mid = (acc["low"] + acc["high"]) / 2
-        below = _t_sums(mid, dof.cast("long"))[0] < 1 - alpha
-        low, high = F.when(below, mid).otherwise(acc["low"]), F.when(below, acc["high"]).otherwise(mid)
-        return F.struct(low.alias("low"), high.alias("high"))
+        below = F.array(_t_sums(mid, dof.cast("long"))[0] < 1 - alpha)  # an array of one, so that it is summed once
+        halves = F.transform(
+            below,
+            lambda b: F.struct(
+                F.when(b, mid).otherwise(acc["low"]).alias("low"), F.when(b, acc["high"]).otherwise(mid).alias("high")
+            ),
+        )
+        return F.element_at(halves, 1)
 
     top = 1 / math.tan(math.pi * alpha / 2)
     start = F.struct(F.lit(0.0).alias("low"), F.lit(top + 1).alias("high"))

@@ -150,14 +150,16 @@ def coefficient_tests(summary: DataFrame, by: Sequence[str] = (), alpha: float =
     """(by..., term, coef, std_err, t, p_value, low, high, prob_f), one row per coefficient."""
     k = sum(c.startswith("coef_") for c in summary.columns)
     terms = ", ".join(f"struct({i} AS term, coef_{i} AS coef, std_err_{i} AS std_err, t_{i} AS t)" for i in range(k))
-    rows = summary.selectExpr(*by, "cast(dof as double) AS dof", "f_value", f"inline(array({terms}))")
+    # The margin is the same for a group's coefficients: once a group, before they become rows.
+    wide = summary.withColumn("width", stats.t_margin(F.col("dof"), alpha))
+    rows = wide.selectExpr(*by, "cast(dof as double) AS dof", "f_value", "width", f"inline(array({terms}))")
     # With one slope, F is the square of its t; F(2, d) has a closed tail.
     dof = F.col("dof")
     prob_f = stats.t_p_value(F.sqrt("f_value"), dof) if k == 2 else F.expr(stats.F_TAIL_TWO)
     tested = rows.withColumns(
         {
             "p_value": stats.t_p_value(F.col("t"), dof),
-            "margin": stats.t_margin(dof, alpha) * F.col("std_err"),
+            "margin": F.col("width") * F.col("std_err"),
             "prob_f": prob_f,
         }
     )
