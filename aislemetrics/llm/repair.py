@@ -2,8 +2,8 @@
 
 Documents are put in ascending order of doc_id by a range shuffle, encoded, and closed by an end id.  Consecutive documents
 form a shard of about ``SHARD_TOKENS`` ids (a longer document is one shard), and each shard is compressed by Re-Pair: frequent
-pairs of neighbouring ids become nonterminals, again and again, never across the end of a document.  A round replaces the
-most frequent pairs together; where two of them overlap the more frequent one wins.  A shard stores its rules and how many
+pairs of neighbouring ids become nonterminals until no pair stands ``LEAST`` times, never across the end of a document.  A
+round replaces the most frequent pairs together; where two of them overlap the more frequent one wins.  A shard stores its rules and how many
 ids each nonterminal expands to, so that any range of ids is decoded without the rest.
 
 Shards are rows of a Parquet table (part, seq, n_docs, n_tokens, payload) that Spark writes and commits; part and seq give
@@ -37,8 +37,8 @@ from aislemetrics.session import materialise
 
 END_ID = 2
 SHARD_TOKENS = 1 << 19
-# Rounds of replacement, rules a round may add, and uses that a pair must have.
-ROUNDS, RULES, LEAST = 3, 4_000, 8
+# Rules a round may add, and uses that a pair must have: a rule takes 12 bytes, as much as six symbols of two bytes.
+RULES, LEAST = 4_000, 8
 HEADER = struct.Struct("<4sIIIQ")
 MAGIC = b"RPS1"
 _WORD = re.compile(r"[^ \t\n\r]+")
@@ -142,8 +142,8 @@ class Grammar(NamedTuple):
     starts: np.ndarray  # of the documents among the symbols, and the end
 
 
-def _frequent(keys: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The most frequent keys, at most ``most``, each at least ``least`` times; the more frequent first, then by key."""
+def _frequent(keys: np.ndarray, least: int) -> np.ndarray:
+    """Keys that stand at least ``least`` times; the more frequent first, then by key."""
     ordered = np.sort(keys)
     if len(ordered) < least:
         return ordered[:0]
@@ -152,25 +152,41 @@ def _frequent(keys: np.ndarray, most: int, least: int) -> np.ndarray:
     often = early[early == ordered[least - 1 :]]
     often = often[np.concatenate(([True], often[1:] != often[:-1]))] if len(often) else often
     counts = np.searchsorted(ordered, often, side="right") - np.searchsorted(ordered, often, side="left")
-    return often[np.lexsort((often, -counts))[:most]]
+    return often[np.lexsort((often, -counts))]
 
 
 def _ranks(keys: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the chosen keys and their ranks, by a table of hashes; of two chosen with one hash the first is found."""
+    """Places of the chosen keys and their ranks, by a table of hashes; chosen keys of one hash take turns in it."""
     bits = 16
-    cell = lambda x: (x * x.dtype.type(0x9E3779B1)) >> x.dtype.type(8 * x.dtype.itemsize - bits)
-    table, rank = np.zeros(1 << bits, keys.dtype), np.full(1 << bits, -1, np.int32)
-    at = cell(chosen)[::-1]
-    table[at], rank[at] = chosen[::-1], np.arange(len(chosen), dtype=np.int32)[::-1]
-    at = cell(keys)
-    places = np.flatnonzero(table[at] == keys)
-    ranks = rank[at[places]]
-    return places[ranks >= 0], ranks[ranks >= 0]
-
-
-def _apart(places: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Which of the pairs at ``places`` to replace: no two overlap, and of two that do the lower rank goes first."""
-    chained = np.concatenate(([False], (np.diff(places) == 1) & (np.diff(ranks) == 0)))
+    odd = keys.dtype.type(0x9E3779B1 if keys.dtype.itemsize == 4 else 0x9E3779B97F4A7C15)
+    cell = lambda x: (x * odd) >> x.dtype.type(8 * x.dtype.itemsize - bits)
+    found, at, left, open_ = np.full(len(keys), -1, np.int32), cell(keys), np.arange(len(chosen), dtype=np.int32), None
+    while len(left):
+        table, rank = np.zeros(1 << bits, keys.dtype), np.full(1 << bits, -1, np.int32)
+        own = cell(chosen[left])
+        table[own[::-1]], rank[own[::-1]] = chosen[left[::-1]], left[::-1]
+        if open_ is None:
+            hit = np.flatnonzero(table[at] == keys)
+            found[hit] = rank[at[hit]]
+        else:
+            hit = open_[table[at[open_]] == keys[open_]]
+            found[hit] = np.maximum(found[hit], rank[at[hit]])
+        lost = rank[own] != left
+        left, crowded = left[lost], np.zeros(1 << bits, bool)
+        if len(left):
+            crowded[own[lost]] = True
+            open_ = np.flatnonzero(crowded[at] & (found < 0))
+    places = np.flatnonzero(found >= 0)
+    return places, found[places]
+
+
+def _apart(next_: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Which of the pairs to replace: no two overlap, and of two that do the lower rank goes first.
+
+    ``next_`` tells of each pair but the last whether the following one overlaps it.
+    """
+    places = np.cumsum(np.concatenate(([0], 2 - next_)))
+    chained = np.concatenate(([False], next_ & (np.diff(ranks) == 0)))
     begins = np.maximum.accumulate(np.where(chained, 0, np.arange(len(places))))
     open_ = np.flatnonzero((np.arange(len(places)) - begins) % 2 == 0)  # of a run of one pair every second
     taken = []
@@ -191,39 +207,68 @@ def _apart(places: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate(taken))
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST) -> Grammar:
-    """Re-Pair over non-empty documents laid end to end; ``starts`` has each document's start and the end of the last."""
-    narrow = first + rounds * rules < 1 << 16
-    kind, shift = (np.uint32, 16) if narrow else (np.uint64, 32)
-    nothing = np.iinfo(kind).max  # the key of no pair: its first symbol is beyond all
-    symbols = ids.astype(kind)
-    closed = np.zeros(len(symbols), bool)  # the last symbol of a document
-    closed[starts[1:] - 1] = True
+def compress(
+    ids: np.ndarray, starts: np.ndarray, first: int, rounds: int | None = None, rules: int = RULES, least: int = LEAST
+) -> Grammar:
+    """Re-Pair over non-empty documents laid end to end; ``starts`` has each document's start and the end of the last.
+
+    Without ``rounds`` it ends when no pair stands ``least`` times.  A pair can become frequent only where a symbol is new, so
+    that after the first round only such places are counted, and those of frequent pairs that a round left.
+    """
+    size = len(ids)
+    symbols = np.append(ids, 0).astype(np.uint32)  # one more place, beyond the last and before the first
+    closed = np.zeros(size + 1, bool)  # the last symbol of a document
+    closed[starts[1:] - 1] = closed[size] = True
+    live = np.ones(size + 1, bool)  # a pair's second place dies
+    after, before = np.arange(1, size + 2), np.arange(-1, size)
+    after[size] = before[0] = size
+    places = np.flatnonzero(~closed)
     made, lengths = [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64)
-    for _ in range(rounds):
-        keys = symbols[:-1] << kind(shift)
-        keys |= symbols[1:]
-        keys[closed[:-1]] = nothing
-        chosen = _frequent(keys, rules + 1, least)
-        chosen = chosen[chosen != nothing][:rules]
+    done = gone = 0
+    while rounds is None or done < rounds:
+        kind, shift = (np.uint32, 16) if first + len(lengths) < 1 << 16 else (np.uint64, 32)
+        keys = symbols[places].astype(kind) << kind(shift)
+        keys |= symbols[after[places]]
+        chosen = _frequent(keys, least)
         if not len(chosen):
             break
-        places, ranks = _ranks(keys, chosen)
-        picked = _apart(places, ranks)
-        places, ranks = places[picked], ranks[picked]
-        uses = np.bincount(ranks, minlength=len(chosen)) > 0
+        at, ranks = _ranks(keys, chosen)
+        frequent = places[at]
+        now = ranks < rules
+        spots, ranks = frequent[now], ranks[now]
+        picked = _apart(after[spots[:-1]] == spots[1:], ranks)
+        spots, ranks = spots[picked], ranks[picked]
+        counts = np.bincount(ranks)
+        uses = counts >= least  # a pair that lost too many places to others waits
+        if not uses.any():
+            uses = counts > 0
+        kept = uses[ranks]
+        spots, ranks = spots[kept], ranks[kept]
         used, ranks = np.flatnonzero(uses), (np.cumsum(uses) - 1)[ranks]
         pairs = np.stack([chosen[used] >> kind(shift), chosen[used] & kind((1 << shift) - 1)], axis=1).astype(np.int64)
         inner = pairs >= first
         sizes = np.ones(pairs.shape, np.int64)
         sizes[inner] = lengths[pairs[inner] - first]
-        symbols[places] = (first + len(lengths) + ranks).astype(kind)
-        closed[places] = closed[places + 1]
-        stay = np.ones(len(symbols), bool)
-        stay[places + 1] = False
-        symbols, closed = symbols[stay], closed[stay]
+        seconds = after[spots]
+        symbols[spots] = first + len(lengths) + ranks
+        closed[spots] = closed[seconds]
+        live[seconds] = False
+        after[spots] = after[seconds]
+        before[after[spots]] = spots
         made.append(pairs)
         lengths = np.concatenate([lengths, sizes.sum(axis=1)])
+        counted = np.zeros(size + 1, bool)
+        counted[frequent] = counted[spots] = counted[before[spots]] = True
+        counted &= live & ~closed
+        done, gone = done + 1, gone + len(spots)
+        if gone > size // 8:
+            symbols, closed, counted = symbols[live], closed[live], counted[live]
+            size, gone = len(symbols) - 1, 0
+            live = np.ones(size + 1, bool)
+            after, before = np.arange(1, size + 2), np.arange(-1, size)
+            after[size] = before[0] = size
+        places = np.flatnonzero(counted)
+    symbols, closed = symbols[:-1][live[:-1]], closed[:-1][live[:-1]]
     ends = np.flatnonzero(closed) + 1
     return Grammar(first, np.concatenate(made), lengths, symbols.astype(np.int64), np.concatenate(([0], ends)))
 

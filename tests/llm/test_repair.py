@@ -50,6 +50,35 @@ def test_repeats_shrink():
     assert grammar.starts[-1] == len(grammar.symbols) and (np.diff(grammar.starts) > 0).all()
 
 
+@pytest.mark.parametrize("first", [300, 65_530, 70_000])  # symbols of two bytes, of two and then four, of four
+def test_production_setting_leaves_no_frequent_pair(first):
+    rng = np.random.default_rng(5)
+    passage = rng.integers(3, 300, 1_000)
+    held = [np.concatenate([rng.integers(3, 300, 50), passage, rng.integers(3, 300, 50), [2]]) for _ in range(40)]
+    starts = np.concatenate(([0], np.cumsum([len(x) for x in held])))
+    ids = np.concatenate(held)
+    grammar = repair.compress(ids, starts, first)
+    assert repair.expand(grammar.symbols, grammar.rules, first).tolist() == ids.tolist()
+    assert grammar.lengths.max() >= 1_000 and len(grammar.symbols) < 40 * 110
+    inside = np.ones(len(grammar.symbols), bool)
+    inside[grammar.starts[1:] - 1] = False
+    inside = inside[:-1]
+    pairs = np.stack([grammar.symbols[:-1], grammar.symbols[1:]], axis=1)[inside]
+    assert np.unique(pairs, axis=0, return_counts=True)[1].max() < repair.LEAST
+
+
+@pytest.mark.parametrize("kind", [np.uint32, np.uint64])
+def test_pairs_of_one_hash_are_all_found(kind):
+    rng = np.random.default_rng(6)
+    chosen = np.unique(rng.integers(1, 1 << 31, 5_000).astype(kind) << kind(0 if kind is np.uint32 else 16))
+    rng.shuffle(chosen)
+    keys = rng.permutation(np.concatenate([chosen, chosen, chosen + kind(1)]))
+    rank = {key: i for i, key in enumerate(chosen.tolist())}
+    places, ranks = repair._ranks(keys, chosen)
+    expected = [(i, rank[key]) for i, key in enumerate(keys.tolist()) if key in rank]
+    assert list(zip(places.tolist(), ranks.tolist())) == expected
+
+
 def test_texts_as_the_library(documents):
     library = Tokenizer.from_file(PATH)
     texts = ["", " ", "<|endoftext|> a", "a<|startoftext|>b", "é ́x é", "İ Σ ΑΣ", "a\x1cd \x1f", "\x85x y", "日本語 😀", "it's 'S", None]
