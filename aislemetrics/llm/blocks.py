@@ -27,9 +27,52 @@ CLOSES = {
 # Elements that such a closing does not reach across.
 SCOPES = frozenset("table ul ol dl menu select article section div nav aside main header footer body html form".split())
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
+_HEAD = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r">|=\s*")
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_LONGEST_TAG = 20_000
+
+
+class _Tags:
+    """Tags of one page, of any length, in time linear in the page.
+
+    Only a quote that follows ``=`` and is closed somewhere holds a value.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.unclosed: set[str] = set()  # quotes that do not come again
+        self.endless: set[int] = set()  # places of =, from which no tag's end is found
+
+    def _end(self, at: int) -> int:
+        """After the > that ends the tag, from a place in it outside values; -1 where the page ends before."""
+        seen = []
+        while (stop := _STOP.search(self.page, at)) and stop.start() not in self.endless:
+            at = stop.end()
+            if stop[0] == ">":
+                return at
+            seen.append(stop.start())
+            quote = self.page[at : at + 1]
+            if quote in ('"', "'") and quote not in self.unclosed:
+                close = self.page.find(quote, at + 1)
+                if close < 0:
+                    self.unclosed.add(quote)
+                at = max(at, close) + 1
+        self.endless.update(seen)
+        return -1
+
+    def read(self, opening: int) -> tuple[int, tuple[str, str, str] | None]:
+        """Where to go on behind the < at ``opening``, and the tag: its slash, its name, and what follows that."""
+        page = self.page
+        head = _HEAD.match(page, opening)
+        end = self._end(head.end()) if head else -1
+        if end >= 0:
+            return end, (head[1], head[2].lower(), page[head.end() : end - 1])
+        end = page.find(">", opening) + 1  # a tag with stray quotes ends at the next >
+        if not end:
+            return len(page), None
+        text = page[opening:end].replace('"', " ").replace("'", " ")
+        head = _HEAD.match(text)
+        return end, (head[1], head[2].lower(), text[head.end() : -1]) if head else None
 
 
 class Block(NamedTuple):
@@ -62,7 +105,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             flush()
         del stack[place:]
 
-    at, size = 0, len(page)
+    at, size, tags = 0, len(page), _Tags(page)
     while at < size:
         opening = page.find("<", at)
         if opening < 0:
@@ -81,21 +124,15 @@ def leaf_blocks(page: str | None) -> list[Block]:
             end = page.find(">", opening)
             at = size if end < 0 else end + 1
             continue
-        match = _TAG.match(page, opening, min(size, opening + _LONGEST_TAG))
-        if not match:
-            following = page[opening + 1 : opening + 3]
-            if not (following[:1].isalpha() or following[:1] == "/" and following[1:].isalpha()):
-                parts.append("<")
-                at = opening + 1
-                continue
-            end = page.find(">", opening)  # a tag with stray quotes ends at the next >
-            at = size if end < 0 else end + 1
-            match = _TAG.match(page[opening:at].replace('"', " ").replace("'", " "))
-            if not match:
-                continue
-        else:
-            at = match.end()
-        closing, name, rest = match[1], match[2].lower(), match[3]
+        following = page[opening + 1 : opening + 3]
+        if not (following[:1].isalpha() or following[:1] == "/" and following[1:].isalpha()):
+            parts.append("<")
+            at = opening + 1
+            continue
+        at, tag = tags.read(opening)
+        if not tag:
+            continue
+        closing, name, rest = tag
         if closing:
             for place in range(len(stack) - 1, -1, -1):
                 if stack[place][0] == name:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -28,6 +29,22 @@ def test_blocks_of_odd_markup():
     assert texts("&lt;p&gt; &bogus; &#0; &#xD800;") == ["<p> &bogus; � �"]
 
 
+@pytest.mark.parametrize("size", [1_000, 30_000, 300_000])
+def test_tags_of_any_length(size):
+    for quote, other in ("'\"", "\"'"):
+        value = f"{quote}a <p>leak</p> <div class={other}x{other}> {'b' * size}{quote}"
+        blocks = leaf_blocks(f"<article><p>one</p><div id=own data-x={value}>two</div><p>three</p></article>")
+        assert [b.text for b in blocks] == ["one", "two", "three"]
+        assert [[tag for tag, _ in b.path] for b in blocks] == [["article", "p"], ["article", "div"], ["article", "p"]]
+
+
+def test_unclosed_values_take_linear_time():
+    start = time.process_time()
+    for part in ("<a b='>' ", "<a b='x' c=\">\" ", "<a b=\"", "<a b='", "<a = b ", "<a b='>\" c=\"", "<a b=\"'>' c='\" "):
+        assert texts(part * 40_000) is not None
+    assert time.process_time() - start < 20
+
+
 def test_many_open_tags_take_linear_time():
     assert texts("<p a=\"" * 20_000 + "end") is not None
     assert len(texts("<div>" * 3_000 + "deep" + "<a href='" * 2_000)) == 1
