@@ -8,11 +8,14 @@ from typing import NamedTuple
 
 # Element names by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Their content is no text of the page.
-SILENT = frozenset("script style noscript template iframe noembed noframes xmp textarea svg math object".split())
+# Their content is no text of the page: to the first end tag or the end of the page, and from a start tag to its own end tag.
+RAW = frozenset("script style iframe noembed noframes xmp textarea".split())
+SILENT = frozenset("noscript template svg".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var br wbr img".split()
+    "strong sub sup time tt u var br wbr img object "
+    "math semantics annotation annotation-xml mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom "
+    "menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd maction".split()
 )
 # Start tags that close an open element of these names.
 CLOSES = {
@@ -42,6 +45,7 @@ class _Tags:
         self.page = page
         self.unclosed: set[str] = set()  # quotes that do not come again
         self.endless: set[int] = set()  # places of =, from which no tag's end is found
+        self.ends: dict[str, dict[int, int]] = {}  # of an element's name: from behind its start tags to behind their end tags
 
     def _end(self, at: int) -> int:
         """After the > that ends the tag, from a place in it outside values; -1 where the page ends before."""
@@ -74,6 +78,36 @@ class _Tags:
         head = _HEAD.match(text)
         return end, (head[1], head[2].lower(), text[head.end() : -1]) if head else None
 
+    def past(self, name: str, at: int) -> int:
+        """Behind the end tag that belongs to the start tag ending at ``at``, or ``at`` where it has none.
+
+        The first call for a name pairs all its tags in the rest of the page, so that nesting costs nothing more.
+        """
+        if name not in self.ends:
+            self.ends[name], starts, here = {}, [at], at
+            while (here := self.page.find("<", here)) >= 0:
+                if self.page.startswith("<!--", here):
+                    end = self.page.find("-->", here + 4)
+                    here = len(self.page) if end < 0 else end + 3
+                    continue
+                if not _HEAD.match(self.page, here):
+                    here += 1
+                    continue
+                here, tag = self.read(here)
+                if tag and tag[1] == name:
+                    if not tag[0]:
+                        starts.extend([] if tag[2].endswith("/") else [here])
+                    elif starts:
+                        self.ends[name][starts.pop()] = here
+                elif tag and tag[1] in RAW and not tag[0] and not tag[2].endswith("/"):
+                    here = self.past_raw(tag[1], here)
+        return self.ends[name].get(at, at)
+
+    def past_raw(self, name: str, at: int) -> int:
+        """Behind the next end tag of the name, or at the end of the page."""
+        end = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I).search(self.page, at)
+        return end.end() if end else len(self.page)
+
 
 class Block(NamedTuple):
     path: tuple[tuple[str, str], ...]  # (tag, its class, id and role) from the outermost element inwards
@@ -84,7 +118,8 @@ class Block(NamedTuple):
 def leaf_blocks(page: str | None) -> list[Block]:
     """Blocks of a page in order, character references decoded, white space made single; empty ones are left out.
 
-    Unclosed and crossed tags are allowed; a page that ends inside a tag or comment loses that tag or comment only.
+    Unclosed and crossed tags are allowed; a page that ends inside a tag, a comment or an element of ``RAW`` loses that only.  An
+    unclosed element of ``SILENT`` loses its start tag.
     """
     page = page or ""
     found: list[Block] = []
@@ -144,10 +179,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 if name not in INLINE:
                     flush()
             continue
-        if name in SILENT:
-            if name not in INLINE and not rest.endswith("/"):
-                end = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
+        if name in RAW or name in SILENT:
+            if not rest.endswith("/"):
+                at = tags.past_raw(name, at) if name in RAW else tags.past(name, at)
             parts.append(" ")
             continue
         if name == "br":

@@ -29,6 +29,26 @@ def test_blocks_of_odd_markup():
     assert texts("&lt;p&gt; &bogus; &#0; &#xD800;") == ["<p> &bogus; � �"]
 
 
+def test_only_silent_elements_are_left_out():
+    formula = "<p>mass <math><mrow><mi>m</mi><mo>=</mo><mi>E</mi></mrow></math> holds <object data=x>fallback</object></p>"
+    assert texts(formula + "<p>end</p>") == ["mass m=E holds fallback", "end"]
+    assert texts("<p>a<svg><svg><title>b</title></svg><text>c</text></svg>d</p>") == ["a d"]
+    assert texts("<p>a<svg><path d='</svg>'/><svg/>b</svg>c</p><template><script>'</template>'</script>d</template>e") == ["a c", "e"]
+    assert texts("<p>a<svg><!-- </svg> -->b</svg>c</p>") == ["a c"]
+    for name in ("svg", "math", "object", "noscript", "template"):
+        assert texts(f"<p>a</p><{name}><p>b</p><p>c</p>") == ["a", "b", "c"]
+    for name in ("script", "style", "textarea", "xmp", "iframe", "noembed", "noframes"):
+        assert texts(f"<p>a</p><{name}><p>b</p><p>c</p>") == ["a"]
+    assert texts("<p>a</p><svg><p>b</p><svg>c</svg>d") == ["a", "b", "d"]
+
+
+def test_unclosed_silent_elements_take_linear_time():
+    start = time.process_time()
+    for part in ("<svg>", "<svg><template>", "<svg></template><noscript>x"):
+        assert texts(part * 40_000) is not None
+    assert time.process_time() - start < 20
+
+
 @pytest.mark.parametrize("size", [1_000, 30_000, 300_000])
 def test_tags_of_any_length(size):
     for quote, other in ("'\"", "\"'"):
