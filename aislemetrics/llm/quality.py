@@ -32,6 +32,8 @@ STEP, SPAN = 0.002, 8.0
 KEEP_TRUSTED = 0.995
 # Base rules.
 MIN_WORDS, WINDOW, MAX_REPEATED = 20, 8, 30
+# Labels that make a document trusted, and distrusted; toxic ones of quality 1 are neither.
+GOOD, BAD = "coalesce(quality, 0) = 1 and coalesce(toxic, 0) = 0", "coalesce(quality = 0, false)"
 
 STATISTICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -181,16 +183,16 @@ def threshold(scored: DataFrame, labels: DataFrame, keep_trusted: float = KEEP_T
     """The score below which documents go, from all labelled documents that pass the base rules.
 
     Of the grid's scores that keep at least ``keep_trusted`` of the trusted documents, the one that divides trusted
-    (quality 1) from distrusted (quality 0) documents best, the least of them on a tie; minus infinity without either.
+    (quality 1, not toxic) from distrusted (quality 0) documents best, the least of them on a tie; minus infinity without either.
     At most one row a grid step comes to the driver.
     """
     grid = F.floor(F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), "score")) / STEP).cast("int")
     sides = (
         scored.where(~F.col("base_failed"))
         .select("doc_id", grid.alias("step"))
-        .join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id")
+        .join(labels.where("quality is not null").select("doc_id", F.expr(GOOD).alias("good"), F.expr(BAD).alias("bad")), "doc_id")
         .groupBy("step")
-        .agg(F.sum(F.expr("cast(quality = 1 as long)")).alias("good"), F.sum(F.expr("cast(quality = 0 as long)")).alias("bad"))
+        .agg(F.sum(F.expr("cast(good as long)")).alias("good"), F.sum(F.expr("cast(bad as long)")).alias("bad"))
         .orderBy("step")
         .collect()
     )
@@ -218,7 +220,7 @@ def quality_rules(
 
     ``labels`` has doc_id, quality (1 trusted, 0 not) and toxic; toxic documents are not trusted.
     """
-    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
+    trusted = labels.where(f"{GOOD} and doc_id is not null").select("doc_id").distinct()
     trusted = least_hashed(trusted, "doc_id", trusted_limit)
     ratios = log_ratios(ngram_counts(docs, trusted, text_col))
     scored = score(docs, ratios, text_col, carry)

@@ -85,3 +85,9 @@ def test_threshold_keeps_the_trusted(spark, no_labels):
     labels = spark.createDataFrame([(i, int(i >= 8), 0) for i in range(20)], no_labels.schema)
     assert 0.7 < quality.threshold(scored, labels) <= 0.8
     assert quality.threshold(scored, labels.where("quality = 1")) == float("-inf")
+
+
+def test_threshold_does_not_keep_toxic_documents(spark, no_labels):
+    scored = spark.createDataFrame([(i, i / 10, False) for i in range(20)], "doc_id long, score double, base_failed boolean")
+    labels = spark.createDataFrame([(i, i % 2, int(i < 8 and i % 2)) for i in range(20) if i < 8 or i % 2], no_labels.schema)
+    assert 0.6 < quality.threshold(scored, labels) <= 0.8
