@@ -122,10 +122,10 @@ def first_of_each(docs: DataFrame, text_col: str = "text", size: int = SHINGLE)
     groups = near_duplicates(docs, text_col, size)
     chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "sig")).alias("one"))
     chosen = stored(chosen.select("one.doc_id", "one.sig").distinct(), "simhash-chosen", docs.count())
-    left = docs.alias("l").withColumn("_sig", F.xxhash64(f"l.{text_col}"))
+    left = docs.select("doc_id", F.xxhash64(text_col).alias("_sig"), F.struct(*docs.columns).alias("row"))
     right = chosen.select(F.col("doc_id").alias("_doc_id"), F.col("sig").alias("_chosen"))
     met = left.join(right, left["doc_id"].eqNullSafe(right["_doc_id"]) & (left["_sig"] == right["_chosen"]), "left_semi")
-    return met.dropDuplicates(["doc_id", "_sig"]).select(*docs.columns)
+    return met.dropDuplicates(["doc_id", "_sig"]).select("row.*")
 
 
 def as_hex(fp: Column) -> Column:

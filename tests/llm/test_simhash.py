@@ -94,6 +94,13 @@ def test_odd_documents(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.first_of_each(no_docs).count() == 0
 
 
+def test_columns_stay_as_they_are(odd_docs):
+    kept = simhash.first_of_each(odd_docs)
+    assert kept.dtypes == odd_docs.dtypes
+    found, given = kept.collect(), odd_docs.collect()
+    assert found and all(row in given for row in found)
+
+
 def test_very_long_text_in_runs(monkeypatch):
     text = " ".join(str(i * i) for i in range(3_000))
     whole = simhash.fingerprint(text.encode())
