@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from aislemetrics.llm import (
     contamination,
     extraction,
+    negatives,
     pieces,
     pii,
     preference,
@@ -15,6 +16,8 @@ from aislemetrics.llm import (
     repair,
     sharding,
     simhash,
+    urls,
+    whitening,
     wordpiece,
 )
 from aislemetrics.llm.common import table
@@ -22,6 +25,14 @@ from aislemetrics.session import shared_path
 
 # Shards that documents are placed on; the lookup table has over a hundred slots for each.
 SHARDS = 32
+# What is known of hosts and paths beforehand: (verdict, host, path).
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
 
 
 def vocabulary(name: str) -> str:
@@ -89,6 +100,22 @@ def op10_piece_counts(spark: SparkSession, folder: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.whole_rows(rows.select("vec_id", shifted.alias("label"), "embedding"))
+    return negatives.hard_negatives(rows, lambda frame: frame.where("vec_id % 100 = 0"))
+
+
+def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge_urls(table(spark, folder, "pages"), URL_RULES)
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whitened_components(table(spark, folder, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     "op1_page_text": op1_page_text,
     "op2_grammar_shards": op2_grammar_shards,
@@ -100,4 +127,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_benchmark_hits": op9_benchmark_hits,
     "op10_piece_counts": op10_piece_counts,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_url_filter": op12_url_filter,
+    "op13_whitening": op13_whitening,
 }

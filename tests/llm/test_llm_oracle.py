@@ -15,13 +15,14 @@ COLUMNS = {
     "op6_simhash_groups": ["doc_id", "fingerprint", "component_id"],
     "op8_personal_data": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     "op10_piece_counts": ["doc_id", "n_words", "n_tokens", "n_unknown"],
+    "op12_url_filter": ["page_id", "host", "path", "rule", "verdict", "score"],
 }
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_matches_sql(spark, folder, name):
     duck = duckdb.connect()
-    for table in ("documents", "benchmark", "conversations", "labels", "pages"):
+    for table in ("documents", "benchmark", "conversations", "labels", "pages", "embeddings"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet')")
     cursor = duck.execute(ORACLE_SQL[name])
     names = [d[0] for d in cursor.description]
@@ -37,7 +38,7 @@ def test_matches_sql(spark, folder, name):
 def test_one_row_a_record(spark, folder, name):
     result = QUERIES[name](spark, folder)
     assert result.columns == COLUMNS[name]
-    source = "pages" if name.startswith("op1_") else "documents"
+    source = "pages" if name in ("op1_page_text", "op12_url_filter") else "documents"
     assert result.count() == spark.read.parquet(f"{folder}/{source}.parquet").count()
 
 
