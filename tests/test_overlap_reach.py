@@ -102,6 +102,40 @@ def test_greedy_equals_exhaustive_rule(spark, lines, key):
     assert found == _greedy(list(sets.values()), 20, 3)
 
 
+LIMITS = [
+    ("nested", {}),
+    ("even", {"MOST_CANDIDATES": 5}),
+    ("skewed", {"BUFFER": 6}),
+    ("skewed", {"MOST_MASKS": 70, "SAFE_CANDIDATES": 6, "PAIRS_PER_FOLDER": 200}),
+]
+
+
+@pytest.mark.parametrize(("shape", "limits"), LIMITS, ids=str)
+def test_lazy_bounds_change_no_pick(spark, monkeypatch, limits, shape):
+    """Rounds of few candidates, few bounds held, too many combinations, an index in folders."""
+    for name, value in limits.items():
+        monkeypatch.setattr(reach, name, value)
+    rng = random.Random(8)
+    products = [f"p{i:02}" for i in range(15)]
+    if shape == "nested":  # equal gains, and nothing left after the first pick
+        sets = [set(products[: 1 + i % 15]) for i in range(45)]
+    else:
+        weights = [1 / (1 + i) if shape == "skewed" else 1 for i in range(15)]
+        sets = [set(rng.choices(products, weights, k=rng.randrange(1, 5))) for _ in range(120)]
+    tokens = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "transaction_fid long, set_cat array<string>")
+    found = [tuple(r) for r in reach.greedy_candidates(tokens, 18, 2, shape == "even").collect()]
+    assert found == _greedy(sets, 18, 2)
+
+
+def test_a_round_reads_only_its_products(spark, monkeypatch):
+    monkeypatch.setattr(reach, "PAIRS_PER_FOLDER", 100)
+    pairs = spark.range(4000).selectExpr("id AS set_id", "concat('p', id % 40) AS product", "1L AS n")
+    index = reach._Postings(pairs)
+    plan = index.of(["p7"])._jdf.queryExecution().executedPlan().toString()
+    assert index.folders == 40 and "PartitionFilters: [isnotnull(folder" in plan.replace("folder#", "folder")
+    assert index.of(["p7"]).count() == 100
+
+
 def test_reach_level_and_ties(spark):
     items = spark.createDataFrame([(1, "b1"), (2, "a1"), (2, "a2"), (3, "c1")], "transaction_fid long, prod_code string")
     products = spark.createDataFrame([("a1", "A"), ("a2", "A"), ("b1", "B"), ("c1", "C")], "prod_code string, lvl string")
