@@ -40,6 +40,42 @@ def test_against_brute_force(spark):
         assert sorted((r.doc_id or -1, r.n_words, r.n_hit, r["items"]) for r in found) == expected
 
 
+def test_blocks_are_built_once_a_chunk(spark, monkeypatch):
+    """Ten blocks over texts of several slices: a build a block and chunk, not a build a slice."""
+    docs, items = sample()
+    texts = [text for _, text in docs] * 12
+    parts = [spark.sparkContext.broadcast([(i, text)]) for i, text in items[:10]]
+    built = []
+    real = contamination.Automaton
+
+    class Counted(real):
+        def __init__(self, *arguments):
+            built.append(1)
+            super().__init__(*arguments)
+
+    monkeypatch.setattr(contamination, "Automaton", Counted)
+    found = contamination._scanner(parts, 10)(texts)
+    assert len(built) == 10 and len(texts) > 2 * contamination.SLICE
+    one = contamination._scanner([spark.sparkContext.broadcast(items[:10])], 10)
+    once = one(texts[:300]) + one(texts[300:])
+    assert len(built) == 11  # and one automaton once a process
+    for (n, edges, ids), (m, others, names) in zip(found, once, strict=True):
+        assert (n, ids) == (m, names) and (edges is None) == (others is None)
+        assert edges is None or (edges == others).all()
+
+
+def test_a_large_benchmark_is_one_compact_automaton(spark):
+    rng = random.Random(4)
+    vocabulary = [f"word{i}" for i in range(20_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=400))) for i in range(500)]
+    known = contamination.Automaton(items)
+    windows = 500 * 391
+    assert sum(map(len, known.keys)) <= 10 * windows  # eight bytes each
+    text = "x " + " ".join(items[7][1].split()[100:150]) + " y"
+    (edges, ids), none = known.scan([contamination.words_of(text), [b"word1"] * 50])
+    assert ids == {7} and (edges.cumsum()[:-1] > 0).sum() == 50 and none == (None, set())
+
+
 def test_spans_are_the_words_in_the_original(spark):
     items = spark.createDataFrame([(1, "Größe 7, ÉTÉ; end")], "item_id long, text string")
     text = "Ach: GRößE 7 -- été... fin. größe 7 ÉTÉ END! Größe 7"
