@@ -1,15 +1,16 @@
 """Principal components, singular values and projections of customer feature tables.
 
-The decompositions are Spark ML's: its jobs sum up the rows, and the model comes back as one small
-matrix of features by components.
+The decomposition of a whole table is Spark ML's: its jobs sum up the rows, and the model comes back
+as one small matrix of features by components.  Those of its segments are taken in the tasks, each
+from one segment's sums, so that the number of jobs does not grow with that of the segments.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
-from operator import and_
+from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -41,17 +42,6 @@ def standardised(matrix: DataFrame, features: Sequence[str]) -> DataFrame:
     return StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(raw).transform(raw)
 
 
-def segments(table: DataFrame, by: Sequence[str]) -> Iterator[tuple[dict, DataFrame]]:
-    """Each segment's key and rows; the segments of a report, which the driver goes through one by one."""
-    if not by:
-        yield {}, table
-        return
-    for row in table.select(*by).distinct().orderBy(*by).collect():
-        own = row.asDict()
-        match = [F.col(name).eqNullSafe(F.lit(value)) for name, value in own.items()]
-        yield own, table.filter(reduce(and_, match))
-
-
 def _decomposed(vectors: DataFrame, features: list[str], k: int, constant: set[str]) -> list[tuple]:
     """Rows of ``COMPONENTS`` for one table of vectors; the largest weight of a component is positive.
 
@@ -73,6 +63,51 @@ def _decomposed(vectors: DataFrame, features: list[str], k: int, constant: set[s
     return rows
 
 
+def _by_segment(
+    matrix: DataFrame, features: list[str], k: int, on: str, by: Sequence[str]
+) -> DataFrame:
+    """``principal_components`` of every segment: one shuffle of the segments' sums, however many there are.
+
+    A task takes one segment's table of features by features at a time.
+    """
+    by, place = list(by), {f: n for n, f in enumerate(features)}
+    schema = T.StructType([matrix.schema[c] for c in by] + list(COMPONENTS))
+
+    def decomposed(sums: pd.DataFrame) -> pd.DataFrame:
+        products, n = np.zeros((len(features), len(features))), int(sums["n"].iloc[0])
+        i, j = sums["i"].map(place).to_numpy(), sums["j"].map(place).to_numpy()
+        products[i, j] = products[j, i] = sums["sij"]
+        means = np.zeros(len(features))
+        means[i] = sums["mi"]
+        spread = np.diagonal(products)
+        flat = spread <= n * means**2 * moments.FLAT
+        moving = np.flatnonzero(~flat)
+        own = {c: sums[c].iloc[0] for c in by}
+        if not len(moving):
+            return pd.DataFrame({**own, "component": 1, "eigenvalue": None, "share": None, "feature": features, "weight": None})
+        table = products[np.ix_(moving, moving)] / max(1, n - 1)
+        if on != "rows":
+            deviation = np.sqrt(np.diagonal(table))
+            table = table / np.outer(deviation, deviation)
+        if on == "corr_rows":
+            table = np.cov(table.T) if len(moving) > 1 else np.zeros((1, 1))
+        values, vectors = np.linalg.eigh(table)
+        values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
+        rows = []
+        for c in range(min(k, len(moving))):
+            peak = np.round(np.abs(vectors[:, c]), 10).argmax()
+            weights = np.full(len(features), np.nan)
+            weights[moving] = vectors[:, c] * (-1.0 if vectors[peak, c] < 0 else 1.0)
+            share = values[c] / values.sum() if values.sum() else None
+            rows.append(pd.DataFrame({**own, "component": c + 1, "eigenvalue": values[c], "share": share, "feature": features, "weight": weights}))
+        found = pd.concat(rows)
+        found["weight"] = found["weight"].astype(object).where(found["weight"].notna(), None)
+        return found
+
+    sums = moments.pair_sums(matrix, features, by)
+    return sums.groupBy(*by).applyInPandas(decomposed, schema)
+
+
 def principal_components(
     matrix: DataFrame, features: Sequence[str], k: int, on: str = "rows", by: Sequence[str] = ()
 ) -> DataFrame:
@@ -80,33 +115,27 @@ def principal_components(
 
     Components of the customers' covariance (``rows``), their correlation (``corr``), or of the
     correlation table with its rows taken as observations (``corr_rows``).  A constant feature is
-    kept, with null weights.
+    kept, with null weights.  All segments are taken in one job; without segments the decomposition
+    is Spark ML's.
     """
     if on not in ("rows", "corr", "corr_rows"):
         raise ValueError(f"on must be 'rows', 'corr' or 'corr_rows', not {on!r}")
     spark, features = matrix.sparkSession, list(features)
-    schema = T.StructType([matrix.schema[c] for c in by] + list(COMPONENTS))
-    rows: list[tuple] = []
-    for own, part in segments(matrix, by):
-        stats = moments.feature_stats_of(moments.pair_sums(part, features).filter("i = j"))
-        constant = {row.feature for row in stats.filter(F.col("std") == 0).collect()}
-        moving = [f for f in features if f not in constant]
-        if not moving:
-            found = _decomposed(part, features, k, constant)
-        elif on == "corr_rows":
-            table = moments.wide(moments.correlation(part, moving), moving, "r")
-            found = _decomposed(assembled(table, moving), moving, k, set())
-            found += [(c, value, share, f, None) for f in sorted(constant) for c, value, share in _values(found)]
-        else:
-            vectors = standardised(part, features) if on == "corr" else assembled(part, features)
-            found = _decomposed(vectors, features, k, constant)
-        rows += [(*own.values(), *row) for row in found]
-    return spark.createDataFrame(rows, schema)
-
-
-def leading_components(matrix: DataFrame, features: Sequence[str], k: int) -> list[tuple]:
-    """Rows of ``COMPONENTS`` of the correlation of features that are known not to be constant."""
-    return _decomposed(standardised(matrix, features), list(features), k, set())
+    if by:
+        return _by_segment(matrix, features, k, on, by)
+    stats = moments.feature_stats_of(moments.pair_sums(matrix, features).filter("i = j"))
+    constant = {row.feature for row in stats.filter(F.col("std") == 0).collect()}
+    moving = [f for f in features if f not in constant]
+    if not moving:
+        found = _decomposed(matrix, features, k, constant)
+    elif on == "corr_rows":
+        table = moments.wide(moments.correlation(matrix, moving), moving, "r")
+        found = _decomposed(assembled(table, moving), moving, k, set())
+        found += [(c, value, share, f, None) for f in sorted(constant) for c, value, share in _values(found)]
+    else:
+        vectors = standardised(matrix, features) if on == "corr" else assembled(matrix, features)
+        found = _decomposed(vectors, features, k, constant)
+    return spark.createDataFrame(found, COMPONENTS)
 
 
 def _values(rows: list[tuple]) -> list[tuple]:

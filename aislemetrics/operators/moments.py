@@ -17,6 +17,8 @@ from aislemetrics.functions.columns import ratio
 
 # Rows of partial sums a task hands on at a time.
 CHUNK = 100_000
+# Scatter of a constant column, relative to its squares: what rounding leaves.
+FLAT = 1e-26
 
 _PARTIAL = ("n", "mi", "mj", "cii", "cjj", "cij")
 
@@ -125,7 +127,7 @@ def covariance_of(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def _flat(s: str, m: str) -> F.Column:
     """What a constant column leaves after centring is rounding noise."""
-    return F.col(s) <= F.col("n") * F.col(m) * F.col(m) * 1e-26
+    return F.col(s) <= F.col("n") * F.col(m) * F.col(m) * FLAT
 
 
 def correlation_of(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -1,7 +1,7 @@
 """Variable clustering: group features so that each is close to its own cluster's component.
 
-Sums over the correlation table are DataFrame operators, components are Spark ML's.  The divisive
-search goes through clusters, a few dozen at most, on the driver and does its work in Spark jobs.
+Sums over the correlation table are DataFrame operators; components are taken in the tasks, each from
+the correlations within one cluster.  The divisive search splits all open clusters of a depth together.
 """
 
 from __future__ import annotations
@@ -9,21 +9,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aislemetrics.functions.columns import ratio
 from aislemetrics.operators import moments
-from aislemetrics.operators.components import (
-    leading_components,
-    principal_components,
-    project,
-    segments,
-    stacked,
-)
+from aislemetrics.operators.components import project, stacked
 from aislemetrics.session import materialise
 
+
 def cluster_weights(corr: DataFrame, assignment: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., cluster, feature, weight) of each cluster's centroid, weights of length 1.
 
@@ -46,23 +43,37 @@ def component_weights(
 ) -> DataFrame:
     """The same with each cluster's first principal component, from the customers' matrix.
 
-    One small decomposition per cluster; the assignment has a row per feature.
+    All clusters of all segments are decomposed in one job, a task taking one cluster's correlations at a time.
     """
-    spark, order = matrix.sparkSession, {f: n for n, f in enumerate(features)}
-    schema = T.StructType([matrix.schema[c] for c in by]).add("cluster", T.IntegerType())
-    schema = schema.add("feature", T.StringType()).add("weight", T.DoubleType())
-    rows: list[tuple] = []
-    for own, part in segments(assignment, by):
-        rest = matrix
-        for name, value in own.items():
-            rest = rest.filter(F.col(name).eqNullSafe(F.lit(value)))
-        members: dict[int, list[str]] = {}
-        for row in part.collect():
-            members.setdefault(row["cluster"], []).append(row["feature"])
-        for cluster, names in sorted(members.items()):
-            found = principal_components(rest, sorted(names, key=order.get), 1, "corr")
-            rows += [(*own.values(), cluster, r["feature"], r["weight"]) for r in found.collect()]
-    return spark.createDataFrame(rows, schema)
+    keys = [*by, "cluster"]
+    sums = moments.pair_sums(matrix, features, by)
+    corr = _inside(moments.correlation_of(sums, by), assignment, by)
+    moving = moments.feature_stats_of(sums, by).select(*by, "feature", (F.col("std") > 0).alias("moves"))
+    schema = T.StructType([corr.schema[c] for c in keys]).add("feature", T.StringType()).add("weight", T.DoubleType())
+
+    def leading(pairs: pd.DataFrame) -> pd.DataFrame:
+        names, table = _table(pairs)
+        weights = np.linalg.eigh(table)[1][:, -1]
+        weights = weights * (-1.0 if weights[np.round(np.abs(weights), 10).argmax()] < 0 else 1.0)
+        return pd.DataFrame({**{c: pairs[c].iloc[0] for c in keys}, "feature": names, "weight": weights})
+
+    weights = corr.groupBy(*keys).applyInPandas(leading, schema)
+    members = assignment.select(*keys, "feature").join(weights, [*keys, "feature"], "left").join(moving, [*by, "feature"])
+    return members.select(*keys, "feature", F.when(F.col("moves"), F.col("weight")).alias("weight"))
+
+
+def _inside(corr: DataFrame, assignment: DataFrame, by: Sequence[str], cluster: str = "cluster") -> DataFrame:
+    """(by..., cluster, i, j, r): the correlations within each cluster of (by..., feature, cluster); constant features fall out."""
+    left = assignment.select(*by, F.col("feature").alias("i"), cluster)
+    right = assignment.select(*by, F.col("feature").alias("j"), cluster)
+    pairs = corr.join(left, [*by, "i"]).join(right, [*by, "j", cluster])
+    return pairs.filter("r IS NOT NULL").select(*by, cluster, "i", "j", "r")
+
+
+def _table(pairs: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+    """Sorted feature names and the square table of one cluster's correlations, zero where there is none."""
+    wide = pairs.pivot(index="i", columns="j", values="r").sort_index().sort_index(axis=1).fillna(0.0)
+    return list(wide.index), wide.to_numpy(float)
 
 
 def _nearness(corr: DataFrame, weights: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -159,19 +170,52 @@ def _two_sides(weights: dict[str, tuple[float, float]], values: tuple[float, flo
     }
 
 
-def _halves(corr: DataFrame, members: list[str], found: list[tuple], max_iter: int) -> list[list[str]]:
-    """Split one cluster by its two leading components, then settle every feature at the nearer centroid."""
-    values = {component: value for component, value, *_ in found}
-    weights: dict[str, list[float]] = {}
-    for _, _, _, feature, weight in found:
-        weights.setdefault(feature, []).append(weight)
-    sides = _two_sides({f: (pair[0], pair[1]) for f, pair in weights.items()}, (values[1], values[2]))
-    if len(set(sides.values())) == 2:
-        start = corr.sparkSession.createDataFrame(list(sides.items()), "feature string, cluster int")
-        inside = corr.filter(F.col("i").isin(members) & F.col("j").isin(members))
-        settled = {r["feature"]: r["cluster"] for r in reassign(inside, start, max_iter).collect()}
-        sides = settled if len(set(settled.values())) == 2 else sides
-    return [half for side in (1, 2) if (half := [f for f in members if sides[f] == side])]
+def _split(corr: DataFrame, frontier: DataFrame, by: Sequence[str], max_iter: int) -> DataFrame:
+    """(by..., path, feature, side, second): every cluster of ``frontier`` (by..., feature, path) in two sides.
+
+    The sides come from the cluster's two leading components, whose second eigenvalue is ``second``;
+    then every feature settles at the nearer centroid, unless that leaves one side empty.
+    """
+    keys = [*by, "path"]
+    inside = materialise(_inside(corr, frontier, by, "path"), "clusters-inside")
+    schema = T.StructType([inside.schema[c] for c in keys]).add("feature", T.StringType())
+    schema = schema.add("start", T.IntegerType()).add("second", T.DoubleType())
+
+    def sides(pairs: pd.DataFrame) -> pd.DataFrame:
+        names, table = _table(pairs)
+        values, vectors = np.linalg.eigh(table)
+        weights = {f: (vectors[n, -1], vectors[n, -2]) for n, f in enumerate(names)}
+        start = _two_sides(weights, (values[-1], values[-2]))
+        own = {c: pairs[c].iloc[0] for c in keys}
+        return pd.DataFrame({**own, "feature": names, "start": [start[f] for f in names], "second": values[-2]})
+
+    start = materialise(inside.groupBy(*keys).applyInPandas(sides, schema), "clusters-start")
+    settled = reassign(inside, start.withColumnRenamed("start", "cluster"), max_iter, keys)
+    whole = Window.partitionBy(*keys)
+    both = F.min("cluster").over(whole) < F.max("cluster").over(whole)
+    joined = start.join(settled.select(*keys, "feature", "cluster"), [*keys, "feature"])
+    return joined.select(*keys, "feature", F.when(both, F.col("cluster")).otherwise(F.col("start")).alias("side"), "second")
+
+
+def _chosen(splits: pd.DataFrame, order: dict[str, int], max_clusters: int) -> list[list[str]]:
+    """Clusters of one segment, from all splits of its tree: the one whose second component explains most is split next."""
+    tree: dict[str, dict] = {}
+    for path, node in splits.groupby("path", sort=False):
+        members = sorted(zip(node["feature"], node["side"], strict=True), key=lambda m: order[m[0]])
+        tree[path] = {"members": members, "second": node["second"].iloc[0]}
+    clusters = [("", [f for f, _ in tree[""]["members"]])]
+    done: set[str] = set()
+    while len(clusters) < max_clusters:
+        open_ = [c for c in clusters if c[0] in tree and len(c[1]) > 2 and c[0] not in done]
+        if not open_:
+            break
+        worst = max(open_, key=lambda c: tree[c[0]]["second"])
+        halves = [(f"{worst[0]}{side}", [f for f, s in tree[worst[0]]["members"] if s == side]) for side in (1, 2)]
+        if all(members for _, members in halves):
+            clusters = [c for c in clusters if c is not worst] + halves
+        else:
+            done.add(worst[0])
+    return [members for _, members in clusters]
 
 
 def variable_clusters(
@@ -181,34 +225,46 @@ def variable_clusters(
 
     The cluster whose second component explains most is split next; clusters of two or fewer stay
     together.  A constant feature is kept, with a null cluster.
+
+    A cluster's split does not hang on the other clusters', so the open clusters of one depth are split
+    together, those of all segments in the same jobs; which splits count is decided in the end, segment
+    by segment.  The number of jobs grows with the depth alone, at most ``max_clusters`` - 1.
     """
-    spark = matrix.sparkSession
-    schema = T.StructType([matrix.schema[c] for c in by]).add("cluster_num", T.IntegerType())
-    rows: list[tuple] = []
-    for own, part in segments(matrix, by):
-        held = materialise(part.select(*[F.col(f"`{f}`") for f in features]), "features")
-        sums = materialise(moments.pair_sums(held, features), "sums")
-        constant = {r["feature"] for r in moments.feature_stats_of(sums).filter("std = 0").collect()}
-        corr = materialise(moments.correlation_of(sums), "corr")
-        moving = [f for f in features if f not in constant]
-        clusters, whole = ([moving] if moving else []), set()
-        leading: dict[tuple, list[tuple]] = {}
-        while len(clusters) < max_clusters:
-            open_ = [c for c in clusters if len(c) > 2 and tuple(c) not in whole]
-            for members in open_:
-                if tuple(members) not in leading:
-                    leading[tuple(members)] = leading_components(held, members, 2)
-            if not open_:
-                break
-            worst = max(open_, key=lambda c: leading[tuple(c)][-1][1])
-            halves = _halves(corr, worst, leading[tuple(worst)], max_iter)
-            if len(halves) < 2:
-                whole.add(tuple(worst))
-            else:
-                clusters = [c for c in clusters if c is not worst] + halves
-        rows += [(*own.values(), n, f) for n, members in enumerate(clusters, 1) for f in members]
-        rows += [(*own.values(), None, f) for f in sorted(constant)]
-    return spark.createDataFrame(rows, schema.add("feature_name", T.StringType()))
+    by, order = list(by), {f: n for n, f in enumerate(features)}
+    sums = materialise(moments.pair_sums(matrix, features, by), "sums")
+    corr = materialise(moments.correlation_of(sums, by), "corr")
+    stats = moments.feature_stats_of(sums, by).select(*by, "feature", (F.col("std") > 0).alias("moves"))
+    root = stats.filter("moves").select(*by, "feature", F.lit("").alias("path"))
+    # A tree of one node has no split; its features are one cluster.
+    levels = [root.select(*by, "path", "feature", F.lit(1).alias("side"), F.lit(0.0).alias("second"))]
+    frontier = root
+    for depth in range(max_clusters - 1):
+        size = F.count("*").over(Window.partitionBy(*by, "path"))
+        frontier = frontier.withColumn("size", size).filter("size > 2").drop("size")
+        level = materialise(_split(corr, frontier, by, max_iter), "clusters-level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+        cut = F.min("side").over(Window.partitionBy(*by, "path")) < F.max("side").over(Window.partitionBy(*by, "path"))
+        frontier = level.withColumn("cut", cut).filter("cut").select(*by, "feature", F.concat("path", F.col("side").cast("string")).alias("path"))
+    splits = levels[0]
+    for level in levels[1:]:
+        splits = splits.unionByName(level)
+    schema = T.StructType([matrix.schema[c] for c in by]).add("cluster_num", T.IntegerType()).add("feature_name", T.StringType())
+
+    def chosen(tree: pd.DataFrame) -> pd.DataFrame:
+        # The split of the root stands after the rows that stand for a tree without one.
+        roots = tree[tree["path"] == ""]
+        split = roots[roots["second"] > 0]
+        tree = pd.concat([split if len(split) else roots, tree[tree["path"] != ""]])
+        found = [(n, f) for n, members in enumerate(_chosen(tree, order, max_clusters), 1) for f in members]
+        own = {c: tree[c].iloc[0] for c in by}
+        return pd.DataFrame({**own, "cluster_num": [n for n, _ in found], "feature_name": [f for _, f in found]})
+
+    grouped = splits.groupBy(*by) if by else splits.groupBy(F.lit(0).alias("_all"))
+    clusters = grouped.applyInPandas(chosen, schema)
+    constant = stats.filter("NOT moves").select(*by, F.lit(None).cast("int").alias("cluster_num"), F.col("feature").alias("feature_name"))
+    return materialise(clusters.unionByName(constant), "clusters")
 
 
 def cluster_scores(
