@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aislemetrics.functions.columns import ratio
+from aislemetrics.session import materialise
 
 # Rows of partial sums a task hands on at a time.
 CHUNK = 100_000
@@ -103,6 +104,93 @@ def _total(partial: DataFrame, features: list[str], keys: list[str]) -> DataFram
     return summed.withColumns(named).select(*keys, "i", "j", "n", "mi", "mj", "sii", "sjj", "sij")
 
 
+def sparse_vectors(
+    need: DataFrame, by: Sequence[str] = (), key: str = "card_id", feature: str = "subcl", value: str = "pct_visits"
+) -> DataFrame:
+    """(by..., key, features, values): one sparse vector a customer, its features in order.
+
+    ``need`` has a row a customer and feature; its rows are spread by both before they meet in a vector.
+    """
+    cells = F.sort_array(F.collect_list(F.struct(F.col(feature).alias("f"), F.col(value).cast("double").alias("v"))))
+    held = need.groupBy(*by, key).agg(cells.alias("_c"))
+    return held.select(*by, key, F.col("_c.f").alias("features"), F.col("_c.v").alias("values"))
+
+
+def sparse_pair_sums(vectors: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``pair_sums`` of sparse vectors (by..., features, values): what a vector lacks counts as 0.
+
+    A task multiplies the entries that a vector has with each other, and sums them by pair of features
+    before it hands them on, so its work and memory follow the entries and not the square of the
+    features; the means are put in when the tasks' sums have met.  No pivot, and no dense row.  Features
+    outside ``features`` are left out; nulls and NaN are refused.  What rounding leaves of a constant
+    feature's scatter is taken as 0.
+    """
+    features, keys = list(features), list(by)
+    place, k = {f: n for n, f in enumerate(features)}, len(features)
+
+    def summed(codes: list, x: list, xy: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        kinds, at = np.unique(np.concatenate(codes), return_inverse=True)
+        return kinds, np.bincount(at, np.concatenate(x), len(kinds)), np.bincount(at, np.concatenate(xy), len(kinds))
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+        size = 0
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for group, (n, *parts) in held.items():
+                codes, x, xy = summed(*parts)
+                rows = {"i": codes // k, "j": codes % k, "n": 0, "x": x, "xy": xy}
+                yield pd.DataFrame({**dict(zip(keys, group)), **rows})
+                yield pd.DataFrame({**dict(zip(keys, group)), "i": [-1], "j": [-1], "n": [n], "x": [0.0], "xy": [0.0]})
+            held.clear()
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                own = held.setdefault(tuple(row[: len(keys)]), [0, [], [], []])
+                own[0] += 1
+                v = np.asarray(row[-1], float)
+                if np.isnan(v).any():
+                    raise ValueError("a feature is null or NaN: fill the matrix first")
+                index = np.array([place.get(f, -1) for f in row[-2]], np.int64)
+                index, v = index[index >= 0], v[index >= 0]
+                order = np.argsort(index)
+                index, v = index[order], v[order]
+                first, second = np.triu_indices(len(index))
+                own[1].append(index[first] * k + index[second])
+                own[2].append(np.where(first == second, v[first], 0.0))
+                own[3].append(v[first] * v[second])
+                size += len(first)
+                if size > 10 * CHUNK:  # sum what is held; hand it on where it does not shrink
+                    for part in held.values():
+                        part[1:] = [[x] for x in summed(*part[1:])]
+                    size = sum(len(x) for part in held.values() for x in part[1])
+                    if size > 5 * CHUNK:
+                        yield from flush()
+                        size = 0
+        yield from flush()
+
+    schema = T.StructType([vectors.schema[c] for c in keys]).add("i", T.IntegerType()).add("j", T.IntegerType())
+    schema = schema.add("n", T.LongType()).add("x", T.DoubleType()).add("xy", T.DoubleType())
+    tasks = vectors.select(*keys, "features", "values").mapInPandas(add_up, schema)
+    cells = tasks.groupBy(*keys, "i", "j").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("xy").alias("xy"))
+    cells = materialise(cells, "sparse-cells")
+    rows = cells.filter("i = -1").select(*keys, "n")
+    one = rows.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i")) if k else rows.withColumn("i", F.lit(0)).limit(0)
+    own = cells.filter("i = j").select(*keys, "i", "x", "xy")
+    mean, square = F.coalesce("x", F.lit(0.0)) / F.col("n"), F.coalesce("xy", F.lit(0.0))
+    scatter = square - F.col("n") * mean * mean
+    scatter = F.when(scatter <= square * 1e-12, F.lit(0.0)).otherwise(scatter)
+    one = one.join(own, [*keys, "i"], "left").select(*keys, "n", "i", mean.alias("mi"), scatter.alias("sii"))
+    other = one.select(*keys, F.col("i").alias("j"), F.col("mi").alias("mj"), F.col("sii").alias("sjj"))
+    pairs = one.withColumn("j", F.explode(F.sequence("i", F.lit(k - 1)))).join(other, [*keys, "j"])
+    cross = F.coalesce("xy", F.lit(0.0)) - F.col("n") * F.col("mi") * F.col("mj")
+    cross = F.when(F.col("i") == F.col("j"), F.col("sii")).otherwise(cross)
+    pairs = pairs.join(cells.select(*keys, "i", "j", "xy"), [*keys, "i", "j"], "left")
+    names = F.split(F.lit("\x01".join(features)), "\x01")
+    named = {c: F.get(names, F.col(c)) for c in ("i", "j")}
+    return pairs.withColumn("sij", cross).withColumns(named).select(*keys, "i", "j", "n", "mi", "mj", "sii", "sjj", "sij")
+
+
 def _mirrored(sums: DataFrame, by: Sequence[str], value: F.Column, name: str) -> DataFrame:
     """Fill the lower triangle from the upper one."""
     both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))

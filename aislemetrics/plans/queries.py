@@ -487,8 +487,14 @@ def _stored_matrix(star: Star, by: tuple[str, ...] = ()) -> tuple[DataFrame, lis
     return materialise(matrix, "matrix"), features
 
 
+def _sums(star: Star, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sums of the customers' sparse vectors."""
+    need = _segmented(star, _need(star)) if by else _need(star)
+    return moments.sparse_pair_sums(moments.sparse_vectors(need, by), _features(star), by)
+
+
 def _corr(star: Star, by: tuple[str, ...] = ()) -> DataFrame:
-    return moments.correlation(*_matrix(star, by), by)
+    return moments.correlation_of(_sums(star, by), by)
 
 
 @query
@@ -503,17 +509,17 @@ def segment_correlation(star: Star) -> DataFrame:
 
 @query
 def feature_covariance(star: Star) -> DataFrame:
-    return _plain(moments.covariance(*_matrix(star)), cov=8)
+    return _plain(moments.covariance_of(_sums(star)), cov=8)
 
 
 @query
 def scatter(star: Star) -> DataFrame:
-    return _plain(moments.scatter(*_matrix(star)), s=6)
+    return _plain(moments.scatter_of(_sums(star)), s=6)
 
 
 @query
 def feature_stats(star: Star) -> DataFrame:
-    return _plain(moments.feature_stats(*_matrix(star)), mean=6, std=6)
+    return _plain(moments.feature_stats_of(_sums(star)), mean=6, std=6)
 
 
 @query

@@ -119,6 +119,38 @@ def test_many_features_and_many_segments(spark):
     assert moments.pair_sums(many, ["a", "b"], ["g"]).filter("n = 3").count() == 150_000
 
 
+def test_sparse_sums_equal_dense_ones(spark, need, matrix):
+    sparse = need.filter("pct_visits <> 0 OR subcl = 's0'")
+    ours = moments.sparse_pair_sums(moments.sparse_vectors(sparse, ["seg"]), FEATURES, ["seg"])
+    dense = {(r.seg, r.i, r.j): r for r in moments.pair_sums(matrix, FEATURES, ["seg"]).collect()}
+    rows = ours.collect()
+    assert len(rows) == len(dense)
+    for r in rows:
+        assert tuple(r)[3:] == pytest.approx(tuple(dense[r.seg, r.i, r.j])[3:], abs=1e-9)
+    flat = spark.range(30).selectExpr("id AS card_id", "explode(array('a', 'b')) AS subcl")
+    flat = flat.selectExpr("*", "CASE WHEN subcl = 'a' THEN 0.7D ELSE card_id / 7D END AS pct_visits")
+    corr = moments.correlation_of(moments.sparse_pair_sums(moments.sparse_vectors(flat), ["a", "b", "c"])).collect()
+    table = {(r.i, r.j): r.r for r in corr}
+    assert table["a", "b"] is None and table["b", "c"] is None and table["b", "b"] == 1.0
+
+
+def test_sparse_sums_of_twenty_thousand_features(spark):
+    names = [f"f{i}" for i in range(20_000)]
+    need = spark.range(3_000).selectExpr("id AS card_id", "explode(sequence(0, 3)) AS s")
+    need = need.selectExpr("card_id", "concat('f', (card_id * 7 + s * s * 31) % 20000) AS subcl", "1D + s AS pct_visits")
+    sums = moments.sparse_pair_sums(moments.sparse_vectors(need), names).filter("i = 'f0'")
+    rows = {r.j: r for r in sums.filter("j IN ('f0', 'f31', 'f5')").collect()}
+    # Card 0 has f0, f31, f124 and f279 as 1, 2, 3 and 4.
+    held = {}
+    for r in need.filter("subcl IN ('f0', 'f31', 'f5')").collect():
+        held.setdefault(r.subcl, {})[r.card_id] = r.pct_visits
+    x = np.zeros((3, 3_000))
+    for n, f in enumerate(("f0", "f31", "f5")):
+        x[n, list(held.get(f, {}))] = list(held.get(f, {}).values())
+    wanted = np.cov(x) * 2_999
+    assert [rows[f].sij for f in ("f0", "f31", "f5")] == pytest.approx(wanted[0].tolist())
+
+
 def test_missing_values_are_refused(spark):
     holes = spark.createDataFrame([(1.0, None), (2.0, 3.0)], "a double, b double")
     with pytest.raises(Exception, match="null or NaN"):

@@ -73,6 +73,13 @@ def test_overlap_refuses_too_many_groups(lines):
     assert {r.comb_size for r in pairs} == {1, 2} and {r.n_custs for r in pairs if r.comb_flag == "g0"} == {masks.count()}
 
 
+def test_sixteen_groups_with_every_mask(spark):
+    masks = spark.range(1, 1 << 16).selectExpr("id AS mask")
+    counts = {r.comb_flag: r.n_custs for r in overlap.combination_counts(masks, [f"g{i}" for i in range(16)]).collect()}
+    assert len(counts) == (1 << 16) - 1
+    assert all(n == 1 << (16 - len(flag.split(" , "))) for flag, n in counts.items())
+
+
 def _greedy(sets, n_top, top_k):
     """The exhaustive rule: count the keys of every candidate together with the picks."""
     products, chosen, report = sorted(set().union(*sets)), [], []
