@@ -11,23 +11,36 @@ from aislemetrics.functions import stats
 from aislemetrics.functions.calendar import Weeks
 from aislemetrics.functions.columns import ratio, units
 from aislemetrics.operators.items import as_list, in_formats, weeks_between
+from aislemetrics.session import materialise
 
 FORMATS = ("1", "2", "3", "4", "5")
 
 
 def segment_cards(
-    snapshots: DataFrame, seg_values: DataFrame, cards: DataFrame, snapshot_week: int, seg_type: str, values
+    snapshots: DataFrame,
+    seg_values: DataFrame,
+    cards: DataFrame,
+    snapshot_week: int,
+    seg_type: str,
+    values,
+    dates: DataFrame | None = None,
 ) -> DataFrame:
     """Cards of the persons in the segments, by the snapshot taken on the last date of a week.
 
     ``snapshots`` is (prsn_id, date_id, seg_value_id), ``seg_values`` (seg_value_id, seg_type_code,
-    seg_value_code) and ``cards`` (card_id, prsn_id); a person may have several cards.
+    seg_value_code) and ``cards`` (card_id, prsn_id); a person may have several cards.  Weeks are ISO
+    weeks unless ``dates`` (date_id, fis_week_id) holds a calendar of one's own: the date is then its
+    latest of that week, found at run time.
     """
-    last_day = Weeks().days(snapshot_week, snapshot_week)[1]
     wanted = seg_values.filter(
         (F.col("seg_type_code") == seg_type) & F.col("seg_value_code").isin(as_list(values))
     ).select("seg_value_id")
-    persons = snapshots.filter(F.col("date_id") == F.lit(last_day)).join(wanted, "seg_value_id", "left_semi")
+    if dates is None:
+        taken = snapshots.filter(F.col("date_id") == F.lit(Weeks().days(snapshot_week, snapshot_week)[1]))
+    else:
+        last = dates.filter(F.col("fis_week_id") == snapshot_week).agg(F.max("date_id").alias("date_id"))
+        taken = snapshots.join(last, "date_id", "left_semi")
+    persons = taken.join(wanted, "seg_value_id", "left_semi")
     return cards.join(persons, "prsn_id", "left_semi").select("card_id").distinct()
 
 
@@ -68,19 +81,54 @@ def price_points(
     return daily.withColumn("ppu", F.round(ratio(F.col("sales"), F.col("units")), 2))
 
 
+def exact_quantiles(values: DataFrame, keys: Sequence[str], wanted: dict[str, float], value: str = "value") -> DataFrame:
+    """(keys..., one column for each of ``wanted``): exact linear quantiles by selecting ranks.
+
+    Equal values are counted first.  The counted values are dealt over tasks by range, every task's total
+    gives the ranks at which the next one starts, and running counts inside the tasks then tell which
+    values stand at the ranks sought: no task holds all values of a group.
+    """
+    counted = values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    dealt = counted.repartitionByRange(*keys, value).withColumn("part", F.spark_partition_id())
+    dealt = materialise(dealt, "quantile-values")  # parts stay as they were dealt, whatever is computed again
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*keys, "part").agg(F.sum("n").alias("m"))
+    starts = totals.select(
+        *[F.col(c).alias(f"_{c}") for c in (*keys, "part")],
+        F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("start"),
+        (F.sum("m").over(group) - 1).alias("last"),
+    )
+    running = F.sum("n").over(Window.partitionBy(*keys, "part").orderBy(value))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, "part")]
+    placed = dealt.withColumn("upto", running).join(starts, same).withColumn("upto", F.col("upto") + F.col("start"))
+
+    def at(rank: F.Column) -> F.Column:
+        return F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank), F.col(value)))
+
+    found = []
+    for name, share in wanted.items():
+        place = F.col("last") * share
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        found.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return placed.groupBy(*keys).agg(*found)
+
+
 def describe(points: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by..., column, count, mean, std, min, q25, q50, q75, max), quartiles exact and linear."""
+    keys = [*by, "column"]
     long = points.unpivot(list(by), list(columns), "column", "value")
-    return long.groupBy(*by, "column").agg(
+    plain = long.groupBy(*keys).agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
-        F.percentile("value", F.lit(0.25)).alias("q25"),
-        F.percentile("value", F.lit(0.5)).alias("q50"),
-        F.percentile("value", F.lit(0.75)).alias("q75"),
         F.max("value").alias("max"),
     )
+    quartiles = exact_quantiles(long, keys, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    quartiles = quartiles.withColumnsRenamed({c: f"_{c}" for c in keys})
+    joined = plain.join(quartiles, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], "left")
+    return joined.select(*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def fit_price(

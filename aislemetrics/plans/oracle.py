@@ -907,3 +907,41 @@ FROM (SELECT subcl, count(*) AS n_cards, avg(pct_visits) AS avg_visits FROM need
 JOIN (SELECT 's' || l10 AS subcl, count(*) AS n_products, min(prod_code) AS first_code
       FROM prod WHERE l50 IN ('{p.DIVISIONS[0]}') GROUP BY l10) USING (subcl)"""
 )
+
+
+def _run(name: str) -> str:
+    weeks = p.PERIODS[name]
+    return f"""SELECT store_id, count(*) AS n_lines, '{name}' AS run FROM item
+               WHERE fis_week_id BETWEEN {weeks[0]} AND {weeks[1]} GROUP BY store_id"""
+
+
+ORACLE_SQL["growing_report"] = _with("item") + f"{_run('TY')} UNION ALL {_run('LY')}"
+
+ORACLE_SQL["item_slice_by_week"] = (
+    _with("item", "store")
+    + f"""
+SELECT transaction_fid, prod_code, store_id, fis_week_id, item_qty FROM item
+WHERE fis_week_id BETWEEN {p.SLICE_WEEKS[0]} AND {p.SLICE_WEEKS[1]}
+  AND store_id IN (SELECT store_id FROM store WHERE format_code IN {p.SLICE_FORMATS})"""
+)
+
+ORACLE_SQL["shopping_cycle_bucketed"] = (
+    _with("item")
+    + """
+SELECT card_id, median(gap) AS median_day_cycle FROM (
+  SELECT card_id, lead(date_id) OVER (PARTITION BY card_id ORDER BY date_id) - date_id AS gap
+  FROM (SELECT DISTINCT card_id, date_id FROM item WHERE card_id IS NOT NULL))
+WHERE gap IS NOT NULL GROUP BY card_id"""
+)
+
+# Weeks from Sunday to Saturday; the snapshots are those of the other queries, a day earlier.
+ORACLE_SQL["segment_cards_by_dates"] = (
+    _with("item", "snap")
+    + f"""
+, last AS (
+  SELECT max(date_id) AS day FROM item
+  WHERE floor((date_id - DATE '{p.OWN_WEEKS_FROM}') / 7) = {p.OWN_SNAPSHOT_WEEK})
+SELECT c_custkey AS card_id FROM customer
+WHERE c_custkey + 1000000000 IN (
+  SELECT prsn_id FROM snap, last WHERE date_id - 1 = day AND seg_value IN (0, 1))"""
+)

@@ -44,3 +44,9 @@ MEMBER_FACTOR = 1
 N_CLUSTERS = 5
 # Brand number at which the next start cluster begins.
 CLUSTER_STARTS = (1, 10, 18)
+
+# Files of a table dealt by card.
+BUCKETS = 8
+# A calendar whose weeks begin on Sunday: its first day, and the week of the snapshot.
+OWN_WEEKS_FROM = "1969-12-28"
+OWN_SNAPSHOT_WEEK = 1637

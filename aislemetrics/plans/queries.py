@@ -686,3 +686,44 @@ def table_roundtrip(star: Star) -> DataFrame:
     result = materialise(counted.withColumn("listed", F.lit(listed)), "table")
     star.spark.sql(f"DROP TABLE {name}")
     return result
+
+
+@query
+def growing_report(star: Star) -> DataFrame:
+    """Lines per store of two years, one run each; the first run is written twice and stands once."""
+    path = shared_path(star.spark, "report")
+    for name in ("TY", "LY", "TY"):
+        sold = items.weeks_between(star.items, *p.PERIODS[name], star.weeks)
+        sinks.write_run(sold.groupBy("store_id").agg(F.count("*").alias("n_lines")), path, name)
+    return readers.read_parquet(star.spark, path)
+
+
+@query
+def item_slice_by_week(star: Star) -> DataFrame:
+    """A slice of the fact from folders by week."""
+    path = shared_path(star.spark, "items-by-week")
+    sinks.write_by_week(star.items, path, tasks_per_week=1)
+    sliced = items.weeks_between(readers.read_parquet(star.spark, path), *p.SLICE_WEEKS)
+    sliced = items.in_formats(sliced, star.stores, p.SLICE_FORMATS)
+    return sliced.select("transaction_fid", "prod_code", "store_id", "fis_week_id", "item_qty")
+
+
+@query
+def shopping_cycle_bucketed(star: Star) -> DataFrame:
+    """Cycles of all cards from a table dealt and sorted by card."""
+    name = f"card_days_{uuid.uuid4().hex}"
+    sinks.write_bucketed(star.items.select("card_id", "date_id"), name, ["card_id"], p.BUCKETS)
+    result = materialise(cycle.shopping_cycle(readers.read_table(star.spark, name)), "cycles")
+    star.spark.sql(f"DROP TABLE {name}")
+    return result
+
+
+@query
+def segment_cards_by_dates(star: Star) -> DataFrame:
+    """Cards by the snapshot on the last date of a week of the retailer's own, which ends on Saturday."""
+    date, week = F.col("date_id"), F.floor(F.datediff("date_id", F.lit(p.OWN_WEEKS_FROM)) / 7).cast("int")
+    dates = star.items.select("date_id").distinct().withColumn("fis_week_id", week)
+    snapshots = star.segment_snapshots.withColumn("date_id", F.date_sub(date, 1))
+    return price.segment_cards(
+        snapshots, star.segment_values, star.card_persons, p.OWN_SNAPSHOT_WEEK, PRICE_SEGMENT, p.PRICE_SEGMENTS, dates
+    )

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.ml.feature import PCAModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, name: str, files: int | None = None) -> None:
@@ -26,6 +29,37 @@ def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
     (df.coalesce(files) if files else df).write.mode("overwrite").csv(path, header=True)
 
 
+def write_run(df: DataFrame, path: str, run: str) -> None:
+    """Add a run's rows to a growing report, under the column ``run``.
+
+    Only the run's own partition is replaced, so a run that is repeated, or that failed half-way, leaves
+    its rows once and those of other runs as they are.
+    """
+    _check_target(df, path)
+    named = df.withColumn("run", F.lit(run))
+    named.write.partitionBy("run").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def write_by_week(items: DataFrame, path: str, tasks_per_week: int = 8) -> None:
+    """The fact in one folder a week: week ranges prune folders when planning, joins with a week table at run time.
+
+    A week's rows are spread over ``tasks_per_week`` tasks by basket.
+    """
+    _check_target(items, path)
+    spread = F.pmod(F.xxhash64("transaction_fid"), F.lit(tasks_per_week))
+    items.repartition("fis_week_id", spread).write.partitionBy("fis_week_id").mode("overwrite").parquet(path)
+
+
+def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -> None:
+    """Overwrite a managed table of ``buckets`` files, dealt and sorted by ``keys``.
+
+    What groups or joins by the keys then reads it without a shuffle.  Rows without a first key are left
+    to plain tables: they would all meet in one bucket.
+    """
+    kept = df.filter(F.col(keys[0]).isNotNull()).repartition(buckets, *keys)
+    kept.write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").saveAsTable(name)
+
+
 def _check_target(df: DataFrame, path: str) -> None:
     target = path.rstrip("/")
     for source in df.inputFiles():
