@@ -137,8 +137,8 @@ def _record(rng: random.Random, kind: str) -> str:
     """One record of a kind, about half of them written in a way the patterns do not know."""
     plain = rng.random() < 0.5
     if kind == "email":
-        user = _name(rng, rng.randint(2, 9)) + rng.choice(["", ".", "_", "-"]) + rng.choice([_number(rng, 2), _name(rng, 5)])
-        host = [_name(rng, rng.randint(2, 8)) + rng.choice(["", _number(rng, 1)]), *rng.choice([["com"], ["example", "com"], ["org"], ["net"], ["de"]])]
+        user = _name(rng, rng.randint(2, 10)) + rng.choice(["", ".", "_", "-"]) + rng.choice([_number(rng, 2), _name(rng, rng.randint(1, 9))])
+        host = [_name(rng, rng.randint(2, 12)) + rng.choice(["", _number(rng, 1)]), *rng.choice([["com"], ["example", "com"], ["org"], ["net"], ["de"]])]
         at, dot = ("@", ".") if plain else (rng.choice(["[at]", "(at)", " [at] ", " (at) "]), rng.choice([".", "[dot]", "(dot)", " [dot] ", " (dot) "]))
         return user + at + dot.join(host)
     if kind == "ip":

@@ -16,7 +16,7 @@ OTHER, BEYOND_ASCII = len(ALPHABET), len(ALPHABET) + 1
 CLASSES = len(ALPHABET) + 2
 UNITS = 8
 # Length of a window and how much neighbours share.
-WINDOW, OVERLAP = 256, 32
+WINDOW, OVERLAP = 640, 112
 # Windows decoded together; bounds memory.
 TOGETHER = 2_048
 
@@ -128,48 +128,71 @@ def _viterbi(moves: np.ndarray, emit: np.ndarray, lengths: np.ndarray) -> np.nda
     return best
 
 
-def best_tags(model: Tagger, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Viterbi tags (steps, windows).
+def _segments(moves: np.ndarray, places: np.ndarray, emit: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best tags of the uncertain characters: ``places`` (text, position) in order and their ``emit``.
 
-    Where tag 0 leads every other by more than twice what any move can gain over staying at 0, no path through another tag
-    can win, so those windows need no search.
+    Between two runs of them stand characters that are certainly 0, so a run is decided by itself, from 0 to 0 unless it
+    begins or ends its text.
     """
-    emit = emissions(model, codes, lengths)
-    steps, _, n = emit.shape
-    gain = max(0.0, float(model.moves.max() - model.moves[0, 0]))
-    lead = emit[:, 0] - emit[:, 1:].max(axis=1)
-    lead[np.arange(steps)[:, None] >= lengths] = np.inf
-    open_ = np.flatnonzero(lead.min(axis=0) <= 2 * gain + 1e-4)
-    tags = np.zeros((steps, n), np.uint8)
-    if len(open_):
-        tags[:, open_] = _viterbi(model.moves, emit[:, :, open_], lengths[open_])
+    text, at = places
+    first = np.flatnonzero(np.r_[True, (np.diff(text) != 0) | (np.diff(at) != 1)])
+    lengths = np.diff(np.r_[first, len(at)])
+    inside = at[first] > 0
+    emit[first[inside]] += moves[0]
+    last = first + lengths - 1
+    inside = at[last] < sizes[text[last]] - 1
+    emit[last[inside]] += moves[:, 0]
+    tags = np.zeros(len(at), np.uint8)
+    order = np.argsort(-lengths, kind="stable")
+    for begin in range(0, len(order), TOGETHER):
+        group = order[begin : begin + TOGETHER]
+        own = lengths[group]
+        steps = np.arange(own[0])[:, None]
+        index = np.minimum(first[group] + steps, len(at) - 1)
+        found = _viterbi(moves, emit[index].transpose(0, 2, 1), own)
+        tags[index[steps < own]] = found[steps < own]
     return tags
 
 
 def tag_texts(model: Tagger, texts: list[str], window: int = WINDOW, overlap: int = OVERLAP) -> list[np.ndarray]:
-    """Tags of every character of every whole text.
+    """Tags of every character of every whole text, by one Viterbi search over the text.
 
-    Windows overlap; where two meet, each decides up to the middle of what they share, and runs that meet there join.
+    Windows overlap by twice the longest record or more.  Each character takes its emissions from the window in which it lies
+    deepest, and the search runs over all of a text's characters.  Where tag 0 leads every other by more than what two moves
+    can differ, it is on the best path, so the search need only go through the other characters, run by run.
     """
     codes = [classes_of(text) for text in texts]
+    sizes = np.array([len(item) for item in codes], np.int64)
     tags = [np.zeros(len(item), np.uint8) for item in codes]
     step = window - overlap
     places = [
         (min(window, len(item) - at), i, at) for i, item in enumerate(codes) for at in range(0, max(1, len(item) - overlap), step) if len(item)
     ]
     places.sort(key=lambda place: -place[0])
+    sure = 2 * float(model.moves.max() - model.moves.min()) + 1e-4
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for begin in range(0, len(places), TOGETHER):
         group = places[begin : begin + TOGETHER]
         lengths = np.array([place[0] for place in group])
         grid = np.zeros((int(lengths[0]), len(group)), np.intp)
         for j, (size, i, at) in enumerate(group):
             grid[:size, j] = codes[i][at : at + size]
-        found = best_tags(model, grid, lengths)
-        for j in np.flatnonzero(found.any(axis=0)):
-            size, i, at = group[j]
-            lo = 0 if at == 0 else overlap // 2
-            hi = size if at + size == len(codes[i]) else size - (overlap - overlap // 2)
-            tags[i][at + lo : at + hi] = found[lo:hi, j]
+        emit = emissions(model, grid, lengths)
+        text, start = np.array([place[1] for place in group]), np.array([place[2] for place in group])
+        low = np.where(start == 0, 0, overlap // 2)
+        high = np.where(start + lengths == sizes[text], lengths, lengths - (overlap - overlap // 2))
+        steps = np.arange(len(grid))[:, None]
+        open_ = (emit[:, 0] - emit[:, 1:].max(axis=1) <= sure) & (steps >= low) & (steps < high)
+        t, j = np.nonzero(open_)
+        held.append((text[j], start[j] + t, emit[t, :, j]))
+    if held and sum(len(part[0]) for part in held):
+        text, at, emit = (np.concatenate(parts) for parts in zip(*held, strict=True))
+        order = np.lexsort((at, text))
+        text, at = text[order], at[order]
+        found = _segments(model.moves, (text, at), emit[order], sizes)
+        for i in np.unique(text[found > 0]):
+            own = text == i
+            tags[i][at[own]] = found[own]
     return tags
 
 

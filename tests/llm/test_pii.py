@@ -53,7 +53,8 @@ def model(documents):
 
 def test_held_out_accuracy(model, documents):
     codes, gold = pii.examples([documents[i] for i in sorted(documents)][500:800], count=600, seed=77)
-    tags = tagger.best_tags(model, codes.T.astype(np.intp), np.full(600, codes.shape[1])).T
+    lengths = np.full(600, codes.shape[1])
+    tags = tagger._viterbi(model.moves, tagger.emissions(model, codes.T.astype(np.intp), lengths), lengths).T
     assert (tags == gold).mean() > 0.97
     assert (tags == gold)[gold > 0].mean() > 0.9 and (tags == gold)[tags > 0].mean() > 0.9
 
@@ -65,12 +66,18 @@ def test_adds_what_the_patterns_miss(model):
     assert base == [] and {text[a:b] for _, a, b in more} & {"anna.k [at] mail3 [dot] example [dot] com", "93[.]197[.]161[.]72"}
 
 
-def test_search_may_stop_early_but_not_differ(model):
-    rng = np.random.default_rng(2)
-    codes, _ = pii.examples(["some text (a) of v1.2 and 33-44"], count=200, seed=5)
-    lengths = np.sort(rng.integers(1, codes.shape[1] + 1, 200))[::-1].copy()
-    emit = tagger.emissions(model, codes.T.astype(np.intp), lengths)
-    assert (tagger._viterbi(model.moves, emit, lengths) == tagger.best_tags(model, codes.T.astype(np.intp), lengths)).all()
+def whole_tags(model, text):
+    """Windowed nowhere: emissions of the whole text, and a search through every character of it."""
+    codes = tagger.classes_of(text)
+    emit = tagger.emissions(model, codes[:, None].astype(np.intp), np.array([len(codes)]))
+    return emit, tagger._viterbi(model.moves, emit, np.array([len(codes)]))[:, 0]
+
+
+def test_search_goes_through_uncertain_characters_only_and_does_not_differ(model):
+    text = "some text (a) of v1.2 and 33-44, anna.k [at] mail3 [dot] com. 555-010-7788"
+    texts = [text[at:] + " and then " + text[: 50 - at] for at in range(0, 60, 3)] + ["", "x", "12.3.4"]
+    for text, tags in zip(texts, tagger.tag_texts(model, texts), strict=True):
+        assert not text or (tags == whole_tags(model, text)[1]).all()
 
 
 def test_viterbi_against_all_paths():
@@ -115,13 +122,20 @@ def test_gradients():
             assert abs((up - down) / (2 * step) - g[at]) < 5e-3
 
 
-def test_windows_join(model):
-    record = "reach.me42@mail.example.com"
-    for at in (0, 200, 215, 224, 230, 240, 250, 440):  # across the borders of windows
-        text = ("so it was and then more of it " * 30)[:at] + " " + record + " and so on" * 30
-        tags = tagger.tag_texts(model, [text])[0]
-        short = tagger.tag_texts(model, [text], window=10_000, overlap=32)[0]
-        assert (tags == short).mean() > 0.99
+LONG_RECORD = "abcdefghi_klmno [at] abcdefgh7 [dot] example [dot] com"
+
+
+def test_a_long_record_at_every_border(model):
+    """Records of 54 characters that the patterns do not know, with a window's border at each of their characters."""
+    filler = "so it was and then more of it was said by them all " * 60
+    assert len(LONG_RECORD) == 54 and tagger.OVERLAP >= 2 * len(LONG_RECORD)
+    border = tagger.WINDOW - tagger.OVERLAP // 2
+    texts = [filler[: border - 70 + shift] + " " + LONG_RECORD + " " + filler[:300] for shift in range(0, 72)]
+    whole = filler[:200] + " " + LONG_RECORD + " " + filler[:300]
+    assert (whole_tags(model, whole)[1][201 : 201 + 54] == 1).all()
+    for text, tags in zip(texts, tagger.tag_texts(model, texts), strict=True):
+        at = text.index(LONG_RECORD)
+        assert (tags[at : at + 54] == 1).all()
 
 
 def test_redaction():
