@@ -9,8 +9,10 @@ from typing import NamedTuple
 # Element names by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Their content is no text of the page: to the first end tag or the end of the page, and from a start tag to its own end tag.
-RAW = frozenset("script style iframe noembed noframes xmp textarea".split())
-SILENT = frozenset("noscript template svg".split())
+RAW = frozenset("script style iframe noembed noframes textarea".split())
+SILENT = frozenset("template svg".split())
+# Shown as written: no tags, no references, to its end tag or the end of the page.
+_XMP_END = re.compile(r"</xmp(?=[\s/>])", re.I)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var br wbr img object "
@@ -118,6 +120,8 @@ class Block(NamedTuple):
 def leaf_blocks(page: str | None) -> list[Block]:
     """Blocks of a page in order, character references decoded, white space made single; empty ones are left out.
 
+    Pages of any length are read whole, in time linear in the page; ``xmp`` is shown as written, ``noscript`` is read like any other.
+
     Unclosed and crossed tags are allowed; a page that ends inside a tag, a comment or an element of ``RAW`` loses that only.  An
     unclosed element of ``SILENT`` loses its start tag.
     """
@@ -130,7 +134,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     def flush() -> None:
         nonlocal parts, linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 found.append(Block(tuple(x for x in stack if x[0] not in INLINE), text, min(linked, len(text))))
         parts, linked = [], 0
@@ -146,9 +150,10 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if opening < 0:
             opening = size
         if opening > at:
-            parts.append(page[at:opening])
+            # References are decoded run by run, so none arises from the pieces around a tag.
+            parts.append(html.unescape(page[at:opening]))
             if any(name == "a" for name, _ in stack):
-                linked += opening - at
+                linked += len(parts[-1])
         if opening == size:
             break
         if page.startswith("<!--", opening):
@@ -187,6 +192,14 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if name == "br":
             parts.append(" ")
             continue
+        if name == "xmp":
+            flush()
+            end = _XMP_END.search(page, at)
+            parts.append(page[at : end.start() if end else size])
+            at = end.start() if end else size
+            stack.append((name, ""))
+            flush()
+            continue
         if name not in INLINE:
             flush()
             closed = CLOSES.get(name, frozenset()) | {"p"}

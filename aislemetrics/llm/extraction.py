@@ -30,7 +30,10 @@ _TOKEN = re.compile(r"[a-z]+")
 
 
 def path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
-    """Features of the ancestors: their tags, the two innermost, and the words in their class, id and role."""
+    """Features of the ancestors: their tags, the two innermost, and the words in their class, id and role.
+
+    Words count by their first seven letters, so that forms of one word (comment, comments) are one feature.
+    """
     tags = [tag for tag, _ in path if tag not in ("html", "body")]
     features = {f"in:{tag}" for tag in tags}
     features.add(f"parent:{tags[-1] if tags else ''}")

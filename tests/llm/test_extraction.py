@@ -1,3 +1,4 @@
+import html.parser
 import random
 import time
 
@@ -37,8 +38,40 @@ def test_only_silent_elements_are_left_out():
     assert texts("<p>a<svg><!-- </svg> -->b</svg>c</p>") == ["a c"]
     for name in ("svg", "math", "object", "noscript", "template"):
         assert texts(f"<p>a</p><{name}><p>b</p><p>c</p>") == ["a", "b", "c"]
-    for name in ("script", "style", "textarea", "xmp", "iframe", "noembed", "noframes"):
+    for name in ("script", "style", "textarea", "iframe", "noembed", "noframes"):
         assert texts(f"<p>a</p><{name}><p>b</p><p>c</p>") == ["a"]
+    assert texts("<p>a<xmp><p>b &amp; c</p></XMP>d") == ["a", "<p>b &amp; c</p>", "d"]
+    assert texts("<p>a</p><xmp>b <i") == ["a", "b <i"]
+    assert texts("<p>a</p><noscript><p>b</p></noscript>c") == ["a", "b", "c"]
+
+
+def test_references_end_at_tags():
+    assert texts("AT&<b>amp;</b>T &<i>lt;</i>x") == ["AT&amp;T &lt;x"]
+    assert texts("AT&amp;<b>T</b> &#233;t&eacute; &lt;p&gt;") == ["AT&T été <p>"]
+
+
+def test_every_character_against_another_parser(spark, folder):
+    """All shown characters of the pages, as Python's own parser reads them."""
+
+    class Shown(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.off, self.text = 0, []
+
+        def handle_starttag(self, tag, attributes):
+            self.off += tag in ("script", "style", "textarea", "svg", "template", "iframe")
+
+        def handle_endtag(self, tag):
+            self.off -= tag in ("script", "style", "textarea", "svg", "template", "iframe")
+
+        def handle_data(self, data):
+            self.text += [] if self.off else [data]
+
+    for row in spark.read.parquet(f"{folder}/pages.parquet").collect():
+        parser = Shown()
+        parser.feed(row.html or "")
+        parser.close()
+        assert "".join("".join(texts(row.html)).split()) == "".join("".join(parser.text).split())
     assert texts("<p>a</p><svg><p>b</p><svg>c</svg>d") == ["a", "b", "d"]
 
 
