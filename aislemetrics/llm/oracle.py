@@ -47,7 +47,7 @@ WITH turn AS (
 ), lender AS (
     SELECT conv_id, last, reply,
            coalesce(lead(reply) OVER block, first_value(reply) OVER block) AS other
-    FROM final WINDOW block AS (PARTITION BY conv_id // 64 ORDER BY conv_id)
+    FROM final WINDOW block AS (ORDER BY conv_id)
 ), side AS (
     SELECT conv_id, n, last, role, text, other, '<|' || role || '|>' || chr(10) AS head, '<|end|>' || chr(10) AS tail
     FROM place JOIN lender USING (conv_id) WHERE n <= last

@@ -6,18 +6,19 @@ wrote, which are the ones to learn from.  A turn is rendered as ``<|role|>``, a
 
 Defined cases: rows without a conversation or a turn number are left out; a null role is ``unknown``, a null text empty; of
 rows with the same conversation and turn the least by role and text counts, so repeated rows count once; turns are taken in
-ascending order, whatever their numbers; equal sides give two empty completions; empty tables give an empty result.
+ascending order, whatever their numbers; texts of any length are kept whole; equal sides give two empty completions; empty
+tables give an empty result.  A conversation is one row, so its turns together must fit one (two billion bytes).
 Columns other than conv_id, turn, role and text are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aislemetrics.session import materialise
+
 ASSISTANT = "assistant"
-# Conversations that lend each other a reply stand in blocks of so many ids.
-BLOCK = 64
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -28,25 +29,28 @@ def conversations(turns: DataFrame) -> DataFrame:
     return one.groupBy("conv_id").agg(F.transform(ordered, lambda t: t["said"]).alias("turns"))
 
 
-def with_swapped_replies(talks: DataFrame, block: int = BLOCK) -> DataFrame:
+def with_swapped_replies(talks: DataFrame) -> DataFrame:
     """Pairs (pair_id, chosen, rejected) from conversations that have an assistant's turn.
 
     Chosen is the conversation up to the assistant's last turn; rejected has there the last reply of the next conversation
-    of the same block of ids, in a circle.
+    by id, the last conversation that of the first.  Only ids and replies are put in order, by ranges of ids; where a range
+    ends, the first reply of the next one is lent.  A single conversation has nobody to borrow from, and equal sides.
     """
     place = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), ASSISTANT).cast("int") + 1
     cut = talks.where(F.exists("turns", lambda t: t["role"] == ASSISTANT)).withColumn("last", place)
-    cut = cut.select("conv_id", F.slice("turns", 1, F.col("last")).alias("chosen"))
-    row = F.struct("conv_id", "chosen")
-    blocks = cut.groupBy(F.floor(F.col("conv_id") / block).alias("block")).agg(F.array_sort(F.collect_list(row)).alias("row"))
-
-    def pair(own: Column, i: Column) -> Column:
-        lender = F.element_at("row", ((i + 1) % F.size("row") + 1).cast("int"))
-        reply = F.array(F.element_at(lender["chosen"], -1))
-        before = F.slice(own["chosen"], F.lit(1), F.size(own["chosen"]) - 1)
-        return F.struct(own["conv_id"].alias("pair_id"), own["chosen"].alias("chosen"), F.concat(before, reply).alias("rejected"))
-
-    return blocks.select(F.inline(F.transform("row", pair)))
+    cut = materialise(cut.select("conv_id", F.slice("turns", 1, F.col("last")).alias("chosen")), "preference-chosen")
+    ranges = cut.select("conv_id", F.element_at("chosen", -1).alias("reply")).repartitionByRange("conv_id")
+    ranges = materialise(ranges.withColumn("range", F.spark_partition_id()), "preference-replies")
+    order = Window.partitionBy("range").orderBy("conv_id")
+    inside = ranges.withColumn("other", F.lead("reply").over(order))
+    # One row a range: the first reply of the next range that has any, the last range's being the first one's.
+    first = ranges.groupBy("range").agg(F.min_by("reply", "conv_id").alias("reply"))
+    whole = Window.partitionBy(F.lit(0)).orderBy("range")
+    circle = F.coalesce(F.lead("reply").over(whole), F.first("reply").over(whole))
+    lent = inside.join(first.select("range", circle.alias("next")), "range").select("conv_id", F.coalesce("other", "next").alias("reply"))
+    before = F.slice("chosen", F.lit(1), F.size("chosen") - 1)
+    paired = cut.join(lent, "conv_id")
+    return paired.select(F.col("conv_id").alias("pair_id"), "chosen", F.concat(before, F.array("reply")).alias("rejected"))
 
 
 def _rendered(turns: Column) -> Column:

@@ -42,7 +42,23 @@ def test_swapped_replies(spark):
     assert [tuple(t) for t in rows[1].chosen] == [("user", "q1"), ("assistant", "a1"), ("assistant", "late")]
     assert [tuple(t) for t in rows[1].rejected] == [("user", "q1"), ("assistant", "a1"), ("assistant", "")]
     assert [tuple(t) for t in rows[2].chosen] == [("unknown", "q2"), ("assistant", "")]
-    assert [tuple(t) for t in rows[4].chosen] == [("assistant", "a")] and [tuple(t) for t in rows[4].rejected] == [("assistant", "late")]
-    assert rows[64].chosen == rows[64].rejected
+    assert [tuple(t) for t in rows[4].chosen] == [("assistant", "a")] and [tuple(t) for t in rows[4].rejected] == [("assistant", "alone")]
+    assert [tuple(t) for t in rows[64].chosen] == [("assistant", "alone")] and [tuple(t) for t in rows[64].rejected] == [("assistant", "late")]
     none = preference.with_swapped_replies(preference.conversations(frame.limit(0)))
     assert preference.digests(preference.preference_rows(none)).count() == 0
+
+
+def test_sparse_ids_never_borrow_from_themselves(spark):
+    """Ids a hundred apart, over many ranges: everyone has the next one's reply, the last the first one's."""
+    frame = spark.range(0, 40_000, 100).selectExpr("id AS conv_id", "1L AS turn", "'assistant' AS role", "concat('r', id) AS text")
+    pairs = preference.with_swapped_replies(preference.conversations(frame.repartition(11)))
+    found = {r.pair_id: (r.chosen[0].text, r.rejected[0].text) for r in pairs.collect()}
+    assert found == {i: (f"r{i}", f"r{(i + 100) % 40_000}") for i in range(0, 40_000, 100)}
+
+
+def test_a_long_conversation(spark):
+    text = "é" * 300_000
+    frame = spark.createDataFrame([(1, 1, "user", text), (1, 2, "assistant", text + "!"), (2, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    pairs = preference.with_swapped_replies(preference.conversations(frame))
+    row = next(r for r in preference.preference_rows(pairs).collect() if r.pair_id == 1)
+    assert row.n_shared == 1 and text in row.prompt and row.chosen[row.chosen_mask[0].start : row.chosen_mask[0].end] == text + "!"
