@@ -77,7 +77,7 @@ def test_every_character_against_another_parser(spark, folder):
 
 def test_unclosed_silent_elements_take_linear_time():
     start = time.process_time()
-    for part in ("<svg>", "<svg><template>", "<svg></template><noscript>x"):
+    for part in ("<svg>", "<svg><template>", "<svg></template>x"):
         assert texts(part * 40_000) is not None
     assert time.process_time() - start < 20
 
