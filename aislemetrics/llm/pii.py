@@ -23,7 +23,7 @@ from aislemetrics.llm.common import least_hashed, map_rows
 
 KINDS = ("email", "ip", "card", "phone")
 # Documents in the training sample (those of least hash), characters taken from each, windows drawn, and their length.
-SAMPLE, SAMPLE_CHARS, EXAMPLES, EXAMPLE_CHARS = 400, 4_000, 3_000, 72
+SAMPLE, SAMPLE_CHARS, EXAMPLES, EXAMPLE_CHARS = 400, 4_000, 6_000, 112
 
 _USER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -133,28 +133,51 @@ def _card_number(rng: random.Random) -> str:
     return next(body + last for last in "0123456789" if _luhn(body + last))
 
 
-def _record(rng: random.Random, kind: str) -> str:
-    """One record of a kind, about half of them written in a way the patterns do not know."""
-    plain = rng.random() < 0.5
+def _word(rng: random.Random, words: list[str], most: int = 14) -> str:
+    """A word of the sample's texts or as many letters by chance, so that neither spelling nor length gives a record away."""
+    return rng.choice(words)[:most] if rng.random() < 0.5 else _name(rng, rng.randint(1, most))
+
+
+def _written(rng: random.Random, sign: str) -> str:
+    """``sign`` ("at", "dot" or ".") in brackets, with or without spaces about them."""
+    left, right = rng.choice(["[]", "()", "{}"])
+    space = rng.choice(["", " "])
+    return space + left + sign + right + space
+
+
+# Digits in the groups of national phone numbers.
+_GROUPS = [(3, 3, 4), (3, 3, 4), (3, 3, 4), (3, 4, 4), (2, 4, 4), (4, 3, 3), (4, 3, 4), (5, 3, 3), (2, 2, 2, 2, 2), (3, 2, 2, 2), (4, 2, 2, 2)]
+
+
+def _record(rng: random.Random, kind: str, words: list[str]) -> str:
+    """One record of a kind, about two in five of them written in a way the patterns know."""
+    plain = rng.random() < 0.4
     if kind == "email":
-        user = _name(rng, rng.randint(2, 10)) + rng.choice(["", ".", "_", "-"]) + rng.choice([_number(rng, 2), _name(rng, rng.randint(1, 9))])
-        host = [_name(rng, rng.randint(2, 12)) + rng.choice(["", _number(rng, 1)]), *rng.choice([["com"], ["example", "com"], ["org"], ["net"], ["de"]])]
-        at, dot = ("@", ".") if plain else (rng.choice(["[at]", "(at)", " [at] ", " (at) "]), rng.choice([".", "[dot]", "(dot)", " [dot] ", " (dot) "]))
-        return user + at + dot.join(host)
+        more = rng.choice(["", _number(rng, rng.randint(1, 4)), _word(rng, words), _word(rng, words)])
+        user = _word(rng, words) + (rng.choice(["", ".", "_", "-"]) + more if more else "")
+        host = _word(rng, words) + rng.choice(["", "", _number(rng, rng.randint(1, 2)), "-" + _word(rng, words, 8)])
+        ends = rng.choice([["com"], ["com"], ["org"], ["net"], ["example", "com"], ["co", "uk"], [_name(rng, 2)], [_name(rng, 3)], [_name(rng, 5), "de"]])
+        at, dot = ("@", ".") if plain else (_written(rng, "at"), _written(rng, rng.choice(["dot", "dot", "."])) if rng.random() < 0.7 else ".")
+        return user + at + dot.join([host, *ends])
     if kind == "ip":
-        return ("." if plain else rng.choice(["[.]", "(.)", "[dot]"])).join(str(rng.randint(0, 255)) for _ in range(4))
+        return ("." if plain else _written(rng, rng.choice([".", "dot"]))).join(str(rng.randint(0, 255)) for _ in range(4))
     if kind == "card":
         digits = _card_number(rng)
         sign = rng.choice(["", " ", "-"]) if plain else rng.choice([".", "/"])
         return sign.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    gap = rng.choice([" ", "-", "."] if plain else [" ", "-", ".", "."])
     if plain:
-        gap = rng.choice([" ", "-", "."])
-        return f"+{_number(rng, rng.choice([1, 2]))}" + rng.choice([f" ({_number(rng, 3)}) ", f"{gap}{_number(rng, 3)}{gap}"]) + f"{_number(rng, 3)}{rng.choice(['-', gap])}{_number(rng, 4)}"
-    return rng.choice([f"({_number(rng, 3)}) {_number(rng, 3)}-{_number(rng, 4)}", f"{_number(rng, 3)}-{_number(rng, 3)}-{_number(rng, 4)}", f"{_number(rng, 3)}.{_number(rng, 3)}.{_number(rng, 4)}"])
+        area = rng.choice([f" ({_number(rng, 3)}) ", f"{gap}{_number(rng, 3)}{gap}"])
+        return f"+{_number(rng, rng.choice([1, 2]))}{area}{_number(rng, 3)}{rng.choice(['-', gap])}{_number(rng, 4)}"
+    groups = [_number(rng, n) for n in rng.choice(_GROUPS)]
+    if rng.random() < 0.25:
+        return f"({groups[0]}){rng.choice(['', ' '])}{gap.join(groups[1:])}"
+    # Rows of numbers are written with spaces too; a phone number so written begins with 0, as it does where it is dialled.
+    return gap.join([("0" if gap == " " or rng.random() < 0.5 else groups[0][0]) + groups[0][1:], *groups[1:]])
 
 
 def _decoy(rng: random.Random) -> str:
-    """What looks like a record and is none: dates, versions, prices, tokens, times, handles."""
+    """What looks like a record and is none: dates, versions, prices, rows of numbers, tokens, times, handles."""
     return rng.choice(
         [
             f"20{_number(rng, 2)}-0{rng.randint(1, 9)}-1{_number(rng, 1)}",
@@ -168,6 +191,9 @@ def _decoy(rng: random.Random) -> str:
             f"({_name(rng, 4)}) [{_name(rng, 3)}]",
             f"{_number(rng, 3)}-{_number(rng, 2)}",
             f"http://{_name(rng, 6)}.example.org/{_name(rng, 3)}/{_number(rng, 4)}",
+            " ".join(rng.choice(["19", "20"]) + _number(rng, 2) for _ in range(rng.randint(2, 5))),
+            " ".join(rng.choice("123456789") + _number(rng, rng.randint(0, 3)) for _ in range(rng.randint(2, 6))),
+            f"{rng.choice('123456789')}{_number(rng, rng.randint(0, 2))} {_number(rng, 3)} {_number(rng, 3)}",
         ]
     )
 
@@ -176,6 +202,7 @@ def examples(texts: list[str], count: int = EXAMPLES, size: int = EXAMPLE_CHARS,
     """Classes and gold tags (``count``, ``size``) of windows cut from ``texts`` with records and decoys set in."""
     rng = random.Random(seed)
     texts = [text for text in texts if text.strip()] or ["text"]
+    words = sorted({word.lower() for text in texts for word in re.findall("[A-Za-z]+", text)}) or ["text"]
     codes, gold = np.zeros((count, size), np.uint8), np.zeros((count, size), np.uint8)
     for row in range(count):
         line, spans = "", []
@@ -187,7 +214,7 @@ def examples(texts: list[str], count: int = EXAMPLES, size: int = EXAMPLE_CHARS,
             line += " ".join(words[:cut]) + " "
             kind = rng.choice([*KINDS, *KINDS, "", "", "", "decoy", "decoy"])
             if kind in KINDS:
-                record = _record(rng, kind)
+                record = _record(rng, kind, words)
                 spans.append((kind, len(line), len(line) + len(record)))
                 line += record
             elif kind:

@@ -10,8 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-# Characters that have a class of their own; letters count without case, digits as one.  Fixed values.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0 \n\t@.,-+_%()[]{}<>:;/\\#=*&'\"!?|$"
+# Characters that have a class of their own; letters count without case, digits from 1 as one.  Fixed values.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz01 \n\t@.,-+_%()[]{}<>:;/\\#=*&'\"!?|$"
 OTHER, BEYOND_ASCII = len(ALPHABET), len(ALPHABET) + 1
 CLASSES = len(ALPHABET) + 2
 UNITS = 8
@@ -22,7 +22,7 @@ TOGETHER = 2_048
 
 _CLASS_OF = np.full(129, OTHER, np.uint8)
 for _code in range(128):
-    _at = ALPHABET.find("0" if chr(_code).isdigit() else chr(_code).lower())
+    _at = ALPHABET.find("1" if chr(_code) in "123456789" else chr(_code).lower())
     if _at >= 0:
         _CLASS_OF[_code] = _at
 _CLASS_OF[128] = BEYOND_ASCII
@@ -244,7 +244,7 @@ def _backprop(way: Direction, codes: np.ndarray, kept: list, by_emit: np.ndarray
     return [d_table, d_rec, d_out]
 
 
-def train(windows: np.ndarray, gold: np.ndarray, tags: int, rounds: int = 6, batch: int = 128, rate: float = 0.02, seed: int = 7) -> Tagger:
+def train(windows: np.ndarray, gold: np.ndarray, tags: int, rounds: int = 9, batch: int = 128, rate: float = 0.02, seed: int = 7) -> Tagger:
     """Fit a tagger to ``windows`` (examples, steps) of classes and ``gold`` tags by Adam on the CRF loss."""
     rng = np.random.default_rng(seed)
     model = new_tagger(tags, rng)
