@@ -17,8 +17,8 @@ CLASSES = len(ALPHABET) + 2
 UNITS = 8
 # Length of a window and how much neighbours share.
 WINDOW, OVERLAP = 640, 112
-# Windows decoded together; bounds memory.
-TOGETHER = 2_048
+# Windows, and characters of whole texts, decoded together; bounds memory, as does one text where it is longer.
+TOGETHER, TOGETHER_CHARS = 2_048, 1_000_000
 
 _CLASS_OF = np.full(129, OTHER, np.uint8)
 for _code in range(128):
@@ -128,20 +128,37 @@ def _viterbi(moves: np.ndarray, emit: np.ndarray, lengths: np.ndarray) -> np.nda
     return best
 
 
-def _segments(moves: np.ndarray, places: np.ndarray, emit: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best tags of the uncertain characters: ``places`` (text, position) in order and their ``emit``.
+def _uncertain(moves: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """Where a text's best path may have a tag other than 0; ``emit`` is (characters, tags).
+
+    A run of other tags on the best path scores no less than zeros in its place.  Its gain is at most the sum of its
+    characters' best gains, each with the dearest move inside a run, and the moves into and out of it; so a character is
+    certainly 0 if no run about it reaches a gain of 0, which two running extremes of the gains' sums tell.
+    """
+    inside = float(moves[1:, 1:].max() - moves[0, 0])
+    enter, leave = float(moves[0, 1:].max() - moves[0, 0]), float(moves[1:, 0].max() - moves[0, 0])
+    gain = (emit[:, 1:].max(axis=1) - emit[:, 0]).astype(np.float64) + inside
+    # A run at an end of the text has no move there.
+    gain[0] -= enter
+    gain[-1] -= leave
+    total = np.cumsum(gain)
+    before = np.minimum.accumulate(np.concatenate(([0.0], total[:-1])))
+    after = np.maximum.accumulate(total[::-1])[::-1]
+    return after - before + enter + leave - inside >= -1e-2
+
+
+def _segments(moves: np.ndarray, at: np.ndarray, emit: np.ndarray, first_of_text: np.ndarray, last_of_text: np.ndarray) -> np.ndarray:
+    """Best tags of the uncertain characters, which stand ``at`` rising places of the texts laid end to end.
 
     Between two runs of them stand characters that are certainly 0, so a run is decided by itself, from 0 to 0 unless it
     begins or ends its text.
     """
-    text, at = places
-    first = np.flatnonzero(np.r_[True, (np.diff(text) != 0) | (np.diff(at) != 1)])
+    starts, ends = first_of_text[at], last_of_text[at]
+    first = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | starts[1:]])
     lengths = np.diff(np.r_[first, len(at)])
-    inside = at[first] > 0
-    emit[first[inside]] += moves[0]
+    emit[first[~starts[first]]] += moves[0]
     last = first + lengths - 1
-    inside = at[last] < sizes[text[last]] - 1
-    emit[last[inside]] += moves[:, 0]
+    emit[last[~ends[last]]] += moves[:, 0]
     tags = np.zeros(len(at), np.uint8)
     order = np.argsort(-lengths, kind="stable")
     for begin in range(0, len(order), TOGETHER):
@@ -154,46 +171,55 @@ def _segments(moves: np.ndarray, places: np.ndarray, emit: np.ndarray, sizes: np
     return tags
 
 
-def tag_texts(model: Tagger, texts: list[str], window: int = WINDOW, overlap: int = OVERLAP) -> list[np.ndarray]:
-    """Tags of every character of every whole text, by one Viterbi search over the text.
-
-    Windows overlap by twice the longest record or more.  Each character takes its emissions from the window in which it lies
-    deepest, and the search runs over all of a text's characters.  Where tag 0 leads every other by more than what two moves
-    can differ, it is on the best path, so the search need only go through the other characters, run by run.
-    """
+def _tag_together(model: Tagger, texts: list[str], window: int, overlap: int) -> list[np.ndarray]:
     codes = [classes_of(text) for text in texts]
-    sizes = np.array([len(item) for item in codes], np.int64)
-    tags = [np.zeros(len(item), np.uint8) for item in codes]
+    offsets = np.concatenate(([0], np.cumsum([len(item) for item in codes], dtype=np.int64)))
     step = window - overlap
     places = [
         (min(window, len(item) - at), i, at) for i, item in enumerate(codes) for at in range(0, max(1, len(item) - overlap), step) if len(item)
     ]
     places.sort(key=lambda place: -place[0])
-    sure = 2 * float(model.moves.max() - model.moves.min()) + 1e-4
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    emit = np.empty((offsets[-1], model.tags), np.float32)
     for begin in range(0, len(places), TOGETHER):
         group = places[begin : begin + TOGETHER]
         lengths = np.array([place[0] for place in group])
         grid = np.zeros((int(lengths[0]), len(group)), np.intp)
         for j, (size, i, at) in enumerate(group):
             grid[:size, j] = codes[i][at : at + size]
-        emit = emissions(model, grid, lengths)
-        text, start = np.array([place[1] for place in group]), np.array([place[2] for place in group])
-        low = np.where(start == 0, 0, overlap // 2)
-        high = np.where(start + lengths == sizes[text], lengths, lengths - (overlap - overlap // 2))
-        steps = np.arange(len(grid))[:, None]
-        open_ = (emit[:, 0] - emit[:, 1:].max(axis=1) <= sure) & (steps >= low) & (steps < high)
-        t, j = np.nonzero(open_)
-        held.append((text[j], start[j] + t, emit[t, :, j]))
-    if held and sum(len(part[0]) for part in held):
-        text, at, emit = (np.concatenate(parts) for parts in zip(*held, strict=True))
-        order = np.lexsort((at, text))
-        text, at = text[order], at[order]
-        found = _segments(model.moves, (text, at), emit[order], sizes)
-        for i in np.unique(text[found > 0]):
-            own = text == i
-            tags[i][at[own]] = found[own]
-    return tags
+        part = emissions(model, grid, lengths)
+        for j, (size, i, at) in enumerate(group):
+            low = overlap // 2 if at else 0
+            high = size if at + size == len(codes[i]) else size - (overlap - overlap // 2)
+            place = offsets[i] + at
+            emit[place + low : place + high] = part[low:high, :, j]
+    tags = np.zeros(offsets[-1], np.uint8)
+    first, last, open_ = (np.zeros(offsets[-1], bool) for _ in range(3))
+    for start, end in zip(offsets[:-1], offsets[1:]):
+        if start < end:
+            first[start], last[end - 1] = True, True
+            open_[start:end] = _uncertain(model.moves, emit[start:end])
+    at = np.flatnonzero(open_)
+    if len(at):
+        tags[at] = _segments(model.moves, at, emit[at], first, last)
+    return [tags[start:end] for start, end in zip(offsets[:-1], offsets[1:])]
+
+
+def tag_texts(model: Tagger, texts: list[str], window: int = WINDOW, overlap: int = OVERLAP) -> list[np.ndarray]:
+    """Tags of every character of every whole text, by one Viterbi search over the text.
+
+    Windows overlap by twice the longest record or more.  Each character takes its emissions from the window in which it lies
+    deepest, and the search runs over all of a text's characters.  Most are certainly 0 on the best path, so the search need
+    only go through the others, run by run.
+    """
+    tags: list[np.ndarray] = []
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > TOGETHER_CHARS:
+            tags += _tag_together(model, held, window, overlap)
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    return tags + (_tag_together(model, held, window, overlap) if held else [])
 
 
 # ---- training ----

@@ -145,6 +145,30 @@ def test_search_goes_through_uncertain_characters_only_and_does_not_differ(model
         assert not text or (tags == whole_tags(model, text)[1]).all()
 
 
+def test_what_is_left_out_of_the_search_is_zero():
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(1, 40))
+        moves, emit = rng.normal(0, 1.5, (4, 4)).astype(np.float32), rng.normal(0, 2, (n, 4)).astype(np.float32)
+        emit[:, 0] += rng.uniform(0, 6)
+        full = tagger._viterbi(moves, emit[:, :, None], np.array([n]))[:, 0]
+        at = np.flatnonzero(tagger._uncertain(moves, emit))
+        tags, (first, last) = np.zeros(n, np.uint8), np.zeros((2, n), bool)
+        first[0] = last[-1] = True
+        if len(at):
+            tags[at] = tagger._segments(moves, at, emit[at], first, last)
+        assert (tags == full).all()
+
+
+def test_texts_are_tagged_alike_whatever_stands_beside_them(model, monkeypatch):
+    record = "anna.k [at] mail3 [dot] com"
+    texts = ["", record, "x", ("some words and " * 90)[:-1] + " " + record, "", record + " and more " * 200]
+    together = tagger.tag_texts(model, texts)
+    monkeypatch.setattr(tagger, "TOGETHER_CHARS", 1)
+    for text, a, b in zip(texts, together, tagger.tag_texts(model, texts), strict=True):
+        assert len(a) == len(text) and (a == b).all()
+
+
 def test_viterbi_against_all_paths():
     import itertools
 
