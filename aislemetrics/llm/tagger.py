@@ -137,7 +137,10 @@ def _uncertain(moves: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """
     inside = float(moves[1:, 1:].max() - moves[0, 0])
     enter, leave = float(moves[0, 1:].max() - moves[0, 0]), float(moves[1:, 0].max() - moves[0, 0])
-    gain = (emit[:, 1:].max(axis=1) - emit[:, 0]).astype(np.float64) + inside
+    best = emit[:, 1].copy()
+    for tag in range(2, emit.shape[1]):
+        np.maximum(best, emit[:, tag], out=best)
+    gain = (best - emit[:, 0]).astype(np.float64) + inside
     # A run at an end of the text has no move there.
     gain[0] -= enter
     gain[-1] -= leave
