@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,21 +57,28 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-# What this process has written to the shared folder.
-_written: list[str] = []
+# What this process has written to the shared folder, and the thread that did.
+_written: dict[str, int] = {}
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; ``release`` deletes what was written there."""
-    _written.append(f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}")
-    return _written[-1]
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written[path] = threading.get_ident()
+    return path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediates written so far; frames that read them must be done with."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written() -> list[str]:
+    """Paths of this thread that are not deleted yet, the latest last."""
+    return [path for path, owner in list(_written.items()) if owner == threading.get_ident()]
+
+
+def release(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
+    """Delete ``paths``, or all intermediates of this process; frames that read them must be done with."""
+    for name in list(_written) if paths is None else list(paths):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _written.pop(name, None)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -93,9 +93,8 @@ def test_materialised_frame_has_no_lineage(spark):
 def test_released_intermediates_are_gone(spark):
     df = session.materialise(spark.range(3), "gone")
     path = df.inputFiles()[0].rsplit("/", 1)[0]
-    kept = session._written[:-1]
-    session._written[:] = session._written[-1:]
-    session.release(spark)
-    session._written[:] = kept
+    others = session.written()[:-1]
+    session.release(spark, session.written()[-1:])
+    assert session.written() == others
     with pytest.raises(Exception):
         spark.read.parquet(path)
