@@ -296,6 +296,14 @@ SELECT date_id, CAST(isodow(date_id) AS INTEGER) AS fis_day_of_week_num, count(*
 FROM item WHERE isodow(date_id) IN {p.WEEKEND} GROUP BY date_id"""
 )
 
+ORACLE_SQL["day_of_week_filter_by_dates"] = (
+    _with("item")
+    + f"""
+SELECT date_id, CAST(dayofweek(date_id) + 1 AS INTEGER) AS fis_day_of_week_num, count(*) AS n_lines,
+       CAST(sum(net_spend_amt) AS DOUBLE) AS sales
+FROM item WHERE dayofweek(date_id) + 1 IN {p.OWN_WEEKEND} GROUP BY date_id"""
+)
+
 ORACLE_SQL["product_filter"] = (
     _with("item", "prod")
     + f"""

@@ -50,3 +50,5 @@ BUCKETS = 8
 # A calendar whose weeks begin on Sunday: its first day, and the week of the snapshot.
 OWN_WEEKS_FROM = "1969-12-28"
 OWN_SNAPSHOT_WEEK = 1637
+# Saturday and Sunday in a date table that counts the days of a week from Sunday.
+OWN_WEEKEND = (1, 7)

@@ -142,8 +142,18 @@ def promo_share_class(star: Star) -> DataFrame:
 
 @query
 def day_of_week_filter(star: Star) -> DataFrame:
-    weekend = items.filter_day_of_week(star.items, p.WEEKEND)
-    daily = weekend.groupBy("date_id", "fis_day_of_week_num").agg(
+    return _daily(items.filter_day_of_week(star.items, p.WEEKEND))
+
+
+@query
+def day_of_week_filter_by_dates(star: Star) -> DataFrame:
+    """Weekends by the retailer's own date table, whose weeks begin on Sunday."""
+    dates = star.baskets.select("date_id").distinct().withColumn("fis_day_of_week_num", F.dayofweek("date_id"))
+    return _daily(items.filter_day_of_week(star.items, p.OWN_WEEKEND, dates))
+
+
+def _daily(lines: DataFrame) -> DataFrame:
+    daily = lines.groupBy("date_id", "fis_day_of_week_num").agg(
         F.count("*").alias("n_lines"), F.sum("net_spend_amt").alias("sales")
     )
     return _plain(daily, sales=None)
