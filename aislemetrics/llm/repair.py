@@ -13,7 +13,7 @@ the ids (uint64), both with a closing entry, the rules (2 x uint32 each), their
 (uint16 where they fit, else uint32).
 
 Defined cases: a null or empty text is the end id alone; rows without doc_id come first; rows that share a doc_id stand in the
-order of their texts; an empty table gives no shards and an empty result.  Columns other than the named ones are not read.
+order of a hash of their texts, by which they are dealt to tasks too, equal rows by where they were read; an empty table gives no shards and an empty result.  Columns other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -399,8 +399,9 @@ def write_shards(
         if held:
             yield close()
 
-    ordered = docs.select("doc_id", F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, SHARDS).write.parquet(path)
+    rows = docs.select("doc_id", F.col(text_col).alias("text"), F.xxhash64(text_col).alias("sig"), F.spark_partition_id().alias("origin"))
+    ordered = rows.repartitionByRange("doc_id", "sig", "origin").sortWithinPartitions("doc_id", "sig", "text")
+    ordered.select("doc_id", "text").mapInArrow(run, SHARDS).write.parquet(path)
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:

@@ -41,6 +41,15 @@ def odd_docs(spark):
     return spark.createDataFrame(rows, schema)
 
 
+@pytest.fixture
+def all_partitions(spark):
+    """Shuffles keep their partitions, which Spark would merge where the rows are few."""
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")
+    yield
+    spark.conf.unset(merge)
+
+
 @pytest.fixture(scope="session")
 def no_docs(odd_docs):
     return odd_docs.limit(0)

@@ -97,6 +97,22 @@ def test_any_text_as_the_library(text):
     assert repair.word_ids(PATH)(text).tolist() == repair.word_ids(PATH).library.encode(text, add_special_tokens=False).ids
 
 
+def test_one_id_holds_a_third_of_all_rows(spark, tmp_path, all_partitions):
+    rows = spark.range(3_000, numPartitions=6).selectExpr(
+        "if(id % 3 = 0, 7, id) AS doc_id", "if(id % 2 = 0, 'a copy', concat('text ', id)) AS text"
+    )
+    path = str(tmp_path / "a")
+    repair.write_shards(rows, path, PATH)
+    found = repair.read_documents(spark, path).join(repair.shard_starts(spark, path), ["part", "seq"]).collect()
+    found.sort(key=lambda r: r.shard_start + r.place)
+    names = [r.doc_id for r in found]
+    assert names == sorted(names) and len(names) == 3_000
+    assert len({r.part for r in found if r.doc_id == 7}) > 1
+    library = Tokenizer.from_file(PATH)
+    given = sorted((r.doc_id, library.encode(r.text, add_special_tokens=False).ids + [2]) for r in rows.collect())
+    assert sorted((r.doc_id, list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids))) for r in found) == given
+
+
 @pytest.mark.parametrize("tokens", [3, 1 << 19])
 def test_odd_documents(spark, odd_docs, no_docs, tmp_path, tokens):
     repair.write_shards(odd_docs, str(tmp_path / "a"), PATH, shard_tokens=tokens)
