@@ -20,6 +20,8 @@ from aislemetrics.session import materialise
 # Slots; a prime, at least a hundred times the number of shards for shares within one per cent.
 SIZE = 4_099
 MOST_SIZE = 65_537
+# Tasks among which the rows of one slot may be dealt when shards are written.
+SPREAD = 64
 
 
 def text_hash(text: Column) -> Column:
@@ -85,8 +87,10 @@ def placed(docs: DataFrame, count: int, size: int = SIZE, key: str = "doc_id") -
 def write_shards(docs: DataFrame, table: DataFrame, path: str, size: int = SIZE, key: str = "doc_id") -> None:
     """Write ``docs``, all columns, as one Parquet folder ``shard=...`` a shard.
 
-    Rows are dealt by shard and slot, so that a shard is written by many tasks.
+    Rows are dealt by shard, slot and the part of ``docs`` that they come from, so that a shard is written by many tasks, and
+    so is a slot that a null or often repeated key fills.
     """
+    origin = F.pmod(F.spark_partition_id(), F.lit(SPREAD)).alias("origin")
     slot = (text_hash(F.col(key).cast("string")) % size).alias("slot")
-    packed = docs.select(slot, F.struct(*docs.columns).alias("row")).join(F.broadcast(table), "slot")
-    packed.repartition("shard", "slot").select("shard", "row").write.partitionBy("shard").parquet(path)
+    packed = docs.select(slot, origin, F.struct(*docs.columns).alias("row")).join(F.broadcast(table), "slot")
+    packed.repartition("shard", "slot", "origin").select("shard", "row").write.partitionBy("shard").parquet(path)

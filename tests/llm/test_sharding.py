@@ -62,3 +62,12 @@ def test_odd_documents(spark, odd_docs, no_docs, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.select("row.*").columns == odd_docs.columns and back.count() == odd_docs.count()
     assert sorted((r.row.doc_id or 0, r.shard) for r in back.collect()) == sorted((r.doc_id or 0, r.shard) for r in rows)
+
+
+def test_rows_without_a_key_are_written_by_many_tasks(spark, tmp_path, all_partitions):
+    table = sharding.lookup_table(sharding.shard_names(spark, 4), 101)
+    docs = spark.range(600, numPartitions=12).selectExpr("if(id < 0, id, null) AS doc_id", "id AS n")
+    sharding.write_shards(docs, table, str(tmp_path / "out"), 101)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.n for r in back.select("row.n").collect()) == list(range(600))
+    assert back.select("shard").distinct().count() == 1 and len(back.inputFiles()) > 1
