@@ -118,14 +118,16 @@ def first_of_each(docs: DataFrame, text_col: str = "text", size: int = SHINGLE)
     """One row of ``docs``, with all its columns, for each group: that of the smallest doc_id.
 
     Of different texts with that doc_id the one of least hash stays, of equal rows one; rows without an id come last.
+    The texts are shuffled once: the choice of rows and the dropping of equal ones are by the same plain keys.
     """
     groups = near_duplicates(docs, text_col, size)
     chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "sig")).alias("one"))
     chosen = stored(chosen.select("one.doc_id", "one.sig").distinct(), "simhash-chosen", docs.count())
-    left = docs.select("doc_id", F.xxhash64(text_col).alias("_sig"), F.struct(*docs.columns).alias("row"))
-    right = chosen.select(F.col("doc_id").alias("_doc_id"), F.col("sig").alias("_chosen"))
-    met = left.join(right, left["doc_id"].eqNullSafe(right["_doc_id"]) & (left["_sig"] == right["_chosen"]), "left_semi")
-    return met.dropDuplicates(["doc_id", "_sig"]).select("row.*")
+    keys = {"late": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)), "sig": F.col("sig")}
+    keys = [value.alias(name) for name, value in keys.items()]
+    left = docs.select("doc_id", F.xxhash64(text_col).alias("sig"), F.struct(*docs.columns).alias("row")).select(*keys, "row")
+    met = left.join(chosen.select(*keys), ["late", "id", "sig"], "left_semi")
+    return met.dropDuplicates(["late", "id", "sig"]).select("row.*")
 
 
 def as_hex(fp: Column) -> Column:

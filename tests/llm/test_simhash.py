@@ -101,6 +101,18 @@ def test_columns_stay_as_they_are(odd_docs):
     assert found and all(row in given for row in found)
 
 
+def test_texts_are_shuffled_once(spark, odd_docs):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.first_of_each(odd_docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 8]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2  # the texts, and the narrow rows of the choice
+
+
 def test_very_long_text_in_runs(monkeypatch):
     text = " ".join(str(i * i) for i in range(3_000))
     whole = simhash.fingerprint(text.encode())
