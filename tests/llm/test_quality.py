@@ -1,5 +1,7 @@
 import collections
+import math
 import re
+import zlib
 
 import numpy as np
 
@@ -40,6 +42,49 @@ def test_statistics_and_verdicts(spark, folder, documents):
     assert min(kept) > max(lost)  # one threshold for every document
 
 
+def bucket(a, b=None, size=quality.BUCKETS):
+    """A word's, or a pair of words', bucket by whole numbers."""
+    low = (1 << 64) - 1
+    a = zlib.crc32(a.encode()) + 1
+    if b is None:
+        return ((a * 0x9E3779B97F4A7C15 & low) >> 33) % size
+    mixed = (a * 0xC2B2AE3D27D4EB4F + (zlib.crc32(b.encode()) + 1) * 0x165667B19E3779F9) & low
+    return (((mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9 & low) >> 33) % size
+
+
+def test_scores_and_verdicts_by_brute_force(spark, folder, documents):
+    labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
+    trusted = {r.doc_id for r in labels if r.quality == 1 and not r.toxic}
+    distrusted = {r.doc_id for r in labels if r.quality == 0}
+    assert len(trusted) <= quality.TRUSTED
+    grams, raw, target = {}, collections.Counter(), collections.Counter()
+    for doc_id, text in documents.items():
+        words = WORD.findall(text)
+        grams[doc_id] = [bucket(w) for w in words] + [bucket(a, b) for a, b in zip(words, words[1:])]
+        raw.update(grams[doc_id])
+        if doc_id in trusted:
+            target.update(grams[doc_id])
+    n_raw, n_target, ratio = raw.total(), target.total(), {}
+    for b in raw:
+        share = (raw[b] + 0.5) / (n_raw + 0.5 * quality.BUCKETS)
+        ratio[b] = math.log((target[b] + quality.PRIOR * share) / (n_target + quality.PRIOR) / share)
+    scores = {i: math.fsum(ratio[b] for b in of) / len(of) if of else 0.0 for i, of in grams.items()}
+    rows = {r.doc_id: r for r in QUERIES["op5_quality_rules"](spark, folder).collect()}
+    assert set(rows) == set(documents)
+    assert all(abs(rows[i].score - scores[i]) < 1e-8 for i in rows)
+    # The threshold by its definition: of all steps that keep enough of the trusted, the one that divides best.
+    steps = {i: math.floor(rows[i].score / quality.STEP) for i in rows if not brute(documents[i])[-1]}
+    good = [s for i, s in steps.items() if i in trusted]
+    bad = [s for i, s in steps.items() if i in distrusted]
+    best, at = 0.0, -math.inf
+    for step in sorted({*good, *bad}):
+        lost, caught = sum(s <= step for s in good), sum(s <= step for s in bad)
+        if lost <= (1 - quality.KEEP_TRUSTED) * len(good) and caught / len(bad) - lost / len(good) > best:
+            best, at = caught / len(bad) - lost / len(good), (step + 1) * quality.STEP
+    assert at > -math.inf
+    assert {i for i, r in rows.items() if r.kept} == {i for i in steps if rows[i].score >= at}
+
+
 def test_counts_against_a_loop(spark, odd_docs):
     trusted = spark.createDataFrame([(5,), (7,)], "doc_id long")
     counts = {r.bucket: (r.n_raw, r.n_target) for r in quality.ngram_counts(odd_docs, trusted, buckets=64).collect()}
