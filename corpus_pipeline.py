@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, near-duplicates, benchmark leaks, personal data, and piece ids at the end.
 
 A stage takes (spark, docs, sf_dir) and works on every row its predecessor kept; all but the last return the columns of
-``documents``, and whatever further columns the input has.  Rows without text fall to the quality rules.
+``documents``, and whatever further columns the input has.
+
+Defined cases: null, empty and very short texts fall to the quality rules; rows without a doc_id are judged like any other,
+and of a group of near-duplicates stay only where no row of it has an id; repeated rows are one group, so one of them stays;
+of a tie in doc_id the text of least hash stays; texts of any length are processed whole; an empty table gives an empty
+result; columns of the operators' own names (kept, fp, _sig, ids ...) come through as they are.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from aislemetrics.llm import contamination, pieces, pii, quality, simhash
 from aislemetrics.llm.common import table
 from aislemetrics.llm.queries import vocabulary
-from aislemetrics.session import materialise
+from aislemetrics.session import materialise, release, written
 
 
 def passing_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +58,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder before the next reads it."""
+    """All stages over ``documents``, each written to the shared folder before the next reads it.
+
+    What a stage and those before it wrote is deleted as soon as its result stands, and all of it where a stage fails, so the
+    folder holds no more than two results at a time.
+    """
+    before = set(written())
+
+    def made() -> list[str]:
+        return [path for path in written() if path not in before]
+
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            release(spark, made()[:-1])
+        return STAGES[-1][1](spark, docs, sf_dir)
+    except BaseException:
+        release(spark, made())
+        raise

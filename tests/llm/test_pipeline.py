@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pytest
 import sentencepiece
 from test_contamination import brute as brute_hits
 from test_pii import brute as brute_spans
@@ -10,7 +11,7 @@ from test_simhash import brute_components, brute_fingerprint
 import corpus_pipeline
 from aislemetrics.llm import pii
 from aislemetrics.llm.queries import QUERIES, vocabulary
-from aislemetrics.session import materialise
+from aislemetrics.session import materialise, written
 
 
 def test_stages(spark, folder):
@@ -45,12 +46,41 @@ def test_stages(spark, folder):
 
 
 def test_run_is_the_stages(spark, folder):
+    before = written()
     found = corpus_pipeline.run(spark, folder)
-    assert found.columns[:2] == ["doc_id", "n_tokens"] and found.count() > 0
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, folder), "again")
+    assert found.columns == docs.columns and found.columns[:2] == ["doc_id", "n_tokens"]
+    assert sorted(found.collect()) == sorted(docs.collect()) != []
+    left = [path for path in written() if path not in before and "pipeline-" in path]
+    assert len(left) == 1  # the last stage's input
+
+
+def test_failed_run_leaves_nothing(spark, folder, monkeypatch):
+    def fails(spark, docs, sf_dir):
+        raise ValueError("stage")
+
+    stages = [*corpus_pipeline.STAGES[:1], ("fails", fails), *corpus_pipeline.STAGES[1:]]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    before = written()
+    with pytest.raises(ValueError, match="stage"):
+        corpus_pipeline.run(spark, folder)
+    assert written() == before
 
 
 def test_odd_documents(spark, odd_docs, no_docs, folder):
-    for docs in (odd_docs, no_docs):
-        for name, stage in corpus_pipeline.STAGES:
-            docs = materialise(stage(spark, docs, folder), f"odd-{name}")
-        assert docs.columns[0] == "doc_id"
+    given = odd_docs.collect()
+    docs = odd_docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, folder), f"odd-{name}")
+        assert docs.dtypes == odd_docs.dtypes
+        rows = docs.collect()
+        # Null, empty and short texts and repeated windows fail the base rules; nothing else happens to the rest.
+        assert all(row in given for row in rows) and {r.doc_id for r in rows} <= {7}
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, no_docs, folder)
+        assert made.collect() == []
+        assert name == "piece_ids" or made.dtypes == no_docs.dtypes
+    last = corpus_pipeline.STAGES[-1][1](spark, odd_docs, folder)
+    assert last.count() == len(given)
